@@ -1,0 +1 @@
+"""No operator here is a streaming one: graphs are batch tables.  Kept so that streams have a place."""
