@@ -1,9 +1,7 @@
-"""What several operators share: table access, the shared folder, byte tables."""
+"""What several operators share: table access, byte tables, mapping over Arrow batches."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -24,41 +22,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Where the session names none (tests on one machine) a temporary folder is
-    set as the checkpoint folder once and used from then on.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quiltgraph-')}")
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and return a reader of it: lineage ends there."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(df: DataFrame) -> None:
-    """Delete the files of a materialized table that no later plan reads."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null gives empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
@@ -84,8 +47,3 @@ def filter_batches(df: DataFrame, text_col: str, keep: Callable[[list[bytes]], l
             yield batch.filter(pa.array(keep(utf8(batch.column(at))), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
-
-
-def partitions_for(n_bytes: int, each: int, least: int) -> int:
-    """How many partitions of about ``each`` bytes hold n_bytes, ``least`` at least."""
-    return max(least, -(-n_bytes // each))

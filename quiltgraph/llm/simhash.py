@@ -16,8 +16,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import LOWER, map_batches, materialize, utf8
-from quiltgraph.llm.components import connected_components
+from quiltgraph.llm.common import LOWER, map_batches, utf8
+from quiltgraph.operators.components import connected_components
+from quiltgraph.storage import materialize
 
 SHINGLE_WORDS = 3
 SEED = 42

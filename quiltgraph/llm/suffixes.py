@@ -30,7 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import map_batches, materialize, utf8
+from quiltgraph.llm.common import map_batches, utf8
+from quiltgraph.storage import materialize
 
 LENGTH = 400
 #: Bytes of an anchor.

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from quiltgraph.llm import components, decontaminate, quality, queries, simhash, suffixes
+from quiltgraph.llm import decontaminate, quality, queries, simhash, suffixes
+from quiltgraph.operators import components
 
 
 def lower(text):
