@@ -1,16 +1,18 @@
-"""WARC archives with the index first.
+"""WARC archives with an index.
 
-Records are laid out before they are written: the index has offset, length,
-URL and digest of each.  Readers select index rows, sort the byte ranges and
-coalesce neighbours into single reads."""
+Writing makes the index: offset, length, URL and digest of each record.
+Readers select index rows first, sort the byte ranges and coalesce neighbours
+into single reads, so that only the selected records' bytes are read."""
 
 from __future__ import annotations
 
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.storage import shared_path
@@ -21,80 +23,110 @@ LEAST_REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 64 << 20
 #: Ranges with at most this between them are read together, up to MOST_READ bytes at once.
 GAP, MOST_READ = 64 << 10, 8 << 20
-#: Every record ends with it; it is the line separator of the text files that Spark writes.
-END = "\r\n\r\n"
+#: Every record ends with it.
+END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+INDEX = "archive string, offset bigint, length bigint, page_id {id}, url string, digest string, record_type string, refers_to {id}"
 
 
-def _record_id(page: Column) -> Column:
-    return F.concat(F.lit("<urn:x-page:"), F.coalesce(page.cast("string"), F.lit("none")), F.lit(">"))
+def _page_urn(page: object) -> str:
+    return f"<urn:x-page:{'none' if page is None else page}>"
 
 
-def assign_roles(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, html, digest (SHA-1), n, record_type, refers_to.
+def make_record(page: object, url: str | None, html: bytes, digest: str, refers_to: object) -> bytes:
+    """A WARC record; a revisit has the HTTP header alone, with the length of the whole payload."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(html)
+    kind = "response" if refers_to is None else "revisit"
+    fields = {"WARC-Type": kind, "WARC-Record-ID": _page_urn(page), "WARC-Date": DATE, "WARC-Target-URI": (url or "").replace("\r", "").replace("\n", ""), "WARC-Payload-Digest": f"sha1:{digest}"}
+    if refers_to is not None:
+        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": _page_urn(refers_to)}
+    block = http if refers_to is not None else http + html
+    fields |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
+    return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields.items()), "\r\n"]).encode() + block + END
+
+
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path there; Hadoop writes file:/ for file:///."""
+    return pafs.FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file:///") else path)
+
+
+def find_revisits(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
+    """(page_id, digest, refers_to) of the pages (page_id, n, digest) that revisit another.
 
     Of equal payloads of at least ``least`` bytes the one with the largest id
-    is the response and the others revisit it.  Whichever row has that id is a
-    response, so rows that repeat it are too; a row with a null id revisits.
-    Only digests are counted and joined; a payload that very many pages have
-    is joined in parts.
+    is the response.  Whichever row has that id is a response, so rows that
+    repeat it are too; a row with a null id revisits.  No payload takes part,
+    and a payload that very many pages have is joined in parts.
     """
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    rows = rows.withColumn("n", F.octet_length("html").cast("bigint")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
-    groups = rows.where(F.col("n") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "last")
-    # A row that isn't its group's last.
-    joined = rows.join(groups, (rows["digest"] == groups["digest"]) & (rows["n"] >= least), "left").select(rows["*"], "last")
-    refers = F.when(F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")), F.col("last"))
-    return joined.select("page_id", "url", "html", "n", "digest", F.when(refers.isNull(), "response").otherwise("revisit").alias("record_type"), refers.alias("refers_to"))
-
-
-def _with_records(roles: DataFrame) -> DataFrame:
-    """Adds record: the WARC record as text, without END."""
-    clean = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
-    block = F.when(F.col("record_type") == "response", F.concat(http, F.col("html"))).otherwise(http)
-    revisit = F.when(F.col("record_type") == "revisit", F.concat(F.lit(f"WARC-Profile: {PROFILE}\r\nWARC-Refers-To: "), _record_id(F.col("refers_to")), F.lit("\r\n"))).otherwise("")
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: "), F.col("record_type"), F.lit("\r\nWARC-Record-ID: "), _record_id(F.col("page_id")), F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), clean,
-        F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"), F.lit("\r\n"), revisit, F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
-    )
-    return roles.withColumn("record", F.concat(head, block))
+    large = pages.where(F.col("n") >= least).select("page_id", "digest")
+    last = large.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and refers_to is not null").select("digest", "refers_to")
+    return large.join(last, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("page_id", "digest", "refers_to").distinct()
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Write a record for each page to archives under path; returns the index.
-
-    The index has archive (its folder, ``archive=N``, holds one file), offset,
-    length, page_id, url, digest, record_type, refers_to.  It is a table beside the
-    archives, so it outlives the job.  A null html is an empty payload and a
-    null URL an empty one; an empty table writes nothing and indexes nothing.
-    Spark's own writer makes the files, so any store that it writes will do.
+    """Write a record for each page to archives under path, each record a gzip member; returns the index.
+
+    The index (archive, offset, length, page_id, url, digest, record_type,
+    refers_to) is a table beside the archives, so it outlives the job.  A null html is an
+    empty payload and a null URL an empty one; an empty table writes nothing
+    and indexes nothing.  Payloads are shuffled once.  A task writes its
+    archive under a name of its own and then moves it to the archive's, so a
+    task that runs again replaces what it wrote; the path must be one that
+    pyarrow and Spark both reach.
     """
     spark = pages.sparkSession
-    roles = assign_roles(pages, id_col=id_col, url_col=url_col, html_col=html_col, least=least)
-    total = roles.agg(F.sum(F.when(F.col("record_type") == "response", F.col("n")).otherwise(0))).first()[0] or 0
+    html = F.coalesce(F.col(html_col), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"))
+    light = pages.select(F.col(id_col).alias("page_id"), F.octet_length(html).alias("n"), F.sha1(html.cast("binary")).alias("digest"))
+    total = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
     archives = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // archive_bytes))
-    placed = _with_records(roles).withColumn("archive", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int"))
-    # Each archive is one task's output, in the order in which offsets are summed.
-    order = ["archive", "page_id", "digest", "record_type"]
-    dealt = placed.repartitionById(archives, F.col("archive")).sortWithinPartitions(*order)
-    dealt.select(F.col("record").alias("value"), "archive").write.partitionBy("archive").option("lineSep", END).text(f"{path}/records")
-    lengths = placed.select("archive", "page_id", "url", "digest", "record_type", "refers_to", (F.octet_length("record") + len(END)).cast("bigint").alias("length"))
-    before = Window.partitionBy("archive").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    lengths.withColumn("offset", F.sum("length").over(before) - F.col("length")).write.parquet(f"{path}/index")
-    return spark.read.parquet(f"{path}/index")
-
-
-def _files(df: DataFrame, path: str) -> dict[int, str]:
-    """The file of each archive: names only, from Spark's own listing."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/records")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/records/archive=*/part-*"))
-    names = [f.getPath().toString() for f in found or ()]
-    return {int(n.rsplit("/archive=", 1)[1].split("/")[0]): n for n in names}
+    kind = pages.schema[id_col].dataType.simpleString()
+
+    # A page's revisit row, if it has one, comes just before it.
+    revisits = find_revisits(light, least).select("page_id", "digest", F.lit(0).alias("order"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "refers_to")
+    both = revisits.unionByName(rows.withColumns({"order": F.lit(1), "refers_to": F.lit(None).cast(kind)}))
+    dealt = both.withColumn("at", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int")).repartitionById(archives, F.col("at")).sortWithinPartitions("at", "page_id", "digest", "order", "url")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = _store(f"{path}/records")
+        sink = own = name = None
+        offset, revisit = 0, (None, None, None)
+
+        def close() -> None:
+            if sink is not None:
+                sink.close()
+                store.move(own, name)
+
+        for batch in batches:
+            out: list[tuple] = []
+            id_type = batch.schema.field("page_id").type
+            for page, digest, order, url, text, refers, at in zip(*(batch.column(c).to_pylist() for c in ("page_id", "digest", "order", "url")), batch.column("html").cast(pa.binary()).to_pylist(), *(batch.column(c).to_pylist() for c in ("refers_to", "at")), strict=True):
+                if order == 0:
+                    revisit = (page, digest, refers)
+                    continue
+                if name != f"{folder}/{at:06d}.warc.gz":
+                    close()
+                    name, offset = f"{folder}/{at:06d}.warc.gz", 0
+                    own = f"{name}.{uuid.uuid4().hex}"
+                    store.create_dir(folder)
+                    sink = store.open_output_stream(own, compression=None)
+                to = revisit[2] if revisit[:2] == (page, digest) else None
+                gzip = zlib.compressobj(6, zlib.DEFLATED, 31)
+                data = gzip.compress(make_record(page, url, text, digest, to)) + gzip.flush()
+                sink.write(data)
+                out.append((f"{at:06d}.warc.gz", offset, len(data), page, url, digest, "response" if to is None else "revisit", to))
+                offset += len(data)
+            if out:
+                archive, offsets, lengths, ids, urls, digests, types, to = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(archive, pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, id_type), pa.array(urls, pa.string()), pa.array(digests, pa.string()), pa.array(types, pa.string()), pa.array(to, id_type)],
+                    names=["archive", "offset", "length", "page_id", "url", "digest", "record_type", "refers_to"],
+                )
+        close()
+
+    dealt.mapInArrow(write, INDEX.format(id=kind)).write.parquet(f"{path}/index")
+    return spark.read.schema(INDEX.format(id=kind)).parquet(f"{path}/index")
 
 
 def coalesced(ranges: list[tuple[int, int]], gap: int = GAP, most: int = MOST_READ) -> Iterator[tuple[int, int, int, int]]:
@@ -129,30 +161,26 @@ def read_warc(index: DataFrame, path: str) -> DataFrame:
     each archive and coalesced; only those bytes are read.  Selecting no rows
     reads nothing.
     """
-    files = _files(index, path)
-    spark = index.sparkSession
-    names = spark.sparkContext.broadcast(files)  # a path for each archive of 64 MB
     kind = index.schema["page_id"].dataType.simpleString()
 
+    def page(urn: str | None) -> str | None:
+        return None if urn is None or (name := urn[len("<urn:x-page:") : -1]) == "none" else name
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at: tuple[int, pafs.FileSystem, str] | None = None
+        store, folder = _store(f"{path}/records")
         for batch in batches:
-            rows = batch.to_pylist()
-            groups: dict[int, list[dict]] = {}
-            for r in rows:
-                groups.setdefault(r["archive"], []).append(r)
-            for archive, own in groups.items():
-                if at is None or at[0] != archive:
-                    at = (archive, *pafs.FileSystem.from_uri(names.value[archive]))
-                own.sort(key=lambda r: r["offset"])
-                with at[1].open_input_file(at[2]) as f:
-                    for start, n, a, b in coalesced([(r["offset"], r["length"]) for r in own]):
+            by_archive: dict[str, list[tuple[int, int]]] = {}
+            for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                by_archive.setdefault(archive, []).append((offset, length))
+            for archive, ranges in by_archive.items():
+                ranges.sort()
+                with store.open_input_file(f"{folder}/{archive}") as f:
+                    for start, n, a, b in coalesced(ranges):
                         data, out = f.read_at(n, start), []
-                        for r in own[a:b]:
-                            fields, n_payload, payload = parse_record(data[r["offset"] - start : r["offset"] - start + r["length"]])
+                        for offset, length in ranges[a:b]:
+                            fields, n_payload, payload = parse_record(zlib.decompress(data[offset - start : offset - start + length], 31))
                             revisit = fields["WARC-Type"] == "revisit"
-                            page = lambda name: None if (x := fields[name][len("<urn:x-page:") : -1]) == "none" else x  # noqa: B023, E731
-                            out.append((page("WARC-Record-ID"), fields["WARC-Target-URI"], fields["WARC-Type"], page("WARC-Refers-To") if revisit else None, fields["WARC-Payload-Digest"].removeprefix("sha1:"), n_payload, None if revisit else payload))
+                            out.append((page(fields["WARC-Record-ID"]), fields["WARC-Target-URI"], fields["WARC-Type"], page(fields.get("WARC-Refers-To")), fields["WARC-Payload-Digest"].removeprefix("sha1:"), n_payload, None if revisit else payload))
                         columns = list(zip(*out, strict=True))
                         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:5]], pa.array(columns[5], pa.int64()), pa.array(columns[6], pa.binary())], names=["page_id", "url", "record_type", "refers_to", "digest", "n_payload", "payload"])
 
