@@ -193,9 +193,10 @@ def _find_runs(rows: DataFrame, length: int, gram: int) -> DataFrame:
     return map_batches(rows, ["k1", "k2", "text"], RUN, runs)
 
 
-def _splitters(needed: DataFrame, n: int) -> list[tuple[int, int]]:
-    """n - 1 splitters (lead, gram) from a bounded sample of the suffixes."""
-    sample = sorted((r["lead"], r["gram"]) for r in needed.select("lead", "gram").orderBy(F.xxhash64("gram", "span")).limit(SPLITTER_SAMPLE).collect())
+def _splitters(needed: DataFrame, n_needed: int, n: int) -> list[tuple[int, int]]:
+    """n - 1 splitters (lead, gram) from a sample of about SPLITTER_SAMPLE suffixes, chosen by hash."""
+    one_in = -(-n_needed // SPLITTER_SAMPLE)
+    sample = sorted((r["lead"], r["gram"]) for r in needed.where(F.pmod(F.xxhash64("gram", "span"), F.lit(max(1, one_in))) == 0).select("lead", "gram").collect())
     return sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
 
@@ -205,22 +206,28 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
-    """(k1, k2, a, b): byte ranges covered by repeated windows, which may overlap, for rows (doc_id, text, k1, k2)."""
+    """(k1, k2, range): byte ranges (a, b) covered by repeated windows, which may overlap, for rows (doc_id, text, k1, k2).
+
+    Rows whose range is null name no text.
+    """
     spark = rows.sparkSession
     runs = materialize(_find_runs(rows, length, gram), "runs")
     spans = materialize(
         runs.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "anchor", "first", "last", "lead")]), "spans"
     )
     # 2: the same run elsewhere.
-    again = spans.where("n > 1").select("gram", "span")
-    whole = runs.join(again, ["gram", "span"], "left_semi").select("k1", "k2", F.col("first").alias("a"), (F.col("last") + length).alias("b"))
+    # An outer join gives a row for each run however many repeat; those that don't are summed up under key 0 before the shuffle.
+    again = spans.where("n > 1").select("gram", "span", F.lit(True).alias("again"))
+    hit = F.coalesce("again", F.lit(False))
+    key = lambda k: F.when(hit, F.col(k)).otherwise(F.lit(0)).alias(k)
+    whole = runs.join(again, ["gram", "span"], "left").select(key("k1"), key("k2"), F.when(hit, F.struct(F.col("first").alias("a"), (F.col("last") + length).alias("b"))).alias("range"))
 
     # 3 and 4: one run of each content, for anchors with several contents.
     several = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1")
     needed = materialize(spans.join(several, "gram").select("k1", "k2", "anchor", "first", "last", "lead", "gram", "span", (F.col("n_runs") > bucket_runs).alias("wide")), "needed")
     n_needed = needed.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_needed // RUNS_PER_BUCKET))
-    splitters = spark.sparkContext.broadcast(_splitters(needed.where("not wide"), buckets))
+    splitters = spark.sparkContext.broadcast(_splitters(needed.where("not wide"), n_needed, buckets))
     by_text = needed.groupBy("k1", "k2").agg(F.collect_list(F.struct("anchor", "first", "last", "lead", "gram", "wide")).alias("runs"))
     cut = rows.join(by_text, ["k1", "k2"])
 
@@ -229,7 +236,8 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
             for batch in batches:
                 out: list[tuple] = []
                 held = 0
-                for k1, k2, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+                # doc_id is taken along so that the final join can reuse this exchange of the texts.
+                for text, k1, k2, found in zip(utf8(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                     for r in found:
                         if r["wide"] is not wide:
                             continue
@@ -251,7 +259,7 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
             names = ["k1", "k2", "at", "key"] if wide else ["k1", "k2", "bucket", "first", "before", "span"]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "span" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
-        return cut.select("k1", "k2", "text", "runs").mapInArrow(run, "k1 bigint, k2 bigint, at bigint, key bigint" if wide else "k1 bigint, k2 bigint, bucket bigint, first bigint, before bigint, span binary")
+        return cut.select("doc_id", "text", "k1", "k2", "runs").mapInArrow(run, "k1 bigint, k2 bigint, at bigint, key bigint" if wide else "k1 bigint, k2 bigint, bucket bigint, first bigint, before bigint, span binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).to_pydict() if (batches := [b for b in batches if b.num_rows]) else None
@@ -267,11 +275,11 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["k1", "k2", "a", "b"])
 
     partial = cut_runs(False).repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(compare, INTERVAL)
-    found = whole.unionByName(partial)
+    found = whole.unionByName(partial.select("k1", "k2", F.struct("a", "b").alias("range")))
     if not needed.where("wide").isEmpty():
         windows = materialize(cut_runs(True), "windows")
         twice = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        found = found.unionByName(windows.join(twice, "key", "left_semi").select("k1", "k2", F.col("at").alias("a"), (F.col("at") + length).alias("b")))
+        found = found.unionByName(windows.join(twice, "key", "left_semi").select("k1", "k2", F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")).alias("range")))
     return found
 
 
@@ -303,7 +311,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     each other's repeats.  Matches are of bytes and never cross texts.
     """
     rows = _keyed(docs, id_col, text_col)
-    found = repeated_intervals(rows, length, gram, bucket_runs).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("found"))
+    found = repeated_intervals(rows, length, gram, bucket_runs).groupBy("k1", "k2").agg(F.collect_list("range").alias("found"))
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -325,7 +333,7 @@ def strip_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     remains goes as a whole; empty and null texts stay as they were.
     """
     keys = {"_key1": F.xxhash64(F.col(id_col)), "_key2": F.xxhash64(F.col(text_col), F.lit(1))}
-    found = repeated_intervals(_keyed(docs, id_col, text_col), length).groupBy(F.col("k1").alias("_key1"), F.col("k2").alias("_key2")).agg(F.collect_list(F.struct("a", "b")).alias("_found"))
+    found = repeated_intervals(_keyed(docs, id_col, text_col), length).groupBy(F.col("k1").alias("_key1"), F.col("k2").alias("_key2")).agg(F.collect_list("range").alias("_found"))
     joined = docs.withColumns(keys).join(found, ["_key1", "_key2"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "_found")
     at = docs.columns.index(text_col)
 
