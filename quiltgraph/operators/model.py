@@ -49,11 +49,13 @@ class GraphModel:
         return model
 
 
-def _rows(df: DataFrame, fn: Callable[[np.ndarray], np.ndarray], column: str = "features") -> DataFrame:
+def _rows(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], column: str = "features") -> DataFrame:
+    """(node_id, features) with features = fn(features, ids), batch by batch."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({"node_id": pdf["node_id"], "features": list(fn(np.stack(pdf[column].to_numpy()).astype(float)))})
+                yield pd.DataFrame({"node_id": pdf["node_id"], "features": list(fn(np.stack(pdf[column].to_numpy()).astype(float), pdf["node_id"].to_numpy()))})
 
     return df.select("node_id", column).mapInPandas(run, "node_id bigint, features array<double>")
 
@@ -63,12 +65,23 @@ def layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
     return (x - mean) / np.sqrt(((x - mean) ** 2).mean(1, keepdims=True) + eps)
 
 
+def uniform(ids: np.ndarray, width: int, epoch: int, layer: int) -> np.ndarray:
+    """A number from 0 to 1 for each id and feature, the same however rows are batched."""
+    x = np.arange(width, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03)
+    x += np.uint64((epoch << 20 | layer) + 1) * np.uint64(0x8CB92BA72F3D8DD7)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return (x ^ x >> np.uint64(31)) / 2.0**64
+
+
 def forward(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, *, epoch: int | None = None) -> DataFrame:
     """(node_id, features): logits.  One edge table for all layers, or one for each.
 
     Targets that a layer doesn't reach keep their self part; a residual whose
     row is missing counts as zero.  Dropout is on only if an epoch is given,
-    and is seeded by it and the batch's ids.
+    and is seeded by it, the layer and the node's id.  Each hidden layer is
+    read up to three times by the next, so it is written once to the shared
+    folder: the work grows with the number of layers, not as its power.
     """
     graphs = edges if isinstance(edges, list) else [edges] * len(model.layers)
     if len(graphs) != len(model.layers):
@@ -82,14 +95,14 @@ def forward(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFr
                 both = linalg.to_long(out).unionByName(linalg.to_long(before))
                 out = linalg.to_arrays(both.groupBy("node_id", "f").agg(F.sum("value").alias("value")), wn.shape[1])
 
-            def finish(x: np.ndarray, i: int = i) -> np.ndarray:
+            def finish(x: np.ndarray, ids: np.ndarray, i: int = i) -> np.ndarray:
                 x = act(x)
                 x = layer_norm(x) if model.layer_norm else x
                 if epoch is not None and drop:
-                    x = x * (np.random.default_rng((epoch, i, len(x))).random(x.shape) >= drop) / (1 - drop)
+                    x = x * (uniform(ids, x.shape[1], epoch, i) >= drop) / (1 - drop)
                 return x
 
-            out = _rows(out, finish)
+            out = materialize(_rows(out, finish), "layer")
         h = out
     return h
 
@@ -131,7 +144,7 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
     for i, ((wn, ws), graph) in enumerate(zip(model.layers, graphs, strict=True)):
         out = linalg.sage_conv(graph, xs[-1], wn, ws)
         if i < len(model.layers) - 1:
-            out = _rows(out, ACTIVATIONS[model.activation])
+            out = _rows(out, lambda x, _: ACTIVATIONS[model.activation](x))
         xs.append(materialize(out, "layer"))
     own = xs[-1].join(train.select("node_id", "label"), "node_id")
     n = own.count()

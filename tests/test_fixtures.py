@@ -222,6 +222,14 @@ def test_model_options_and_checkpoint(spark, edges, tmp_path):
     assert rows(model.forward(again, edges, nodes)) == rows(model.forward(net, edges, nodes))
 
 
+def test_dropout_does_not_depend_on_batches():
+    ids = np.arange(4000)
+    whole = model.uniform(ids, 8, 3, 1)
+    assert np.array_equal(whole[100:], model.uniform(ids[100:], 8, 3, 1))
+    assert abs((whole < 0.3).mean() - 0.3) < 0.02
+    assert not np.array_equal(whole, model.uniform(ids, 8, 4, 1))
+
+
 def test_adam_and_plateau():
     net = model.GraphModel([(np.ones((1, 1)), np.ones((1, 1)))])
     adam = model.Adam(0.1)
