@@ -43,6 +43,9 @@ BLOCK = 1 << 20
 #: Runs that fill a bucket, and the sample from which splitters are taken.
 RUNS_PER_BUCKET, SPLITTER_SAMPLE = 20_000, 20_000
 
+#: Joins broadcast keys with more rows than HOT_ROWS and than a HOT_KEYS-th part of all; see _join_counted.
+HOT_ROWS, HOT_KEYS = 500, 10_000
+
 _RNG = np.random.default_rng(0x5EED)
 #: Random value of each byte, and an odd base and its inverse, modulo 2**64.
 _VALUE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -200,31 +203,40 @@ def _splitters(needed: DataFrame, n_needed: int, n: int) -> list[tuple[int, int]
     return sorted({sample[len(sample) * i // n] for i in range(1, n)}) if sample else []
 
 
+def _join_counted(rows: DataFrame, counted: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
+    """Inner join with counted (keys, n), n being how many of the n_rows rows have a key.
+
+    Frequent keys, HOT_KEYS at most, are broadcast, so their rows stay in the
+    tasks that read them; the rows of all other keys are shuffled, HOT_ROWS or
+    a HOT_KEYS-th part of all rows at most for each key.
+    """
+    most = max(HOT_ROWS, n_rows // HOT_KEYS)
+    hot = F.broadcast(counted.where(F.col("n") > most))
+    others = rows.join(hot, keys, "left_anti").join(counted.where(F.col("n") <= most), keys)
+    return rows.join(hot, keys).unionByName(others)
+
+
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows with two long keys that together name id and text."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(F.col(id_col)).alias("k1"), F.xxhash64(F.col(text_col), F.lit(1)).alias("k2"))
 
 
 def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, bucket_runs: int = BUCKET_RUNS) -> DataFrame:
-    """(k1, k2, range): byte ranges (a, b) covered by repeated windows, which may overlap, for rows (doc_id, text, k1, k2).
-
-    Rows whose range is null name no text.
-    """
+    """(k1, k2, range): byte ranges (a, b) covered by repeated windows, which may overlap, for rows (doc_id, text, k1, k2)."""
     spark = rows.sparkSession
     runs = materialize(_find_runs(rows, length, gram), "runs")
     spans = materialize(
         runs.groupBy("gram", "span").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("k1", "k2", "anchor", "first", "last", "lead")]), "spans"
     )
     # 2: the same run elsewhere.
-    # An outer join gives a row for each run however many repeat; those that don't are summed up under key 0 before the shuffle.
-    again = spans.where("n > 1").select("gram", "span", F.lit(True).alias("again"))
-    hit = F.coalesce("again", F.lit(False))
-    key = lambda k: F.when(hit, F.col(k)).otherwise(F.lit(0)).alias(k)
-    whole = runs.join(again, ["gram", "span"], "left").select(key("k1"), key("k2"), F.when(hit, F.struct(F.col("first").alias("a"), (F.col("last") + length).alias("b"))).alias("range"))
+    n_runs = runs.count()
+    again = spans.where("n > 1").select("gram", "span", "n")
+    whole = _join_counted(runs.select("k1", "k2", "first", "last", "gram", "span"), again, ["gram", "span"], n_runs).select("k1", "k2", F.struct(F.col("first").alias("a"), (F.col("last") + length).alias("b")).alias("range"))
 
     # 3 and 4: one run of each content, for anchors with several contents.
-    several = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("n_runs")).where("n_runs > 1")
-    needed = materialize(spans.join(several, "gram").select("k1", "k2", "anchor", "first", "last", "lead", "gram", "span", (F.col("n_runs") > bucket_runs).alias("wide")), "needed")
+    several = spans.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    one_each = spans.select("k1", "k2", "anchor", "first", "last", "lead", "gram", "span")
+    needed = materialize(_join_counted(one_each, several, ["gram"], n_runs).withColumn("wide", F.col("n") > bucket_runs).drop("n"), "needed")
     n_needed = needed.count()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_needed // RUNS_PER_BUCKET))
     splitters = spark.sparkContext.broadcast(_splitters(needed.where("not wide"), n_needed, buckets))
@@ -244,8 +256,8 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
                         span = text[r["first"] : r["last"] + length]
                         if wide:
                             place = np.arange(r["anchor"] - r["first"], r["anchor"] - r["last"] - 1, -1).astype(np.uint64)
-                            keys = _window_hashes(span, length) + (place + np.uint64(r["gram"] & (1 << 64) - 1)) * np.uint64(_BASE)
-                            out += [(k1, k2, r["first"] + i, key) for i, key in enumerate(keys.view(np.int64).tolist())]
+                            keys = _window_hashes(span, length) + place * np.uint64(_BASE)
+                            out += [(k1, k2, r["first"] + i, r["gram"], key) for i, key in enumerate(keys.view(np.int64).tolist())]
                         else:
                             out.append((k1, k2, bisect.bisect_right(splitters.value, (r["lead"], r["gram"])), r["first"], r["anchor"] - r["first"], span))
                         held += len(span)
@@ -256,10 +268,10 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
                     yield pack(out)
 
         def pack(out: list[tuple]) -> pa.RecordBatch:
-            names = ["k1", "k2", "at", "key"] if wide else ["k1", "k2", "bucket", "first", "before", "span"]
+            names = ["k1", "k2", "at", "gram", "key"] if wide else ["k1", "k2", "bucket", "first", "before", "span"]
             return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "span" else pa.int64()) for n, c in zip(names, zip(*out, strict=True), strict=True)], names=names)
 
-        return cut.select("doc_id", "text", "k1", "k2", "runs").mapInArrow(run, "k1 bigint, k2 bigint, at bigint, key bigint" if wide else "k1 bigint, k2 bigint, bucket bigint, first bigint, before bigint, span binary")
+        return cut.select("doc_id", "text", "k1", "k2", "runs").mapInArrow(run, "k1 bigint, k2 bigint, at bigint, gram bigint, key bigint" if wide else "k1 bigint, k2 bigint, bucket bigint, first bigint, before bigint, span binary")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches).to_pydict() if (batches := [b for b in batches if b.num_rows]) else None
@@ -278,8 +290,8 @@ def repeated_intervals(rows: DataFrame, length: int = LENGTH, gram: int = GRAM,
     found = whole.unionByName(partial.select("k1", "k2", F.struct("a", "b").alias("range")))
     if not needed.where("wide").isEmpty():
         windows = materialize(cut_runs(True), "windows")
-        twice = windows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        found = found.unionByName(windows.join(twice, "key", "left_semi").select("k1", "k2", F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")).alias("range")))
+        twice = windows.groupBy("gram", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        found = found.unionByName(_join_counted(windows, twice, ["gram", "key"], windows.count()).select("k1", "k2", F.struct(F.col("at").alias("a"), (F.col("at") + length).alias("b")).alias("range")))
     return found
 
 
