@@ -7,7 +7,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -15,14 +16,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import WORD_BYTES, filter_batches, map_batches, utf8
+from quiltgraph.llm.common import WORD_BYTES, utf8
 
 #: Words of a window.
 WINDOW_WORDS = 10
-#: Item texts of one automaton.  A larger benchmark is scanned by several
-#: automata, one after the other, and their hits are put together: exact at
-#: any size, with bounded memory in driver and executors.
-AUTOMATON_BYTES = 32 << 20
+#: Item texts of one automaton: a node for each digit of ten words at most,
+#: about 240 MB.  A larger benchmark is scanned by several automata, one after
+#: the other, and their hits are put together: exact at any size.
+AUTOMATON_BYTES = 1 << 20
+#: Windows of an item that go into one automaton; longer items are divided.
+ITEM_WINDOWS = 100_000
+#: A word's number is written in DIGITS digits of this base, the first from an
+#: alphabet of its own so that only whole words match.  The automaton searches
+#: a node's letters one by one, so a letter for each word would be slow.
+BASE, DIGITS = 127, 3
+_UNKNOWN = "\0" * DIGITS
+#: Texts that a task holds while several automata are built in turn for them.
+HELD_BYTES = 64 << 20
 
 SPANS = "array<struct<start:bigint,end:bigint>>"
 SCHEMA = f"doc_id {{id}}, n_words bigint, hits {SPANS}, item_ids array<string>, spans {SPANS}"
@@ -33,51 +43,65 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(WORD_BYTES).split()
 
 
-def windows_of(words: list[bytes], size: int) -> list[bytes]:
+def windows_of(words: list, size: int) -> list[tuple]:
     """Each run of ``size`` words; all words if there are fewer; nothing if there are none."""
-    return [b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+    return [tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))] if words else []
+
+
+def _code(number: int) -> str:
+    """A word's number as digits, the highest first."""
+    digits = [number // BASE**i % BASE for i in reversed(range(DIGITS))]
+    return "".join(chr(1 + d if i == 0 else 1 + BASE + d) for i, d in enumerate(digits))
 
 
 @functools.lru_cache(maxsize=1)
-def _automaton(items: tuple[tuple[str, bytes], ...], size: int) -> ahocorasick.Automaton | None:
-    """Windows, fenced by spaces so that only whole words match, to (words, item ids).
+def _automaton(items: tuple[tuple[str, bytes], ...], size: int) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
+    """The code of each word, and an automaton of windows in these codes, to (words, item ids).
 
-    Texts go in as Latin-1, a character for each byte.
+    AUTOMATON_BYTES and ITEM_WINDOWS leave at most 2**20 different words.
     """
-    found: dict[bytes, tuple[int, set[str]]] = {}
-    for item, text in items:
-        for window in windows_of(words_of(text), size):
-            found.setdefault(window, (window.count(b" ") + 1, set()))[1].add(item)
-    if not found:
-        return None
+    codes: dict[bytes, str] = {}
     automaton = ahocorasick.Automaton()
-    for window, (n, ids) in found.items():
-        automaton.add_word(f" {window.decode('latin-1')} ", (n, tuple(ids)))
+    for item, text in items:
+        words = words_of(text)
+        for word in words:
+            if word not in codes:
+                codes[word] = _code(len(codes))
+        for window in windows_of([codes[w] for w in words], size):
+            key = "".join(window)
+            _, ids = automaton.get(key, None) or (0, None)
+            if ids is None:
+                automaton.add_word(key, (len(window), [item]))
+            elif ids[-1] != item:
+                ids.append(item)
+    if not codes:
+        return codes, None
     automaton.make_automaton()
-    return automaton
+    return codes, automaton
 
 
-def scan(text: bytes, automaton: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str]]:
+def scan(text: bytes, codes: dict[bytes, str], automaton: ahocorasick.Automaton | None) -> tuple[int, list[tuple[int, int]], set[str]]:
     """Number of words, runs of hit words as [first, last + 1), items with occurring windows."""
     words = words_of(text)
     if not words or automaton is None:
         return len(words), [], set()
     items: set[str] = set()
     found = []
-    for end, (n, ids) in automaton.iter(f" {b' '.join(words).decode('latin-1')} "):
-        found.append((end, n))
+    for end, (n, ids) in automaton.iter("".join(map(codes.get, words, repeat(_UNKNOWN)))):
+        last = end // DIGITS
+        found.append((last - n + 1, last + 1))
         items.update(ids)
-    if not found:
-        return len(words), [], items
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    last = np.searchsorted(ends, [e for e, _ in found])
-    runs: list[list[int]] = []
-    for first, end in sorted((int(i) - n + 1, int(i) + 1) for i, (_, n) in zip(last, found, strict=True)):
-        if runs and first <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
+    return len(words), _merged(found), items
+
+
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
         else:
-            runs.append([first, end])
-    return len(words), [(a, b) for a, b in runs], items
+            out.append((a, b))
+    return out
 
 
 def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -88,17 +112,66 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def _chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[tuple[str, bytes], ...]]:
+def _scan_batches(df: DataFrame, text_at: int, schema, chunks: list, window: int, rows: Callable[[pa.RecordBatch, list[bytes], list], pa.RecordBatch]) -> DataFrame:
+    """mapInArrow with rows(batch, texts, scans), where scans has scan()'s result for each text and all chunks.
+
+    With several chunks a task holds HELD_BYTES of texts, so that each
+    automaton is built once for all of them.
+    """
+
+    def scanned(held: list[tuple[pa.RecordBatch, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+        texts = [t for _, some in held for t in some]
+        found: list[tuple[int, list[tuple[int, int]], set[str]]] = []
+        for k, chunk in enumerate(chunks):
+            codes, automaton = _automaton(chunk.value, window)
+            for i, text in enumerate(texts):
+                n, runs, items = scan(text, codes, automaton)
+                if k == 0:
+                    found.append((n, runs, items))
+                elif items:
+                    found[i] = (n, _merged(found[i][1] + runs), found[i][2] | items)
+        found = found or [(len(words_of(t)), [], set()) for t in texts]
+        at = 0
+        for batch, some in held:
+            yield rows(batch, some, found[at : at + len(some)])
+            at += len(some)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.RecordBatch, list[bytes]]] = []
+        size = 0
+        for batch in batches:
+            held.append((batch, utf8(batch.column(text_at))))
+            size += sum(map(len, held[-1][1]))
+            if len(chunks) < 2 or size > HELD_BYTES:
+                yield from scanned(held)
+                held, size = [], 0
+        if held:
+            yield from scanned(held)
+
+    return df.mapInArrow(run, schema)
+
+
+def _pieces(text: bytes, size: int) -> Iterator[bytes]:
+    """The text, or if it has many windows, pieces that have them all between them."""
+    words = words_of(text)
+    if len(words) < ITEM_WINDOWS + size:
+        yield text
+        return
+    for i in range(0, len(words) - size + 1, ITEM_WINDOWS):
+        yield b" ".join(words[i : i + ITEM_WINDOWS + size - 1])
+
+
+def _chunks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[tuple[tuple[str, bytes], ...]]:
     """The benchmark's items in chunks of at most AUTOMATON_BYTES (or one longer item)."""
-    chunk, size = [], 0
+    chunk, held = [], 0
     rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     for item, text in rows.toLocalIterator(prefetchPartitions=False):
-        data = text.encode()
-        if chunk and size + len(data) > AUTOMATON_BYTES:
-            yield tuple(chunk)
-            chunk, size = [], 0
-        chunk.append((item, data))
-        size += len(data)
+        for piece in _pieces(text.encode(), size):
+            if chunk and held + len(piece) > AUTOMATON_BYTES:
+                yield tuple(chunk)
+                chunk, held = [], 0
+            chunk.append((item, piece))
+            held += len(piece)
     if chunk:
         yield tuple(chunk)
 
@@ -115,40 +188,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     one task that reads the document, so nothing is shuffled.
     """
     spark = docs.sparkSession
-    chunks = [spark.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col)]
+    chunks = [spark.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col, window)]
+    pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = utf8(batch.column(1))
-        found: list = [(0, [], set())] * len(texts)
-        for k, chunk in enumerate(chunks or [None]):
-            automaton = _automaton(chunk.value, window) if chunk else None
-            for i, text in enumerate(texts):
-                n, runs, items = scan(text, automaton)
-                found[i] = (n, runs, items) if k == 0 else (n, _merged(found[i][1] + runs), found[i][2] | items)
-        pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        as_pairs = lambda x: [[{"start": a, "end": b} for a, b in r] for r in x]
+    def as_pairs(spans: Iterator[list[tuple[int, int]]]) -> pa.Array:
+        return pa.array([[{"start": a, "end": b} for a, b in some] for some in spans], pairs)
+
+    def rows(batch: pa.RecordBatch, texts: list[bytes], found: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array([n for n, _, _ in found], pa.int64()),
-                pa.array(as_pairs(r for _, r, _ in found), pairs),
-                pa.array([sorted(i) for _, _, i in found], pa.list_(pa.string())),
-                pa.array(as_pairs(byte_spans(t, r) for t, (_, r, _) in zip(texts, found, strict=True)), pairs),
+                as_pairs(runs for _, runs, _ in found),
+                pa.array([sorted(items) for _, _, items in found], pa.list_(pa.string())),
+                as_pairs(byte_spans(t, runs) for t, (_, runs, _) in zip(texts, found, strict=True)),
             ],
             names=["doc_id", "n_words", "hits", "item_ids", "spans"],
         )
 
-    return map_batches(docs, [F.col(id_col), F.col(text_col)], SCHEMA.format(id=docs.schema[id_col].dataType.simpleString()), rows)
-
-
-def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(runs):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
+    return _scan_batches(docs.select(F.col(id_col), F.col(text_col)), 1, SCHEMA.format(id=docs.schema[id_col].dataType.simpleString()), chunks, window, rows)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
@@ -156,16 +214,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
 
     Null and empty texts stay.
     """
-    chunks = [docs.sparkSession.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col)]
+    chunks = [docs.sparkSession.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col, window)]
 
-    def keep(texts: list[bytes]) -> list[bool]:
-        clean = [True] * len(texts)
-        for chunk in chunks:
-            automaton = _automaton(chunk.value, window)
-            clean = [ok and not scan(t, automaton)[1] for ok, t in zip(clean, texts, strict=True)]
-        return clean
+    def clean(batch: pa.RecordBatch, texts: list[bytes], found: list) -> pa.RecordBatch:
+        return batch.filter(pa.array([not runs for _, runs, _ in found], pa.bool_()))
 
-    return filter_batches(docs, text_col, keep)
+    return _scan_batches(docs, docs.columns.index(text_col), docs.schema, chunks, window, clean)
 
 
 def digest(found: DataFrame) -> DataFrame:

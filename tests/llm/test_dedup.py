@@ -224,7 +224,7 @@ def test_pipeline_against_brute_force(spark, small):
             left[doc] = text
     items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     known = {w for t in items for w in decontaminate.windows_of(decontaminate.words_of(t.encode()), 10)}
-    leaks = {d for d, t in left.items() if (w := b" " + b" ".join(decontaminate.words_of(t.encode())) + b" ") and any(b" " + k + b" " in w for k in known)}
+    leaks = {d for d, t in left.items() if (w := b" " + b" ".join(decontaminate.words_of(t.encode())) + b" ") and any(b" " + b" ".join(k) + b" " in w for k in known)}
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(queries.tokenizer_path())

@@ -61,6 +61,7 @@ def test_contamination_of_odd_rows(spark, odd, odd_rows, none, monkeypatch):
     want = sorted(brute_contamination([(r[0], r[1]) for r in odd_rows], items), key=str)
     assert rows(decontaminate.digest(decontaminate.find_contamination(odd, bench)), *REPORT) == want
     monkeypatch.setattr(decontaminate, "AUTOMATON_BYTES", 10)  # several automata
+    monkeypatch.setattr(decontaminate, "ITEM_WINDOWS", 1)  # and divided items
     assert rows(decontaminate.digest(decontaminate.find_contamination(odd, bench)), *REPORT) == want
     assert decontaminate.find_contamination(none, bench).count() == 0
     assert decontaminate.digest(decontaminate.find_contamination(odd, bench.limit(0))).where("contaminated").count() == 0
