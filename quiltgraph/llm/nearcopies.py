@@ -1,0 +1,194 @@
+"""Near copies by the likeness of their five-word shingles.
+
+Candidates share a band of MinHash values; a link is a pair whose exact
+Jaccard index of shingle sets (64-bit hashes) reaches the threshold."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import repeat
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quiltgraph.llm.common import LOWER, utf8
+from quiltgraph.operators.components import connected_components
+from quiltgraph.storage import materialize
+
+SHINGLE_WORDS, SEED = 5, 42
+LEAST_ALIKE = Fraction(4, 5)
+#: A pair at 0.8 misses all bands with chance (1 - 0.8**5)**25, 5 in 100,000; likelier pairs less.
+BANDS, BAND_ROWS = 25, 5
+#: Members compared with one copy of their bucket's leader, and shingles of a block of a bucket compared pair by pair.
+CHUNK_ROWS, BLOCK_SHINGLES = 256, 500_000
+_RNG = np.random.default_rng(SEED)
+_FLIPS = _RNG.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64)
+_FACTORS = _RNG.integers(0, 1 << 64, (BANDS * BAND_ROWS, 1), np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Distinct hashes of the text's shingles, sorted; a shorter text is one shingle, one without words none."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.empty(0, np.uint64)
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS)))) if len(words) >= SHINGLE_WORDS else iter([b" ".join(words)])
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """One key for each band; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 4096):
+        least = np.minimum(least, ((hashes[at : at + 4096] ^ _FLIPS) * _FACTORS).min(axis=1))
+    return [xxhash.xxh64_intdigest(row.tobytes(), i) for i, row in enumerate(least.reshape(BANDS, BAND_ROWS))]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    same = len(np.intersect1d(a, b, assume_unique=True))
+    return same * LEAST_ALIKE.denominator >= (len(a) + len(b) - same) * LEAST_ALIKE.numerator
+
+
+def _lists(rows: list, kind: pa.DataType) -> pa.Array:
+    """Rows of unsigned numbers as signed lists; None is null."""
+    flat = np.concatenate([np.empty(0, np.uint64), *(np.array(r, np.uint64) for r in rows if r is not None)]).view(np.int64)
+    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind.value_type), mask=pa.array([r is None for r in rows]))
+
+
+def _new_sets(rows: DataFrame, kept: list[str], schema: str, value) -> DataFrame:
+    """The kept columns of (text, *kept), the node (128-bit hash of the shingle set) and, at a node's first row in a task, value(set)."""
+    kind = pa.list_(pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for whole in batches:
+            for k in range(0, whole.num_rows, 500):
+                batch = whole.slice(k, 500)
+                nodes, values = [], []
+                for text in utf8(batch.column(0)):
+                    found = shingle_set(text)
+                    nodes.append(node := xxhash.xxh3_128_digest(found.tobytes()))
+                    values.append(None if node in seen else value(found))
+                    seen.add(node)
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(nodes, pa.binary()), _lists(values, kind)], names=[*kept, "node", "value"])
+
+    return rows.mapInArrow(run, f"{schema}node binary, value array<bigint>")
+
+
+def _grouped(rows: DataFrame, keys: list[str], order: list[str], links) -> DataFrame:
+    """(u, v) that links(rows of one group, in order) gives; only one group is held at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[bytes, bytes]] = []
+
+        def groups():
+            now, held = None, []
+            for batch in batches:
+                names = batch.schema.names
+                sets = batch.column(names.index("set"))
+                flat, ends = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+                rest = batch.drop_columns(["set"]).to_pylist()
+                for i, row in enumerate(rest):
+                    key = tuple(row[k] for k in keys)
+                    if key != now:
+                        if held:
+                            yield held
+                        now, held = key, []
+                    held.append(row | {"set": flat[ends[i] : ends[i + 1]]})
+            if held:
+                yield held
+
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["u", "v"])
+        for group in groups():
+            out += links(group)
+            if len(out) > 10_000:
+                yield pack()
+                out.clear()
+        yield pack()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, "u binary, v binary")
+
+
+def _with_leader(group: list[dict]) -> list[tuple[bytes, bytes]]:
+    lead, *others = group
+    return [(r["v"], r["u"]) for r in others if alike(lead["set"], r["set"])]
+
+
+def _across(group: list[dict]) -> list[tuple[bytes, bytes]]:
+    """Links that connect all rows of a pair of blocks which are alike, but for those connected already."""
+    _, label = np.unique([r["component"] for r in group], return_inverse=True)
+    sizes, block = np.array([len(r["set"]) for r in group]), np.array([r["block"] for r in group])
+    single = block.min() == block.max() and group[0]["i"] == group[0]["j"]
+    num, den = LEAST_ALIKE.numerator, LEAST_ALIKE.denominator
+    out = []
+    for a, row in enumerate(group):
+        fits = (label != label[a]) & (np.minimum(sizes, sizes[a]) * den >= np.maximum(sizes, sizes[a]) * num)
+        fits[:a + 1] = False
+        for b in np.flatnonzero(fits if single else fits & (block != block[a])):
+            if label[b] != label[a] and alike(row["set"], group[b]["set"]):
+                out.append((group[b]["node"], row["node"]))
+                label[label == label[b]] = label[a]
+    return out
+
+
+def link_nodes(nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes that connect all which share a band and are alike.
+
+    nodes: (node, bands, id, print), the last two of one of its rows; rows:
+    (text, id, print).  First each member of a bucket is compared with the
+    bucket's leader, the same for most of a group's buckets.  Buckets that are
+    then not in one component (those with equal members once) are compared
+    pair by pair, in blocks.
+    """
+    keyed = nodes.select("node", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("key")
+    full = materialize(keyed.join(materialize(shared, "shared"), "key"), "full")
+    order = F.struct(F.xxhash64("node"), F.col("node"))
+    members = full.join(full.groupBy("key").agg(F.min(order)["node"].alias("u")), "key")
+    wanted = nodes.join(full.select("node").distinct(), "node", "left_semi").select(F.col("id").alias("_id"), F.col("print").alias("_print"))
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("_id")) & (F.col("print") == F.col("_print")), "left_semi").select("text")
+    sets = _new_sets(texts, [], "", lambda x: x).where("value is not null")
+    sets = materialize(sets.groupBy("node").agg(F.first("value").alias("set")), "sets")
+    members = materialize(members.join(sets.select("node", F.size("set").alias("n")), "node"), "members")
+
+    pairs = materialize(members.where("node <> u").select("u", F.col("node").alias("v")).distinct(), "pairs")
+    chunks = pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks"))
+    others = pairs.join(chunks, "u").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")).join(sets.withColumnRenamed("node", "v"), "v")
+    leads = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).join(sets.withColumnRenamed("node", "u"), "u")
+    both = leads.select("u", "chunk", F.lit(0).alias("rank"), F.lit(None).cast("binary").alias("v"), "set").union(others.select("u", "chunk", F.lit(1), "v", "set"))
+    near = materialize(_grouped(both, ["u", "chunk"], ["rank"], _with_leader), "near")
+
+    placed = members.select("key", "node", "n").join(connected_components(near).distinct(), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialize(placed, "placed")
+    hashed = F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("all")
+    blocks = F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    open_ = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count(F.lit(1)).alias("rows"), hashed, blocks).where("least <> most")
+    open_ = materialize(open_.groupBy("rows", "all").agg(F.min("key").alias("key"), F.min("blocks").alias("blocks")).select("key", "blocks"), "open")
+    own = placed.join(open_, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
+    return near.union(_grouped(own.join(sets, "node"), ["key", "i", "j"], ["block"], _across))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns as they are, of which one stays for each component of near copies.
+
+    It is the row with the smallest id, null last, then the smallest node; of
+    rows that agree in id and node one stays.  Texts without words are alike.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("print"))
+    found = materialize(_new_sets(rows, ["id", "print"], f"id {kind}, print bigint, ", band_keys), "sketches")
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"), F.col("print"))).alias("least")
+    nodes = materialize(found.groupBy("node").agg(F.first("value", ignorenulls=True).alias("bands"), least).select("node", "bands", "least", "least.id", "least.print"), "nodes")
+    component = connected_components(link_nodes(nodes, rows)).distinct()
+    placed = nodes.select("node", "least").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kept = placed.groupBy("component").agg(F.min("least").alias("least")).select(F.col("least.id").alias("_id"), F.col("least.print").alias("_print"))
+    marked = docs.withColumn("_near_print", F.xxhash64(text_col))
+    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_near_print") == F.col("_print"))
+    return marked.join(kept, same, "left_semi").dropDuplicates([id_col, "_near_print"]).select(*docs.columns)

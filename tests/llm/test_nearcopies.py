@@ -1,0 +1,82 @@
+"""Near copies: against all pairs compared, on planted copies."""
+
+import random
+
+import pytest
+
+from quiltgraph.llm import nearcopies
+
+
+def plain_kept(rows):
+    """Indices of components of five-word Jaccard of 0.8 or more, each with its least (id, row)."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n, m = len(a), len(sets[j])
+            if 5 * min(n, m) >= 4 * max(n, m) and (not n or 9 * len(a & sets[j]) >= 4 * (n + m)):  # as the union has n + m - both
+                parent[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return groups.values()
+
+
+def planted():
+    """Bases with copies of one to several changed words, chains, exact copies, short and empty texts."""
+    rng = random.Random(4)
+    out = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        out.append(" ".join(base))
+        for _ in range(10):
+            copy = list(rng.choice([base, out[-1].split()]))
+            for at in rng.sample(range(len(copy)), rng.randint(1, max(1, len(base) // 35))):
+                copy[at] = f"x{rng.randrange(5000)}"
+            out.append(" ".join(copy))
+    return [*out, out[0], out[0].upper(), "one", "One", "two words", "", None, " \n"]
+
+
+@pytest.mark.parametrize("shingles", [500_000, 300])
+def test_near_copies_match_all_pairs(spark, monkeypatch, shingles):
+    monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", shingles)
+    monkeypatch.setattr(nearcopies, "CHUNK_ROWS", 3)
+    rows = list(enumerate(planted()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = [min(g) for g in plain_kept(rows)]
+    assert len(want) < 60
+    assert sorted(r["doc_id"] for r in nearcopies.keep_one(docs).collect()) == sorted(want)
+
+
+def test_pipeline_stage_drops_planted_near_copies(spark, small):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"w{i * 37 % 1009}" for i in range(200)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:50], "changed", *words[51:120], "again", *words[121:]])), (3, " ".join(words[::-1]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in dict(pipeline.STAGES)["simhash"](spark, docs, small).collect()) == [1, 3]
+
+
+def test_odd_rows_and_repeated_ids(spark, odd, odd_rows, none):
+    kept = nearcopies.keep_one(odd)
+    assert kept.columns == odd.columns
+    rows = [(r[0], r[1]) for r in odd_rows]
+    want = [min((rows[i][0] for i in g if rows[i][0] is not None), default=None) for g in plain_kept(rows)]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, want))
+    assert nearcopies.keep_one(none).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in nearcopies.keep_one(twice).collect()) == [(1, "a b c d e f g"), (1, "h i j k l m n")]
+
+
+def test_near_copies_of_real_rows(spark, small, texts):
+    rows = list(texts.items())
+    got = {r["doc_id"] for r in nearcopies.keep_one(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert got == {min(rows[i][0] for i in g) for g in plain_kept(rows)}
