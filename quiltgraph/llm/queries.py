@@ -50,7 +50,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.digest(suffixes.remove_repeats(read_table(spark, sf_dir, "documents")))
+    return suffixes.digest(suffixes.remove_repeats(read_table(spark, sf_dir, "documents"), report=suffixes.WORDS_50))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,27 +99,44 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
-def plain_removal(texts, length=400):
-    """Window by window, with all windows of all texts counted."""
-    data = [(t or "").encode() for t in texts]
-    count = Counter(hash(d[i : i + length]) for d in data for i in range(len(d) - length + 1))
+def plain_ranges(data, law):
+    """Maximal byte ranges of each text that repeated windows cover, with all windows of all texts counted."""
+    places = [[m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", d)] if law.words else [(i, i + 1) for i in range(len(d))] for d in data]
+    # Words with one space between them, so that a window of words is a string too.
+    joined = [b" ".join(d[a:b] for a, b in p) if law.words else d for d, p in zip(data, places, strict=True)]
+    ends = [list(np.cumsum([b - a + 1 for a, b in p]) - 1) if law.words else list(range(1, len(d) + 1)) for d, p in zip(data, places, strict=True)]
+    key = lambda k, i: joined[k][ends[k][i] - (places[k][i][1] - places[k][i][0]) : ends[k][i + law.length - 1]]
+    count = Counter(hash(key(k, i)) for k, p in enumerate(places) for i in range(len(p) - law.length + 1))
     out = []
-    for d in data:
-        gone = np.zeros(len(d) + 1, np.int32)
-        for i in range(len(d) - length + 1):
-            if count[hash(d[i : i + length])] > 1:
-                gone[i] += 1
-                gone[i + length] -= 1
-        gone = np.cumsum(gone)[: len(d)] > 0
-        kept = np.frombuffer(d, np.uint8)[~gone].tobytes()
-        spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-        out.append((len(d), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
+    for k, p in enumerate(places):
+        merged = []
+        for i in range(len(p) - law.length + 1):
+            if count[hash(key(k, i))] > 1:
+                a, b = p[i][0], p[i + law.length - 1][1]
+                if merged and a <= merged[-1][1]:
+                    merged[-1][1] = b
+                else:
+                    merged.append([a, b])
+        out.append(merged)
     return out
 
 
+def without(d, ranges):
+    for a, b in reversed(ranges):
+        d = d[:a] + d[b:]
+    return d
+
+
+def plain_removal(texts, law=suffixes.BYTES_400):
+    data = [(t or "").encode() for t in texts]
+    return [(len(d), sum(b - a for a, b in r), len(r), hashlib.sha256(without(d, r)).hexdigest(), len(w)) for d, r, w in zip(data, plain_ranges(data, law), plain_ranges(data, suffixes.WORDS_50), strict=True)]
+
+
 def test_suffixes_match_brute_force(spark, small, texts):
     got = {tuple(r) for r in queries.op9_suffix_dedup(spark, small).collect()}
-    assert got == {(d, *w) for d, w in zip(texts, plain_removal(texts.values()), strict=True)}
+    want = {(d, *w) for d, w in zip(texts, plain_removal(texts.values()), strict=True)}
+    assert got == want
+    assert any(w[2] for w in want) and any(w[5] for w in want)
 
 
 def planted():
@@ -137,33 +154,71 @@ def planted():
         out.append(" ".join(parts))
     base = prose(500)
     out += [base[:k] + word() + base[k + 5 :] for k in range(0, len(base), 60)]
-    return [*out, "ab" * 700, "ab" * 500, "x" * 399, "x" * 400, "x" * 401, (prose(30) + "\n") * 8]
+    return [*out, "ab" * 700, "ab" * 500, "x" * 399, "x" * 400, "x" * 401, (prose(30) + "\n") * 8, "a b " * 60, " ".join(passages[0].split()[:50]).replace(" ", " \t"), "\0" * 500, "a\0" * 300]
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_runs": 3}])
-def test_suffixes_of_planted_texts(spark, odd_rows, options):
+@pytest.mark.parametrize("law", [suffixes.BYTES_400, suffixes.Law(200, 32), suffixes.WORDS_50])
+@pytest.mark.parametrize("bucket_runs", [suffixes.BUCKET_RUNS, 3])
+def test_suffixes_of_planted_texts(spark, odd_rows, bucket_runs, law):
     texts = planted() + [r[1] for r in odd_rows]
     docs = spark.createDataFrame([(i if i % 9 else None, t, "clash") for i, t in enumerate(texts)], "doc_id bigint, text string, k1 string").repartition(5)
-    got = Counter(tuple(r) for r in suffixes.digest(suffixes.remove_repeats(docs, **options)).collect())
-    want = Counter((i if i % 9 else None, *w) for i, w in enumerate(plain_removal(texts)))
+    got = Counter(tuple(r) for r in suffixes.digest(suffixes.remove_repeats(docs, law=law, report=suffixes.WORDS_50, bucket_runs=bucket_runs)).collect())
+    want = Counter((i if i % 9 else None, *w) for i, w in enumerate(plain_removal(texts, law)))
     assert got == want
 
 
 def test_suffixes_with_small_blocks(spark, monkeypatch):
     text = planted()[5] + planted()[7]
-    whole = {tuple(r) for r in suffixes.anchor_runs(text.encode())}
-    monkeypatch.setattr(suffixes, "BLOCK", 300)
-    cut = suffixes.anchor_runs(text.encode())
-    windows = lambda runs: {(a, w) for a, f, e in runs for w in range(f, e + 1)}
-    assert windows(whole) == windows(map(tuple, cut.tolist()))
-
-
-def test_suffixes_of_nothing(spark, none, odd, odd_rows):
+    for law in (suffixes.BYTES_400, suffixes.WORDS_50):
+        windows = lambda: {(a, w) for some in suffixes.anchor_runs(suffixes.tokenize(text.encode(), law)[0], law) for a, f, e, _ in zip(*some, strict=True) for w in range(f, e + 1)}  # noqa: E731, B023
+        monkeypatch.undo()
+        whole = windows()
+        monkeypatch.setattr(suffixes, "BLOCK", 300)
+        assert windows() == whole and whole
+
+
+def test_suffixes_tell_structured_texts_apart(spark):
+    """Two words whose polynomial hashes agree: what is equal is decided by the bytes."""
+    a = b = "a"
+    a, b = "a", "b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    texts = [f"one {a} two", f"three {b} four", f"five {a} six"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    law = suffixes.Law(1500, 64)
+    got = {tuple(r)[:5] for r in suffixes.digest(suffixes.remove_repeats(docs, law=law)).collect()}
+    assert got == {(i, *w[:4]) for i, w in enumerate(plain_removal(texts, law))}
+
+
+def test_suffixes_of_long_and_repeated_rows(spark):
+    """A constant text of 5 MB, and 10,000 equal rows, of equal ids too."""
+    rng = random.Random(3)
+    common = " ".join(f"w{rng.randrange(999)}" for _ in range(120))
+    docs = spark.createDataFrame([(1, "x" * 5_000_000), (2, "yy " * 300_000)], "doc_id bigint, text string").union(spark.range(10_000).selectExpr("if(id < 5000, 3, id) as doc_id", f"'{common}' as text"))
+    got = Counter((r["n_bytes"], r["n_removed"], r["n_spans"], r["n_passages"]) for r in suffixes.digest(suffixes.remove_repeats(docs, report=suffixes.WORDS_50)).collect())
+    assert got == {(5_000_000, 5_000_000, 1, 0): 1, (900_000, 900_000, 1, 1): 1, (len(common), len(common), 1, 1): 10_000}
+
+
+@pytest.mark.parametrize("law", [suffixes.BYTES_400, suffixes.WORDS_50])
+def test_suffixes_of_nothing(spark, none, odd, odd_rows, law):
     assert suffixes.remove_repeats(none).count() == 0
-    kept = suffixes.strip_repeats(odd)
-    assert kept.columns == odd.columns
-    want = [(r, w) for r, w in zip(odd_rows, plain_removal([r[1] for r in odd_rows]), strict=True)]
-    assert kept.count() == sum(w[1] < w[0] or w[0] == 0 for _, w in want)
+    for docs in (odd, odd.withColumnsRenamed({"fp": "_key1", "score": "_found", "n": "k2", "h": "c0"})):
+        kept = suffixes.strip_repeats(docs, law=law)
+        assert kept.columns == docs.columns
+        data = [(r[1] or "").encode() for r in odd_rows]
+        left = [without(d, r).decode(errors="ignore") if r else t[1] for d, r, t in zip(data, plain_ranges(data, law), odd_rows, strict=True)]
+        assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter((o[0], t) for o, t, d in zip(odd_rows, left, data, strict=True) if t == o[1] or t.strip())
+    assert suffixes.strip_repeats(none, law=law).count() == 0
+
+
+def test_suffix_arrays():
+    rng = np.random.default_rng(4)
+    strings = rng.integers(0, 2, (3000, 16)).astype(np.uint8)
+    strings[:900] = strings[0]
+    order, common = suffixes.suffix_array(strings)
+    rows = strings[order].tolist()
+    assert rows == sorted(strings.tolist())
+    assert common.tolist() == [0, *(next((k for k in range(16) if a[k] != b[k]), 16) for a, b in zip(rows, rows[1:], strict=False))]
 
 
 def test_multikey_quicksort():
