@@ -89,15 +89,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _sums(values: np.ndarray) -> np.ndarray:
+    """Prefix sums of values times powers of the base (no more than a block of them)."""
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * _UP[: len(values)], dtype=np.uint64, out=sums[1:])
+    return sums
+
+
 def _hashed_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word, a stretch of words of about a block at a time."""
+    """A hash of each word, a block of text at a time; of a word longer than a block all blocks count."""
     out, first = np.empty(len(starts), np.uint64), 0
     while first < len(starts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + BLOCK, "right")))
-        a, sizes = starts[first], ends[first:last] - starts[first:last]
-        within = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        letters = data[np.repeat(starts[first:last], sizes) + within] if last - first > 1 else data[a : ends[first]]
-        out[first:last] = np.add.reduceat(_VALUE[letters] * _UP[within % len(_UP)], np.cumsum(sizes) - sizes)
+        a = int(starts[first])
+        last = int(np.searchsorted(ends, a + BLOCK, "right"))
+        if last == first:
+            out[first] = sum(int(_sums(_VALUE[data[k : min(k + BLOCK, ends[first])]])[-1]) for k in range(a, int(ends[first]), BLOCK)) % (1 << 64)
+            first += 1
+            continue
+        sums = _sums(_VALUE[data[a : ends[last - 1]]])
+        at = starts[first:last] - a
+        out[first:last] = (sums[ends[first:last] - a] - sums[at]) * _DOWN[at]
         first = last
     return _mixed(out)
 
@@ -114,22 +126,17 @@ def tokenize(text: bytes, law: Law) -> tuple[np.ndarray, np.ndarray | None, np.n
 
 def gram_hashes(tokens: np.ndarray, n: int) -> np.ndarray:
     """A mixed rolling hash of each n tokens (no more than a block of them): it chooses anchors and groups them, but never decides equality."""
-    values = _VALUE[tokens] if tokens.dtype == np.uint8 else tokens
-    sums = np.empty(len(tokens) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(values * _UP[: len(tokens)], dtype=np.uint64, out=sums[1:])
+    sums = _sums(_VALUE[tokens] if tokens.dtype == np.uint8 else tokens)
     return _mixed((sums[n:] - sums[:-n]) * _DOWN[: len(tokens) - n + 1])
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Least of each w consecutive values: one pass from the left and one from the right in blocks of w."""
-    n = len(x)
-    padded = np.full(-(-n // w) * w, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = x
-    rows = padded.reshape(-1, w)
-    left = np.minimum.accumulate(rows, axis=1).ravel()
-    right = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(right[: n - w + 1], left[w - 1 : n])
+    """Least of each w consecutive values: of twice as many in each pass, then of two that overlap."""
+    k = 1
+    while 2 * k <= w:
+        x = np.minimum(x[:-k], x[k:])
+        k *= 2
+    return np.minimum(x[: len(x) - (w - k)], x[w - k :])
 
 
 def anchor_runs(tokens: np.ndarray, law: Law) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
