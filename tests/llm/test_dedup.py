@@ -64,9 +64,6 @@ def test_simhash_of_odd_rows_and_full_buckets(spark, odd, odd_rows, none, full):
     got = simhash.digest(simhash.near_duplicates(odd, bucket_rows=full))
     assert Counter(tuple(r) for r in got.collect()) == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(odd)
-    assert kept.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, {c for _, _, c in want}))
 
 
 @pytest.mark.parametrize("full", [2048, 8])
@@ -92,6 +89,105 @@ def test_trie_join_finds_all_pairs():
     assert pairs == {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if np.bitwise_count(values[i] ^ values[j]) <= 2}
 
 
+def test_trie_join_of_long_values_and_labels():
+    rng = np.random.default_rng(8)
+    values = np.unique(rng.integers(0, 1 << 63, (40, 4), dtype=np.uint64).repeat(5, axis=0) ^ (np.uint64(1) << rng.integers(0, 60, (200, 4), dtype=np.uint64)), axis=0)
+    want = {(i, j) for i in range(len(values)) for j in range(i + 1, len(values)) if np.bitwise_count(values[i] ^ values[j]).sum() <= 6}
+    pairs = lambda label: {(min(a, b), max(a, b)) for x, y in simhash.trie_links(values, np.zeros(1, np.int64), 6, label) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
+    assert pairs(None) == want and len(want) > 20
+    label = np.arange(len(values)) % 3
+    assert {p for p in want if label[p[0]] != label[p[1]]} <= pairs(label) <= want
+
+
+def jaccard(a, b):
+    sets = []
+    for text in (a, b):
+        w = lower(text).split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def plain_alike(rows):
+    """Indices of components by all pairs of fingerprints that are near and agree in a key."""
+    budget, masks = simhash.alike_budget(), np.array(simhash.key_masks()).view(np.uint64)
+    values = np.array([np.frombuffer(simhash.alike_fingerprint((t or "").encode()), ">u8") for _, t in rows]).astype(np.uint64)
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            differ = values[i] ^ values[j]
+            if np.bitwise_count(differ).sum() <= budget and ((differ & masks) == 0).all(axis=1).any():
+                parent[find(i)] = find(j)
+    groups = {}
+    for i in range(len(rows)):
+        groups.setdefault(find(i), []).append(i)
+    return list(groups.values())
+
+
+def near_copies():
+    """Bases with copies of one to several changed words, chains, exact copies, short and empty texts."""
+    rng = random.Random(4)
+    out = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        out.append(" ".join(base))
+        for _ in range(10):
+            copy = list(rng.choice([base, out[-1].split()]))
+            for at in rng.sample(range(len(copy)), rng.randint(1, max(1, len(base) // 35))):
+                copy[at] = f"x{rng.randrange(5000)}"
+            out.append(" ".join(copy))
+    return [*out, out[0], out[0].upper(), "one", "One", "two words", "", None, " \n"]
+
+
+@pytest.mark.parametrize("dense", [64, 2])
+def test_alike_texts_match_all_pairs(spark, monkeypatch, dense):
+    monkeypatch.setattr(simhash, "DENSE_ROWS", dense)
+    rows = list(enumerate(near_copies()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    want = plain_alike(rows)
+    assert sorted(r["doc_id"] for r in simhash.keep_alike(docs).collect()) == sorted(map(min, want))
+    assert len(want) < 40  # of 12 groups, and texts alone
+    for group in want:
+        for i in group[1:]:
+            assert max(jaccard(rows[i][1] or "", rows[j][1] or "") for j in group if j != i) > 0.6 or not (rows[i][1] or "").split()
+
+
+def test_alike_texts_of_odd_rows(spark, odd, odd_rows, none):
+    rows = [(r[0], r[1]) for r in odd_rows]
+    want = [min((rows[i][0] for i in g if rows[i][0] is not None), default=None) for g in plain_alike(rows)]
+    for docs in (odd, odd.withColumnsRenamed({"fp": "k2", "n": "c0"})):
+        kept = simhash.keep_alike(docs)
+        assert kept.columns == docs.columns
+        assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, want))
+    assert simhash.keep_alike(none).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g")], "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in simhash.keep_alike(twice).collect()) == [(1, "a b c d e f g"), (1, "h i j k l m n")]
+
+
+def test_alike_texts_of_real_rows(spark, small, texts):
+    """Against exact Jaccard indices of all pairs: what goes has a partner, and most pairs of 0.85 and more are found."""
+    got = {r["doc_id"] for r in simhash.keep_alike(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    sets = {}
+    for d, t in texts.items():
+        w = lower(t).split()
+        sets[d] = {hash(tuple(w[i : i + 5])) for i in range(max(1, len(w) - 4))} if w else set()
+    by = {}
+    for d, some in sets.items():
+        for x in some:
+            by.setdefault(x, []).append(d)
+    near = Counter(p for own in by.values() for p in {(a, b) for k, b in enumerate(own) for a in own[:k]})
+    alike = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in near.items()}
+    gone = [d for d in texts if d not in got]
+    assert all(max((j for p, j in alike.items() if d in p), default=0) > 0.6 for d in gone)
+    sure = [p for p, j in alike.items() if j >= 0.85]
+    assert sum(p[0] in got and p[1] in got for p in sure) <= len(sure) // 20 and len(sure) > 20
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 150)] + [(200, 200), (300, 301), (301, 300), (300, 301)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
@@ -259,23 +355,19 @@ def test_attention_gradients():
     assert np.allclose(np.add.reduceat(c["a"], c["starts"]), 1)
 
 
-def test_pipeline_against_brute_force(spark, small):
+def test_pipeline_against_brute_force(spark, small, texts):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rejected = {r["doc_id"] for r in queries.op7_quality(spark, small).where("predicted = 0").collect()}
     rows = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] not in rejected}
-    ids, fps = list(rows), [plain_fingerprint(t) for t in rows.values()]
-    rows = {d: rows[d] for d, c in zip(ids, plain_components(ids, fps), strict=True) if d == c}
+    alone = [(d, t) for d, t in rows.items()]
+    rows = {min(alone[i][0] for i in g): None for g in plain_alike(alone)}
+    rows = {d: texts[d] for d in texts if d in rows}
     data = [t.encode() for t in rows.values()]
-    count = Counter(d[i : i + 400] for d in data for i in range(len(d) - 399))
     left = {}
-    for doc, d in zip(rows, data, strict=True):
-        gone = np.zeros(len(d), bool)
-        for i in range(len(d) - 399):
-            if count[d[i : i + 400]] > 1:
-                gone[i : i + 400] = True
-        text = np.frombuffer(d, np.uint8)[~gone].tobytes().decode(errors="ignore")
-        if text or not d:
+    for doc, d, r in zip(rows, data, plain_ranges(data, suffixes.WORDS_50), strict=True):
+        text = without(d, r).decode(errors="ignore")
+        if not r or text.strip():
             left[doc] = text
     items = [r["text"] for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     known = {w for t in items for w in decontaminate.windows_of(decontaminate.words_of(t.encode()), 10)}
