@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.llm import decontaminate, nearcopies, packing, quality, suffixes
+from quiltgraph.llm import decontaminate, packing, quality, simhash, suffixes
 from quiltgraph.llm.common import read_table
 from quiltgraph.llm.queries import tokenizer_path
 from quiltgraph.storage import materialize
@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word likeness of 0.8 or more stays, that with the smallest id."""
-    return nearcopies.keep_one(docs)
+    """One document of each group linked by a likeness, in five-word shingles, of 0.8 or more stays, that with the smallest id."""
+    return simhash.keep_alike(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
