@@ -184,7 +184,9 @@ def read_warc(index: DataFrame, path: str) -> DataFrame:
                         columns = list(zip(*out, strict=True))
                         yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.string()) for c in columns[:5]], pa.array(columns[5], pa.int64()), pa.array(columns[6], pa.binary())], names=["page_id", "url", "record_type", "refers_to", "digest", "n_payload", "payload"])
 
-    read = index.select("archive", "offset", "length").repartition("archive").sortWithinPartitions("archive", "offset").mapInArrow(run, "page_id string, url string, record_type string, refers_to string, digest string, n_payload bigint, payload binary")
+    # Dealt by the archives' numbers to a fixed number of tasks, which adaptive execution doesn't merge however small the index is.
+    tasks = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = index.select("archive", "offset", "length").repartitionById(tasks, F.pmod(F.substring_index("archive", ".", 1).cast("int"), F.lit(tasks))).sortWithinPartitions("archive", "offset").mapInArrow(run, "page_id string, url string, record_type string, refers_to string, digest string, n_payload bigint, payload binary")
     return read.withColumns({"page_id": F.col("page_id").cast(kind), "refers_to": F.col("refers_to").cast(kind)})
 
 
