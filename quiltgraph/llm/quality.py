@@ -18,9 +18,8 @@ from quiltgraph.llm.common import filter_batches, map_batches, utf8
 
 #: Words of a passage.
 PASSAGE_WORDS = 64
-#: The bounded sample that the model is fitted on: labelled documents, and
-#: evenly spaced passages of each.  Scores use all passages.
-TRAIN_DOCS, TRAIN_PASSAGES = 3000, 32
+#: The bounded sample that the model is fitted on: labelled documents, with all their passages.
+TRAIN_DOCS = 3000
 #: Rows whose crc32 of the id as text leaves 0 by this are held out.
 FOLDS = 5
 THRESHOLD = 0.3
@@ -87,6 +86,25 @@ class Model:
         return self.forward(x, sizes)[0]
 
 
+def gradients(model: Model, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean log loss, by weight."""
+    w = model.weights
+    p, c = model.forward(x, sizes)
+    d = (p - y) / len(y)
+    grad = {"score": c["bag"].T @ d, "score_b": d.sum()}
+    d_bag = np.repeat(d[:, None] * w["score"], sizes, axis=0)
+    d_a = (d_bag * c["h"]).sum(1)
+    d_s = c["a"] * (d_a - np.repeat(np.add.reduceat(c["a"] * d_a, c["starts"]), sizes))
+    grad["weigh"] = (c["t"] * c["g"]).T @ d_s
+    d_tg = d_s[:, None] * w["weigh"]
+    d_t, d_g = d_tg * c["g"] * (1 - c["t"] ** 2), d_tg * c["t"] * c["g"] * (1 - c["g"])
+    grad["attend"], grad["gate"] = c["h"].T @ d_t, c["h"].T @ d_g
+    d_h = c["a"][:, None] * d_bag + d_t @ w["attend"].T + d_g @ w["gate"].T
+    d_h *= 1 - c["h"] ** 2
+    grad["encode"], grad["encode_b"] = c["z"].T @ d_h, d_h.sum(0)
+    return grad
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     """Full-batch Adam on the log loss of bags of passage features."""
     x, sizes = np.vstack(bags), np.array([len(b) for b in bags])
@@ -97,19 +115,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Model:
     w = model.weights
     m, v = ({k: np.zeros_like(p) for k, p in w.items()} for _ in range(2))
     for step in range(1, EPOCHS + 1):
-        p, c = model.forward(x, sizes)
-        d = (p - y) / len(y)
-        grad = {"score": c["bag"].T @ d, "score_b": d.sum()}
-        d_bag = np.repeat(d[:, None] * w["score"], sizes, axis=0)
-        d_a = (d_bag * c["h"]).sum(1)
-        d_s = c["a"] * (d_a - np.repeat(np.add.reduceat(c["a"] * d_a, c["starts"]), sizes))
-        grad["weigh"] = (c["t"] * c["g"]).T @ d_s
-        d_tg = d_s[:, None] * w["weigh"]
-        d_t, d_g = d_tg * c["g"] * (1 - c["t"] ** 2), d_tg * c["t"] * c["g"] * (1 - c["g"])
-        grad["attend"], grad["gate"] = c["h"].T @ d_t, c["h"].T @ d_g
-        d_h = c["a"][:, None] * d_bag + d_t @ w["attend"].T + d_g @ w["gate"].T
-        d_h *= 1 - c["h"] ** 2
-        grad["encode"], grad["encode_b"] = c["z"].T @ d_h, d_h.sum(0)
+        grad = gradients(model, x, sizes, y)
         for k in w:
             g = grad[k] + DECAY * w[k] * (not k.endswith("_b"))
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -126,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """Fit on a sample, of TRAIN_DOCS at most, of the labelled documents that aren't held out.
 
     The sample is those with the least hashes of their ids.  Ids or labels
-    that are null are left out; of an id with several labels the least counts.
+    that are null are left out; of an id with several labels the least counts,
+    of one with several texts the one whose features are least as bytes.
     Without labels of both kinds there is no model (None).
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("label"))
@@ -136,16 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
         for batch in batches:
             out = []
             for text in utf8(batch.column(1)):
-                bag = passages(text)
-                out.append([bag[i] for i in np.unique(np.linspace(0, len(bag) - 1, min(len(bag), TRAIN_PASSAGES)).astype(int))])
+                out.append(passages(text))
             if out:
                 x, sizes = encode(out)
                 parts = np.split(x.astype("<f4"), np.cumsum(sizes)[:-1])
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([p.tobytes() for p in parts], pa.binary())], names=["id", "label", "bag"])
 
     # At most TRAIN_DOCS ids: a proven bound, so this side is broadcast and the texts aren't shuffled.
-    sample = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(F.col(id_col), F.col(text_col), "label")
-    rows = sample.mapInArrow(bags, f"id {docs.schema[id_col].dataType.simpleString()}, label int, bag binary").dropDuplicates(["id"]).collect()
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sample = own.join(F.broadcast(chosen), F.col("id") == F.col("_id")).select("id", "text", "label")
+    found = sample.mapInArrow(bags, f"id {docs.schema[id_col].dataType.simpleString()}, label int, bag binary")
+    rows = found.groupBy("id", "label").agg(F.min("bag").alias("bag")).collect()
     rows.sort(key=lambda r: r["id"])
     if len({r["label"] for r in rows}) < 2:
         return None

@@ -339,20 +339,48 @@ def test_quality_of_odd_rows(spark, odd, odd_rows, none, small):
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (3, 1), (5, 1), (4, 0), (6, 1), (8, 1), (11, 0), (11, 1)], "doc_id bigint, quality int")
     rows = quality.score_quality(odd, labels).collect()
     assert len(rows) == len(odd_rows) and len({r["score"] for r in rows if r["doc_id"] == 5}) == 1
+    clash = odd.withColumnsRenamed({"fp": "label", "n": "_id", "k1": "id", "h": "quality"})
+    assert len(quality.score_quality(clash, labels).collect()) == len(odd_rows)
+    assert quality.drop_low_quality(clash, labels).columns == clash.columns
     assert quality.score_quality(none, labels).count() == 0
     assert {r["score"] for r in quality.score_quality(odd, labels.limit(0)).collect()} == {1.0}
 
 
-def test_attention_gradients():
+def plain_score(w, z):
+    """Gated attention over the passages z of one document, passage by passage."""
+    h = [np.tanh(p @ w["encode"] + w["encode_b"]) for p in z]
+    weigh = [np.exp((np.tanh(x @ w["attend"]) / (1 + np.exp(-(x @ w["gate"])))) @ w["weigh"]) for x in h]
+    bag = sum(a / sum(weigh) * x for a, x in zip(weigh, h, strict=True))
+    return 1 / (1 + np.exp(-(bag @ w["score"] + w["score_b"])))
+
+
+def test_attention_and_its_gradients():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(n, quality.N_FEATURES)) for n in (1, 3, 5, 2, 4, 6)]
     bad = np.array([0, 1, 0, 1, 1, 0])
     for bag, label in zip(bags, bad, strict=True):
         bag[0, 3] += 6 * (1 - label)  # one passage decides
     model = quality.fit(bags, bad)
-    p, c = model.forward(np.vstack(bags), np.array([len(b) for b in bags]))
+    x, sizes = np.vstack(bags), np.array([len(b) for b in bags])
+    p, c = model.forward(x, sizes)
     assert ((p >= 0.5) == (bad == 1)).all()
     assert np.allclose(np.add.reduceat(c["a"], c["starts"]), 1)
+    z = np.split(np.clip((x - model.mean) / model.scale, -8, 8), np.cumsum(sizes)[:-1])
+    assert np.allclose(p, [plain_score(model.weights, one) for one in z])
+    w = model.weights | {k: rng.normal(0, 0.4, np.shape(v)) for k, v in model.weights.items()}
+    model.weights = w
+    loss = lambda: -np.mean(np.log(np.where(bad, (q := model.forward(x, sizes)[0]), 1 - q)))
+    for name, grad in quality.gradients(model, x, sizes, bad.astype(float)).items():
+        for at in [()] if np.ndim(grad) == 0 else [tuple(rng.integers(0, n) for n in np.shape(grad)) for _ in range(4)]:
+            value = np.array(w[name], float)
+            sides = []
+            for step in (1e-5, -1e-5):
+                moved = value.copy()
+                moved[at] += step
+                w[name] = moved
+                sides.append(loss())
+            w[name] = value
+            assert np.isclose((sides[0] - sides[1]) / 2e-5, grad[at] if at else grad, rtol=1e-3, atol=1e-8), name
 
 
 def test_pipeline_against_brute_force(spark, small, texts):
