@@ -1,8 +1,10 @@
 """License scan by conditional compression.
 
-Candidate blocks are compressed with each license template as a zstandard raw
-dictionary; templates are ranked by how much smaller the block gets than
-without, and the best are confirmed by the exact differences in wording."""
+Candidate blocks are the surroundings of cue words.  They are taken as words
+alone, so line ends, comment marks and punctuation don't matter, and compressed
+with each license template as a zstandard raw dictionary.  Templates are ranked
+by how much smaller the block gets than without, and all that save enough are
+confirmed by the exact differences in wording."""
 
 from __future__ import annotations
 
@@ -16,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import utf8
+from quiltgraph.llm.common import LOWER, utf8
 
 #: License notices as they are published, by SPDX-like name.
 TEMPLATES = (
@@ -48,80 +50,118 @@ TEMPLATES = (
 )
 #: A block is a candidate if one of these stands in it.
 CUE = re.compile(rb"licen[cs]e|copyright|copyleft|spdx|all rights reserved|permission|warrant|redistribut|public domain|creative commons|waived", re.I)
-#: Blocks are lines; longer lines are divided at the ends of sentences.
-LONG_LINE = 600
-#: A template is tried if it saves this part of the block's compressed size,
+#: Templates of up to SHORT bytes are looked for in blocks of their own, so that
+#: a long block doesn't hide what they save; a block reaches REACH times its longest template from a cue.
+SHORT, REACH = 120, 1.5
+#: A template is tried if it saves this part of what it would save of itself,
 #: and confirmed if at most this part of its words is missing or changed.
-LEAST_SAVED, MOST_CHANGED = 0.3, 0.15
-#: Templates, best first, whose wording is compared.
-TRIED = 4
+LEAST_SAVED, MOST_CHANGED = 0.2, 0.15
 #: Different blocks whose result a task remembers, as notices repeat.
 REMEMBERED = 20_000
-_SENTENCE = re.compile(rb"(?<=[.!?:;])\s+")
-_WORD = re.compile(r"\w+(?:[.-]\w+)*")
+_WORD = re.compile(rb"[a-z0-9_\x80-\xff]+(?:\.[a-z0-9_\x80-\xff]+)*")
 
 
-def blocks(text: bytes) -> list[tuple[int, bytes]]:
-    """(offset, block) of all candidate blocks of the whole text."""
-    out, done = [], -1
+def words_of(text: bytes) -> list[bytes]:
+    return _WORD.findall(text.translate(LOWER))
+
+
+def blocks(text: bytes, reach: int) -> list[tuple[int, int]]:
+    """[start, end) of the stretches of whole words within ``reach`` bytes of a cue, anywhere in the text."""
+    out: list[tuple[int, int]] = []
     for m in CUE.finditer(text):
-        if m.start() < done:
-            continue
-        a, b = text.rfind(b"\n", 0, m.start()) + 1, text.find(b"\n", m.end())
-        b = len(text) if b < 0 else b
-        if b - a <= LONG_LINE:
-            out.append((a, text[a:b]))
-        else:  # the sentences of this line that have a cue
-            at = a
-            for piece in _SENTENCE.split(text[a:b]):
-                at = text.index(piece, at)
-                if CUE.search(piece):
-                    out.append((at, piece))
-                at += len(piece)
-        done = b
-    return out
-
-
-@functools.lru_cache(maxsize=2)
-def _compressors(templates: tuple[tuple[str, str], ...]) -> tuple[zstandard.ZstdCompressor, list[zstandard.ZstdCompressor]]:
-    plain = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    raw = lambda t: zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(**plain), [zstandard.ZstdCompressor(dict_data=raw(t), **plain) for _, t in templates]
+        a, b = max(0, m.start() - reach), min(len(text), m.end() + reach)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], b)
+        else:
+            out.append((a, b))
+    space = re.compile(rb"\s")
+    whole = []
+    for a, b in out:  # to the next white space, unless that is far
+        left = max(text.rfind(c, max(0, a - 200), a) for c in (b" ", b"\n", b"\t")) + 1 if a else 0
+        right = space.search(text, b, b + 200)
+        whole.append((left or a, right.start() if right else b))
+    return whole
+
+
+@functools.lru_cache(maxsize=4)
+def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[zstandard.ZstdCompressor, list[tuple[list[bytes], zstandard.ZstdCompressor, int]]]:
+    """A compressor without a dictionary; of each template its words, its compressor and what it saves of itself."""
+    options = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    plain, out = zstandard.ZstdCompressor(**options), []
+    for _, text in templates:
+        words = words_of(text.encode())
+        own = b" ".join(words)
+        given = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(own, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options)
+        out.append((words, given, len(plain.compress(own)) - len(given.compress(own))))
+    return plain, out
 
 
 def rank(block: bytes, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[tuple[float, int]]:
-    """(part saved, template) of all templates, best first; ties by their order."""
-    alone, given = _compressors(templates)
-    size = len(alone.compress(block))
-    return sorted(((1 - len(c.compress(block)) / size, k) for k, c in enumerate(given)), key=lambda x: (-x[0], x[1]))
+    """(bytes saved, as part of what it saves of itself; template) of all templates, best first; ties by their order."""
+    plain, given = _prepared(templates)
+    size = len(plain.compress(block))
+    return sorted((((size - len(c.compress(block))) / max(1, own), k) for k, (_, c, own) in enumerate(given)), key=lambda x: (-x[0], x[1]))
 
 
-def wording(block: str, template: str) -> tuple[int, int, list[str]]:
-    """Template words, how many of them the block misses or changes, and the changes.
+def wording(words: list[bytes], template: list[bytes]) -> tuple[int, int, int, list[str]]:
+    """Where in the words the template's are, as [first, last), how many of them are missing or changed, and the changes.
 
-    Words of the block before and after the template's count as context.
+    Words before the first and after the last that agree are context.
     """
-    a, b = _WORD.findall(template.lower()), _WORD.findall(block.lower())
-    changes, missing = [], 0
-    codes = SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+    codes = SequenceMatcher(None, template, words, autojunk=False).get_opcodes()
+    equal = [k for k, c in enumerate(codes) if c[0] == "equal"]
+    if not equal:
+        return 0, 0, len(template), []
+    missing, changes = 0, []
+    text = lambda some: b" ".join(some).decode(errors="replace")
     for k, (tag, a1, a2, b1, b2) in enumerate(codes):
-        if tag == "equal" or (tag == "insert" and k in (0, len(codes) - 1)):
+        inner = equal[0] < k < equal[-1]
+        if tag == "equal" or (a1 == a2 and not inner):
             continue
-        missing += max(a2 - a1, (b2 - b1) if 0 < k < len(codes) - 1 else 0)
-        changes.append(f"{' '.join(a[a1:a2])}>{' '.join(b[b1:b2]) if 0 < k < len(codes) - 1 else ''}")
-    return len(a), missing, changes
-
-
-def judge(block: bytes, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> dict | None:
-    """The confirmed template with the fewest changed words, then the most saved; None if none is."""
-    text, best = block.decode(errors="replace"), None
-    for saved, k in rank(block, templates)[:TRIED]:
+        missing += max(a2 - a1, b2 - b1 if inner else 0)
+        changes.append(f"{text(template[a1:a2])}>{text(words[b1:b2]) if inner else ''}")
+    return codes[equal[0]][3], codes[equal[-1]][4], missing, changes
+
+
+def occurrences(words: list[bytes], template: list[bytes], at: int = 0) -> list[tuple[int, int, int, list[str]]]:
+    """All disjoint confirmed places of the template: the best first, then to its left and right."""
+    n = len(template)
+    if len(words) < n * (1 - MOST_CHANGED):
+        return []
+    m = SequenceMatcher(None, template, words, autojunk=False).find_longest_match()
+    if not m.size:
+        return []
+    lo, hi = max(0, m.b - m.a - n // 4), min(len(words), m.b - m.a + n + n // 4 + 1)
+    first, last, missing, changes = wording(words[lo:hi], template)
+    if missing > MOST_CHANGED * n:
+        # The longest match is no notice; the rest may still hold one.
+        return occurrences(words[: m.b], template, at) + occurrences(words[m.b + m.size :], template, at + m.b + m.size)
+    found = (at + lo + first, at + lo + last, missing, changes)
+    return [*occurrences(words[: lo + first], template, at), found, *occurrences(words[lo + last :], template, at + lo + last)]
+
+
+def judge(block: bytes, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[dict]:
+    """The confirmed notices of a block, disjoint and in order.
+
+    Of notices that overlap that with most of its template's words stays,
+    then that with the fewest changes, then the earlier template.
+    """
+    places = list(_WORD.finditer(block.translate(LOWER)))
+    words = [m[0] for m in places]
+    given, found = _prepared(templates)[1], []
+    for saved, k in rank(b" ".join(words), templates):
         if saved < LEAST_SAVED:
             break
-        n, missing, changes = wording(text, templates[k][1])
-        if missing <= MOST_CHANGED * n and (best is None or missing < best["changed"]):
-            best = {"license": templates[k][0], "template": k, "saved": round(saved, 4), "changed": missing, "changes": changes}
-    return best
+        n = len(given[k][0])
+        found += [(missing - n, missing, k, first, last, saved, changes) for first, last, missing, changes in occurrences(words, given[k][0])]
+    kept: list[tuple] = []
+    for one in sorted(found, key=lambda x: x[:4]):
+        if all(one[4] <= k[3] or one[3] >= k[4] for k in kept):
+            kept.append(one)
+    return [
+        {"start": places[first].start(), "end": places[last - 1].end(), "license": templates[k][0], "template": k, "saved": round(saved, 4), "changed": missing, "changes": changes}
+        for _, missing, k, first, last, saved, changes in sorted(kept, key=lambda x: x[3])
+    ]
 
 
 class _Memory:
@@ -130,7 +170,7 @@ class _Memory:
     def __init__(self, templates: tuple[tuple[str, str], ...]):
         self.templates, self.known = templates, OrderedDict()
 
-    def __call__(self, block: bytes) -> dict | None:
+    def __call__(self, block: bytes) -> list[dict]:
         if block in self.known:
             self.known.move_to_end(block)
             return self.known[block]
@@ -144,25 +184,36 @@ NOTICE = "struct<start:bigint,end:bigint,license:string,template:int,saved:doubl
 
 
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """Find license notices in whole texts.
+    """Find license notices in whole texts, wrapped, in comments or amid other text.
 
     Returns for each input row: doc_id, n_blocks (candidates), notices (byte
-    range, license, template number, part of the compressed size saved, words
-    changed and the changes; in order), licenses (distinct names, sorted).
-    Null and empty texts have no blocks; of templates that change equally
-    many words the one that saves more wins, then the earlier.
+    range, license, template number, bytes saved as part of what the template
+    saves of itself, words changed and the changes; disjoint and in order),
+    licenses (distinct names, sorted).  All templates that save enough are
+    compared (see judge for ties).  Null and empty texts have no blocks;
+    repeated rows get equal results; extra columns are not read.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("template", pa.int32()), ("saved", pa.float64()), ("changed", pa.int32()), ("changes", pa.list_(pa.string()))]))
-    templates = tuple(templates)
+    order = {t: k for k, t in reversed(list(enumerate(templates)))}
+    scales = [s for s in (tuple(t for t in templates if len(t[1].encode()) <= SHORT), tuple(t for t in templates if len(t[1].encode()) > SHORT)) if s]
+
+    def notices(text: bytes, memories: list[_Memory]) -> tuple[int, list[dict]]:
+        n, found = 0, []
+        for memory in memories:
+            reach = int(REACH * max(len(t.encode()) for _, t in memory.templates))
+            for a, b in blocks(text, reach):
+                n += 1
+                found += [x | {"start": x["start"] + a, "end": x["end"] + a, "template": order[memory.templates[x["template"]]]} for x in memory(text[a:b])]
+        kept: list[dict] = []  # of overlapping ones of both scales the longer stays
+        for x in sorted(found, key=lambda x: (x["start"] - x["end"], x["start"], x["template"])):
+            if all(x["end"] <= k["start"] or x["start"] >= k["end"] for k in kept):
+                kept.append(x)
+        return n, sorted(kept, key=lambda x: x["start"])
 
     def run(batches):
-        memory = _Memory(templates)
+        memories = [_Memory(scale) for scale in scales]
         for batch in batches:
-            found, counts = [], []
-            for text in utf8(batch.column(1)):
-                candidates = blocks(text)
-                counts.append(len(candidates))
-                found.append([{"start": at, "end": at + len(b)} | notice for at, b in candidates if (notice := memory(b))])
+            counts, found = zip(*(notices(t, memories) for t in utf8(batch.column(1))), strict=True) if batch.num_rows else ([], [])
             names = [sorted({n["license"] for n in f}) for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(found, kind), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "n_blocks", "notices", "licenses"])
 
