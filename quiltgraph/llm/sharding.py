@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltgraph.operators.ranking import prefix_sum
+
 SHARDS = 16
 SEED = 20240501
 #: Rows of a bucket within which rows are ranked; see _bucket_rows.
@@ -28,7 +30,10 @@ def interleave_shards(docs: DataFrame, *, id_col: str = "doc_id", source_col: st
     each shard).  Rank and position are exact but never computed in one task:
     a row's rank within its source is its rank in a hash bucket plus the
     counts of the buckets before, and likewise for the position overall, so a
-    source with a third of all rows is spread over many tasks.  Only ids,
+    source with a third of all rows, or very many sources of one row each, are
+    spread over many tasks.  At most a quarter of the slices are crowded, each
+    with four buckets' rows, so the table of them that is broadcast is small;
+    within a crowded slice the source's hash orders before the fraction.  Only ids,
     sources and two numbers are shuffled, not texts.  A null source is a
     source of its own; null ids and repeated rows each get a slot (rows that
     agree in all columns read are interchangeable).
@@ -58,17 +63,14 @@ def interleave_shards(docs: DataFrame, *, id_col: str = "doc_id", source_col: st
     placed = ranked.withColumn("f", (2 * (F.col("start") + F.col("r")) + 1) / (2 * F.col("n_source"))).select("doc_id", "source", "stratum", "h", "size", "text_crc32", "f")
     placed = placed.withColumn("slice", F.least(F.floor(F.col("f") * buckets), F.lit(buckets - 1)))
 
-    # Position overall: (fraction, source, hash, id), slice by slice.
-    slices = placed.groupBy("slice").agg(F.count(F.lit(1)).alias("n"))
-    group = F.floor(F.col("slice") / 1000)
-    slices = slices.withColumn("g", group)
-    in_group = Window.partitionBy("g").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = slices.groupBy("g").agg(F.sum("n").alias("n_g"))
-    over_groups = Window.orderBy("g").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    groups = groups.select("g", (F.sum("n_g").over(over_groups) - F.col("n_g")).alias("g_start"))
-    slices = slices.withColumn("s", F.sum("n").over(in_group) - F.col("n")).join(groups, "g").select("slice", (F.col("s") + F.col("g_start")).alias("slice_start"))
-    in_slice = Window.partitionBy("slice").orderBy("f", "stratum", "h", "doc_id", "text_crc32", "size")
-    at = placed.withColumn("r", F.row_number().over(in_slice) - 1).join(slices, "slice").withColumn("at", F.col("slice_start") + F.col("r"))
+    # Position overall: (slice of the fraction, part, fraction, source, hash, id).  The part comes from
+    # the source's hash, so that slices with the one row each of very many sources are divided too.
+    sizes = placed.groupBy("slice").agg(F.count(F.lit(1)).alias("n_slice"))
+    crowded = sizes.where(F.col("n_slice") > 4 * each).select("slice", F.ceil(F.col("n_slice") / each).alias("parts"))
+    placed = placed.join(F.broadcast(crowded), "slice", "left").withColumn("part", F.pmod(F.xxhash64(F.lit(seed), "stratum"), F.coalesce("parts", F.lit(1))))
+    starts = prefix_sum(placed.groupBy("slice", "part").agg(F.count(F.lit(1)).alias("n")).withColumn("key", F.col("slice") * F.lit(buckets) + F.col("part")), "key", "n", "first_at").select("slice", "part", "first_at")
+    in_part = Window.partitionBy("slice", "part").orderBy("f", "stratum", "h", "doc_id", "text_crc32", "size")
+    at = placed.withColumn("r", F.row_number().over(in_part) - 1).join(starts, ["slice", "part"]).withColumn("at", F.col("first_at") + F.col("r"))
     shard = F.expr(f"(at * {shards}L) div {max(n, 1)}L")
     first = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}L) div {shards}L")
     return at.withColumn("shard", shard).select("doc_id", "source", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), (F.col("at") - first).cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

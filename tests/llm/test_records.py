@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 
 from quiltgraph.llm import packing, queries, sharding, warc
+from quiltgraph.operators import ranking
 
 
 @pytest.fixture(scope="session")
@@ -149,6 +150,15 @@ def test_shards_do_not_depend_on_buckets(spark, small, monkeypatch):
         assert got[d] == (shard, at - (shard * n + 15) // 16)
 
 
+def test_shards_of_one_row_sources(spark, monkeypatch):
+    """All have the same fractional rank; still no task ranks more than a few buckets' rows."""
+    docs = spark.range(20_000).selectExpr("id as doc_id", "concat('host', id) as source", "'x' as text")
+    seen = []
+    monkeypatch.setattr(sharding, "prefix_sum", lambda df, *a: seen.append(df) or ranking.prefix_sum(df, *a))
+    check_shards(sharding.digest(sharding.interleave_shards(docs)).collect(), 20_000)
+    assert max(r["n"] for r in seen[0].collect()) < 3 * sharding.LEAST_BUCKET
+
+
 def test_warc_matches_sql(spark, small):
     got = {tuple(r) for r in queries.op10_warc(spark, small).collect()}
     con = duckdb.connect()
