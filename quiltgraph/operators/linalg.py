@@ -1,4 +1,4 @@
-"""Sparse products as joins with sums, dense products with a small matrix."""
+"""Sparse products as joins with sums (of arrays, or in long form), dense products with a small matrix."""
 
 from __future__ import annotations
 
@@ -21,6 +21,32 @@ def to_arrays(long: DataFrame, width: int, column: str = "features") -> DataFram
     return packed.select("node_id", F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias(column))
 
 
+#: Entries of an array that one aggregation sums; wider arrays are summed in slices.
+SLICE = 128
+
+
+def sum_arrays(rows: DataFrame, key: str, width: int, column: str = "features") -> DataFrame:
+    """(key, array): the sums of the arrays, entry by entry.  A row stays a row: tasks sum it in place, before the shuffle."""
+    entries = lambda n: [F.sum(F.col(column)[i]).alias(f"s{i}") for i in range(n)]
+    packed = lambda n: F.array(*[F.col(f"s{i}") for i in range(n)])
+    if width <= SLICE:
+        return rows.groupBy(key).agg(*entries(width)).select(key, packed(width).alias(column))
+    cut = F.transform(F.sequence(F.lit(0), F.lit((width - 1) // SLICE)), lambda k: F.struct(k.alias("k"), F.slice(column, k * SLICE + 1, SLICE).alias(column)))
+    parts = rows.select(key, F.explode(cut).alias("c")).select(key, "c.k", f"c.{column}").groupBy(key, "k").agg(*entries(SLICE)).select(key, F.struct("k", packed(SLICE).alias("v")).alias("p"))
+    return parts.groupBy(key).agg(F.slice(F.flatten(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"])), 1, width).alias(column))
+
+
+def spmm_arrays(edges: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node_id, features) = A X for arrays of ``width`` numbers: one row for each edge, not for each edge and entry."""
+    own = edges.select("src", F.col("dst").alias("node_id"), F.col("weight").cast("double").alias("w")).join(nodes.select("node_id", "features"), "node_id")
+    weighted = own.select(F.col("src").alias("node_id"), F.transform("features", lambda v: v * F.col("w")).alias("features"))
+    return sum_arrays(weighted, "node_id", width)
+
+
+def transpose(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
+
+
 def spmm(edges: DataFrame, x: DataFrame) -> DataFrame:
     """(node_id, f, value) = A x: sum over a row's columns.  Partial sums are made before the shuffle."""
     own = edges.select("src", F.col("dst").alias("node_id"), F.col("weight").cast("double").alias("w")).join(x, "node_id")
@@ -29,7 +55,7 @@ def spmm(edges: DataFrame, x: DataFrame) -> DataFrame:
 
 def spmm_t(edges: DataFrame, g: DataFrame) -> DataFrame:
     """The same with the transpose of A."""
-    return spmm(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), g)
+    return spmm(transpose(edges), g)
 
 
 def project(nodes: DataFrame, w: np.ndarray, column: str = "features") -> DataFrame:
@@ -50,12 +76,8 @@ def sage_conv(edges: DataFrame, nodes: DataFrame, w_neighbour: np.ndarray, w_sel
     move fewer numbers; else neighbours are summed first.
     """
     d, h = w_neighbour.shape
-    if h <= d:
-        neighbours = spmm(edges, to_long(project(nodes, w_neighbour)))
-    else:
-        neighbours = to_long(project(to_arrays(spmm(edges, to_long(nodes)), d), w_neighbour))
-    own = project(nodes, w_self)
-    both = neighbours.unionByName(to_long(own))
+    neighbours = spmm_arrays(edges, project(nodes, w_neighbour), h) if h <= d else project(spmm_arrays(edges, nodes, d), w_neighbour)
+    both = neighbours.unionByName(project(nodes, w_self))
     if targets is not None:
         both = both.join(targets.select("node_id").distinct(), "node_id", "left_semi")
-    return to_arrays(both.groupBy("node_id", "f").agg(F.sum("value").alias("value")), h)
+    return sum_arrays(both, "node_id", h)

@@ -68,7 +68,7 @@ def layer_norm(x: np.ndarray, eps: float = 1e-5) -> np.ndarray:
 def uniform(ids: np.ndarray, width: int, epoch: int, layer: int) -> np.ndarray:
     """A number from 0 to 1 for each id and feature, the same however rows are batched."""
     x = np.arange(width, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15) + ids.astype(np.uint64)[:, None] * np.uint64(0xD1B54A32D192ED03)
-    x += np.uint64((epoch << 20 | layer) + 1) * np.uint64(0x8CB92BA72F3D8DD7)
+    x += np.full(1, (epoch << 20 | layer) + 1, np.uint64) * np.uint64(0x8CB92BA72F3D8DD7)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
     return (x ^ x >> np.uint64(31)) / 2.0**64
@@ -92,8 +92,7 @@ def forward(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFr
         if i < len(model.layers) - 1:
             if model.residual:
                 before = linalg.project(h, model.projections[i]) if i in model.projections else h
-                both = linalg.to_long(out).unionByName(linalg.to_long(before))
-                out = linalg.to_arrays(both.groupBy("node_id", "f").agg(F.sum("value").alias("value")), wn.shape[1])
+                out = linalg.sum_arrays(out.unionByName(before), "node_id", wn.shape[1])
 
             def finish(x: np.ndarray, ids: np.ndarray, i: int = i) -> np.ndarray:
                 x = act(x)
@@ -167,7 +166,7 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
     grads = []
     for i in range(len(model.layers) - 1, -1, -1):
         wn, ws = model.layers[i]
-        atg = materialize(linalg.to_arrays(linalg.spmm_t(graphs[i], linalg.to_long(g)), wn.shape[1]), "atg")
+        atg = materialize(linalg.spmm_arrays(linalg.transpose(graphs[i]), g, wn.shape[1]), "atg")
         grads.append((_small_product(xs[i], atg, wn.shape), _small_product(xs[i], g, ws.shape)))
         if i:
             back = linalg.to_long(linalg.project(atg, wn.T)).unionByName(linalg.to_long(linalg.project(g, ws.T)))

@@ -206,5 +206,6 @@ def split_masks(nodes: DataFrame, ids: dict[str, DataFrame]) -> DataFrame:
 
 def batches_of(book: DataFrame, column: str) -> Iterator[DataFrame]:
     """A table for each batch number, in order; only the numbers come to the driver."""
-    for i in range((book.agg(F.max(column)).first()[0] or -1) + 1):
+    last = book.agg(F.max(column)).first()[0]
+    for i in range(0 if last is None else last + 1):
         yield book.where(F.col(column) == i)

@@ -5,6 +5,7 @@ Floating sums are rounded to six digits, as engines add in different orders."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from quiltgraph.operators import blocking, etl, linalg, model, partition, sampli
 from quiltgraph.operators.ranking import hash_text
 from quiltgraph.schema import HacsOptions
 from quiltgraph.sources import graphs
-from quiltgraph.storage import shared_path
+from quiltgraph.storage import materialize, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,17 +26,17 @@ K, SPLIT_SEED, SHUFFLE_SEED = 32, 7, 7
 HIDDEN, CLASSES, DIM = 16, 10, 64
 
 NORM = """
-deg AS (SELECT dst AS node_id, count(*) AS deg FROM e GROUP BY 1),
-edges AS (SELECT src, dst, CAST((1 / sqrt(a.deg::DOUBLE)) * (1 / sqrt(b.deg::DOUBLE)) AS FLOAT) AS weight
+deg AS MATERIALIZED (SELECT dst AS node_id, count(*) AS deg FROM e GROUP BY 1),
+edges AS MATERIALIZED (SELECT src, dst, CAST((1 / sqrt(a.deg::DOUBLE)) * (1 / sqrt(b.deg::DOUBLE)) AS FLOAT) AS weight
           FROM e JOIN deg a ON a.node_id = src JOIN deg b ON b.node_id = dst)"""
 G1 = f"""
 cnt AS (SELECT (SELECT count(*) FROM customer) AS nc, (SELECT count(*) FROM part) AS np),
 base AS (SELECT DISTINCT o_custkey AS u, nc + l_partkey AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey, cnt),
-nodes AS (SELECT c_custkey AS node_id FROM customer UNION ALL SELECT nc + p_partkey FROM part, cnt),
+nodes AS MATERIALIZED (SELECT c_custkey AS node_id FROM customer UNION ALL SELECT nc + p_partkey FROM part, cnt),
 e AS (SELECT u AS src, v AS dst FROM base WHERE u <> v UNION SELECT v, u FROM base WHERE u <> v UNION SELECT node_id, node_id FROM nodes),{NORM}"""
 G2 = f"""
 cnt AS (SELECT count(*) AS n FROM embeddings),
-base AS (SELECT DISTINCT o_custkey % n AS u, l_partkey % n AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey, cnt WHERE l_linenumber = 1),
+base AS (SELECT DISTINCT o_custkey % n AS u, l_partkey % n AS v FROM orders JOIN lineitem ON o_orderkey = l_orderkey, cnt),
 nodes AS (SELECT vec_id AS node_id, label FROM embeddings),
 e AS (SELECT u AS src, v AS dst FROM base WHERE u <> v UNION SELECT v, u FROM base WHERE u <> v UNION SELECT node_id, node_id FROM nodes),{NORM},
 x AS (SELECT vec_id AS node_id, generate_subscripts(embedding, 1) - 1 AS f, unnest(embedding)::DOUBLE AS value FROM embeddings)"""
@@ -46,6 +47,22 @@ offs AS (SELECT *, (sum(n_tiles) OVER (ORDER BY window_id) - n_tiles)::BIGINT AS
 SCORE = "(sum(CAST(trunc((CAST(1.0 AS FLOAT) + CAST(10.0 AS FLOAT) * abs(weight)) * CAST(1000.0 AS FLOAT)) AS INT)) + (16 - count(*)) * 1000)::BIGINT"
 
 
+#: The training split: 60 % of all nodes in seeded order; the others are evaluated.
+TRAIN = f"""
+ranked AS MATERIALIZED (SELECT node_id, row_number() OVER (ORDER BY md5(node_id::VARCHAR || '_{SPLIT_SEED}'), node_id) - 1 AS r FROM nodes),
+train AS (SELECT node_id FROM ranked WHERE r < floor(0.6 * (SELECT count(*) FROM nodes))),
+held AS (SELECT node_id FROM ranked WHERE r >= floor(0.6 * (SELECT count(*) FROM nodes)))"""
+
+
+def _train(nodes: DataFrame) -> DataFrame:
+    return _split(nodes).where("split = 'train'").select("node_id")
+
+
+def _split(nodes: DataFrame) -> DataFrame:
+    own = nodes.select("node_id")
+    return etl.random_split(own, own.count(), SPLIT_SEED)
+
+
 def topk_sql(edges: str, k: int) -> str:
     return f"""SELECT window_id, col, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, col) AS rank FROM (
@@ -113,25 +130,26 @@ def tiles_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.tiles_to_edges(_tiles(spark, sf_dir))
 
 
-@query(f"WITH {G1} SELECT node_id // 16 AS window_id, bit_or((1 << (node_id % 16))::INT) AS mask FROM nodes WHERE node_id % 7 = 0 GROUP BY 1")
+@query(f"WITH {G1}, {TRAIN} SELECT node_id // 16 AS window_id, bit_or((1 << (node_id % 16))::INT) AS mask FROM train GROUP BY 1")
 def frontier_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows and row masks of every seventh node as seeds."""
-    return sampling.active_windows(graphs.customer_part(spark, sf_dir)[1].where("node_id % 7 = 0"))
+    """Windows and row masks of the training split as seeds."""
+    return sampling.active_windows(_train(graphs.customer_part(spark, sf_dir)[1]))
 
 
-SEEDS = "seeds AS (SELECT DISTINCT node_id // 16 AS window_id FROM nodes WHERE node_id % 97 = 0)"
-HOP1 = f"h1 AS ({topk_sql('(SELECT * FROM edges WHERE src // 16 IN (SELECT window_id FROM seeds)) q', 8)})"
-HOP2 = f"w2 AS (SELECT DISTINCT col // 16 AS window_id FROM h1), h2 AS ({topk_sql('(SELECT * FROM edges WHERE src // 16 IN (SELECT window_id FROM w2)) q', 16)})"
+SEEDS = f"{TRAIN}, seeds AS MATERIALIZED (SELECT DISTINCT node_id // 16 AS window_id FROM train)"
+HOP1 = f"h1 AS MATERIALIZED ({topk_sql('(SELECT * FROM edges WHERE src // 16 IN (SELECT window_id FROM seeds)) q', 8)})"
+HOP2 = f"w2 AS (SELECT DISTINCT col // 16 AS window_id FROM h1), h2 AS MATERIALIZED ({topk_sql('(SELECT * FROM edges WHERE src // 16 IN (SELECT window_id FROM w2)) q', 16)})"
 
 
 def _layers(spark: SparkSession, sf_dir: str):
     edges, nodes = graphs.customer_part(spark, sf_dir)
-    return sampling.sample_layers(edges, nodes.where("node_id % 97 = 0"), (16, 8))
+    # The edges are read twice in each hop.
+    return sampling.sample_layers(materialize(edges, "edges"), _train(nodes), (16, 8))
 
 
 @query(f"WITH {G1}, {SEEDS}, {HOP1} SELECT src // 16 AS window_id, src, dst, weight FROM edges JOIN h1 ON window_id = src // 16 AND col = dst")
 def sample_hop1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of the output layer: 8 columns for each window of every 97th node."""
+    """Edges of the output layer: 8 columns for each window of the training split."""
     return _layers(spark, sf_dir)[1].edges
 
 
@@ -153,23 +171,22 @@ def transposed_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.transposed_coo(_layers(spark, sf_dir)[1].edges)
 
 
-@query(f"WITH {G1}, {SEEDS}, a AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS idx FROM seeds) SELECT node_id, idx * 16 + node_id % 16 AS row FROM nodes JOIN a ON a.window_id = node_id // 16 WHERE node_id % 97 = 0")
+@query(f"WITH {G1}, {SEEDS}, a AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS idx FROM seeds) SELECT node_id, idx * 16 + node_id % 16 AS row FROM nodes JOIN a ON a.window_id = node_id // 16 WHERE node_id IN (SELECT node_id FROM train)")
 def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = graphs.customer_part(spark, sf_dir)[1].where("node_id % 97 = 0")
+    nodes = _train(graphs.customer_part(spark, sf_dir)[1])
     return sampling.seed_rows(nodes, sampling.active_windows(nodes))
 
 
 @query(f"WITH {G2} SELECT src AS node_id, f, round(sum(weight * value), 6) AS value FROM edges JOIN x ON node_id = dst GROUP BY 1, 2")
 def spmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    return _rounded(linalg.spmm(edges, linalg.to_long(nodes)))
+    return _rounded(linalg.to_long(linalg.spmm_arrays(edges, nodes, DIM)))
 
 
-@query(f"WITH {G2}, d AS (SELECT src, dst, weight FROM edges WHERE src <= dst) SELECT dst AS node_id, f, round(sum(weight * value), 6) AS value FROM d JOIN x ON node_id = src GROUP BY 1, 2")
+@query(f"WITH {G2} SELECT dst AS node_id, f, round(sum(weight * value), 6) AS value FROM edges JOIN x ON node_id = src GROUP BY 1, 2")
 def spmm_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The transpose of the upper triangle, so that it differs from the matrix itself."""
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    return _rounded(linalg.spmm_t(edges.where("src <= dst"), linalg.to_long(nodes)))
+    return _rounded(linalg.to_long(linalg.spmm_arrays(linalg.transpose(edges), nodes, DIM)))
 
 
 def _rounded(long: DataFrame) -> DataFrame:
@@ -243,8 +260,7 @@ def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {G2}, o AS (SELECT node_id, row_number() OVER (ORDER BY md5(node_id::VARCHAR || '_{SPLIT_SEED}'), node_id) - 1 AS r FROM nodes) SELECT node_id, CASE WHEN r < floor(0.6 * n) THEN 'train' WHEN r < floor(0.6 * n) + floor(0.2 * n) THEN 'val' ELSE 'test' END AS split FROM o, cnt")
 def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = graphs.embedding_graph(spark, sf_dir)[1].select("node_id")
-    return etl.random_split(nodes, nodes.count(), SPLIT_SEED)
+    return _split(graphs.embedding_graph(spark, sf_dir)[1])
 
 
 HACS = """
@@ -306,39 +322,56 @@ def partition_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.partition_slice(partition.reorder(edges, mapping), partitions, (0, 2))
 
 
-RATIO = 0.5
-HALO = f"""inside AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS local_id, true AS internal FROM nodes WHERE node_id // 16 % 4 = 1),
-outs AS (SELECT DISTINCT dst AS node_id FROM edges WHERE src // 16 % 4 = 1 AND dst // 16 % 4 <> 1),
-kept AS (SELECT node_id FROM (SELECT node_id, row_number() OVER (ORDER BY md5(node_id::VARCHAR || '_{SHUFFLE_SEED}'), node_id) AS r FROM outs) WHERE r <= floor({RATIO} * (SELECT count(*) FROM inside))),
-local AS (SELECT * FROM inside UNION ALL SELECT node_id, (SELECT count(*) FROM inside) + row_number() OVER (ORDER BY node_id) - 1, false FROM kept),
-h AS (SELECT a.local_id AS src, b.local_id AS dst, weight FROM edges JOIN inside a ON a.node_id = src JOIN local b ON b.node_id = dst)"""
+RATIO, PART_COUNT = 5.0, 4
+HALO = f"""placed AS MATERIALIZED (SELECT node_id, node_id // 16 * {PART_COUNT} // ((SELECT count(*) FROM nodes) + 15 >> 4) AS part FROM nodes),
+inside AS (SELECT part, node_id, row_number() OVER (PARTITION BY part ORDER BY node_id) - 1 AS local_id, true AS internal FROM placed),
+sizes AS (SELECT part, count(*) AS n FROM placed GROUP BY 1),
+outs AS (SELECT DISTINCT a.part, dst AS node_id FROM edges JOIN placed a ON a.node_id = src JOIN placed b ON b.node_id = dst WHERE a.part <> b.part),
+kept AS (SELECT part, node_id FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5(node_id::VARCHAR || '_{SHUFFLE_SEED}'), node_id) AS r FROM outs) JOIN sizes USING (part) WHERE r <= floor({RATIO} * n)),
+local AS MATERIALIZED (SELECT * FROM inside UNION ALL SELECT part, node_id, n + row_number() OVER (PARTITION BY part ORDER BY node_id) - 1, false FROM kept JOIN sizes USING (part)),
+h AS (SELECT a.part, a.local_id AS src, b.local_id AS dst, weight FROM edges JOIN inside a ON a.node_id = src JOIN local b ON b.node_id = dst AND b.part = a.part)"""
+
+
+def _windows_by_part(nodes: DataFrame) -> list[DataFrame]:
+    """The windows of each of PART_COUNT ranges that together are the whole graph."""
+    n = -(-nodes.count() // 16)
+    placed = nodes.select(F.expr("node_id div 16").alias("window_id")).distinct().withColumn("part", F.expr(f"window_id * {PART_COUNT} div {n}"))
+    return [placed.where(F.col("part") == k).select("window_id") for k in range(PART_COUNT)]
+
+
+def _union(of: Callable[[int], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (of(k).withColumn("part", F.lit(k).cast("bigint")) for k in range(PART_COUNT)))
 
 
-def _halo(spark: SparkSession, sf_dir: str):
+def _halos(spark: SparkSession, sf_dir: str) -> list:
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    chosen = nodes.select(F.expr("node_id div 16").alias("window_id")).where("window_id % 4 = 1").distinct()
-    return sampling.halo(edges, chosen, nodes.count(), max_external_ratio=RATIO, seed=SHUFFLE_SEED)
+    edges, n = materialize(edges, "edges"), nodes.count()
+    return [sampling.halo(edges, wins, n, max_external_ratio=RATIO, seed=SHUFFLE_SEED) for wins in _windows_by_part(nodes)]
 
 
 @query(f"WITH {G2}, {HALO} SELECT * FROM local")
 def halo_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fourth window with at most half as many neighbours outside."""
-    return _halo(spark, sf_dir).nodes
+    """Each of four parts, which are the whole graph, with at most five times as many neighbours outside."""
+    halos = _halos(spark, sf_dir)
+    return _union(lambda k: halos[k].nodes)
 
 
 @query(f"WITH {G2}, {HALO} SELECT * FROM h")
 def halo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _halo(spark, sf_dir).edges
+    halos = _halos(spark, sf_dir)
+    return _union(lambda k: halos[k].edges)
 
 
-@query(f"WITH {G2}, {HALO} SELECT * FROM h WHERE dst < (SELECT count(*) FROM inside)")
+@query(f"WITH {G2}, {HALO} SELECT h.* FROM h JOIN sizes USING (part) WHERE dst < n")
 def inner_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.inner(_halo(spark, sf_dir))
+    halos = _halos(spark, sf_dir)
+    return _union(lambda k: sampling.inner(halos[k]))
 
 
-@query(f"WITH {G1}, w AS (SELECT DISTINCT node_id // 16 AS window_id FROM nodes WHERE node_id % 5 = 0) SELECT (row_number() OVER (ORDER BY window_id) - 1) // 12 AS part_id, window_id FROM w")
+@query(f"WITH {G1}, {TRAIN}, w AS (SELECT DISTINCT node_id // 16 AS window_id FROM held) SELECT (row_number() OVER (ORDER BY window_id) - 1) // 12 AS part_id, window_id FROM w")
 def eval_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.eval_book(graphs.customer_part(spark, sf_dir)[1].where("node_id % 5 = 0"), 12)
+    """The windows of all nodes that aren't for training."""
+    return partition.eval_book(_split(graphs.customer_part(spark, sf_dir)[1]).where("split <> 'train'"), 12)
 
 
 @query(f"WITH {G1}, r AS (SELECT node_id, row_number() OVER (ORDER BY md5(node_id::VARCHAR || '_{SHUFFLE_SEED}'), node_id) - 1 AS r FROM nodes), p AS (SELECT node_id, r // 160 AS pool, row_number() OVER (PARTITION BY r // 160 ORDER BY node_id) - 1 AS p FROM r) SELECT pool * 5 + p // 32 AS batch_id, node_id FROM p")
@@ -351,11 +384,11 @@ def partition_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.partition_batches(graphs.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("part_id")), 3, SHUFFLE_SEED)
 
 
-@query(f"WITH {G1}, {WINCOLS} SELECT count(*) AS n_windows, sum(n_tiles)::BIGINT AS n_tiles, (sum(n_tiles) * 128)::BIGINT AS n_values, (sum(n_tiles) * 8)::BIGINT AS n_cols FROM offs WHERE window_id % 3 = 0")
+@query(f"WITH {G1}, {TRAIN}, {WINCOLS} SELECT count(*) AS n_windows, sum(n_tiles)::BIGINT AS n_tiles, (sum(n_tiles) * 128)::BIGINT AS n_values, (sum(n_tiles) * 8)::BIGINT AS n_cols FROM offs WHERE window_id IN (SELECT node_id // 16 FROM train)")
 def window_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.customer_part(spark, sf_dir)
     wins = blocking.windows(blocking.window_cols(edges), -(-nodes.count() // 16))
-    return partition.window_loads(wins, wins.where("window_id % 3 = 0"))
+    return partition.window_loads(wins, _train(nodes).select(F.expr("node_id div 16").alias("window_id")))
 
 
 @query("WITH g AS (SELECT c_nationkey::BIGINT AS graph_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS local_id, c_custkey FROM customer), s AS (SELECT graph_id, (sum(count(*)) OVER (ORDER BY graph_id) - count(*))::BIGINT AS start FROM g GROUP BY 1) SELECT graph_id, local_id, c_custkey, start + local_id AS node_id, CASE WHEN graph_id < 20 THEN 'train' WHEN graph_id < 22 THEN 'val' ELSE 'test' END AS split FROM g JOIN s USING (graph_id)")
@@ -397,14 +430,16 @@ def dps_book(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.window_batches(graphs.customer_part(spark, sf_dir)[1].where("node_id % 3 <> 0"), 256, seed=SHUFFLE_SEED)
+    return partition.window_batches(_train(graphs.customer_part(spark, sf_dir)[1]), 256, seed=SHUFFLE_SEED)
 
 
 @query()
 def dps_online(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each of four parts, which are the whole graph, what its probe reaches, repacked."""
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    seeds = nodes.select(F.expr("node_id div 16").alias("window_id")).where("window_id < 2").distinct()
-    return sampling.dps_online(edges, seeds, nodes.count()).nodes
+    edges, n = materialize(edges, "edges"), nodes.count()
+    found = [sampling.dps_online(edges, wins, n).nodes for wins in _windows_by_part(nodes)]
+    return _union(lambda k: found[k])
 
 
 @query()

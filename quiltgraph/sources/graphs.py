@@ -32,10 +32,10 @@ def customer_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 
 def embedding_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """G2, (edges, nodes): embeddings as features and labels; edges from first order lines, modulo their number."""
+    """G2, (edges, nodes): embeddings as features and labels; edges from order lines, modulo their number."""
     nodes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("features"), F.col("label").cast("bigint").alias("label"))
     n = nodes.count()
-    pairs = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem").where("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % n).alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    pairs = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % n).alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
     return prepare(pairs, nodes), nodes
 
 

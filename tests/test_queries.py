@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from quiltgraph.operators import linalg, partition
 from quiltgraph.plans import queries
 
 
@@ -30,7 +31,20 @@ def test_counts_of_canonical_graphs(spark, tiny):
     assert (nodes.count(), edges.count()) == (350, 11_114)
     assert queries.topk_columns(spark, tiny).count() == 704
     edges, nodes = queries.graphs.embedding_graph(spark, tiny)
-    assert (nodes.count(), edges.count()) == (500, 2_200)
+    assert (nodes.count(), edges.count()) == (500, 10_478)
+
+
+def test_wide_arrays_are_summed_in_slices(spark, monkeypatch):
+    rows = spark.createDataFrame([(k % 3, [float(i * k) for i in range(7)]) for k in range(9)], "node_id bigint, features array<double>")
+    want = {k: [float(i * (3 * k + 9)) for i in range(7)] for k in range(3)}
+    for size in (128, 3):
+        monkeypatch.setattr(linalg, "SLICE", size)
+        assert {r["node_id"]: r["features"] for r in linalg.sum_arrays(rows, "node_id", 7).collect()} == want
+
+
+def test_batches_of_a_book(spark):
+    books = [spark.createDataFrame([(b, b) for b in ids], "batch_id int, window_id int") for ids in ([], [0], [0, 1, 1])]
+    assert [[b.count() for b in partition.batches_of(book, "batch_id")] for book in books] == [[], [1], [1, 2]]
 
 
 def test_entry_points():
