@@ -27,7 +27,7 @@ SLICE = 128
 
 def sum_arrays(rows: DataFrame, key: str, width: int, column: str = "features") -> DataFrame:
     """(key, array): the sums of the arrays, entry by entry.  A row stays a row: tasks sum it in place, before the shuffle."""
-    entries = lambda n: [F.sum(F.col(column)[i]).alias(f"s{i}") for i in range(n)]
+    entries = lambda n: [F.sum(F.get(column, F.lit(i))).alias(f"s{i}") for i in range(n)]
     packed = lambda n: F.array(*[F.col(f"s{i}") for i in range(n)])
     if width <= SLICE:
         return rows.groupBy(key).agg(*entries(width)).select(key, packed(width).alias(column))
