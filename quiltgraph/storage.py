@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    set as the checkpoint folder once and used from then on.
+    Where a local session names none (tests on one machine) a temporary folder
+    is set as the checkpoint folder once and used from then on.  On a cluster
+    there is no such folder, so a session that names none is refused.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith(("local[", "local:")) and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='quiltgraph-')}")
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
