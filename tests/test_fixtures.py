@@ -248,10 +248,10 @@ def test_storage(spark, edges, tmp_path, tiny):
     io.save_bundle(bundle, str(tmp_path / "b"))
     again = io.load_bundle(spark, str(tmp_path / "b"))
     assert io.summary(again) == io.summary(bundle) and again.meta == bundle.meta
-    assert io.summary(bundle)["edges"] == 2200 and bundle.num_classes == 10
+    assert io.summary(bundle)["edges"] == 10478 and bundle.num_classes == 10
     (tmp_path / "c.yaml").write_text("source: tables\npath: " + str(tmp_path / "b") + "\ndirected: true\n")
     config = io.load_config(spark, str(tmp_path / "c.yaml"))
-    assert graphs.load(spark, config).edges.count() == 2200
+    assert graphs.load(spark, config).edges.count() == 10478
     assert io.dataset_key(config) == io.dataset_key(config | {"epochs": 3}) != io.dataset_key(config | {"seed": 1})
     with pytest.raises(ValueError, match="unknown source"):
         graphs.load(spark, {"source": "none"})
