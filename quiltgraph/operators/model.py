@@ -7,28 +7,53 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.functions import metrics
 from quiltgraph.operators import linalg
 from quiltgraph.schema import GraphBundle
 from quiltgraph.storage import materialize
 
+# The coefficients of Abramowitz and Stegun 7.1.26, which gives erf to 1.5e-7.
+ERF_SCALE = 0.3275911
+ERF_TERMS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
+def normal_cdf(x: np.ndarray) -> np.ndarray:
+    z = np.abs(x) / np.sqrt(2)
+    t = 1 / (1 + ERF_SCALE * z)
+    tail = sum(c * t ** (k + 1) for k, c in enumerate(ERF_TERMS)) * np.exp(-z * z)
+    return np.where(x < 0, tail, 2 - tail) / 2
+
+
+#: Each activation with its slope.
 ACTIVATIONS: dict[str, Callable] = {
     "relu": lambda x: np.maximum(x, 0),
     "elu": lambda x: np.where(x > 0, x, np.expm1(np.minimum(x, 0))),
-    "gelu": lambda x: 0.5 * x * (1 + np.tanh(np.sqrt(2 / np.pi) * (x + 0.044715 * x**3))),
+    "gelu": lambda x: x * normal_cdf(x),
     "none": lambda x: x,
 }
+SLOPES: dict[str, Callable] = {
+    "relu": lambda x: (x > 0).astype(float),
+    "elu": lambda x: np.where(x > 0, 1.0, np.exp(np.minimum(x, 0))),
+    "gelu": lambda x: normal_cdf(x) + x * np.exp(-x * x / 2) / np.sqrt(2 * np.pi),
+    "none": np.ones_like,
+}
+
+Weights = list[tuple[np.ndarray, ...]]
 
 
 @dataclass
 class GraphModel:
-    """Layers of (neighbour weights, self weights); residual projections where widths differ."""
+    """Layers of (neighbour weights, self weights); residual projections where widths differ.
+
+    norms: (gain, bias) of a hidden layer's norm; layers without an entry use 1 and 0.
+    """
 
     layers: list[tuple[np.ndarray, np.ndarray]]
     activation: str = "relu"
@@ -36,6 +61,7 @@ class GraphModel:
     residual: bool = False
     dropout: float = 0.0
     projections: dict[int, np.ndarray] = field(default_factory=dict)
+    norms: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @classmethod
     def init(cls, widths: list[int], seed: int = 0, **options) -> GraphModel:
@@ -46,8 +72,23 @@ class GraphModel:
         model = cls([(xavier(a, b), xavier(a, b)) for a, b in pairs], **options)
         if model.residual:
             model.projections = {i: rng.uniform(-1, 1, p) * np.sqrt(3 / p[0]) for i, p in enumerate(pairs[:-1]) if p[0] != p[1]}
+        if model.layer_norm:
+            model.norms = {i: (np.ones(b), np.zeros(b)) for i, (_, b) in enumerate(pairs[:-1])}
         return model
 
+    def weights(self) -> Weights:
+        """What training changes, for each layer: neighbour, self, then the projection, gain and bias that it has."""
+        extra = lambda i: ((self.projections[i],) if self.residual and i in self.projections else ()) + (self.norms[i] if self.layer_norm and i in self.norms else ())
+        return [(*pair, *extra(i)) for i, pair in enumerate(self.layers)]
+
+    def set_weights(self, weights: Weights) -> None:
+        self.layers = [(w[0], w[1]) for w in weights]
+        for i, (_, _, *rest) in enumerate(weights):
+            if self.residual and i in self.projections:
+                self.projections[i] = rest.pop(0)
+            if rest:
+                self.norms[i] = (rest[0], rest[1])
+
 
 def _rows(df: DataFrame, fn: Callable[[np.ndarray, np.ndarray], np.ndarray], column: str = "features") -> DataFrame:
     """(node_id, features) with features = fn(features, ids), batch by batch."""
@@ -74,6 +115,54 @@ def uniform(ids: np.ndarray, width: int, epoch: int, layer: int) -> np.ndarray:
     return (x ^ x >> np.uint64(31)) / 2.0**64
 
 
+def _convolve(model: GraphModel, i: int, graph: DataFrame, h: DataFrame) -> DataFrame:
+    """(node_id, features): layer i before its activation, with its residual."""
+    wn, ws = model.layers[i]
+    out = linalg.sage_conv(graph, h, wn, ws)
+    if model.residual and i < len(model.layers) - 1:
+        before = linalg.project(h, model.projections[i]) if i in model.projections else h.select("node_id", F.transform("features", lambda v: v.cast("double")).alias("features"))
+        out = linalg.sum_arrays(out.unionByName(before), "node_id", wn.shape[1])
+    return out
+
+
+def _gate(model: GraphModel, ids: np.ndarray, width: int, epoch: int | None, i: int) -> np.ndarray | float:
+    """What dropout multiplies layer i by: on only if there is an epoch."""
+    if epoch is None or not model.dropout:
+        return 1.0
+    return (uniform(ids, width, epoch, i) >= model.dropout) / (1 - model.dropout)
+
+
+def _finish(model: GraphModel, i: int, z: np.ndarray, ids: np.ndarray, epoch: int | None) -> np.ndarray:
+    """A hidden layer's activation, norm and dropout."""
+    x = ACTIVATIONS[model.activation](z)
+    if model.layer_norm:
+        gain, bias = model.norms.get(i, (1.0, 0.0))
+        x = layer_norm(x) * gain + bias
+    return x * _gate(model, ids, x.shape[1], epoch, i)
+
+
+def _finish_back(model: GraphModel, i: int, z: np.ndarray, g: np.ndarray, ids: np.ndarray, epoch: int | None, eps: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+    """The gradient of z from that of the finished layer; and for each row, what it adds to those of gain and bias."""
+    g = g * _gate(model, ids, g.shape[1], epoch, i)
+    own = np.zeros((len(g), 0))
+    if model.layer_norm:
+        x = ACTIVATIONS[model.activation](z)
+        x = x - x.mean(1, keepdims=True)
+        spread = np.sqrt((x * x).mean(1, keepdims=True) + eps)
+        x = x / spread
+        own = np.concatenate([g * x, g], 1)
+        g = g * model.norms.get(i, (1.0, 0.0))[0]
+        g = (g - g.mean(1, keepdims=True) - x * (g * x).mean(1, keepdims=True)) / spread
+    return g * SLOPES[model.activation](z), own
+
+
+def _graphs(model: GraphModel, edges: DataFrame | list[DataFrame]) -> list[DataFrame]:
+    graphs = edges if isinstance(edges, list) else [edges] * len(model.layers)
+    if len(graphs) != len(model.layers):
+        raise ValueError(f"{len(graphs)} graphs for {len(model.layers)} layers")
+    return graphs
+
+
 def forward(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, *, epoch: int | None = None) -> DataFrame:
     """(node_id, features): logits.  One edge table for all layers, or one for each.
 
@@ -83,34 +172,33 @@ def forward(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFr
     read up to three times by the next, so it is written once to the shared
     folder: the work grows with the number of layers, not as its power.
     """
-    graphs = edges if isinstance(edges, list) else [edges] * len(model.layers)
-    if len(graphs) != len(model.layers):
-        raise ValueError(f"{len(graphs)} graphs for {len(model.layers)} layers")
-    h, act, drop = nodes.select("node_id", "features"), ACTIVATIONS[model.activation], model.dropout
-    for i, ((wn, ws), graph) in enumerate(zip(model.layers, graphs, strict=True)):
-        out = linalg.sage_conv(graph, h, wn, ws)
+    h = nodes.select("node_id", "features")
+    for i, graph in enumerate(_graphs(model, edges)):
+        h = _convolve(model, i, graph, h)
         if i < len(model.layers) - 1:
-            if model.residual:
-                before = linalg.project(h, model.projections[i]) if i in model.projections else h
-                out = linalg.sum_arrays(out.unionByName(before), "node_id", wn.shape[1])
-
-            def finish(x: np.ndarray, ids: np.ndarray, i: int = i) -> np.ndarray:
-                x = act(x)
-                x = layer_norm(x) if model.layer_norm else x
-                if epoch is not None and drop:
-                    x = x * (uniform(ids, x.shape[1], epoch, i) >= drop) / (1 - drop)
-                return x
-
-            out = materialize(_rows(out, finish), "layer")
-        h = out
+            h = materialize(_rows(h, lambda z, ids, i=i: _finish(model, i, z, ids, epoch)), "layer")
     return h
 
 
+def infer(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame) -> DataFrame:
+    """Logits as evaluation takes them: without dropout and without residuals."""
+    return forward(replace(model, residual=False), edges, nodes)
+
+
+def hits(logits: DataFrame, labels: DataFrame) -> tuple[int, int]:
+    """Correct predictions and their number over labels (node_id, label), by argmax; for an array column labels, over its elements, by sign."""
+    both = logits.select("node_id", F.col("features").alias("logits"))
+    if "labels" in labels.columns:
+        row = metrics.bce_with_logits(both.join(labels.select("node_id", "labels"), "node_id")).first()
+    else:
+        row = metrics.cross_entropy(both.join(labels.select("node_id", "label"), "node_id")).first()
+    return row["correct"] or 0, row["total"] or 0
+
+
 def evaluate(logits: DataFrame, labels: DataFrame) -> float:
-    """Argmax accuracy over labels (node_id, label)."""
-    both = logits.select("node_id", F.col("features").alias("logits")).join(labels.select("node_id", "label"), "node_id")
-    hit = (F.array_position("logits", F.array_max("logits")) - 1 == F.col("label")).cast("int")
-    return float(both.agg(F.avg(hit)).first()[0] or 0.0)
+    """Accuracy over labels, see hits."""
+    right, total = hits(logits, labels)
+    return right / max(total, 1)
 
 
 def _small_product(left: DataFrame, right: DataFrame, shape: tuple[int, int]) -> np.ndarray:
@@ -131,49 +219,87 @@ def _small_product(left: DataFrame, right: DataFrame, shape: tuple[int, int]) ->
     return out.reshape(shape)
 
 
-def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, train: DataFrame) -> tuple[float, int, int, list[tuple[np.ndarray, np.ndarray]]]:
-    """Mean cross-entropy over train (node_id, label), hits, count, and gradients, for relu layers without norm and residual.
+def _softmax_loss(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cross-entropy of each row, its gradient, and whether the largest logit is right."""
+    p = np.exp(x - x.max(1, keepdims=True))
+    total = p.sum(1)
+    at = np.arange(len(y))
+    ce, ok = np.log(total) - (x[at, y] - x.max(1)), x.argmax(1) == y
+    p /= total[:, None]
+    p[at, y] -= 1
+    return ce, p, ok.astype(int)
+
+
+def _sign_loss(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for independent labels: sums over a row's elements of binary cross-entropy and hits."""
+    bce = np.maximum(x, 0) - x * y + np.log1p(np.exp(-np.abs(x)))
+    return bce.sum(1), 1 / (1 + np.exp(-np.clip(x, -500, 500))) - y, ((x > 0) == (y > 0.5)).sum(1)
 
-    Backward of Y = A (X Wn) + X Ws: dWn = Xᵀ(Aᵀ G), dWs = Xᵀ G, dX = (Aᵀ G) Wnᵀ + G Wsᵀ.
+
+def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, train: DataFrame, *, epoch: int | None = None) -> tuple[float, int, int, Weights]:
+    """Mean loss over train, hits, count, and gradients in the form of model.weights().
+
+    train (node_id, label): softmax cross-entropy, counted in nodes.  With an
+    array column labels: binary cross-entropy, counted in elements.  Dropout
+    is on if an epoch is given.
+
+    Backward of Y = A (X Wn) + X Ws + X P: dWn = Xᵀ(Aᵀ G), dWs = Xᵀ G, dP = Xᵀ G,
+    dX = (Aᵀ G) Wnᵀ + G Wsᵀ + G Pᵀ.
     """
-    if model.activation not in ("relu", "none") or model.layer_norm or model.residual:
-        raise ValueError("gradients are for relu or linear layers without norm and residual")
-    graphs = edges if isinstance(edges, list) else [edges] * len(model.layers)
-    xs = [nodes.select("node_id", F.transform("features", lambda v: v.cast("double")).alias("features"))]
-    for i, ((wn, ws), graph) in enumerate(zip(model.layers, graphs, strict=True)):
-        out = linalg.sage_conv(graph, xs[-1], wn, ws)
-        if i < len(model.layers) - 1:
-            out = _rows(out, lambda x, _: ACTIVATIONS[model.activation](x))
-        xs.append(materialize(out, "layer"))
-    own = xs[-1].join(train.select("node_id", "label"), "node_id")
-    n = own.count()
-    if not n:
-        return 0.0, 0, 0, [(np.zeros_like(a), np.zeros_like(b)) for a, b in model.layers]
+    graphs, last = _graphs(model, edges), len(model.layers) - 1
+    h = nodes.select("node_id", F.transform("features", lambda v: v.cast("double")).alias("features"))
+    xs, zs = [h], []
+    for i, graph in enumerate(graphs):
+        out = _convolve(model, i, graph, xs[-1])
+        if i == last:
+            break
+        z = materialize(out, "layer")
+        zs.append(z)
+        xs.append(materialize(_rows(z, lambda v, ids, i=i: _finish(model, i, v, ids, epoch)), "layer"))
+    multi = "labels" in train.columns
+    label, each = ("labels", _sign_loss) if multi else ("label", _softmax_loss)
+    own = out.join(train.select("node_id", label), "node_id")
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                x, y = np.stack(pdf["features"].to_numpy()), pdf["label"].to_numpy()
-                p = np.exp(x - x.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                at = np.arange(len(y))
-                ce, ok = -np.log(p[at, y]), x.argmax(1) == y
-                p[at, y] -= 1
-                yield pd.DataFrame({"node_id": pdf["node_id"], "features": list(p / n), "ce": ce, "ok": ok.astype(int)})
-
-    g = materialize(own.mapInPandas(start, "node_id bigint, features array<double>, ce double, ok bigint"), "grad")
-    loss, ok = g.agg(F.avg("ce"), F.sum("ok")).first()
-    grads = []
-    for i in range(len(model.layers) - 1, -1, -1):
+                y = np.stack(pdf[label].to_numpy()).astype(float) if multi else pdf[label].to_numpy()
+                loss, g, ok = each(np.stack(pdf["features"].to_numpy()), y)
+                yield pd.DataFrame({"node_id": pdf["node_id"], "features": list(g), "loss": loss, "ok": ok, "n": g.shape[1] if multi else 1})
+
+    raw = materialize(own.mapInPandas(start, "node_id bigint, features array<double>, loss double, ok bigint, n bigint"), "grad")
+    loss, ok, n = raw.agg(F.sum("loss"), F.sum("ok"), F.sum("n")).first()
+    if not n:
+        return 0.0, 0, 0, [tuple(np.zeros_like(w) for w in layer) for layer in model.weights()]
+    g = raw.select("node_id", F.transform("features", lambda v: v / n).alias("features"))
+    grads: Weights = []
+    norm_grads: tuple[np.ndarray, ...] = ()
+    for i in range(last, -1, -1):
         wn, ws = model.layers[i]
+        projection = model.projections.get(i) if model.residual and i < last else None
         atg = materialize(linalg.spmm_arrays(linalg.transpose(graphs[i]), g, wn.shape[1]), "atg")
-        grads.append((_small_product(xs[i], atg, wn.shape), _small_product(xs[i], g, ws.shape)))
+        by_self = _small_product(xs[i], g, ws.shape)
+        grads.append((_small_product(xs[i], atg, wn.shape), by_self, *((by_self,) if projection is not None else ()), *norm_grads))
         if i:
-            back = linalg.to_long(linalg.project(atg, wn.T)).unionByName(linalg.to_long(linalg.project(g, ws.T)))
-            if model.activation == "relu":
-                back = back.join(linalg.to_long(xs[i]).where("value > 0").select("node_id", "f"), ["node_id", "f"], "left_semi")
-            g = materialize(linalg.to_arrays(back.groupBy("node_id", "f").agg(F.sum("value").alias("value")), wn.shape[0]), "grad")
-    return float(loss), int(ok), n, grads[::-1]
+            back = linalg.project(atg, wn.T).unionByName(linalg.project(g, (ws if projection is None else ws + projection).T))
+            if model.residual and i < last and projection is None:
+                back = back.unionByName(g.select("node_id", "features"))
+            both = linalg.sum_arrays(back, "node_id", wn.shape[0]).join(zs[i - 1].select("node_id", F.col("features").alias("z")), "node_id")
+
+            def through(batches: Iterator[pd.DataFrame], i: int = i - 1) -> Iterator[pd.DataFrame]:
+                for pdf in batches:
+                    if len(pdf):
+                        gz, own = _finish_back(model, i, np.stack(pdf["z"].to_numpy()), np.stack(pdf["features"].to_numpy()), pdf["node_id"].to_numpy(), epoch)
+                        yield pd.DataFrame({"node_id": pdf["node_id"], "features": list(gz), "own": list(own)})
+
+            g = materialize(both.mapInPandas(through, "node_id bigint, features array<double>, own array<double>"), "grad")
+            norm_grads = ()
+            if model.layer_norm and i - 1 in model.norms:
+                width = wn.shape[0]
+                total = linalg.sum_arrays(g.select(F.lit(0).alias("k"), "own"), "k", 2 * width, "own").first()
+                sums = np.array(total["own"]) if total else np.zeros(2 * width)
+                norm_grads = (sums[:width], sums[width:])
+    return float(loss) / n, int(ok), int(n), grads[::-1]
 
 
 class Adam:
@@ -182,17 +308,18 @@ class Adam:
     def __init__(self, rate: float = 1e-3, decay: float = 0.0, clip: float = 1.0):
         self.rate, self.decay, self.clip, self.t, self.m, self.v = rate, decay, clip, 0, None, None
 
-    def step(self, model: GraphModel, grads: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        flat = [g for pair in grads for g in pair]
+    def step(self, model: GraphModel, grads: Weights) -> None:
+        flat = [g for layer in grads for g in layer]
         length = np.sqrt(sum(float((g * g).sum()) for g in flat))
         flat = [g * min(1.0, self.clip / (length + 1e-6)) for g in flat]
-        weights = [w for pair in model.layers for w in pair]
+        layers = model.weights()
+        weights = [w for layer in layers for w in layer]
         flat = [g + self.decay * w for g, w in zip(flat, weights, strict=True)]
         self.m, self.v, self.t = self.m or [0 * g for g in flat], self.v or [0 * g for g in flat], self.t + 1
         self.m = [0.9 * m + 0.1 * g for m, g in zip(self.m, flat, strict=True)]
         self.v = [0.999 * v + 0.001 * g * g for v, g in zip(self.v, flat, strict=True)]
-        new = [w - self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8) for w, m, v in zip(weights, self.m, self.v, strict=True)]
-        model.layers = list(zip(new[::2], new[1::2], strict=True))
+        new = iter([w - self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8) for w, m, v in zip(weights, self.m, self.v, strict=True)])
+        model.set_weights([tuple(next(new) for _ in layer) for layer in layers])
 
 
 @dataclass
@@ -214,6 +341,7 @@ def save_weights(model: GraphModel, spark, path: str, **meta) -> None:
     """Weights as a table (layer, kind, row, col, value) and the options beside them."""
     rows = [(i, k, r, c, float(v)) for i, pair in enumerate(model.layers) for k, w in zip("ns", pair, strict=True) for (r, c), v in np.ndenumerate(w)]
     rows += [(i, "p", r, c, float(v)) for i, w in model.projections.items() for (r, c), v in np.ndenumerate(w)]
+    rows += [(i, "g", r, c, float(v)) for i, w in model.norms.items() for (r, c), v in np.ndenumerate(np.stack(w))]
     spark.createDataFrame(rows, "layer int, kind string, row int, col int, value double").coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
     options = {k: getattr(model, k) for k in ("activation", "layer_norm", "residual", "dropout")}
     spark.createDataFrame([(json.dumps(options | meta),)], "json string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
@@ -230,32 +358,49 @@ def load_weights(spark, path: str) -> tuple[GraphModel, dict]:
             found[key][r["row"], r["col"]] = r["value"]
     options = {k: meta.pop(k) for k in ("activation", "layer_norm", "residual", "dropout")}
     n = 1 + max(i for i, k in found if k == "n")
-    return GraphModel([(found[i, "n"], found[i, "s"]) for i in range(n)], projections={i: w for (i, k), w in found.items() if k == "p"}, **options), meta
+    return GraphModel([(found[i, "n"], found[i, "s"]) for i in range(n)], projections={i: w for (i, k), w in found.items() if k == "p"}, norms={i: (w[0], w[1]) for (i, k), w in found.items() if k == "g"}, **options), meta
+
+
+def targets(bundle: GraphBundle) -> DataFrame:
+    """The nodes with the one column of labels that their kind asks for: label, or labels if there are several for a node."""
+    nodes = bundle.nodes
+    if bundle.multi_label:
+        return nodes
+    if "label" not in nodes.columns and "labels" in nodes.columns:
+        nodes = nodes.withColumn("label", F.col("labels")[0].cast("bigint"))
+    return nodes.drop("labels")
+
+
+Batches = Callable[[int], Iterator[tuple[DataFrame | list[DataFrame], DataFrame, DataFrame]]]
 
 
-def train(bundle: GraphBundle, model: GraphModel, batches: Callable[[int], Iterator[tuple[DataFrame | list[DataFrame], DataFrame, DataFrame]]], *, epochs: int, eval_interval: int = 1, patience: int = 20, adam: Adam | None = None) -> list[dict]:
-    """Epochs over batches (edges, nodes, train nodes): full graph, sampled layers, parts or halo cut-outs alike.
+def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: int, eval_interval: int = 1, patience: int = 20, adam: Adam | None = None, weighted: bool = True, accuracy: Callable[[GraphModel], float] | None = None, plateau: bool = True) -> list[dict]:
+    """Epochs over batches (edges, nodes, train nodes), see operators/epochs.py.
 
-    The loss of an epoch is the mean over its batches, weighted by their
-    training nodes; batches without one are skipped.  Keeps the best weights
-    by validation accuracy and stops ``patience`` epochs after the best.
+    The loss of an epoch is the mean over its batches, weighted by what they
+    trained on, or plain if not weighted; batches without a train node are
+    skipped.  accuracy: the validation's, by default of the whole graph.
+    Keeps the best weights by it and stops ``patience`` epochs after the best.
     """
-    adam, plateau, best, log = adam or Adam(), Plateau(), (-1.0, 0, model.layers), []
+    adam, rates, best, log = adam or Adam(), Plateau(), (-1.0, 0, model.weights()), []
+    accuracy = accuracy or (lambda m: evaluate(infer(m, bundle.edges, bundle.nodes), targets(bundle).where("split = 'val'")))
     for epoch in range(1, epochs + 1):
-        loss = hits = total = 0
+        loss = right = total = share = 0
         for edges, nodes, own in batches(epoch):
-            part, ok, n, grads = loss_and_gradients(model, edges, nodes, own)
+            part, ok, n, grads = loss_and_gradients(model, edges, nodes, own, epoch=epoch)
             if n:
                 adam.step(model, grads)
-                loss, hits, total = loss + part * n, hits + ok, total + n
-        row = {"epoch": epoch, "loss": loss / max(total, 1), "train_acc": hits / max(total, 1), "val_acc": None}
+                weight = n if weighted else 1
+                loss, share, right, total = loss + part * weight, share + weight, right + ok, total + n
+        row = {"epoch": epoch, "loss": loss / max(share, 1), "train_acc": right / max(total, 1), "val_acc": None}
         if epoch % eval_interval == 0:
-            row["val_acc"] = evaluate(forward(model, bundle.edges, bundle.nodes), bundle.nodes.where("split = 'val'"))
-            plateau.step(row["val_acc"], adam)
+            row["val_acc"] = accuracy(model)
+            if plateau:
+                rates.step(row["val_acc"], adam)
             if row["val_acc"] > best[0]:
-                best = (row["val_acc"], epoch, list(model.layers))
+                best = (row["val_acc"], epoch, model.weights())
         log.append(row)
         if epoch - best[1] > patience:
             break
-    model.layers = best[2]
+    model.set_weights(best[2])
     return log
