@@ -5,6 +5,7 @@ Floating sums are rounded to six digits, as engines add in different orders."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,9 @@ from pyspark.sql import functions as F
 
 from quiltgraph.functions import metrics
 from quiltgraph.functions.formula import formula_weights
-from quiltgraph.operators import blocking, etl, linalg, model, partition, sampling
+from quiltgraph.operators import blocking, epochs, etl, linalg, model, partition, sampling
 from quiltgraph.operators.ranking import hash_text
-from quiltgraph.schema import HacsOptions
+from quiltgraph.schema import GraphBundle, HacsOptions
 from quiltgraph.sources import graphs
 from quiltgraph.storage import materialize, shared_path
 
@@ -455,3 +456,29 @@ def train_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bundle.nodes.where("split = 'train'")
     log = model.train(bundle, _model(), lambda epoch: iter([(bundle.edges, bundle.nodes, own)]), epochs=2, adam=model.Adam(0.01))
     return spark.createDataFrame([(r["epoch"], round(r["loss"], 6), r["train_acc"], r["val_acc"]) for r in log], "epoch int, loss double, train_acc double, val_acc double")
+
+
+def _one_epoch(spark: SparkSession, sf_dir: str, make: Callable) -> DataFrame:
+    """(epoch, loss, train_acc, val_acc) of one epoch from formula weights over the batches that make gives for the bundle."""
+    bundle = graphs.load(spark, {"source": "embedding", "path": sf_dir})
+    bundle = replace(bundle, edges=materialize(bundle.edges, "edges"), nodes=materialize(bundle.nodes, "nodes"))
+    batches, known = make(bundle)
+    log = model.train(bundle, _model(), batches, epochs=1, adam=model.Adam(0.01), **known)
+    return spark.createDataFrame([(r["epoch"], round(r["loss"], 6), r["train_acc"], r["val_acc"]) for r in log], "epoch int, loss double, train_acc double, val_acc double")
+
+
+@query()
+def train_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sampled layers of 10 and 10 columns for each window, batches of 1024 training nodes."""
+    return _one_epoch(spark, sf_dir, lambda b: (epochs.node_batches(b, [10, 10], 1024, seed=SHUFFLE_SEED), {"weighted": False}))
+
+
+@query()
+def train_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four ranges of the nodes, two of them in each batch."""
+
+    def make(b: GraphBundle) -> tuple[model.Batches, dict]:
+        order = b.nodes.select(F.col("node_id").alias("old"), F.col("node_id").alias("new"))
+        return epochs.part_batches(b, partition.range_parts(order, b.meta.num_rows, 4), 2, seed=SHUFFLE_SEED), {}
+
+    return _one_epoch(spark, sf_dir, make)
