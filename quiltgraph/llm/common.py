@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Maps bytes A-Z to a-z and leaves all others, those of longer characters too.
@@ -22,6 +23,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def open_store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path there; Hadoop writes file:/ for file:///."""
+    return pafs.FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file:///") else path)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null gives empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -7,16 +7,20 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quiltgraph.llm.common import WORD_BYTES, utf8
+from quiltgraph.llm.common import WORD_BYTES, open_store, utf8
+from quiltgraph.storage import shared_path
 
 #: Words of a window.
 WINDOW_WORDS = 10
@@ -24,6 +28,8 @@ WINDOW_WORDS = 10
 #: about 240 MB.  A larger benchmark is scanned by several automata, one after
 #: the other, and their hits are put together: exact at any size.
 AUTOMATON_BYTES = 1 << 20
+#: Benchmark text that one task divides into chunks, a row at a time.
+DIVIDED_BYTES = 64 << 20
 #: Windows of an item that go into one automaton; longer items are divided.
 ITEM_WINDOWS = 100_000
 #: A word's number is written in DIGITS digits of this base, the first from an
@@ -55,7 +61,19 @@ def _code(number: int) -> str:
 
 
 @functools.lru_cache(maxsize=1)
-def _automaton(items: tuple[tuple[str, bytes], ...], size: int) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
+def _read_automaton(folder: str, chunk: str, size: int) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
+    """_automaton of a chunk in the shared folder."""
+    files, path = open_store(f"{folder}/{chunk}")
+    rows = pq.read_table(path, filesystem=files, partitioning=None)
+    return _automaton(zip(rows.column("item").to_pylist(), rows.column("piece").to_pylist(), strict=True), size)
+
+
+def _chunk_names(folder: str) -> list[str]:
+    files, path = open_store(folder)
+    return sorted(f.base_name for f in files.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if f.type == pafs.FileType.Directory and f.base_name.startswith("chunk="))
+
+
+def _automaton(items: Iterable[tuple[str, bytes]], size: int) -> tuple[dict[bytes, str], ahocorasick.Automaton | None]:
     """The code of each word, and an automaton of windows in these codes, to (words, item ids).
 
     AUTOMATON_BYTES and ITEM_WINDOWS leave at most 2**20 different words.
@@ -112,18 +130,18 @@ def byte_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(at[a][0], at[b - 1][1]) for a, b in runs]
 
 
-def _scan_batches(df: DataFrame, text_at: int, schema, chunks: list, window: int, rows: Callable[[pa.RecordBatch, list[bytes], list], pa.RecordBatch]) -> DataFrame:
-    """mapInArrow with rows(batch, texts, scans), where scans has scan()'s result for each text and all chunks.
+def _scan_batches(df: DataFrame, text_at: int, schema, folder: str, window: int, rows: Callable[[pa.RecordBatch, list[bytes], list], pa.RecordBatch]) -> DataFrame:
+    """mapInArrow with rows(batch, texts, scans), where scans has scan()'s result for each text and all chunks in folder.
 
     With several chunks a task holds HELD_BYTES of texts, so that each
     automaton is built once for all of them.
     """
 
-    def scanned(held: list[tuple[pa.RecordBatch, list[bytes]]]) -> Iterator[pa.RecordBatch]:
+    def scanned(held: list[tuple[pa.RecordBatch, list[bytes]]], chunks: list[str]) -> Iterator[pa.RecordBatch]:
         texts = [t for _, some in held for t in some]
         found: list[tuple[int, list[tuple[int, int]], set[str]]] = []
         for k, chunk in enumerate(chunks):
-            codes, automaton = _automaton(chunk.value, window)
+            codes, automaton = _read_automaton(folder, chunk, window)
             for i, text in enumerate(texts):
                 n, runs, items = scan(text, codes, automaton)
                 if k == 0:
@@ -137,43 +155,56 @@ def _scan_batches(df: DataFrame, text_at: int, schema, chunks: list, window: int
             at += len(some)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunks = _chunk_names(folder)
         held: list[tuple[pa.RecordBatch, list[bytes]]] = []
         size = 0
         for batch in batches:
             held.append((batch, utf8(batch.column(text_at))))
             size += sum(map(len, held[-1][1]))
             if len(chunks) < 2 or size > HELD_BYTES:
-                yield from scanned(held)
+                yield from scanned(held, chunks)
                 held, size = [], 0
         if held:
-            yield from scanned(held)
+            yield from scanned(held, chunks)
 
     return df.mapInArrow(run, schema)
 
 
-def _pieces(text: bytes, size: int) -> Iterator[bytes]:
+def _pieces(text: bytes, size: int, most: int) -> Iterator[bytes]:
     """The text, or if it has many windows, pieces that have them all between them."""
     words = words_of(text)
-    if len(words) < ITEM_WINDOWS + size:
+    if len(words) < most + size:
         yield text
         return
-    for i in range(0, len(words) - size + 1, ITEM_WINDOWS):
-        yield b" ".join(words[i : i + ITEM_WINDOWS + size - 1])
+    for i in range(0, len(words) - size + 1, most):
+        yield b" ".join(words[i : i + most + size - 1])
+
 
+def _write_chunks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> str:
+    """Write the benchmark's items to the shared folder, in chunks of at most AUTOMATON_BYTES (or one longer item).
+
+    Returns the folder; a chunk is a folder in it.  Only the benchmark's size
+    comes to the driver.
+    """
+    most, windows = AUTOMATON_BYTES, ITEM_WINDOWS
+    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where(F.col("item").isNotNull() & F.col("text").isNotNull())
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, chunk, held = TaskContext.get().partitionId(), 0, 0
+        for batch in batches:
+            rows = []
+            for item, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
+                for piece in _pieces(text, size, windows):
+                    if held and held + len(piece) > most:
+                        chunk, held = chunk + 1, 0
+                    held += len(piece)
+                    rows.append({"item": item, "piece": piece, "chunk": f"{part:06d}-{chunk:06d}"})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("item", pa.string()), ("piece", pa.binary()), ("chunk", pa.string())]))
 
-def _chunks(benchmark: DataFrame, id_col: str, text_col: str, size: int) -> Iterator[tuple[tuple[str, bytes], ...]]:
-    """The benchmark's items in chunks of at most AUTOMATON_BYTES (or one longer item)."""
-    chunk, held = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    for item, text in rows.toLocalIterator(prefetchPartitions=False):
-        for piece in _pieces(text.encode(), size):
-            if chunk and held + len(piece) > AUTOMATON_BYTES:
-                yield tuple(chunk)
-                chunk, held = [], 0
-            chunk.append((item, piece))
-            held += len(piece)
-    if chunk:
-        yield tuple(chunk)
+    folder = shared_path(benchmark.sparkSession, "benchmark")
+    items.coalesce(-(-total // DIVIDED_BYTES) or 1).mapInArrow(divide, "item string, piece binary, chunk string").write.partitionBy("chunk").parquet(folder)
+    return folder
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
@@ -184,11 +215,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     same runs as byte ranges of the original text).  A null text has no words.
     An empty benchmark, or items that are null or have no words, hit nothing;
     items with equal windows are all reported; repeated documents each get
-    their row.  Several passes (see AUTOMATON_BYTES) are scanned within the
-    one task that reads the document, so nothing is shuffled.
+    their row.  The benchmark lies in the shared folder, and the task that reads
+    a document reads its chunks (see AUTOMATON_BYTES) one after the other, so
+    nothing is shuffled or broadcast.
     """
-    spark = docs.sparkSession
-    chunks = [spark.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col, window)]
+    folder = _write_chunks(benchmark, item_col, item_text_col, window)
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def as_pairs(spans: Iterator[list[tuple[int, int]]]) -> pa.Array:
@@ -206,7 +237,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
             names=["doc_id", "n_words", "hits", "item_ids", "spans"],
         )
 
-    return _scan_batches(docs.select(F.col(id_col), F.col(text_col)), 1, SCHEMA.format(id=docs.schema[id_col].dataType.simpleString()), chunks, window, rows)
+    return _scan_batches(docs.select(F.col(id_col), F.col(text_col)), 1, SCHEMA.format(id=docs.schema[id_col].dataType.simpleString()), folder, window, rows)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
@@ -214,12 +245,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
 
     Null and empty texts stay.
     """
-    chunks = [docs.sparkSession.sparkContext.broadcast(c) for c in _chunks(benchmark, item_col, item_text_col, window)]
+    folder = _write_chunks(benchmark, item_col, item_text_col, window)
 
     def clean(batch: pa.RecordBatch, texts: list[bytes], found: list) -> pa.RecordBatch:
         return batch.filter(pa.array([not runs for _, runs, _ in found], pa.bool_()))
 
-    return _scan_batches(docs, docs.columns.index(text_col), docs.schema, chunks, window, clean)
+    return _scan_batches(docs, docs.columns.index(text_col), docs.schema, folder, window, clean)
 
 
 def digest(found: DataFrame) -> DataFrame:

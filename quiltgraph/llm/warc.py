@@ -11,10 +11,10 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quiltgraph.llm.common import open_store
 from quiltgraph.storage import shared_path
 
 #: Payloads from this size on that others equal are stored once.
@@ -46,11 +46,6 @@ def make_record(page: object, url: str | None, html: bytes, digest: str, refers_
     return "".join(["WARC/1.1\r\n", *(f"{k}: {v}\r\n" for k, v in fields.items()), "\r\n"]).encode() + block + END
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path and the path there; Hadoop writes file:/ for file:///."""
-    return pafs.FileSystem.from_uri(f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file:///") else path)
-
-
 def find_revisits(pages: DataFrame, least: int = LEAST_REVISIT_BYTES) -> DataFrame:
     """(page_id, digest, refers_to) of the pages (page_id, n, digest) that revisit another.
 
@@ -89,7 +84,7 @@ def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col:
     dealt = both.withColumn("at", F.pmod(F.xxhash64("page_id", "digest"), F.lit(archives)).cast("int")).repartitionById(archives, F.col("at")).sortWithinPartitions("at", "page_id", "digest", "order", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(f"{path}/records")
+        store, folder = open_store(f"{path}/records")
         sink = own = name = None
         offset, revisit = 0, (None, None, None)
 
@@ -167,7 +162,7 @@ def read_warc(index: DataFrame, path: str) -> DataFrame:
         return None if urn is None or (name := urn[len("<urn:x-page:") : -1]) == "none" else name
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(f"{path}/records")
+        store, folder = open_store(f"{path}/records")
         for batch in batches:
             by_archive: dict[str, list[tuple[int, int]]] = {}
             for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):

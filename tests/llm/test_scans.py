@@ -71,6 +71,18 @@ def test_contamination_of_odd_rows(spark, odd, odd_rows, none, monkeypatch):
     assert clean.count() == sum(not w[5] for w in want)
 
 
+def test_a_benchmark_of_several_automata(spark):
+    """Four megabytes of items go into chunks of one at most; a document with items of all of them has all of these."""
+    bench = spark.range(40_000).selectExpr("id AS item_id", "concat_ws(' ', transform(sequence(1, 14), k -> concat('w', cast(id * 14 + k AS string)))) AS text")
+    folder = decontaminate._write_chunks(bench, "item_id", "text", 10)
+    sizes = [r["n"] for r in spark.read.parquet(folder).selectExpr("chunk", "octet_length(piece) AS n").groupBy("chunk").agg({"n": "sum"}).toDF("chunk", "n").collect()]
+    assert len(sizes) >= 4 and max(sizes) <= decontaminate.AUTOMATON_BYTES
+    docs = bench.where("item_id % 8000 = 5").selectExpr("'all' AS doc_id", "text").groupBy("doc_id").agg({"text": "collect_list"}).toDF("doc_id", "t").selectExpr("doc_id", "array_join(t, ' - ') AS text")
+    r = decontaminate.digest(decontaminate.find_contamination(docs, bench)).first()
+    assert (r["n_words"], r["n_hit"], r["n_items"]) == (70, 70, 5)
+    assert r["items_sha256"] == hashlib.sha256(",".join(sorted(map(str, range(5, 40_000, 8000)))).encode()).hexdigest()
+
+
 def test_spans_are_offsets_in_the_original(spark):
     text = "É Zwei, THE quick--brown fox; ende"
     docs = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
