@@ -101,8 +101,8 @@ def window_loads(windows: DataFrame, chosen: DataFrame, tile_rows: int = 16, til
 def fold_parts(loads: list[int], limit: int, base_step: int) -> list[list[int]]:
     """Positions of loads, in order, packed into parts.
 
-    A part grows by steps until it would pass the limit; its first step always
-    goes in.  A part under half full doubles the step, one over 85 % halves
+    A part grows by steps until it would pass the limit, and ends once it has
+    reached it; its first step always goes in.  A part under half full doubles the step, one over 85 % halves
     it, between a quarter and four times the base, from which each part starts.
     """
     parts, at = [], 0
@@ -113,11 +113,11 @@ def fold_parts(loads: list[int], limit: int, base_step: int) -> list[list[int]]:
             if not first and load + more > limit:
                 break
             end, load, first = min(end + step, len(loads)), load + more, False
-            if load < 0.5 * limit:
+            if load < int(0.5 * limit):
                 step = min(step * 2, base_step * 4)
-            elif load > 0.85 * limit:
+            elif load > int(0.85 * limit):
                 step = max(step // 2, base_step // 4, 1)
-            if load > limit:
+            if load >= limit:
                 break
         parts.append(list(range(at, end)))
         at = end
@@ -129,7 +129,11 @@ def _in_blocks(windows: DataFrame, seed: object, block: int) -> DataFrame:
 
 
 def dps_book(windows: DataFrame, seeds: DataFrame, *, limit: int, base_step: int = 10, cells: int = 128, seed: object = 7, block: int = BLOCK) -> DataFrame:
-    """(part_id, window_id): the windows of seeds (window_id) in shuffled order, packed by tiles * cells."""
+    """(part_id, window_id): the windows of seeds (window_id) in shuffled order, packed by tiles * cells.
+
+    A probe of one layer reads the seed windows alone, so what a part loads is
+    the sum over its windows, and the windows are what it keeps.
+    """
     own = _in_blocks(windows.join(seeds.select("window_id").distinct(), "window_id", "left_semi").select("window_id", "n_tiles"), seed, block)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -421,20 +421,55 @@ def split_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.split_masks(nodes, {"train": train, "val": nodes.where("node_id % 3 = 0")})
 
 
-@query()
+BOOK_LIMIT, BOOK_STEP, BATCH_NODES = 120_000, 10, 256
+
+
+def _order_sql(table: str) -> str:
+    return f"SELECT *, row_number() OVER (ORDER BY md5(window_id::VARCHAR || '_{SHUFFLE_SEED}'), window_id) AS i FROM {table}"
+
+
+#: Of each step: the part that is open, where it starts and ends, the next step, and what this step put into which part.
+BOOK = f"""o AS MATERIALIZED ({_order_sql('wins')}),
+upto AS MATERIALIZED (SELECT 0::BIGINT AS i, 0::BIGINT AS load UNION ALL SELECT i, (sum(n_tiles * 128) OVER (ORDER BY i))::BIGINT FROM o),
+size AS (SELECT max(i) AS n FROM upto),
+fold AS (
+  SELECT 0 AS part, 0::BIGINT AS first, 0::BIGINT AS past, {BOOK_STEP} AS step, -1 AS into_part, 0::BIGINT AS a, 0::BIGINT AS b
+  UNION ALL
+  SELECT part + shut::INT, CASE WHEN shut THEN upper ELSE first END, upper,
+    CASE WHEN shut THEN {BOOK_STEP} WHEN load < {BOOK_LIMIT // 2} THEN least(step * 2, {BOOK_STEP * 4}) WHEN load > {int(0.85 * BOOK_LIMIT)} THEN greatest(step // 2, {max(1, BOOK_STEP // 4)}) ELSE step END, part, past, upper
+  FROM (SELECT *, refused OR load >= {BOOK_LIMIT} AS shut, CASE WHEN refused THEN past ELSE wanted END AS upper
+    FROM (SELECT fold.*, y.i AS wanted, y.load - x.load AS load, past > first AND y.load - x.load > {BOOK_LIMIT} AS refused
+      FROM fold, size JOIN upto x ON x.i = first JOIN upto y ON y.i = least(past + step, n) WHERE past < n)))"""
+
+
+@query(f"WITH RECURSIVE {G1}, {WINCOLS}, {BOOK} SELECT into_part AS part_id, window_id FROM fold JOIN o ON o.i > a AND o.i <= b")
 def dps_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows packed by tiles: an ordered fold, which tests hold against the hand-made fixtures."""
+    """Windows packed by tiles: an ordered fold."""
     edges, nodes = graphs.customer_part(spark, sf_dir)
     wins = blocking.windows(blocking.window_cols(edges), -(-nodes.count() // 16))
-    return partition.dps_book(wins, wins, limit=120_000, seed=SHUFFLE_SEED)
+    return partition.dps_book(wins, wins, limit=BOOK_LIMIT, base_step=BOOK_STEP, seed=SHUFFLE_SEED)
 
 
-@query()
+@query(f"""WITH RECURSIVE {G1}, {TRAIN}, held_windows AS (SELECT node_id // 16 AS window_id, count(*) AS n FROM train GROUP BY 1),
+o AS MATERIALIZED ({_order_sql('held_windows')}),
+fold AS (SELECT i, 0 AS batch_id, n AS filled FROM o WHERE i = 1
+  UNION ALL SELECT o.i, batch_id + (filled >= {BATCH_NODES})::INT, CASE WHEN filled >= {BATCH_NODES} THEN n ELSE filled + n END FROM fold JOIN o ON o.i = fold.i + 1)
+SELECT batch_id, window_id FROM fold JOIN o USING (i)""")
 def window_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return partition.window_batches(_train(graphs.customer_part(spark, sf_dir)[1]), 256, seed=SHUFFLE_SEED)
+    return partition.window_batches(_train(graphs.customer_part(spark, sf_dir)[1]), BATCH_NODES, seed=SHUFFLE_SEED)
 
 
-@query()
+REACHED = f"""placed AS MATERIALIZED (SELECT node_id, node_id // 16 * {PART_COUNT} // ((SELECT count(*) FROM nodes) + 15 >> 4) AS part FROM nodes),
+own AS (SELECT DISTINCT part, node_id // 16 AS window_id FROM placed),
+best AS MATERIALIZED ({topk_sql('edges', 5)}),
+reached AS MATERIALIZED (SELECT part, window_id FROM own UNION SELECT part, col // 16 FROM own JOIN best USING (window_id)),
+inside AS MATERIALIZED (SELECT part, node_id, row_number() OVER (PARTITION BY part ORDER BY node_id) - 1 AS local_id, true AS internal FROM reached JOIN nodes ON node_id // 16 = window_id),
+sizes AS (SELECT part, count(*) AS n FROM inside GROUP BY 1),
+outs AS (SELECT part, dst AS node_id FROM edges JOIN reached ON window_id = src // 16 EXCEPT SELECT part, node_id FROM inside),
+kept AS (SELECT part, node_id FROM (SELECT *, row_number() OVER (PARTITION BY part ORDER BY md5(node_id::VARCHAR || '_{SHUFFLE_SEED}'), node_id) AS r FROM outs) JOIN sizes USING (part) WHERE r <= floor({RATIO} * n))"""
+
+
+@query(f"WITH {G2}, {REACHED} SELECT part, node_id, local_id, internal FROM inside UNION ALL SELECT part, node_id, n + row_number() OVER (PARTITION BY part ORDER BY node_id) - 1, false FROM kept JOIN sizes USING (part)")
 def dps_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each of four parts, which are the whole graph, what its probe reaches, repacked."""
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
