@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiltgraph.llm import decontaminate, licenses, media, packing, quality, sharding, simhash, suffixes, urls, warc
+from quiltgraph.llm import decontaminate, licenses, media, packing, quality, search, sharding, simhash, suffixes, urls, warc
 from quiltgraph.llm.common import read_table
 
 
@@ -57,9 +57,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.digest(warc.archive_pages(read_table(spark, sf_dir, "pages")))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_pack, op3_license_scan, op4_sniff_media, op5_shard, op6_simhash, op7_quality, op8_url_filter, op9_suffix_dedup, op10_warc)
+    f.__name__: f for f in (op1_decontaminate, op2_pack, op3_license_scan, op4_sniff_media, op5_shard, op6_simhash, op7_quality, op8_url_filter, op9_suffix_dedup, op10_warc, op11_search)
 }
 
 #: The others need hashes, trained models or formats that SQL lacks; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op8_url_filter": urls.oracle_sql(), "op10_warc": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_url_filter": urls.oracle_sql(), "op10_warc": warc.ORACLE_SQL, "op11_search": search.ORACLE_SQL}
