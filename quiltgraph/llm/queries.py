@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quiltgraph.llm import alignment, decontaminate, licenses, media, packing, quality, search, sharding, simhash, suffixes, urls, warc
+from quiltgraph.llm import alignment, credentials, decontaminate, licenses, media, packing, quality, search, sharding, simhash, suffixes, urls, warc
 from quiltgraph.llm.common import read_table
 
 
@@ -68,12 +68,16 @@ def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.rank_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op12_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.digest(credentials.find_secrets(read_table(spark, sf_dir, "documents")))
+
+
 def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment_report(read_table(spark, sf_dir, "documents"), (tokenizer_path(), piece_model_path()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_pack, op3_license_scan, op4_sniff_media, op5_shard, op6_simhash, op7_quality, op8_url_filter, op9_suffix_dedup, op10_warc, op11_search, op13_align)
+    f.__name__: f for f in (op1_decontaminate, op2_pack, op3_license_scan, op4_sniff_media, op5_shard, op6_simhash, op7_quality, op8_url_filter, op9_suffix_dedup, op10_warc, op11_search, op12_secrets, op13_align)
 }
 
 #: The others need hashes, trained models or formats that SQL lacks; tests hold them against brute force.

@@ -1,5 +1,6 @@
 """Token alignment against brute force over all token pairs, odd rows, and every way in which its work is cut."""
 
+import bisect
 import hashlib
 from collections import Counter
 
@@ -57,16 +58,11 @@ def plain(rows, both):
                 links.append((i, b[k][0]))
                 k += 1
         ends = sorted({e for _, _, e in a} & {e for _, _, e in b})
-        groups, start = [], 0
-        for end in ends:
-            groups.append("|".join(",".join(str(i) for i, low, high in side if start <= low and high <= end) for side in (a, b)) if len(ends) < 400 else None)
-            start = end
-        if None in groups:  # long texts: by bins
-            bins = [([], []) for _ in ends]
-            for s, side in enumerate((a, b)):
-                for i, _, high in side:
-                    bins[int(np.searchsorted(ends, high))][s].append(str(i))
-            groups = [f"{','.join(x)}|{','.join(y)}" for x, y in bins]
+        bins = [([], []) for _ in ends]
+        for s, side in enumerate((a, b)):
+            for i, _, high in side:
+                bins[bisect.bisect_left(ends, high)][s].append(str(i))
+        groups = [f"{','.join(x)}|{','.join(y)}" for x, y in bins]
         found.append((ident, a, b, links, ";".join(groups)))
         count.update(set(links))
     most: dict = {}
