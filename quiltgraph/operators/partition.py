@@ -1,13 +1,15 @@
 """Reordering, partitioning and batching of nodes and windows.
 
-Sequential packing runs within blocks of BLOCK windows in shuffled order, all
-blocks at once: as one pass for small graphs, in bounded tasks for large ones."""
+Sequential packing is done for all starts at once: where the next part begins
+depends on where this one does and on nothing else, so the next start of every
+place is computed first, and pointer doubling marks the places that are
+reached from the first one (see reached_starts)."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +18,6 @@ from quiltgraph.operators.ranking import number_by_id, number_rows, prefix_sum,
 from quiltgraph.schema import TILE_ROWS
 from quiltgraph.storage import materialize, remove
 
-BLOCK = 65536
-
 
 def rcm_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(old, new): reverse Cuthill-McKee.
@@ -98,78 +98,101 @@ def window_loads(windows: DataFrame, chosen: DataFrame, tile_rows: int = 16, til
     return found.agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_tiles").alias("n_tiles"), (F.sum("n_tiles") * tile_rows * tile_cols).alias("n_values"), (F.sum("n_tiles") * tile_cols).alias("n_cols"))
 
 
-def fold_parts(loads: list[int], limit: int, base_step: int) -> list[list[int]]:
-    """Positions of loads, in order, packed into parts.
+def reached_starts(jumps: DataFrame) -> DataFrame:
+    """(start): the places that jumps (start, next) reach from place 0, with 0 itself.
 
-    A part grows by steps until it would pass the limit, and ends once it has
-    reached it; its first step always goes in.  A part under half full doubles the step, one over 85 % halves
-    it, between a quarter and four times the base, from which each part starts.
+    start: distinct; next > start, or null where there is no next.  In round k
+    the table holds the 2**k-th next of each start, and what has been reached so far jumps on by as
+    much: the rounds are log2 of the number of starts reached.  Tables are
+    written in the shared folder and deleted as soon as the next ones are.
+    """
+    jumps = materialize(jumps.select("start", "next").where("next is not null"), "jumps")
+    reached = materialize(jumps.sparkSession.createDataFrame([(0,)], "start bigint"), "reached")
+    count = 1
+    while True:
+        more = materialize(reached.union(reached.join(jumps, "start").select(F.col("next").alias("start"))), "reached")
+        remove(reached)
+        reached, before, count = more, count, more.count()
+        if count == before:
+            remove(jumps)
+            return reached
+        on = jumps.select(F.col("start").alias("next"), F.col("next").alias("then"))
+        further = materialize(jumps.join(on, "next").select("start", F.col("then").alias("next")), "jumps")
+        remove(jumps)
+        jumps = further
+
+
+def _parts_from(placed: DataFrame, starts: DataFrame, out: str) -> DataFrame:
+    """(out, window_id) of placed (place, window_id): a part begins at each of starts (start), among which 0 is."""
+    marked = placed.join(starts.select(F.col("start").alias("place"), F.lit(1).alias("_mark")), "place", "left")
+    numbered = prefix_sum(marked.withColumn("_mark", F.coalesce("_mark", F.lit(0))), "place", "_mark", "_before")
+    return numbered.select((F.col("_before") + F.col("_mark") - 1).cast("int").alias(out), "window_id")
+
+
+def book_jumps(loads: DataFrame, limit: int, base_step: int) -> DataFrame:
+    """(start, next): where a part ends that begins at each place; next is null at the last place's end.
+
+    loads (place, load): 0, 1, ... in order.  A part grows by steps of places
+    until it would pass the limit, and ends once it has reached it; its first
+    step always goes in.  A part under half full doubles the step, one over
+    85 % halves it, between a quarter and four times the base, from which each
+    part starts.  All parts take their k-th step at once, as one join with the
+    loads before each place; so there are as many joins as steps in the
+    longest part.
     """
-    parts, at = [], 0
-    while at < len(loads):
-        step, load, first, end = base_step, 0, True, at
-        while end < len(loads):
-            more = sum(loads[end : end + step])
-            if not first and load + more > limit:
-                break
-            end, load, first = min(end + step, len(loads)), load + more, False
-            if load < int(0.5 * limit):
-                step = min(step * 2, base_step * 4)
-            elif load > int(0.85 * limit):
-                step = max(step // 2, base_step // 4, 1)
-            if load >= limit:
-                break
-        parts.append(list(range(at, end)))
-        at = end
-    return parts
-
-
-def _in_blocks(windows: DataFrame, seed: object, block: int) -> DataFrame:
-    return shuffled(windows, "window_id", seed, "place").withColumn("block", F.floor(F.col("place") / block))
-
-
-def dps_book(windows: DataFrame, seeds: DataFrame, *, limit: int, base_step: int = 10, cells: int = 128, seed: object = 7, block: int = BLOCK) -> DataFrame:
-    """(part_id, window_id): the windows of seeds (window_id) in shuffled order, packed by tiles * cells.
+    summed = materialize(prefix_sum(loads.select("place", "load"), "place", "load", "_before").select("place", "load", "_before"), "loads")
+    n = summed.count()
+    upto = materialize(summed.select((F.col("place") + 1).alias("wanted"), (F.col("_before") + F.col("load")).alias("upto")), "upto")
+    open_ = materialize(summed.select(F.col("place").alias("start"), F.col("_before").alias("base"), F.col("place").alias("end"), F.lit(base_step).alias("step")), "open")
+    closed = []
+    half, most, least = int(0.5 * limit), base_step * 4, max(base_step // 4, 1)
+    while not open_.isEmpty():
+        tried = open_.withColumn("wanted", F.least(F.col("end") + F.col("step"), F.lit(n))).join(upto, "wanted").withColumn("load", F.col("upto") - F.col("base"))
+        refused = (F.col("end") > F.col("start")) & (F.col("load") > limit)
+        step = F.when(F.col("load") < half, F.least(F.col("step") * 2, F.lit(most))).when(F.col("load") > int(0.85 * limit), F.greatest(F.expr("step div 2"), F.lit(least))).otherwise(F.col("step"))
+        shut = refused | (F.col("load") >= limit) | (F.col("wanted") == n)
+        stepped = materialize(tried.select("start", "base", F.when(refused, F.col("end")).otherwise(F.col("wanted")).alias("end"), step.cast("int").alias("step"), shut.alias("shut")), "stepped")
+        closed.append(stepped)
+        remove(open_)
+        open_ = materialize(stepped.where("not shut").drop("shut"), "open")
+    ended = reduce(DataFrame.union, [t.where("shut").select("start", "end") for t in closed], open_.select("start", "end"))
+    jumps = materialize(ended.select("start", F.when(F.col("end") < n, F.col("end")).alias("next")), "book_jumps")
+    remove(open_, upto, summed, *closed)
+    return jumps
+
+
+def dps_book(windows: DataFrame, seeds: DataFrame, *, limit: int, base_step: int = 10, cells: int = 128, seed: object = 7) -> DataFrame:
+    """(part_id, window_id): the windows of seeds (window_id) in shuffled order, packed by tiles * cells, see book_jumps.
 
     A probe of one layer reads the seed windows alone, so what a part loads is
     the sum over its windows, and the windows are what it keeps.
     """
-    own = _in_blocks(windows.join(seeds.select("window_id").distinct(), "window_id", "left_semi").select("window_id", "n_tiles"), seed, block)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place", ignore_index=True)
-        parts = fold_parts((pdf["n_tiles"] * cells).tolist(), limit, base_step)
-        part = pd.Series(-1, index=pdf.index)
-        for k, rows in enumerate(parts):
-            part.iloc[rows] = k
-        return pd.DataFrame({"block": pdf["block"], "part": part, "window_id": pdf["window_id"]})
-
-    folded = own.groupBy("block").applyInPandas(fold, "block bigint, part bigint, window_id bigint")
-    return _numbered(folded, "part_id")
-
-
-def _numbered(folded: DataFrame, out: str) -> DataFrame:
-    """Parts numbered over all blocks."""
-    counts = prefix_sum(folded.groupBy("block").agg((F.max("part") + 1).alias("c")), "block", "c", "s").select("block", "s")
-    return folded.join(counts, "block").select((F.col("s") + F.col("part")).cast("int").alias(out), "window_id")
-
-
-def window_batches(seeds: DataFrame, batch_size: int, *, tile_rows: int = TILE_ROWS, seed: object = 7, drop_last: bool = False, block: int = BLOCK) -> DataFrame:
-    """(batch_id, window_id): windows of the seeds (node_id), shuffled; a batch ends once it has batch_size nodes."""
-    own = _in_blocks(seeds.groupBy(F.expr(f"node_id div {tile_rows}").alias("window_id")).agg(F.count(F.lit(1)).alias("n")), seed, block)
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place", ignore_index=True)
-        batch, held, out = 0, 0, []
-        for n in pdf["n"]:
-            out.append(batch)
-            held += n
-            if held >= batch_size:
-                batch, held = batch + 1, 0
-        found = pd.DataFrame({"block": pdf["block"], "part": out, "window_id": pdf["window_id"]})
-        return found[found["part"] < batch] if drop_last else found
-
-    return _numbered(own.groupBy("block").applyInPandas(fold, "block bigint, part bigint, window_id bigint"), "batch_id")
+    own = windows.join(seeds.select("window_id").distinct(), "window_id", "left_semi").select("window_id", "n_tiles")
+    placed = materialize(shuffled(own, "window_id", seed, "place").select(F.col("place").cast("bigint").alias("place"), "window_id", (F.col("n_tiles") * cells).cast("bigint").alias("load")), "placed")
+    jumps = book_jumps(placed, limit, base_step)
+    starts = reached_starts(jumps)
+    remove(jumps)
+    return _parts_from(placed, starts, "part_id")
+
+
+def window_batches(seeds: DataFrame, batch_size: int, *, tile_rows: int = TILE_ROWS, seed: object = 7, drop_last: bool = False) -> DataFrame:
+    """(batch_id, window_id): windows of the seeds (node_id), shuffled; a batch ends once it has batch_size nodes.
+
+    A batch that begins after s nodes ends with the window that holds node
+    number s + batch_size, in the windows' order: a join on that number, with a
+    row for each node, says where the next one begins.
+    """
+    own = seeds.groupBy(F.expr(f"node_id div {tile_rows}").alias("window_id")).agg(F.count(F.lit(1)).alias("n"))
+    placed = shuffled(own, "window_id", seed, "place").select(F.col("place").cast("bigint").alias("place"), "window_id", "n")
+    placed = materialize(prefix_sum(placed, "place", "n", "before"), "placed")
+    holds = placed.select(F.explode(F.sequence(F.col("before") + 1, F.col("before") + F.col("n"))).alias("number"), (F.col("place") + 1).alias("next"))
+    jumps = placed.select(F.col("place").alias("start"), (F.col("before") + batch_size).alias("number")).join(holds, "number", "left")
+    starts = reached_starts(jumps.where(F.col("next") < placed.count()))
+    if drop_last:
+        last = starts.agg(F.max("start")).first()[0]
+        if (placed.where(F.col("place") >= last).agg(F.sum("n")).first()[0] or 0) < batch_size:
+            placed = placed.where(F.col("place") < last)
+    return _parts_from(placed.select("place", "window_id"), starts, "batch_id")
 
 
 def mega_batches(ids: DataFrame, batch_size: int, factor: int = 50, seed: object = 7) -> DataFrame:

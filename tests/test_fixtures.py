@@ -93,13 +93,6 @@ def test_halo_and_inner(spark, edges):
     assert sampling.halo(edges, wins, 5, max_external_ratio=0.5, tile_rows=2).nodes.where("not internal").count() == 1
 
 
-def test_packing_of_windows():
-    assert partition.fold_parts([8, 4, 8], 12, 1) == [[0, 1], [2]]
-    order = [5 * i % 12 for i in range(12)]
-    parts = partition.fold_parts([128 * (w % 4 + 1) for w in order], 1500, 2)
-    assert [sorted(order[i] for i in p) for p in parts] == [[0, 5], [1, 3, 8, 10], [4, 6, 9, 11], [2, 7]]
-
-
 def test_partitions(spark):
     parts = spark.createDataFrame([(i, 0 if i < 17 else 1) for i in range(33)], "node_id bigint, part_id int")
     mapping, partitions = partition.align_pad(parts)
@@ -116,13 +109,12 @@ def test_partitions(spark):
     assert sorted(chunks.values()) == [[0, 1], [2, 3], [4]]
 
 
-@pytest.mark.parametrize("block", [65536, 7])
-def test_books_cover_each_window_once(spark, block):
+def test_books_cover_each_window_once(spark):
     wins = spark.range(40).select(F.col("id").alias("window_id"), (F.col("id") % 4 + 1).alias("n_tiles"))
-    book = rows(partition.dps_book(wins, wins, limit=1500, base_step=2, block=block), "window_id")
+    book = rows(partition.dps_book(wins, wins, limit=1500, base_step=2), "window_id")
     assert book == [(i,) for i in range(40)]
     nodes = spark.range(40 * 16).withColumnRenamed("id", "node_id")
-    batches = rows(partition.window_batches(nodes, 50, block=block))
+    batches = rows(partition.window_batches(nodes, 50))
     assert sorted(w for _, w in batches) == list(range(40))
     sizes = np.bincount([b for b, _ in batches])
     assert set(sizes[:-1]) <= {1, 2, 3, 4}
