@@ -174,21 +174,42 @@ def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.char.str_len(texts)
 
 
-def groups_text(a: np.ndarray, ends_a: np.ndarray, b: np.ndarray, ends_b: np.ndarray, common: np.ndarray, sizes: tuple[int, int]) -> bytes:
-    """``a1,a2|b1;a3|b2,b3;``: the ids of each group, A's and then B's, for groups that end at common."""
-    group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
-    (rows_a, digits_a), (rows_b, digits_b) = _decimals(sizes[0]), _decimals(sizes[1])
-    width = max(rows_a.shape[1], rows_b.shape[1])
-    place_a = np.arange(len(a)) + np.searchsorted(group_b, group_a, "left")
-    place_b = np.arange(len(b)) + np.searchsorted(group_a, group_b, "right")
-    rows, digits = np.zeros((len(a) + len(b), width), np.uint8), np.zeros(len(a) + len(b), np.int64)
-    rows[place_a, : rows_a.shape[1]], digits[place_a] = rows_a[a], digits_a[a]
-    rows[place_b, : rows_b.shape[1]], digits[place_b] = rows_b[b], digits_b[b]
-    mark = np.empty(len(rows), np.uint8)
-    mark[place_a] = np.where(ends_a == common[group_a], ord("|"), ord(","))
-    mark[place_b] = np.where(ends_b == common[group_b], ord(";"), ord(","))
-    rows[np.arange(len(rows)), digits] = mark
-    return rows[np.arange(width) <= digits[:, None]].tobytes()
+@dataclass(frozen=True)
+class Stretch:
+    """A and B tokens from one offset where both end to a later one: ends from the first, and marks and counts by offset."""
+
+    a: np.ndarray
+    b: np.ndarray
+    ends_a: np.ndarray
+    ends_b: np.ndarray
+    mark_a: np.ndarray
+    mark_b: np.ndarray
+
+    def links(self) -> np.ndarray:
+        """A's id * 2**32 + B's id for each event: the tokens that cover the bytes before it."""
+        events = np.flatnonzero(self.mark_a | self.mark_b)
+        at_a, at_b = (np.cumsum(m)[events] - m[events] for m in (self.mark_a, self.mark_b))
+        return self.a[at_a] << 32 | self.b[at_b]
+
+    def groups_text(self, sizes: tuple[int, int]) -> tuple[int, bytes]:
+        """The number of groups, and ``a1,a2|b1;a3|b2,b3;``: the ids of each, A's and then B's."""
+        both = self.mark_a & self.mark_b
+        common = np.flatnonzero(both)
+        before = np.cumsum(both) - both
+        group_a, group_b = before[self.ends_a], before[self.ends_b]
+        # How many tokens of a side end in the groups before each group.
+        ended_a, ended_b = (np.concatenate([[0], np.cumsum(m)[common]]) for m in (self.mark_a, self.mark_b))
+        place_a, place_b = np.arange(len(self.a)) + ended_b[group_a], np.arange(len(self.b)) + ended_a[group_b + 1]
+        (rows_a, digits_a), (rows_b, digits_b) = _decimals(sizes[0]), _decimals(sizes[1])
+        width = max(rows_a.shape[1], rows_b.shape[1])
+        rows, digits = np.zeros((len(self.a) + len(self.b), width), np.uint8), np.zeros(len(self.a) + len(self.b), np.int64)
+        rows[place_a, : rows_a.shape[1]], digits[place_a] = rows_a[self.a], digits_a[self.a]
+        rows[place_b, : rows_b.shape[1]], digits[place_b] = rows_b[self.b], digits_b[self.b]
+        mark = np.empty(len(rows), np.uint8)
+        mark[place_a] = np.where(both[self.ends_a], ord("|"), ord(","))
+        mark[place_b] = np.where(both[self.ends_b], ord(";"), ord(","))
+        rows[np.arange(len(rows)), digits] = mark
+        return len(common), rows[np.arange(width) <= digits[:, None]].tobytes()
 
 
 class Sweep:
@@ -199,7 +220,7 @@ class Sweep:
     """
 
     def __init__(self, widths: tuple[np.ndarray, np.ndarray], keep_groups: bool = False):
-        self.widths, self.n, self.groups, self.links = widths, [0, 0], 0, 0
+        self.widths, self.n, self.groups, self.links, self.base = widths, [0, 0], 0, 0, 0
         none = np.zeros(0, np.int64)
         self.ids, self.ends = [none, none], [none, none]
         self.sha, self.kept, self.keep_groups = hashlib.sha256(), [], keep_groups
@@ -211,26 +232,32 @@ class Sweep:
         self.n[side] += len(ids)
         ends = offset + np.cumsum(self.widths[side][ids])
         self.ids[side], self.ends[side] = np.concatenate([self.ids[side], ids]), np.concatenate([self.ends[side], ends])
-        a, b = self.ends
-        if len(a) and len(b):
-            common = a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a]
+        if len(self.ends[0]) and len(self.ends[1]):
+            # Offsets from the last one where both ended, up to where both are known.
+            size = int(min(e[-1] for e in self.ends)) - self.base + 1
+            near = [e - self.base for e in self.ends]
+            marks = [np.zeros(size, bool), np.zeros(size, bool)]
+            for mark, e in zip(marks, near, strict=True):
+                mark[e[e < size]] = True
+            common = np.flatnonzero(marks[0] & marks[1])
             if len(common):
-                self._close(common)
+                self._close(int(common[-1]), near, marks)
 
-    def _close(self, common: np.ndarray) -> None:
+    def _close(self, last: int, near: list[np.ndarray], marks: list[np.ndarray]) -> None:
         """Groups and links up to the last offset where both sides end; the rest stays open."""
-        cut = [int(np.searchsorted(e, common[-1], "right")) for e in self.ends]
-        (a, b), (ends_a, ends_b) = [x[:c] for x, c in zip(self.ids, cut, strict=True)], [x[:c] for x, c in zip(self.ends, cut, strict=True)]
-        events = np.union1d(ends_a, ends_b)
-        links = a[np.searchsorted(ends_a, events)] << 32 | b[np.searchsorted(ends_b, events)]
-        self._count(links, np.ones(len(links), np.int64))
-        text = groups_text(a, ends_a, b, ends_b, common, (len(self.widths[0]), len(self.widths[1])))
+        marks = [m[: last + 1] for m in marks]
+        cut = [int(np.count_nonzero(m)) for m in marks]
+        stretch = Stretch(*[i[:c] for i, c in zip(self.ids, cut, strict=True)], *[e[:c] for e, c in zip(near, cut, strict=True)], *marks)
+        links = stretch.links()
+        self._count(*np.unique(links, return_counts=True))
+        groups, text = stretch.groups_text((len(self.widths[0]), len(self.widths[1])))
         # The mark after a group is written before the next one.
         self.sha.update((b";" if self.groups else b"") + text[:-1])
         if self.keep_groups:
             self.kept.append(text[:-1].decode())
-        self.groups, self.links = self.groups + len(common), self.links + len(links)
+        self.groups, self.links = self.groups + groups, self.links + len(links)
         self.ids, self.ends = [x[c:] for x, c in zip(self.ids, cut, strict=True)], [x[c:] for x, c in zip(self.ends, cut, strict=True)]
+        self.base += last
 
     def _count(self, keys: np.ndarray, times: np.ndarray) -> None:
         self.pairs.append((keys, times))
@@ -241,8 +268,8 @@ class Sweep:
 
     def counted(self) -> tuple[np.ndarray, np.ndarray]:
         """The different links, as A's id * 2**32 + B's id, ascending, and how often each occurs."""
-        if not self.pairs:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(self.pairs) < 2:
+            return self.pairs[0] if self.pairs else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         keys, times = (np.concatenate(x) for x in zip(*self.pairs, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, times = keys[order], times[order]
@@ -308,8 +335,8 @@ def align_tokens(docs: DataFrame, tokenizers: tuple[str, str], *, id_col: str =
                             yield out()
                             done, size = [], 0
                     key, ident, state = (keys[i], rows[i]), batch.column(2)[i], Sweep(widths, groups)
-                if len(block.as_py()):
-                    state.add(which[i], offsets[i], unpack_ids(block.as_py(), sides[which[i]].dtype))
+                if ids := block.as_py():
+                    state.add(which[i], offsets[i], unpack_ids(ids, sides[which[i]].dtype))
         if state is not None:
             done.append((ident, state, state.counted()))
             yield out()
