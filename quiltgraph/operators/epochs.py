@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.operators import model, partition, sampling
-from quiltgraph.schema import GraphBundle, Subgraph
+from quiltgraph.schema import GraphBundle
 from quiltgraph.storage import materialize, remove, shared_path
 
 #: Files of each batch's folder.
@@ -48,7 +48,8 @@ def full_batches(bundle: GraphBundle) -> model.Batches:
 def node_batches(bundle: GraphBundle, cols_per_window: Sequence[int], batch_size: int, *, seed: object = 7, include_self: bool = True, drop_last: bool = False, **scoring) -> model.Batches:
     """Batches of shuffled windows of training nodes; each layer has the edges that its hop sampled.
 
-    Every epoch shuffles anew.  include_self keeps the targets' own windows in
+    Every epoch shuffles anew; all its batches are sampled at once, by as many
+    jobs however many they are, and written in a folder each.  include_self keeps the targets' own windows in
     the hop before, so that their self part is computed there and not left at
     what one layer's self weights make of it.  One model layer for each entry
     of cols_per_window.
@@ -58,17 +59,19 @@ def node_batches(bundle: GraphBundle, cols_per_window: Sequence[int], batch_size
 
     def epoch_batches(epoch: int) -> Iterator[tuple[list[DataFrame], DataFrame, DataFrame]]:
         book = materialize(partition.window_batches(train, batch_size, tile_rows=meta.tile_rows, seed=f"{seed}-{epoch}", drop_last=drop_last), "book")
-        for own in partition.batches_of(book, "batch_id"):
-            seeds = materialize(train.withColumn("window_id", F.expr(f"node_id div {meta.tile_rows}")).join(own.select("window_id"), "window_id", "left_semi").drop("window_id"), "seeds")
-            layers = sampling.sample_layers(bundle.edges, seeds, cols_per_window, num_nodes=meta.num_rows, tile_rows=meta.tile_rows, include_self=include_self, **scoring)
-            edges = [materialize(layer.edges, "sampled_edges") for layer in layers]
-            ids = seeds.select("node_id")
-            for e in edges:
-                ids = ids.union(e.select("src")).union(e.select("dst"))
-            yield edges, materialize(nodes.join(ids.distinct(), "node_id", "left_semi"), "inputs"), seeds
-            for done in (*edges, seeds):
-                remove(done)
-        remove(book)
+        seeds = _by_batch(train.withColumn("window_id", F.expr(f"node_id div {meta.tile_rows}")).join(book, "window_id").drop("window_id"), "seeds", "node_id")
+        layers = sampling.sample_layers(bundle.edges, seeds, cols_per_window, num_nodes=meta.num_rows, tile_rows=meta.tile_rows, include_self=include_self, by=("batch_id",), **scoring)
+        edges = [_by_batch(layer.edges.drop("window_id"), "sampled_edges", "src") for layer in layers]
+        for layer in layers:
+            remove(layer.nodes, layer.extra["sampled"])
+        ids = seeds.select("batch_id", "node_id")
+        for e in edges:
+            ids = ids.union(e.select("batch_id", "src")).union(e.select("batch_id", "dst"))
+        inputs = _by_batch(nodes.join(ids.distinct(), "node_id"), "inputs", "node_id")
+        for i in range(_numbers(book)):
+            of = lambda df: df.where(F.col("batch_id") == i)  # noqa: B023, E731
+            yield [of(e) for e in edges], of(inputs), of(seeds)
+        remove(book, seeds, inputs, *edges)
 
     return epoch_batches
 
@@ -92,54 +95,51 @@ def part_batches(bundle: GraphBundle, parts: DataFrame, batch_size: int, *, seed
     return epoch_batches
 
 
-def halo_cuts(bundle: GraphBundle, book: DataFrame, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0) -> tuple[int, Callable[[int], tuple[Subgraph, DataFrame]]]:
-    """The number of batches of book (part_id, window_id), and what makes the cut of one: (Subgraph, its nodes in local ids)."""
+def halo_cuts(bundle: GraphBundle, book: DataFrame, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0) -> tuple[int, DataFrame, DataFrame]:
+    """The number of batches of book (part_id, window_id), and their cuts, all made at once: nodes and edges in local ids, with batch_id.
+
+    See sampling.halos: nodes have internal, edges inner.
+    """
     nodes, meta = model.targets(bundle), bundle.meta
     batches = partition.partition_batches(book.select("part_id").distinct(), batch_size, seed)
-    where = materialize(book.join(batches, "part_id").select("window_id", "batch_id").distinct(), "batch_of_window")
-    own = bundle.edges.withColumn("window_id", F.expr(f"src div {meta.tile_rows}")).join(where, "window_id")
-    edges = _by_batch(own.select("batch_id", "src", "dst", "weight"), "halo_edges", "src")
-
-    def cut(i: int) -> tuple[Subgraph, DataFrame]:
-        windows = where.where(F.col("batch_id") == i).select("window_id")
-        sub = sampling.halo(edges.where(F.col("batch_id") == i).drop("batch_id"), windows, meta.num_rows, max_external_ratio=max_external_ratio, seed=seed, tile_rows=meta.tile_rows)
-        placed = nodes.join(sub.nodes, "node_id").drop("node_id").withColumnRenamed("local_id", "node_id")
-        return Subgraph(materialize(sub.edges, "halo"), sub.nodes, sub.n_internal), materialize(placed, "halo_nodes")
-
-    return _numbers(where), cut
+    where = materialize(book.join(batches, "part_id").select(F.col("batch_id").alias("part"), "window_id").distinct(), "batch_of_window")
+    own = materialize(sampling.edges_by_part(bundle.edges, where, meta.tile_rows), "batch_rows")
+    cut = sampling.halos(own, where, meta.num_rows, max_external_ratio=max_external_ratio, seed=seed, tile_rows=meta.tile_rows)
+    placed = nodes.join(cut[0], "node_id").drop("node_id").withColumnsRenamed({"local_id": "node_id", "part": "batch_id"})
+    count = _numbers(where.withColumnRenamed("part", "batch_id"))
+    made = count, _by_batch(placed, "halo_nodes", "node_id"), _by_batch(cut[1].withColumnRenamed("part", "batch_id"), "halo_edges", "src")
+    remove(where, own)
+    return made
 
 
-def _halo_layers(sub: Subgraph, layers: int) -> list[DataFrame]:
+def _halo_layers(edges: DataFrame, layers: int) -> list[DataFrame]:
     """The first layer reads the halo, the others inner edges."""
-    return [sub.edges] + [sampling.inner(sub)] * (layers - 1)
+    return [edges] + [edges.where("inner")] * (layers - 1)
 
 
 def halo_batches(bundle: GraphBundle, book: DataFrame, layers: int, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0) -> model.Batches:
     """Batches of batch_size parts of book (part_id, window_id) with their halo; the loss is on inner training nodes."""
-    n, cut = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio)
+    n, nodes, edges = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio)
 
     def epoch_batches(epoch: int) -> Iterator[tuple[list[DataFrame], DataFrame, DataFrame]]:
         for i in _order(n, seed, epoch):
-            sub, nodes = cut(i)
-            yield _halo_layers(sub, layers), nodes, nodes.where("internal and split = 'train'")
-            remove(sub.edges)
-            remove(nodes)
+            own = nodes.where(F.col("batch_id") == i)
+            yield _halo_layers(edges.where(F.col("batch_id") == i), layers), own, own.where("internal and split = 'train'")
 
     return epoch_batches
 
 
 def halo_accuracy(bundle: GraphBundle, book: DataFrame, batch_size: int, split: str = "val", *, seed: object = 7, max_external_ratio: float = 5.0) -> Callable[[model.GraphModel], float]:
     """A function of the model: its accuracy over a split's nodes, each in the cut whose book holds its window."""
-    n, cut = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio)
+    n, nodes, edges = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio)
 
     def accuracy(net: model.GraphModel) -> float:
         right = total = 0
         for i in range(n):
-            sub, nodes = cut(i)
-            ok, count = model.hits(model.forward(net, _halo_layers(sub, len(net.layers)), nodes), nodes.where(F.col("internal") & (F.col("split") == split)))
+            own = nodes.where(F.col("batch_id") == i)
+            logits = model.forward(net, _halo_layers(edges.where(F.col("batch_id") == i), len(net.layers)), own)
+            ok, count = model.hits(logits, own.where(F.col("internal") & (F.col("split") == split)))
             right, total = right + ok, total + count
-            remove(sub.edges)
-            remove(nodes)
         return right / max(total, 1)
 
     return accuracy

@@ -45,3 +45,15 @@ def shuffled(df: DataFrame, column: str, seed: object, out: str = "n") -> DataFr
 def number_by_id(df: DataFrame, column: str, out: str = "n", each: int = 65536) -> DataFrame:
     """Adds out: each row's 0-based place in the order of a non-negative integer column."""
     return number_rows(df, F.floor(F.col(column) / each), [column], out)
+
+
+def number_within(df: DataFrame, key: str, bucket: Column, order: list, out: str = "n") -> DataFrame:
+    """Adds out: each row's 0-based place among the rows of its key, in the order (bucket, *order).
+
+    bucket: an integer; one task sees the rows of a bucket of a key, and one the bucket counts of a key.
+    """
+    rows = df.withColumn("_b", bucket.cast("bigint"))
+    before = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    starts = rows.groupBy(key, "_b").agg(F.count(F.lit(1)).alias("_c")).select(key, "_b", (F.sum("_c").over(before) - F.col("_c")).alias("_s"))
+    place = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
+    return rows.withColumn("_p", place).join(starts, [key, "_b"]).withColumn(out, F.col("_p") + F.col("_s")).drop("_b", "_p", "_s")

@@ -3,34 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.operators.blocking import with_window
-from quiltgraph.operators.ranking import number_by_id, shuffled
+from quiltgraph.operators.ranking import hash_text, number_by_id, number_within
 from quiltgraph.schema import TILE_ROWS, HacsOptions, Subgraph
-from quiltgraph.storage import materialize
+from quiltgraph.storage import materialize, remove
 
 
 def round_up_32(k: int) -> int:
     return -(-k // 32) * 32
 
 
-def active_windows(ids: DataFrame, column: str = "node_id", tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(window_id, mask): windows of the ids, and a bit for each row; null and negative ids drop out."""
-    own = ids.where(F.col(column) >= 0).select(F.expr(f"`{column}` div {tile_rows}").alias("window_id"), F.expr(f"shiftleft(1, cast(`{column}` % {tile_rows} as int))").alias("bit"))
-    return own.groupBy("window_id").agg(F.bit_or("bit").alias("mask"))
+def active_windows(ids: DataFrame, column: str = "node_id", tile_rows: int = TILE_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, window_id, mask): windows of the ids, and a bit for each row; null and negative ids drop out."""
+    own = ids.where(F.col(column) >= 0).select(*by, F.expr(f"`{column}` div {tile_rows}").alias("window_id"), F.expr(f"shiftleft(1, cast(`{column}` % {tile_rows} as int))").alias("bit"))
+    return own.groupBy(*by, "window_id").agg(F.bit_or("bit").alias("mask"))
 
 
-def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_rows: int = TILE_ROWS, hacs: HacsOptions | None = None, q: DataFrame | None = None, window_parts: DataFrame | None = None, node_parts: DataFrame | None = None, mask_rows: bool = False) -> DataFrame:
+def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_rows: int = TILE_ROWS, hacs: HacsOptions | None = None, q: DataFrame | None = None, window_parts: DataFrame | None = None, node_parts: DataFrame | None = None, mask_rows: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """(window_id, col, score): the columns of the windows in frontier (all, if none).
 
     A row earns int((1 + 10 |w|) * 1000) in single precision, rows without
     the column too.  With hacs and q (node_id, q) it earns
     int(((alpha + beta |w|) q + delta) * scale), delta only where the column
     lies in the window's part, and the column int(gamma * scale) once; scores
-    of zero or less drop out.  mask_rows: only rows in the frontier's mask count.
+    of zero or less drop out.  mask_rows: only rows in the frontier's mask
+    count.  by: columns of the frontier by which windows are scored apart.
     """
     own = with_window(edges, tile_rows)
     rows = F.lit(tile_rows)
@@ -43,7 +45,7 @@ def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_r
     single = lambda x: F.lit(x).cast("float")
     if hacs is None or q is None:
         earned = ((single(1.0) + single(10.0) * F.abs("weight")) * single(1000.0)).cast("int")
-        scores = own.groupBy("window_id", "col").agg((F.sum(earned) + (rows - F.count(F.lit(1))) * 1000).cast("bigint").alias("score"))
+        scores = own.groupBy(*by, "window_id", "col").agg((F.sum(earned) + (rows - F.count(F.lit(1))) * 1000).cast("bigint").alias("score"))
         return scores
     own = own.join(q.select(F.col("node_id").alias("col"), "q"), "col")
     delta = single(0.0)
@@ -51,45 +53,55 @@ def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_r
         own = own.join(window_parts.select("window_id", F.col("part_id").alias("wp")), "window_id", "left").join(node_parts.select(F.col("node_id").alias("col"), F.col("part_id").alias("cp")), "col", "left")
         delta = F.when(F.col("wp") == F.col("cp"), single(hacs.delta)).otherwise(single(0.0))
     value = lambda base: ((base * F.col("q") + delta) * single(hacs.score_scale)).cast("int")
-    full = own.select("window_id", "col", value(single(hacs.alpha) + single(hacs.beta) * F.abs("weight")).alias("hit"), value(single(hacs.alpha)).alias("miss"), *([F.col("mask")] if mask_rows else []))
+    full = own.select(*by, "window_id", "col", value(single(hacs.alpha) + single(hacs.beta) * F.abs("weight")).alias("hit"), value(single(hacs.alpha)).alias("miss"), *([F.col("mask")] if mask_rows else []))
     score = F.sum("hit") + (rows - F.count(F.lit(1))) * F.max("miss") + int(hacs.gamma_bonus * hacs.score_scale)
-    return full.groupBy("window_id", "col").agg(score.cast("bigint").alias("score")).where("score > 0")
+    return full.groupBy(*by, "window_id", "col").agg(score.cast("bigint").alias("score")).where("score > 0")
 
 
-def topk(scores: DataFrame, k: int) -> DataFrame:
-    """The k best columns of each window: by score, ties by smaller column.  Adds rank, from 1."""
-    best = Window.partitionBy("window_id").orderBy(F.desc("score"), "col")
+def topk(scores: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The k best columns of each window (of each by): by score, ties by smaller column.  Adds rank, from 1."""
+    best = Window.partitionBy(*by, "window_id").orderBy(F.desc("score"), "col")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def recompress(edges: DataFrame, sampled: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(window_id, src, dst, weight): the edges of the sampled columns, all rows of their windows."""
-    keys = sampled.select("window_id", F.col("col").alias("dst"))
-    return with_window(edges, tile_rows).join(keys, ["window_id", "dst"]).select("window_id", "src", "dst", "weight")
+def recompress(edges: DataFrame, sampled: DataFrame, tile_rows: int = TILE_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    """(*by, window_id, src, dst, weight): the edges of the sampled columns, all rows of their windows."""
+    keys = sampled.select(*by, "window_id", F.col("col").alias("dst"))
+    return with_window(edges, tile_rows).join(keys, ["window_id", "dst"]).select(*by, "window_id", "src", "dst", "weight")
 
 
-def next_frontier(sampled: DataFrame, num_nodes: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
-    own = sampled.select("col").distinct()
-    return active_windows(own if num_nodes is None else own.where(F.col("col") < num_nodes), "col", tile_rows)
+def next_frontier(sampled: DataFrame, num_nodes: int | None = None, tile_rows: int = TILE_ROWS, by: Sequence[str] = ()) -> DataFrame:
+    own = sampled.select(*by, "col").distinct()
+    return active_windows(own if num_nodes is None else own.where(F.col("col") < num_nodes), "col", tile_rows, by)
 
 
-def sample_layers(edges: DataFrame, seeds: DataFrame, cols_per_window: Sequence[int], *, num_nodes: int | None = None, tile_rows: int = TILE_ROWS, include_self: bool = False, **scoring) -> list[Subgraph]:
-    """Expand seeds (node_id) hop by hop; the last budget is used first.
+def sample_layers(edges: DataFrame, seeds: DataFrame, cols_per_window: Sequence[int], *, num_nodes: int | None = None, tile_rows: int = TILE_ROWS, include_self: bool = False, by: Sequence[str] = (), **scoring) -> list[Subgraph]:
+    """Expand seeds (*by, node_id) hop by hop; the last budget is used first.
 
     Returns layers from input to output, each with its edges in global ids,
-    its windows (nodes: window_id, mask) and the sampled columns (extra).
-    include_self keeps a layer's own windows in the next frontier.  Each hop
-    is written to the shared folder, as the next one's plan would hold it
-    several times.
+    its windows (nodes: *by, window_id, mask) and the sampled columns (extra).
+    by: columns of the seeds, such as a batch's number; each of their values
+    has frontiers of its own, all expanded by the same jobs.  A window's
+    columns are scored once for all of them, unless only the rows in a mask
+    count.  include_self keeps a layer's own windows in the next frontier.
+    Each hop is written to the shared folder, as the next one's plan would
+    hold it several times.
     """
-    frontier = materialize(active_windows(seeds, "node_id", tile_rows), "frontier")
+    frontier = materialize(active_windows(seeds, "node_id", tile_rows, by), "frontier")
     layers = []
-    for k in reversed(cols_per_window):
-        sampled = materialize(topk(score_columns(edges, frontier, tile_rows=tile_rows, **scoring), k), "sampled")
-        layers.append(Subgraph(recompress(edges, sampled, tile_rows), frontier, extra={"sampled": sampled}))
-        after = next_frontier(sampled, num_nodes, tile_rows)
+    for hop, k in enumerate(reversed(cols_per_window), 1):
+        if by and not scoring.get("mask_rows"):
+            once = topk(score_columns(edges, frontier.select("window_id").distinct(), tile_rows=tile_rows, **scoring), k)
+            found = frontier.select(*by, "window_id").join(once, "window_id")
+        else:
+            found = topk(score_columns(edges, frontier, tile_rows=tile_rows, by=by, **scoring), k, by)
+        sampled = materialize(found, "sampled")
+        layers.append(Subgraph(recompress(edges, sampled, tile_rows, by), frontier, extra={"sampled": sampled}))
+        if hop == len(cols_per_window):
+            break
+        after = next_frontier(sampled, num_nodes, tile_rows, by)
         if include_self:
-            after = after.union(frontier).groupBy("window_id").agg(F.bit_or("mask").alias("mask"))
+            after = after.unionByName(frontier).groupBy(*by, "window_id").agg(F.bit_or("mask").alias("mask"))
         frontier = materialize(after, "frontier")
     return layers[::-1]
 
@@ -127,28 +139,47 @@ def partition_slice(edges: DataFrame, partitions: DataFrame, part_ids: Sequence[
     return edges.join(rows, "src").join(cols, "dst").select(F.col("ls").alias("src"), F.col("ld").alias("dst"), "weight")
 
 
-def halo(edges: DataFrame, window_ids_: DataFrame, num_nodes: int, *, max_external_ratio: float = 5.0, seed: object = 7, tile_rows: int = TILE_ROWS) -> Subgraph:
-    """Rows of some windows with their neighbours, repacked.
+def edges_by_part(edges: DataFrame, windows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(part, src, dst, weight): the rows of each part's windows (part, window_id), by one reading of the edges."""
+    return with_window(edges, tile_rows).join(windows.select("part", "window_id").distinct(), "window_id").select("part", "src", "dst", "weight")
 
-    nodes: (node_id, local_id, internal), internal ones first, then external
-    ones, both by id.  At most int(ratio * internal) external nodes stay,
-    those first in the seeded shuffle; edges to the others drop out.  Weights
+
+def window_nodes(windows: DataFrame, num_nodes: int, tile_rows: int = TILE_ROWS, by: Sequence[str] = ("part",)) -> DataFrame:
+    """(*by, node_id): the nodes of windows (*by, window_id)."""
+    rows = F.explode(F.expr(f"sequence(window_id * {tile_rows}, window_id * {tile_rows} + {tile_rows - 1})"))
+    return windows.select(*by, "window_id").distinct().select(*by, rows.alias("node_id")).where(F.col("node_id") < num_nodes)
+
+
+def halos(own: DataFrame, windows: DataFrame, num_nodes: int, *, max_external_ratio: float = 5.0, seed: object = 7, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Each part's windows (part, window_id) with their neighbours, repacked: nodes and edges of all parts in one plan.
+
+    own: the parts' rows, see edges_by_part.  nodes: (part, node_id, local_id,
+    internal), of each part the internal ones first, then external ones, both
+    by id.  At most int(ratio * internal) external nodes stay, those first in
+    the seeded shuffle; edges to the others drop out.  edges: (part, src, dst,
+    weight, inner) in local ids; inner ones end at internal nodes.  Weights
     that are NaN become 0.
     """
-    wins = window_ids_.select("window_id").distinct()
-    inside = wins.select(F.explode(F.expr(f"sequence(window_id * {tile_rows}, window_id * {tile_rows} + {tile_rows - 1})")).alias("node_id")).where(F.col("node_id") < num_nodes)
-    n_internal = inside.count()
-    own = with_window(edges, tile_rows).join(wins, "window_id", "left_semi")
-    outside = own.select(F.col("dst").alias("node_id")).distinct().join(inside, "node_id", "left_anti")
-    budget = int(max_external_ratio * n_internal)
-    outside = shuffled(outside, "node_id", seed, "_r").where(F.col("_r") < budget).drop("_r")
-    first = number_by_id(inside, "node_id", "local_id").withColumn("internal", F.lit(True))
-    then = number_by_id(outside, "node_id", "local_id").select("node_id", (F.col("local_id") + n_internal).alias("local_id"), F.lit(False).alias("internal"))
-    nodes = first.select("node_id", "local_id", "internal").union(then)
-    rows = first.select(F.col("node_id").alias("src"), F.col("local_id").alias("ls"))
-    cols = nodes.select(F.col("node_id").alias("dst"), F.col("local_id").alias("ld"))
-    local = own.join(rows, "src").join(cols, "dst").select(F.col("ls").alias("src"), F.col("ld").alias("dst"), F.nanvl(F.col("weight"), F.lit(0.0).cast("float")).alias("weight"))
-    return Subgraph(local, nodes, n_internal)
+    inside = window_nodes(windows, num_nodes, tile_rows)
+    sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    outside = own.select("part", F.col("dst").alias("node_id")).distinct().join(inside, ["part", "node_id"], "left_anti")
+    ranked = number_within(outside.withColumn("_h", hash_text("node_id", seed)), "part", F.conv(F.substring("_h", 1, 4), 16, 10), ["_h", "node_id"], "_r")
+    kept = ranked.join(sizes, "part").where(F.col("_r") < F.floor(max_external_ratio * F.col("n"))).select("part", "node_id", "n")
+    numbered = lambda df: number_within(df, "part", F.expr("node_id div 65536"), ["node_id"], "local_id")
+    first = numbered(inside).select("part", "node_id", "local_id", F.lit(True).alias("internal"))
+    then = numbered(kept).select("part", "node_id", (F.col("local_id") + F.col("n")).alias("local_id"), F.lit(False).alias("internal"))
+    nodes = first.union(then)
+    rows = first.select("part", F.col("node_id").alias("src"), F.col("local_id").alias("ls"))
+    cols = nodes.select("part", F.col("node_id").alias("dst"), F.col("local_id").alias("ld"), "internal")
+    local = own.join(rows, ["part", "src"]).join(cols, ["part", "dst"])
+    return nodes, local.select("part", F.col("ls").alias("src"), F.col("ld").alias("dst"), F.nanvl(F.col("weight"), F.lit(0.0).cast("float")).alias("weight"), F.col("internal").alias("inner"))
+
+
+def halo(edges: DataFrame, window_ids_: DataFrame, num_nodes: int, *, tile_rows: int = TILE_ROWS, **options) -> Subgraph:
+    """One part's cut, see halos: nodes (node_id, local_id, internal) and edges (src, dst, weight)."""
+    windows = window_ids_.select(F.lit(0).alias("part"), "window_id")
+    nodes, local = halos(edges_by_part(edges, windows, tile_rows), windows, num_nodes, tile_rows=tile_rows, **options)
+    return Subgraph(local.select("src", "dst", "weight"), nodes.drop("part"), window_nodes(windows, num_nodes, tile_rows).count())
 
 
 def inner(sub: Subgraph) -> DataFrame:
@@ -156,11 +187,17 @@ def inner(sub: Subgraph) -> DataFrame:
     return sub.edges.where(F.col("dst") < sub.n_internal)
 
 
-def dps_online(edges: DataFrame, seed_windows: DataFrame, num_nodes: int, cols_per_window: Sequence[int] = (5, 5), *, tile_rows: int = TILE_ROWS, **options) -> Subgraph:
-    """Probe from all rows of the seed windows and repack all windows that the probe reached."""
-    seeds = seed_windows.select(F.explode(F.expr(f"sequence(window_id * {tile_rows}, window_id * {tile_rows} + {tile_rows - 1})")).alias("node_id")).where(F.col("node_id") < num_nodes)
-    layers = sample_layers(edges, seeds, cols_per_window, num_nodes=num_nodes, tile_rows=tile_rows)
-    reached = layers[0].nodes.select("window_id")
-    for layer in layers[1:]:
-        reached = reached.union(layer.nodes.select("window_id"))
-    return halo(edges, reached.distinct(), num_nodes, tile_rows=tile_rows, **options)
+def reached_windows(edges: DataFrame, seed_windows: DataFrame, num_nodes: int, cols_per_window: Sequence[int] = (5, 5), tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(part, window_id): what a probe from all rows of each part's seed windows (part, window_id) samples from, all parts at once."""
+    seeds = window_nodes(seed_windows, num_nodes, tile_rows)
+    layers = sample_layers(edges, seeds, cols_per_window, num_nodes=num_nodes, tile_rows=tile_rows, by=("part",))
+    reached = materialize(reduce(DataFrame.union, [layer.nodes.select("part", "window_id") for layer in layers]).distinct(), "reached")
+    for layer in layers:
+        remove(layer.nodes, layer.extra["sampled"])
+    return reached
+
+
+def dps_online(edges: DataFrame, seed_windows: DataFrame, num_nodes: int, cols_per_window: Sequence[int] = (5, 5), *, tile_rows: int = TILE_ROWS, **options) -> tuple[DataFrame, DataFrame]:
+    """Probe from all rows of each part's seed windows (part, window_id) and repack all windows that it reached, see halos."""
+    reached = reached_windows(edges, seed_windows, num_nodes, cols_per_window, tile_rows)
+    return halos(edges_by_part(edges, reached, tile_rows), reached, num_nodes, tile_rows=tile_rows, **options)
