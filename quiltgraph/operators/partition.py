@@ -14,43 +14,61 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.operators.components import connected_components
-from quiltgraph.operators.ranking import number_by_id, number_rows, prefix_sum, shuffled
+from quiltgraph.operators.ranking import number_by_id, number_rows, number_within, prefix_sum, shuffled
 from quiltgraph.schema import TILE_ROWS
 from quiltgraph.storage import materialize, remove
 
 
 def rcm_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(old, new): reverse Cuthill-McKee.
+    """(old, new): reverse Cuthill-McKee, of the edges in both directions.
 
     Components by least id; each starts at its least (degree, id) and goes
     level by level, neighbours by (place of the parent, degree, id); the whole
-    order is reversed.  One join per level; levels are written as they are made.
+    order is reversed.  One join per level, which reads the edges and the last
+    two levels; each level is written once and nothing is written again.
     """
-    plain = materialize(edges.where("src <> dst").select("src", "dst").distinct(), "plain")
+    own = edges.where("src <> dst").select("src", "dst")
+    plain = materialize(own.union(own.select("dst", "src")).distinct(), "plain")
     deg = nodes.select("node_id").join(plain.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("deg")), "node_id", "left").select("node_id", F.coalesce("deg", F.lit(0)).alias("deg"))
     comp = connected_components(plain.select(F.col("src").alias("u"), F.col("dst").alias("v")))
     info = materialize(deg.join(comp.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id")), "info")
     first = info.groupBy("component").agg(F.min(F.struct("deg", "node_id")).alias("s")).select(F.col("s.node_id").alias("node_id"), "component", F.lit(0).cast("bigint").alias("level"), F.lit(0).cast("bigint").alias("place"))
-    frontier = seen = materialize(first, "level")
-    while not frontier.isEmpty():
-        found = plain.join(frontier.select(F.col("node_id").alias("src"), "place"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("place").alias("parent"))
-        fresh = found.join(seen.select("node_id"), "node_id", "left_anti").join(info, "node_id")
+    # In a symmetric graph the neighbours of a level lie in it, the one before or the next: no others need be left out.
+    before, level, depth, levels = None, materialize(first, "level"), 0, []
+    while True:
+        levels.append(level)
+        found = plain.join(level.select(F.col("node_id").alias("src"), "place"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("place").alias("parent"))
+        for known in (before, level):
+            if known is not None:
+                found = found.join(known.select("node_id"), "node_id", "left_anti")
+        depth += 1
         # Places follow the parents', so numbers run on within a level; components are told apart at the end.
-        level = number_rows(fresh, F.floor(F.col("parent") / 64), ["parent", "deg", "node_id"], "place")
-        frontier = materialize(level.select("node_id", "component", (F.lit(0) + frontier.first()["level"] + 1).cast("bigint").alias("level"), F.col("place").cast("bigint").alias("place")), "level")
-        wider = materialize(seen.unionByName(frontier), "seen")
-        remove(seen)
-        seen = wider
+        numbered = number_rows(found.join(info, "node_id"), F.floor(F.col("parent") / 64), ["parent", "deg", "node_id"], "place")
+        after = materialize(numbered.select("node_id", "component", F.lit(depth).cast("bigint").alias("level"), F.col("place").cast("bigint").alias("place")), "level")
+        if after.isEmpty():
+            remove(after)
+            break
+        before, level = level, after
+    seen = materialize(_tree_union(levels), "levels")
+    remove(plain, *levels)
     n = nodes.count()
     sizes = prefix_sum(seen.groupBy("component").agg(F.count(F.lit(1)).alias("c")), "component", "c", "start")
     levels = seen.groupBy("component", "level").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("component").orderBy("level").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     levels = levels.withColumn("level_start", F.sum("c").over(before) - F.col("c")).drop("c")
-    within = F.row_number().over(Window.partitionBy("component", "level").orderBy("place")) - 1
-    placed = seen.withColumn("w", within).join(levels, ["component", "level"]).join(sizes, "component")
+    # A level may hold most nodes: its places, which other components may share, are numbered in buckets.
+    keyed = seen.withColumn("_key", F.struct("component", "level"))
+    placed = number_within(keyed, "_key", F.floor(F.col("place") / 65536), ["place"], "w").drop("_key").join(levels, ["component", "level"]).join(sizes, "component")
     return placed.select(F.col("node_id").alias("old"), (F.lit(n - 1) - F.col("start") - F.col("level_start") - F.col("w")).cast("bigint").alias("new"))
 
 
+def _tree_union(tables: list[DataFrame]) -> DataFrame:
+    """Their union, as a tree: thousands of tables in a row would be a plan as deep."""
+    while len(tables) > 1:
+        tables = [tables[i].union(tables[i + 1]) if i + 1 < len(tables) else tables[i] for i in range(0, len(tables), 2)]
+    return tables[0]
+
+
 def reorder(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """The edges with both ends mapped (old, new); edges to unmapped ids drop out."""
     return edges.join(mapping.select(F.col("old").alias("src"), F.col("new").alias("s")), "src").join(mapping.select(F.col("old").alias("dst"), F.col("new").alias("d")), "dst").select(F.col("s").alias("src"), F.col("d").alias("dst"), *[c for c in edges.columns if c not in ("src", "dst")])

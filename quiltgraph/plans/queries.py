@@ -6,14 +6,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.functions import metrics
 from quiltgraph.functions.formula import formula_weights
-from quiltgraph.operators import blocking, epochs, etl, linalg, model, partition, sampling
+from quiltgraph.operators import blocking, cut, epochs, etl, linalg, model, partition, sampling
 from quiltgraph.operators.ranking import hash_text
 from quiltgraph.schema import GraphBundle, HacsOptions
 from quiltgraph.sources import graphs
@@ -333,40 +332,35 @@ local AS MATERIALIZED (SELECT * FROM inside UNION ALL SELECT part, node_id, n +
 h AS (SELECT a.part, a.local_id AS src, b.local_id AS dst, weight FROM edges JOIN inside a ON a.node_id = src JOIN local b ON b.node_id = dst AND b.part = a.part)"""
 
 
-def _windows_by_part(nodes: DataFrame) -> list[DataFrame]:
-    """The windows of each of PART_COUNT ranges that together are the whole graph."""
-    n = -(-nodes.count() // 16)
-    placed = nodes.select(F.expr("node_id div 16").alias("window_id")).distinct().withColumn("part", F.expr(f"window_id * {PART_COUNT} div {n}"))
-    return [placed.where(F.col("part") == k).select("window_id") for k in range(PART_COUNT)]
-
-
-def _union(of: Callable[[int], DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (of(k).withColumn("part", F.lit(k).cast("bigint")) for k in range(PART_COUNT)))
+def _by_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """The edges, (part, window_id) of PART_COUNT ranges that together are the whole graph, and the number of nodes."""
+    edges, nodes = graphs.embedding_graph(spark, sf_dir)
+    count = nodes.count()
+    windows = nodes.select(F.expr("node_id div 16").alias("window_id")).distinct()
+    return edges, windows.select(F.expr(f"window_id * {PART_COUNT} div {-(-count // 16)}").alias("part"), "window_id"), count
 
 
-def _halos(spark: SparkSession, sf_dir: str) -> list:
-    edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    edges, n = materialize(edges, "edges"), nodes.count()
-    return [sampling.halo(edges, wins, n, max_external_ratio=RATIO, seed=SHUFFLE_SEED) for wins in _windows_by_part(nodes)]
+def _halos(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges, windows, count = _by_part(spark, sf_dir)
+    # What is read twice is written once; the edges are read by that alone.
+    own = materialize(sampling.edges_by_part(edges, windows), "part_edges")
+    return sampling.halos(own, windows, count, max_external_ratio=RATIO, seed=SHUFFLE_SEED)
 
 
 @query(f"WITH {G2}, {HALO} SELECT * FROM local")
 def halo_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each of four parts, which are the whole graph, with at most five times as many neighbours outside."""
-    halos = _halos(spark, sf_dir)
-    return _union(lambda k: halos[k].nodes)
+    return _halos(spark, sf_dir)[0]
 
 
 @query(f"WITH {G2}, {HALO} SELECT * FROM h")
 def halo_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    halos = _halos(spark, sf_dir)
-    return _union(lambda k: halos[k].edges)
+    return _halos(spark, sf_dir)[1].drop("inner")
 
 
 @query(f"WITH {G2}, {HALO} SELECT h.* FROM h JOIN sizes USING (part) WHERE dst < n")
 def inner_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    halos = _halos(spark, sf_dir)
-    return _union(lambda k: sampling.inner(halos[k]))
+    return _halos(spark, sf_dir)[1].where("inner").drop("inner")
 
 
 @query(f"WITH {G1}, {TRAIN}, w AS (SELECT DISTINCT node_id // 16 AS window_id FROM held) SELECT (row_number() OVER (ORDER BY window_id) - 1) // 12 AS part_id, window_id FROM w")
@@ -472,18 +466,36 @@ kept AS (SELECT part, node_id FROM (SELECT *, row_number() OVER (PARTITION BY pa
 @query(f"WITH {G2}, {REACHED} SELECT part, node_id, local_id, internal FROM inside UNION ALL SELECT part, node_id, n + row_number() OVER (PARTITION BY part ORDER BY node_id) - 1, false FROM kept JOIN sizes USING (part)")
 def dps_online(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From each of four parts, which are the whole graph, what its probe reaches, repacked."""
-    edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    edges, n = materialize(edges, "edges"), nodes.count()
-    found = [sampling.dps_online(edges, wins, n).nodes for wins in _windows_by_part(nodes)]
-    return _union(lambda k: found[k])
+    edges, windows, count = _by_part(spark, sf_dir)
+    return sampling.dps_online(materialize(edges, "edges"), windows, count)[0]
 
 
-@query()
+#: A step of walk keeps the level before it as well (age 1): the neighbours of a level lie in these two or in the next.
+RCM = """p AS MATERIALIZED (SELECT src, dst FROM edges WHERE src <> dst),
+degrees AS (SELECT node_id, count(src) AS deg FROM nodes LEFT JOIN p ON src = node_id GROUP BY 1),
+reach AS (SELECT node_id, node_id AS component FROM nodes UNION SELECT dst, component FROM reach JOIN p ON src = node_id WHERE dst > component),
+info AS MATERIALIZED (SELECT node_id, deg, min(component) AS component FROM reach JOIN degrees USING (node_id) GROUP BY 1, 2),
+walk AS (
+  SELECT arg_min(node_id, struct_pack(d := deg, i := node_id)) AS node_id, 0 AS level, 0::BIGINT AS place, 0 AS age FROM info GROUP BY component
+  UNION ALL
+  (WITH found AS (SELECT dst AS node_id, max(level) + 1 AS level, min(place) AS parent FROM walk JOIN p ON src = walk.node_id WHERE age = 0 AND dst NOT IN (SELECT node_id FROM walk) GROUP BY 1)
+   SELECT node_id, level, row_number() OVER (ORDER BY parent, deg, node_id) - 1, 0 FROM found JOIN info USING (node_id)
+   UNION ALL SELECT node_id, level, place, 1 FROM walk WHERE age = 0))"""
+
+
+@query(f"WITH RECURSIVE {G2}, {RCM} SELECT node_id AS old, (SELECT count(*) FROM nodes) - row_number() OVER (ORDER BY component, level, place) AS new FROM walk JOIN info USING (node_id) WHERE age = 0")
 def rcm_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
     return partition.rcm_order(edges, nodes)
 
 
+@query()
+def kway_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four parts of the customer-part graph with few edges between them."""
+    edges, nodes = graphs.customer_part(spark, sf_dir)
+    return cut.kway_parts(edges, nodes, PART_COUNT, seed=SHUFFLE_SEED)
+
+
 @query()
 def train_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two full-graph epochs from formula weights: (epoch, loss, train_acc, val_acc)."""

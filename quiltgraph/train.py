@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
@@ -10,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiltgraph.operators import blocking, epochs, model, partition
+from quiltgraph.operators import blocking, cut, epochs, model, partition
 from quiltgraph.schema import GraphBundle
 from quiltgraph.sources import graphs, io
 from quiltgraph.storage import shared_dir
@@ -81,8 +82,7 @@ def batches_for(bundle: GraphBundle, config: dict, layers: int) -> tuple[model.B
     if mode == "NODE":
         return epochs.node_batches(bundle, config.get("fanouts", [10] * layers), config.get("batch_size", 1024), seed=seed), {"weighted": False}
     if mode == "BAPS":
-        order = partition.rcm_order(bundle.edges, bundle.nodes.select("node_id"))
-        parts = partition.range_parts(order, bundle.meta.num_rows, config.get("num_partitions", 10))
+        parts = cut.kway_parts(bundle.edges, bundle.nodes.select("node_id"), config.get("num_partitions", 10), seed=zlib.crc32(str(seed).encode()))
         return epochs.part_batches(bundle, parts, config.get("batch_partition_size", 2), seed=seed), {}
     if mode == "DPS":
         own, size, ratio = _books(bundle, config), config.get("batch_partition_size", 2), float((config.get("DPS") or {}).get("max_external_ratio", 5.0))

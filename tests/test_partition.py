@@ -1,11 +1,14 @@
 """Packing by pointer doubling against plain folds; partitions by cut."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiltgraph.operators import partition
+from quiltgraph.operators import cut, partition
 from quiltgraph.operators.ranking import shuffled
+from quiltgraph.plans import queries
 
 
 def fold_parts(loads, limit, base_step):
@@ -86,3 +89,92 @@ def test_empty_books(spark):
     none = spark.createDataFrame([], "window_id bigint, n_tiles bigint")
     assert partition.dps_book(none, none, limit=10).count() == 0
     assert partition.window_batches(none.select(F.col("window_id").alias("node_id")), 5, drop_last=True).count() == 0
+
+
+def crossing(pairs, part):
+    return sum(part[a] != part[b] for a, b in pairs)
+
+
+def parts_of(spark, pairs, n, k, shuffle=None, **options):
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")
+    nodes = spark.range(n).withColumnRenamed("id", "node_id")
+    if shuffle:
+        edges, nodes = edges.repartition(shuffle).union(edges.select("dst", "src")).union(edges.selectExpr("src", "src")), nodes.repartition(shuffle)
+    return {r["node_id"]: r["part_id"] for r in cut.kway_parts(edges, nodes, k, **options).collect()}
+
+
+def test_two_clusters_are_found_as_exhaustive_search_finds_them(spark):
+    rng = np.random.default_rng(2)
+    names = rng.permutation(14).tolist()
+    pairs = [(names[i], names[j]) for i, j in combinations(range(14), 2) if rng.random() < (0.8 if i // 7 == j // 7 else 0.15)]
+    least = min(crossing(pairs, {i: i in half for i in range(14)}) for half in map(set, combinations(range(14), 7)))
+    part = parts_of(spark, pairs, 14, 2)
+    assert sorted(part) == list(range(14)) and sum(part.values()) == 7
+    assert crossing(pairs, part) == least
+    assert parts_of(spark, pairs, 14, 2, shuffle=5) == part
+
+
+def test_four_groups_by_levels(spark):
+    rng = np.random.default_rng(4)
+    names = rng.permutation(240).tolist()
+    pairs = [(names[i], names[j]) for i, j in combinations(range(240), 2) if rng.random() < (0.2 if i // 60 == j // 60 else 0.006)]
+    planted = crossing(pairs, {names[i]: i // 60 for i in range(240)})
+    part = parts_of(spark, pairs, 240, 4)
+    sizes = np.bincount(list(part.values()), minlength=4)
+    assert sizes.min() >= 57 and sizes.max() <= 63
+    assert crossing(pairs, part) <= 1.4 * planted
+
+
+def test_sizes_without_edges_and_with_a_star(spark):
+    assert sorted(np.bincount(list(parts_of(spark, [(0, 0)], 10, 3).values()), minlength=3)) == [3, 3, 4]
+    star = parts_of(spark, [(0, i) for i in range(1, 61)], 61, 3)
+    assert sorted(np.bincount(list(star.values()), minlength=3))[0] >= 19 and len(star) == 61
+    assert cut.kway_parts(spark.createDataFrame([], "src bigint, dst bigint"), spark.createDataFrame([], "node_id bigint"), 2).count() == 0
+
+
+def test_parts_of_the_customer_graph_cut_less_than_ranges_of_an_order(spark, tiny):
+    edges, nodes = queries.graphs.customer_part(spark, tiny)
+    pairs = [(r["src"], r["dst"]) for r in edges.where("src < dst").collect()]
+    ranges = partition.range_parts(partition.rcm_order(edges, nodes), nodes.count(), 4)
+    got, other = ({r["node_id"]: r["part_id"] for r in df.collect()} for df in (queries.kway_parts(spark, tiny), ranges))
+    assert max(np.bincount(list(got.values()))) <= 1.05 * 350 / 4 + 1
+    assert crossing(pairs, got) < 0.85 * crossing(pairs, other)
+
+
+def plain_rcm(pairs, n):
+    """Reverse Cuthill-McKee node by node: components by least id, each from its least (degree, id)."""
+    near = {i: set() for i in range(n)}
+    for a, b in pairs:
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    deg, seen, order = {i: len(v) for i, v in near.items()}, set(), []
+    for least in range(n):
+        if least in seen:
+            continue
+        own, todo = {least}, [least]
+        while todo:
+            fresh = near[todo.pop()] - own
+            own |= fresh
+            todo += fresh
+        level = [min(own, key=lambda i: (deg[i], i))]
+        seen |= own
+        done = set(level)
+        while level:
+            order += level
+            place = {x: k for k, x in enumerate(level)}
+            parent = {}
+            for x in level:
+                for y in near[x] - done:
+                    parent[y] = min(parent.get(y, n), place[x])
+            level = sorted(parent, key=lambda y: (parent[y], deg[y], y))
+            done |= set(level)
+    return {x: n - 1 - i for i, x in enumerate(order)}
+
+
+def test_rcm_of_several_components_equals_the_plain_order(spark):
+    rng = np.random.default_rng(9)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (70, 2))] + [(60 + i, 61 + i) for i in range(8)]
+    edges = spark.createDataFrame(pairs, "src bigint, dst bigint")  # one direction, loops and repeats
+    order = partition.rcm_order(edges, spark.range(75).withColumnRenamed("id", "node_id"))
+    assert {r["old"]: r["new"] for r in order.collect()} == plain_rcm(pairs, 75)
