@@ -8,9 +8,11 @@ confirmed by the exact differences in wording."""
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections import OrderedDict
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -47,12 +49,17 @@ TEMPLATES = (
     ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("All-Rights-Reserved", "All rights reserved."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
 )
 #: A block is a candidate if one of these stands in it.
 CUE = re.compile(rb"licen[cs]e|copyright|copyleft|spdx|all rights reserved|permission|warrant|redistribut|public domain|creative commons|waived", re.I)
 #: Templates of up to SHORT bytes are looked for in blocks of their own, so that
 #: a long block doesn't hide what they save; a block reaches REACH times its longest template from a cue.
 SHORT, REACH = 120, 1.5
+#: A longer stretch is divided into candidates of so many reaches, each beginning a reach before the last one's end:
+#: a notice lies whole in one of them, and what a template saves isn't lost amid much else.
+WINDOW_REACHES = 4
 #: A template is tried if it saves this part of what it would save of itself,
 #: and confirmed if at most this part of its words is missing or changed.
 LEAST_SAVED, MOST_CHANGED = 0.2, 0.15
@@ -83,6 +90,27 @@ def blocks(text: bytes, reach: int) -> list[tuple[int, int]]:
     return whole
 
 
+def candidates(text: bytes, reach: int) -> Iterator[tuple[int, int]]:
+    """The blocks, those longer than WINDOW_REACHES reaches in overlapping windows of that size."""
+    size = WINDOW_REACHES * reach
+    for a, b in blocks(text, reach):
+        while b - a > size:
+            yield a, a + size
+            a += size - reach
+        yield a, b
+
+
+def disjoint(found: list, start: Callable, end: Callable) -> list:
+    """Those of found that don't overlap an earlier one that is kept, by place."""
+    starts, kept = [], []
+    for x in found:
+        i = bisect.bisect_right(starts, start(x))
+        if (i == 0 or end(kept[i - 1]) <= start(x)) and (i == len(kept) or end(x) <= starts[i]):
+            starts.insert(i, start(x))
+            kept.insert(i, x)
+    return kept
+
+
 @functools.lru_cache(maxsize=4)
 def _prepared(templates: tuple[tuple[str, str], ...]) -> tuple[zstandard.ZstdCompressor, list[tuple[list[bytes], zstandard.ZstdCompressor, int]]]:
     """A compressor without a dictionary; of each template its words, its compressor and what it saves of itself."""
@@ -123,21 +151,25 @@ def wording(words: list[bytes], template: list[bytes]) -> tuple[int, int, int, l
     return codes[equal[0]][3], codes[equal[-1]][4], missing, changes
 
 
-def occurrences(words: list[bytes], template: list[bytes], at: int = 0) -> list[tuple[int, int, int, list[str]]]:
-    """All disjoint confirmed places of the template: the best first, then to its left and right."""
-    n = len(template)
-    if len(words) < n * (1 - MOST_CHANGED):
-        return []
-    m = SequenceMatcher(None, template, words, autojunk=False).find_longest_match()
-    if not m.size:
-        return []
-    lo, hi = max(0, m.b - m.a - n // 4), min(len(words), m.b - m.a + n + n // 4 + 1)
-    first, last, missing, changes = wording(words[lo:hi], template)
-    if missing > MOST_CHANGED * n:
-        # The longest match is no notice; the rest may still hold one.
-        return occurrences(words[: m.b], template, at) + occurrences(words[m.b + m.size :], template, at + m.b + m.size)
-    found = (at + lo + first, at + lo + last, missing, changes)
-    return [*occurrences(words[: lo + first], template, at), found, *occurrences(words[lo + last :], template, at + lo + last)]
+def occurrences(words: list[bytes], template: list[bytes]) -> list[tuple[int, int, int, list[str]]]:
+    """All disjoint confirmed places of the template, in order: the best first, then what is left of it and right of it."""
+    n, found, todo = len(template), [], [(0, len(words))]
+    while todo:
+        start, stop = todo.pop()
+        if stop - start < n * (1 - MOST_CHANGED):
+            continue
+        m = SequenceMatcher(None, template, words[start:stop], autojunk=False).find_longest_match()
+        if not m.size:
+            continue
+        lo, hi = max(start, start + m.b - m.a - n // 4), min(stop, start + m.b - m.a + n + n // 4 + 1)
+        first, last, missing, changes = wording(words[lo:hi], template)
+        if missing > MOST_CHANGED * n:
+            # The longest match is no notice; the rest may still hold one.
+            todo += [(start, start + m.b), (start + m.b + m.size, stop)]
+        else:
+            found.append((lo + first, lo + last, missing, changes))
+            todo += [(start, lo + first), (lo + last, stop)]
+    return sorted(found, key=lambda x: x[0])
 
 
 def judge(block: bytes, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> list[dict]:
@@ -154,13 +186,10 @@ def judge(block: bytes, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> l
             break
         n = len(given[k][0])
         found += [(missing - n, missing, k, first, last, saved, changes) for first, last, missing, changes in occurrences(words, given[k][0])]
-    kept: list[tuple] = []
-    for one in sorted(found, key=lambda x: x[:4]):
-        if all(one[4] <= k[3] or one[3] >= k[4] for k in kept):
-            kept.append(one)
+    kept = disjoint(sorted(found, key=lambda x: x[:4]), lambda x: x[3], lambda x: x[4])
     return [
         {"start": places[first].start(), "end": places[last - 1].end(), "license": templates[k][0], "template": k, "saved": round(saved, 4), "changed": missing, "changes": changes}
-        for _, missing, k, first, last, saved, changes in sorted(kept, key=lambda x: x[3])
+        for _, missing, k, first, last, saved, changes in kept
     ]
 
 
@@ -190,7 +219,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     range, license, template number, bytes saved as part of what the template
     saves of itself, words changed and the changes; disjoint and in order),
     licenses (distinct names, sorted).  All templates that save enough are
-    compared (see judge for ties).  Null and empty texts have no blocks;
+    compared (see judge for ties).  Texts of any length are scanned whole, in
+    candidates of bounded size, so time grows with their length.  Null and empty texts have no blocks;
     repeated rows get equal results; extra columns are not read.
     """
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("license", pa.string()), ("template", pa.int32()), ("saved", pa.float64()), ("changed", pa.int32()), ("changes", pa.list_(pa.string()))]))
@@ -201,14 +231,12 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         n, found = 0, []
         for memory in memories:
             reach = int(REACH * max(len(t.encode()) for _, t in memory.templates))
-            for a, b in blocks(text, reach):
+            for a, b in candidates(text, reach):
                 n += 1
                 found += [x | {"start": x["start"] + a, "end": x["end"] + a, "template": order[memory.templates[x["template"]]]} for x in memory(text[a:b])]
-        kept: list[dict] = []  # of overlapping ones of both scales the longer stays
-        for x in sorted(found, key=lambda x: (x["start"] - x["end"], x["start"], x["template"])):
-            if all(x["end"] <= k["start"] or x["start"] >= k["end"] for k in kept):
-                kept.append(x)
-        return n, sorted(kept, key=lambda x: x["start"])
+        # Of overlapping ones, of both scales or of windows that overlap, the longer stays.
+        longest = sorted(found, key=lambda x: (x["start"] - x["end"], x["changed"], x["start"], x["template"]))
+        return n, disjoint(longest, lambda x: x["start"], lambda x: x["end"])
 
     def run(batches):
         memories = [_Memory(scale) for scale in scales]

@@ -1,6 +1,7 @@
 """Decontamination, license scan, URL filter and media: against plain versions."""
 
 import hashlib
+import random
 import re
 import textwrap
 import zlib
@@ -221,3 +222,30 @@ def test_carving_and_nulls(spark):
     found = media.sniff_media(rows_)
     assert [(r["detected_type"], r["corrected"]) for r in found.orderBy("doc_id").collect()] == [(None, False), (None, False)]
     assert [bytes(r["media"]) for r in media.carve(found).collect()] == [png]
+
+
+def test_many_notices_and_notices_in_long_texts_full_of_cues(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    prose = [" ".join([*(word() for _ in range(14)), "license"]) for _ in range(11_000)]
+    texts = dict(licenses.TEMPLATES[::-1])  # the first template of each name
+    mit = next(t for name, t in licenses.TEMPLATES if name == "MIT" and len(t) > 300)
+    put = [(2_000, mit, "MIT"), (2_001, texts["CC-BY-4.0"], "CC-BY-4.0"), (7_777, texts["GPL-3.0-or-later"], "GPL-3.0-or-later"), (10_999, texts["ISC"], "ISC")]
+    for at, text, _ in put:
+        prose[at] += " " + text
+    rows = [(0, (texts["All-Rights-Reserved"] + " ") * 10_000), (1, f"{texts['MIT']} " * 1_500), (2, " ".join(prose)), (3, f"{mit}\n" * 300)]
+    got = {r["doc_id"]: r["notices"] for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert len(got[0]) == 10_000 and len(got[1]) == 1_500 and len(got[3]) == 300
+    data = rows[2][1].encode()
+    assert len(data) > 1_000_000
+    assert [n["license"] for n in got[2]] == [name for _, _, name in put]
+    assert all(texts_match(data[n["start"] : n["end"]].decode(), text) for n, (_, text, _) in zip(got[2], put, strict=True))
+
+
+def texts_match(found, text):
+    return plain_words(found) == plain_words(text)
+
+
+def test_places_that_overlap():
+    found = [(3, 9), (0, 4), (9, 12), (1, 3), (0, 1), (11, 20), (20, 20)]
+    assert licenses.disjoint(found, lambda x: x[0], lambda x: x[1]) == [(0, 1), (1, 3), (3, 9), (9, 12), (20, 20)]
