@@ -5,9 +5,10 @@ gradient is a small matrix, summed over tasks."""
 
 from __future__ import annotations
 
+import base64
 import json
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from dataclasses import asdict, dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from quiltgraph.functions import metrics
 from quiltgraph.operators import linalg
 from quiltgraph.schema import GraphBundle
-from quiltgraph.storage import materialize
+from quiltgraph.storage import StateLog, materialize
 
 # The coefficients of Abramowitz and Stegun 7.1.26, which gives erf to 1.5e-7.
 ERF_SCALE = 0.3275911
@@ -371,20 +372,42 @@ def targets(bundle: GraphBundle) -> DataFrame:
     return nodes.drop("labels")
 
 
+def _pack(arrays: list[np.ndarray]) -> list[dict]:
+    """Arrays as JSON holds them, to the bit."""
+    return [{"shape": a.shape, "bytes": base64.b64encode(np.ascontiguousarray(a, "<f8").tobytes()).decode()} for a in arrays]
+
+
+def _unpack(packed: list[dict], like: GraphModel) -> Weights:
+    """In the form of like's weights."""
+    flat = iter([np.frombuffer(base64.b64decode(p["bytes"]), "<f8").reshape(p["shape"]).copy() for p in packed])
+    return [tuple(next(flat) for _ in layer) for layer in like.weights()]
+
+
 Batches = Callable[[int], Iterator[tuple[DataFrame | list[DataFrame], DataFrame, DataFrame]]]
 
 
-def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: int, eval_interval: int = 1, patience: int = 20, adam: Adam | None = None, weighted: bool = True, accuracy: Callable[[GraphModel], float] | None = None, plateau: bool = True) -> list[dict]:
+def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: int, eval_interval: int = 1, patience: int = 20, adam: Adam | None = None, weighted: bool = True, accuracy: Callable[[GraphModel], float] | None = None, plateau: bool = True, state: StateLog | None = None) -> list[dict]:
     """Epochs over batches (edges, nodes, train nodes), see operators/epochs.py.
 
     The loss of an epoch is the mean over its batches, weighted by what they
     trained on, or plain if not weighted; batches without a train node are
     skipped.  accuracy: the validation's, by default of the whole graph.
     Keeps the best weights by it and stops ``patience`` epochs after the best.
+    state: every epoch is committed there, and epochs that it has are not
+    trained again.
     """
     adam, rates, best, log = adam or Adam(), Plateau(), (-1.0, 0, model.weights()), []
+    if state and state.values:
+        kept = state.values
+        model.set_weights(_unpack(kept["weights"], model))
+        best, log = (*kept["best"], _unpack(kept["best_weights"], model)), kept["log"]
+        adam.rate, adam.t, rates = kept["rate"], kept["t"], Plateau(**kept["plateau"])
+        if adam.t:
+            adam.m, adam.v = ([w for layer in _unpack(kept[k], model) for w in layer] for k in "mv")
     accuracy = accuracy or (lambda m: evaluate(infer(m, bundle.edges, bundle.nodes), targets(bundle).where("split = 'val'")))
-    for epoch in range(1, epochs + 1):
+    for epoch in range(len(log) + 1, epochs + 1):
+        if log and log[-1]["epoch"] - best[1] > patience:
+            break
         loss = right = total = share = 0
         for edges, nodes, own in batches(epoch):
             part, ok, n, grads = loss_and_gradients(model, edges, nodes, own, epoch=epoch)
@@ -400,7 +423,8 @@ def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: i
             if row["val_acc"] > best[0]:
                 best = (row["val_acc"], epoch, model.weights())
         log.append(row)
-        if epoch - best[1] > patience:
-            break
+        if state:
+            moments = {k: _pack(v or []) for k, v in (("m", adam.m), ("v", adam.v))}
+            state.commit(weights=_pack([w for layer in model.weights() for w in layer]), best=best[:2], best_weights=_pack([w for layer in best[2] for w in layer]), log=log, rate=adam.rate, t=adam.t, plateau=asdict(rates), **moments)
     model.set_weights(best[2])
     return log

@@ -16,41 +16,47 @@ from pyspark.sql import functions as F
 from quiltgraph.operators.components import connected_components
 from quiltgraph.operators.ranking import number_by_id, number_rows, number_within, prefix_sum, shuffled
 from quiltgraph.schema import TILE_ROWS
-from quiltgraph.storage import materialize, remove
+from quiltgraph.storage import StateLog, materialize, remove
 
 
-def rcm_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+def rcm_order(edges: DataFrame, nodes: DataFrame, *, log: StateLog | None = None) -> DataFrame:
     """(old, new): reverse Cuthill-McKee, of the edges in both directions.
 
     Components by least id; each starts at its least (degree, id) and goes
     level by level, neighbours by (place of the parent, degree, id); the whole
     order is reversed.  One join per level, which reads the edges and the last
-    two levels; each level is written once and nothing is written again.
+    two levels; each level is written once and nothing is written again.  With
+    the log of a run that stopped, the search goes on from its last level.
     """
-    own = edges.where("src <> dst").select("src", "dst")
-    plain = materialize(own.union(own.select("dst", "src")).distinct(), "plain")
-    deg = nodes.select("node_id").join(plain.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("deg")), "node_id", "left").select("node_id", F.coalesce("deg", F.lit(0)).alias("deg"))
-    comp = connected_components(plain.select(F.col("src").alias("u"), F.col("dst").alias("v")))
-    info = materialize(deg.join(comp.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id")), "info")
-    first = info.groupBy("component").agg(F.min(F.struct("deg", "node_id")).alias("s")).select(F.col("s.node_id").alias("node_id"), "component", F.lit(0).cast("bigint").alias("level"), F.lit(0).cast("bigint").alias("place"))
-    # In a symmetric graph the neighbours of a level lie in it, the one before or the next: no others need be left out.
-    before, level, depth, levels = None, materialize(first, "level"), 0, []
-    while True:
-        levels.append(level)
+    own, log = log is None, log or StateLog(edges.sparkSession)
+    if not log.values:
+        plain = edges.where("src <> dst").select("src", "dst")
+        plain = log.keep("plain", plain.union(plain.select("dst", "src")).distinct())
+        deg = nodes.select("node_id").join(plain.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("deg")), "node_id", "left").select("node_id", F.coalesce("deg", F.lit(0)).alias("deg"))
+        comp = connected_components(plain.select(F.col("src").alias("u"), F.col("dst").alias("v")))
+        info = log.keep("info", deg.join(comp.withColumnRenamed("node", "node_id"), "node_id", "left").withColumn("component", F.coalesce("component", "node_id")))
+        first = info.groupBy("component").agg(F.min(F.struct("deg", "node_id")).alias("s"))
+        log.keep("level-0", first.select(F.col("s.node_id").alias("node_id"), "component", F.lit(0).cast("bigint").alias("level"), F.lit(0).cast("bigint").alias("place")))
+        log.commit(depth=0, done=False)
+    plain, info = log.get("plain"), log.get("info")
+    while not log.values["done"]:
+        depth = log.values["depth"]
+        level = log.get(f"level-{depth}")
         found = plain.join(level.select(F.col("node_id").alias("src"), "place"), "src").groupBy(F.col("dst").alias("node_id")).agg(F.min("place").alias("parent"))
-        for known in (before, level):
-            if known is not None:
-                found = found.join(known.select("node_id"), "node_id", "left_anti")
-        depth += 1
+        # In a symmetric graph the neighbours of a level lie in it, the one before or the next: no others need be left out.
+        for known in range(max(depth - 1, 0), depth + 1):
+            found = found.join(log.get(f"level-{known}").select("node_id"), "node_id", "left_anti")
         # Places follow the parents', so numbers run on within a level; components are told apart at the end.
         numbered = number_rows(found.join(info, "node_id"), F.floor(F.col("parent") / 64), ["parent", "deg", "node_id"], "place")
-        after = materialize(numbered.select("node_id", "component", F.lit(depth).cast("bigint").alias("level"), F.col("place").cast("bigint").alias("place")), "level")
+        after = log.keep(f"level-{depth + 1}", numbered.select("node_id", "component", F.lit(depth + 1).cast("bigint").alias("level"), F.col("place").cast("bigint").alias("place")))
         if after.isEmpty():
-            remove(after)
-            break
-        before, level = level, after
-    seen = materialize(_tree_union(levels), "levels")
-    remove(plain, *levels)
+            log.drop(f"level-{depth + 1}")
+            log.commit(done=True)
+        else:
+            log.commit(depth=depth + 1)
+    seen = materialize(_tree_union([log.get(f"level-{k}") for k in range(log.values["depth"] + 1)]), "levels")
+    if own:
+        log.remove()
     n = nodes.count()
     sizes = prefix_sum(seen.groupBy("component").agg(F.count(F.lit(1)).alias("c")), "component", "c", "start")
     levels = seen.groupBy("component", "level").agg(F.count(F.lit(1)).alias("c"))
@@ -116,28 +122,31 @@ def window_loads(windows: DataFrame, chosen: DataFrame, tile_rows: int = 16, til
     return found.agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_tiles").alias("n_tiles"), (F.sum("n_tiles") * tile_rows * tile_cols).alias("n_values"), (F.sum("n_tiles") * tile_cols).alias("n_cols"))
 
 
-def reached_starts(jumps: DataFrame) -> DataFrame:
+def reached_starts(jumps: DataFrame, *, log: StateLog | None = None) -> DataFrame:
     """(start): the places that jumps (start, next) reach from place 0, with 0 itself.
 
     start: distinct; next > start, or null where there is no next.  In round k
     the table holds the 2**k-th next of each start, and what has been reached so far jumps on by as
-    much: the rounds are log2 of the number of starts reached.  Tables are
-    written in the shared folder and deleted as soon as the next ones are.
+    much: the rounds are log2 of the number of starts reached.  With the log
+    of a run that stopped, it goes on from the last round.
     """
-    jumps = materialize(jumps.select("start", "next").where("next is not null"), "jumps")
-    reached = materialize(jumps.sparkSession.createDataFrame([(0,)], "start bigint"), "reached")
-    count = 1
-    while True:
-        more = materialize(reached.union(reached.join(jumps, "start").select(F.col("next").alias("start"))), "reached")
-        remove(reached)
-        reached, before, count = more, count, more.count()
-        if count == before:
-            remove(jumps)
-            return reached
-        on = jumps.select(F.col("start").alias("next"), F.col("next").alias("then"))
-        further = materialize(jumps.join(on, "next").select("start", F.col("then").alias("next")), "jumps")
-        remove(jumps)
-        jumps = further
+    own, log = log is None, log or StateLog(jumps.sparkSession)
+    if "reached" not in log.values:
+        log.keep("jumps", jumps.select("start", "next").where("next is not null"))
+        log.keep("reached", jumps.sparkSession.createDataFrame([(0,)], "start bigint"))
+        log.commit(reached=1, whole=False)
+    while not log.values["whole"]:
+        jumps, reached = log.get("jumps"), log.get("reached")
+        more = log.keep("reached", reached.union(reached.join(jumps, "start").select(F.col("next").alias("start"))))
+        count = more.count()
+        if count > log.values["reached"]:
+            on = jumps.select(F.col("start").alias("next"), F.col("next").alias("then"))
+            log.keep("jumps", jumps.join(on, "next").select("start", F.col("then").alias("next")))
+        log.commit(reached=count, whole=count == log.values["reached"])
+    found = materialize(log.get("reached"), "reached")
+    if own:
+        log.remove()
+    return found
 
 
 def _parts_from(placed: DataFrame, starts: DataFrame, out: str) -> DataFrame:
@@ -179,17 +188,27 @@ def book_jumps(loads: DataFrame, limit: int, base_step: int) -> DataFrame:
     return jumps
 
 
-def dps_book(windows: DataFrame, seeds: DataFrame, *, limit: int, base_step: int = 10, cells: int = 128, seed: object = 7) -> DataFrame:
+def dps_book(windows: DataFrame, seeds: DataFrame, *, limit: int, base_step: int = 10, cells: int = 128, seed: object = 7, log: StateLog | None = None) -> DataFrame:
     """(part_id, window_id): the windows of seeds (window_id) in shuffled order, packed by tiles * cells, see book_jumps.
 
     A probe of one layer reads the seed windows alone, so what a part loads is
-    the sum over its windows, and the windows are what it keeps.
+    the sum over its windows, and the windows are what it keeps.  With the log
+    of a run that stopped, it goes on from what that had written.
     """
-    own = windows.join(seeds.select("window_id").distinct(), "window_id", "left_semi").select("window_id", "n_tiles")
-    placed = materialize(shuffled(own, "window_id", seed, "place").select(F.col("place").cast("bigint").alias("place"), "window_id", (F.col("n_tiles") * cells).cast("bigint").alias("load")), "placed")
-    jumps = book_jumps(placed, limit, base_step)
-    starts = reached_starts(jumps)
-    remove(jumps)
+    own, log = log is None, log or StateLog(windows.sparkSession)
+    if not log.values:
+        chosen = windows.join(seeds.select("window_id").distinct(), "window_id", "left_semi").select("window_id", "n_tiles")
+        log.keep("placed", shuffled(chosen, "window_id", seed, "place").select(F.col("place").cast("bigint").alias("place"), "window_id", (F.col("n_tiles") * cells).cast("bigint").alias("load")))
+        log.commit(placed=True)
+    if "jumped" not in log.values:
+        jumps = book_jumps(log.get("placed"), limit, base_step)
+        log.keep("all_jumps", jumps)
+        log.commit(jumped=True)
+        remove(jumps)
+    starts = reached_starts(log.get("all_jumps"), log=log)
+    placed = materialize(log.get("placed"), "placed")
+    if own:
+        log.remove()
     return _parts_from(placed, starts, "part_id")
 
 

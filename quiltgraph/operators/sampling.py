@@ -8,9 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quiltgraph.operators import blocking
 from quiltgraph.operators.blocking import with_window
-from quiltgraph.operators.ranking import hash_text, number_by_id, number_within
-from quiltgraph.schema import TILE_ROWS, HacsOptions, Subgraph
+from quiltgraph.operators.ranking import hash_text, number_by_id, number_within, prefix_sum
+from quiltgraph.schema import TILE_COLS, TILE_ROWS, HacsOptions, Subgraph
 from quiltgraph.storage import materialize, remove
 
 
@@ -106,6 +107,29 @@ def sample_layers(edges: DataFrame, seeds: DataFrame, cols_per_window: Sequence[
     return layers[::-1]
 
 
+def sampled_windows(sampled: DataFrame, active: DataFrame, tile_cols: int = TILE_COLS) -> DataFrame:
+    """(window_id, idx, n_cols, n_tiles, tile_start, tile_end): of each active window, in their order, its valid sampled columns and where its tiles are.
+
+    tile_end is the inclusive sum of tiles; windows of which nothing was sampled have none.
+    """
+    count = sampled.groupBy("window_id").agg(F.count(F.lit(1)).alias("n_cols"))
+    own = window_ids(active).join(count, "window_id", "left").select("window_id", "idx", F.coalesce("n_cols", F.lit(0)).cast("bigint").alias("n_cols"))
+    placed = prefix_sum(own.withColumn("n_tiles", F.expr(f"(n_cols + {tile_cols - 1}) div {tile_cols}")), "idx", "n_tiles", "tile_start")
+    return placed.select("window_id", "idx", "n_cols", "n_tiles", "tile_start", (F.col("tile_start") + F.col("n_tiles")).alias("tile_end"))
+
+
+def sampled_cols(sampled: DataFrame, tile_cols: int = TILE_COLS) -> DataFrame:
+    """(window_id, col, pos, tile_in_window, col_in_tile): as blocking.window_cols, by place among a window's sampled columns."""
+    pos = (F.row_number().over(Window.partitionBy("window_id").orderBy("col")) - 1).cast("bigint")  # a budget's columns at most
+    placed = sampled.select("window_id", "col").withColumn("pos", pos)
+    return placed.withColumns({"tile_in_window": F.expr(f"pos div {tile_cols}"), "col_in_tile": F.expr(f"pos % {tile_cols}")})
+
+
+def sampled_tiles(edges: DataFrame, sampled: DataFrame, active: DataFrame, tile_rows: int = TILE_ROWS, tile_cols: int = TILE_COLS) -> DataFrame:
+    """(window_id, tile_id, cols, vals): the sampled columns condensed into tiles anew, all rows of their windows."""
+    return blocking.tiles(edges, sampled_cols(sampled, tile_cols), sampled_windows(sampled, active, tile_cols), tile_rows, tile_cols)
+
+
 def transposed_coo(edges: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(col, row_in_window, window_id, weight) of recompressed edges."""
     return edges.select(F.col("dst").alias("col"), F.expr(f"src % {tile_rows}").alias("row_in_window"), "window_id", "weight")

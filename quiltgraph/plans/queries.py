@@ -7,6 +7,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,15 +115,21 @@ def window_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.customer_part(spark, sf_dir)
-    cols = blocking.window_cols(edges)
+    edges = materialize(edges, "edges")
+    cols = materialize(blocking.window_cols(edges), "window_cols")
     return blocking.tiles(edges, cols, blocking.windows(cols, -(-nodes.count() // 16)))
 
 
+def _cells(tiles: DataFrame) -> DataFrame:
+    """(window_id, tile_id, slot, col, weight) of tiles."""
+    cells = tiles.select("window_id", "tile_id", "cols", F.posexplode("vals").alias("slot", "weight")).where("weight <> 0")
+    return cells.select("window_id", "tile_id", "slot", F.col("cols")[F.col("slot") % 8].cast("bigint").alias("col"), "weight")
+
+
 @query(f"WITH {G1}, {WINCOLS} SELECT e.src // 16 AS window_id, tile_start + pos // 8 AS tile_id, ((e.src % 16) * 8 + pos % 8)::INT AS slot, col, weight FROM edges e JOIN wc ON wc.window_id = e.src // 16 AND col = dst JOIN offs ON offs.window_id = wc.window_id")
 def tiles_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every value of every tile with its slot and column."""
-    cells = _tiles(spark, sf_dir).select("window_id", "tile_id", "cols", F.posexplode("vals").alias("slot", "weight")).where("weight <> 0")
-    return cells.select("window_id", "tile_id", "slot", F.col("cols")[F.col("slot") % 8].cast("bigint").alias("col"), "weight")
+    return _cells(_tiles(spark, sf_dir))
 
 
 @query(f"WITH {G1} SELECT * FROM edges")
@@ -159,6 +166,33 @@ def sample_hop2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _layers(spark, sf_dir)[0].edges
 
 
+#: A layer of 20 columns for each training window, of which the last tile is half empty.
+HOP20 = f"""h AS MATERIALIZED ({topk_sql('(SELECT * FROM edges WHERE src // 16 IN (SELECT window_id FROM seeds)) q', 20)}),
+placed AS (SELECT window_id, col, row_number() OVER (PARTITION BY window_id ORDER BY col) - 1 AS pos FROM h),
+counted AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS idx, coalesce(n_cols, 0) AS n_cols, (coalesce(n_cols, 0) + 7) // 8 AS n_tiles FROM seeds LEFT JOIN (SELECT window_id, count(*) AS n_cols FROM h GROUP BY 1) USING (window_id)),
+offsets AS (SELECT *, (sum(n_tiles) OVER (ORDER BY idx))::BIGINT AS tile_end FROM counted)"""
+
+
+def _layer20(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    edges, nodes = graphs.customer_part(spark, sf_dir)
+    edges = materialize(edges, "edges")
+    layer = sampling.sample_layers(edges, _train(nodes), (20,))[0]
+    return edges, layer.extra["sampled"], layer.nodes
+
+
+@query(f"WITH {G1}, {SEEDS}, {HOP20} SELECT window_id, idx, n_cols, n_tiles, tile_end FROM offsets")
+def sampled_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valid columns and inclusive tile offsets of a sampled layer's windows."""
+    _, sampled, active = _layer20(spark, sf_dir)
+    return sampling.sampled_windows(sampled, active).drop("tile_start")
+
+
+@query(f"WITH {G1}, {SEEDS}, {HOP20} SELECT e.src // 16 AS window_id, tile_end - n_tiles + pos // 8 AS tile_id, ((e.src % 16) * 8 + pos % 8)::INT AS slot, col, weight FROM edges e JOIN placed ON placed.window_id = e.src // 16 AND col = dst JOIN offsets ON offsets.window_id = placed.window_id")
+def sampled_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every value of the tiles into which a layer's sampled columns are condensed."""
+    return _cells(sampling.sampled_tiles(*_layer20(spark, sf_dir)))
+
+
 @query(f"WITH {G1}, {SEEDS}, {HOP1}, {HOP2}, a AS (SELECT window_id, row_number() OVER (ORDER BY window_id) - 1 AS idx FROM seeds) SELECT src, dst, weight, idx * 16 + dst % 16 AS local_dst FROM edges JOIN h2 ON h2.window_id = src // 16 AND col = dst JOIN a ON a.window_id = dst // 16")
 def reindex_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hop-2 edges whose column lies in a seed window, with its row there."""
@@ -221,6 +255,12 @@ def sage_conv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(linalg.to_long(linalg.sage_conv(edges, nodes, w, w)))
 
 
+def _embedding(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The embedding graph with its edges written once, for plans that read them several times."""
+    edges, nodes = graphs.embedding_graph(spark, sf_dir)
+    return materialize(edges, "edges"), nodes
+
+
 def _model() -> model.GraphModel:
     a, b = formula_weights(DIM, HIDDEN), formula_weights(HIDDEN, CLASSES)
     return model.GraphModel([(a, a), (b, b)])
@@ -229,7 +269,7 @@ def _model() -> model.GraphModel:
 @query(f"WITH {G2}, {LOGITS} SELECT node_id, f, round(value, 6) + 0.0 AS value FROM z")
 def inference_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layers with relu between, formula weights."""
-    return _rounded(linalg.to_long(model.forward(_model(), *graphs.embedding_graph(spark, sf_dir))))
+    return _rounded(linalg.to_long(model.forward(_model(), *_embedding(spark, sf_dir))))
 
 
 @query(f"""WITH {G2}, {LOGITS},
@@ -238,7 +278,7 @@ l AS (SELECT z.node_id, ln(sum(exp(value - top))) + any_value(top) AS lse FROM z
 SELECT round(avg(lse - z.value), 6) AS loss, sum((best = label)::INT)::BIGINT AS correct, count(*) AS total
 FROM nodes JOIN l USING (node_id) JOIN m USING (node_id) JOIN z ON z.node_id = nodes.node_id AND z.f = label""")
 def ce_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, nodes = graphs.embedding_graph(spark, sf_dir)
+    edges, nodes = _embedding(spark, sf_dir)
     logits = model.forward(_model(), edges, nodes).select("node_id", F.col("features").alias("logits")).join(nodes.select("node_id", "label"), "node_id")
     return metrics.cross_entropy(logits).withColumn("loss", F.round("loss", 6))
 
@@ -247,12 +287,28 @@ def ce_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(avg(greatest(value, 0) - value * y + ln(1 + exp(-abs(value)))), 6) AS loss, sum(((value > 0) = (y = 1))::INT)::BIGINT AS correct, count(*) AS total FROM y""")
 def bce_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten labels for each node, by formula."""
-    edges, nodes = graphs.embedding_graph(spark, sf_dir)
+    edges, nodes = _embedding(spark, sf_dir)
     labels = F.transform(F.sequence(F.lit(0), F.lit(CLASSES - 1)), lambda f: ((F.col("label") + f) % 3 == 0).cast("float"))
     logits = model.forward(_model(), edges, nodes).select("node_id", F.col("features").alias("logits")).join(nodes.select("node_id", labels.alias("labels")), "node_id")
     return metrics.bce_with_logits(logits).withColumn("loss", F.round("loss", 6))
 
 
+@query(f"""WITH {G2}, c AS ({conv_sql('x', weights_sql(DIM, CLASSES), weights_sql(DIM, CLASSES))}),
+p AS (SELECT node_id, f, exp(value - max(value) OVER (PARTITION BY node_id)) AS e FROM c),
+g AS MATERIALIZED (SELECT node_id, f, (e / sum(e) OVER (PARTITION BY node_id) - (f = label)::INT) / n AS value FROM p JOIN nodes USING (node_id), cnt),
+atg AS MATERIALIZED (SELECT dst AS node_id, f, sum(weight * value) AS value FROM edges JOIN g ON node_id = src GROUP BY 1, 2),
+both_ AS (SELECT 'neighbour' AS weights, * FROM atg UNION ALL SELECT 'self', * FROM g)
+SELECT weights, x.f AS i, b.f AS j, round(sum(x.value * b.value), 6) + 0.0 AS value FROM both_ b JOIN x USING (node_id) GROUP BY 1, 2, 3""")
+def gradients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of one layer from formula weights, the gradients of both weight matrices of the mean loss over all nodes."""
+    edges, nodes = _embedding(spark, sf_dir)
+    w = formula_weights(DIM, CLASSES)
+    neighbour, own = model.loss_and_gradients(model.GraphModel([(w, w)]), edges, nodes, nodes)[3][0]
+    rows = [(name, i, j, float(v)) for name, grad in (("neighbour", neighbour), ("self", own)) for (i, j), v in np.ndenumerate(grad)]
+    found = spark.createDataFrame(rows, "weights string, i bigint, j bigint, value double")
+    return found.withColumn("value", F.round("value", 6) + F.lit(0.0))
+
+
 @query(f"WITH {G2}, l AS (SELECT node_id, sqrt(sum(value * value)) AS s FROM x GROUP BY 1) SELECT node_id, f, round((value / greatest(s, 1e-12))::FLOAT::DOUBLE, 6) AS value FROM x JOIN l USING (node_id)")
 def l2_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(linalg.to_long(etl.l2_normalize(graphs.embedding_graph(spark, sf_dir)[1])))
@@ -269,7 +325,7 @@ q AS (SELECT node_id, round(least(greatest(raw / ((SELECT avg(raw) FROM raw) + 1
 
 
 def _hacs(spark: SparkSession, sf_dir: str):
-    edges, nodes = graphs.embedding_graph(spark, sf_dir)
+    edges, nodes = _embedding(spark, sf_dir)
     return edges, nodes, etl.hacs_static(nodes, etl.in_degree(edges, nodes))
 
 
@@ -287,6 +343,22 @@ def hacs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.topk(sampling.score_columns(edges, hacs=HacsOptions(), q=q), K)
 
 
+LOCAL = HacsOptions(delta=0.5, gamma_bonus=0.25)
+
+
+@query(f"""WITH {G2}, {HACS}, {TRAIN}, m AS MATERIALIZED (SELECT node_id // 16 AS window_id, bit_or((1 << (node_id % 16))::INT) AS mask FROM train GROUP BY 1),
+own AS (SELECT window_id, dst AS col, abs(weight) AS w, q, bit_count(mask) AS rows, CASE WHEN window_id % 3 = dst // 16 % 3 THEN 0.5 ELSE 0 END::FLOAT AS d FROM edges JOIN m ON window_id = src // 16 AND (mask >> (src % 16)::INT) & 1 = 1 JOIN q ON node_id = dst),
+s AS (SELECT window_id, col, (sum(CAST(trunc(((CAST(1.0 AS FLOAT) + CAST(10.0 AS FLOAT) * w) * q + d) * CAST(100.0 AS FLOAT)) AS INT)) + (any_value(rows) - count(*)) * max(CAST(trunc((q + d) * CAST(100.0 AS FLOAT)) AS INT)) + 25)::BIGINT AS score FROM own GROUP BY 1, 2)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY window_id ORDER BY score DESC, col))::INT AS rank FROM s WHERE score > 0) WHERE rank <= {K}""")
+def hacs_local(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a bonus for columns of the window's own part, one for each column, and only training rows counted."""
+    edges, nodes, q = _hacs(spark, sf_dir)
+    parts = nodes.select("node_id", F.expr("cast(node_id div 16 % 3 as int)").alias("part_id"))
+    windows = nodes.select(F.expr("node_id div 16").alias("window_id")).distinct().withColumn("part_id", F.expr("cast(window_id % 3 as int)"))
+    frontier = sampling.active_windows(_train(nodes))
+    return sampling.topk(sampling.score_columns(edges, frontier, hacs=LOCAL, q=q, window_parts=windows, node_parts=parts, mask_rows=True), K)
+
+
 PARTS = f"""parts AS (SELECT node_id, (node_id * 7 % 3)::INT AS part_id FROM nodes),
 sized AS (SELECT part_id, count(*) AS real_count, (count(*) + 15) // 16 * 16 AS padded FROM parts GROUP BY 1),
 partitions AS (SELECT part_id, (sum(padded) OVER (ORDER BY part_id) - padded)::BIGINT AS start_idx, (sum(padded) OVER (ORDER BY part_id))::BIGINT AS end_idx, real_count, padded - real_count AS pad_count FROM sized),

@@ -18,15 +18,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The standard ETL: both directions, no repeats, a loop for each node, degree-normalised."""
-    return etl.sym_norm(etl.add_self_loops(etl.drop_self_loops(etl.symmetrize(pairs)), nodes), nodes)
+    """The standard ETL: both directions, no repeats, a loop for each node, degree-normalised.
+
+    Loops of nodes differ from all edges that have lost theirs, so one distinct is enough.
+    """
+    loops = nodes.select("node_id").distinct().select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+    return etl.sym_norm(etl.symmetrize(etl.drop_self_loops(pairs)).union(loops), nodes)
 
 
 def customer_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """G1, (edges, nodes): customers and, from the customer count on, parts; joined by what was ordered."""
     customers, parts = read(spark, sf_dir, "customer"), read(spark, sf_dir, "part")
     n = customers.count()
-    pairs = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + n).alias("dst")).distinct()
+    pairs = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_partkey") + n).alias("dst"))
     nodes = customers.select(F.col("c_custkey").alias("node_id")).union(parts.select(F.col("p_partkey") + n))
     return prepare(pairs, nodes), nodes
 
@@ -35,7 +39,7 @@ def embedding_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     """G2, (edges, nodes): embeddings as features and labels; edges from order lines, modulo their number."""
     nodes = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("node_id"), F.col("embedding").alias("features"), F.col("label").cast("bigint").alias("label"))
     n = nodes.count()
-    pairs = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % n).alias("src"), (F.col("l_partkey") % n).alias("dst")).distinct()
+    pairs = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % n).alias("src"), (F.col("l_partkey") % n).alias("dst"))
     return prepare(pairs, nodes), nodes
 
 

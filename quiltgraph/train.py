@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quiltgraph.operators import blocking, cut, epochs, model, partition
 from quiltgraph.schema import GraphBundle
 from quiltgraph.sources import graphs, io
-from quiltgraph.storage import shared_dir
+from quiltgraph.storage import StateLog, shared_dir
 
 
 @dataclass
@@ -70,7 +70,7 @@ def _books(bundle: GraphBundle, config: dict) -> tuple[DataFrame, DataFrame]:
     meta, nodes, own = bundle.meta, model.targets(bundle), config.get("DPS") or {}
     wins = blocking.windows(blocking.window_cols(bundle.edges, meta.tile_rows, meta.tile_cols), meta.num_windows, meta.tile_cols)
     seeds = nodes.where("split = 'train'").select(F.expr(f"node_id div {meta.tile_rows}").alias("window_id"))
-    book = partition.dps_book(wins, seeds, limit=int(own.get("max_partition_edges", 2_000_000)), base_step=int(own.get("probe_step_size", 50)), cells=meta.tile_rows * meta.tile_cols, seed=config.get("seed", 7))
+    book = partition.dps_book(wins, seeds, limit=int(own.get("max_partition_edges", 2_000_000)), base_step=int(own.get("probe_step_size", 50)), cells=meta.tile_rows * meta.tile_cols, seed=config.get("seed", 7), log=StateLog(wins.sparkSession, f"{config['state']}/book") if config.get("state") else None)
     windows, parts = book.agg(F.count(F.lit(1)), F.countDistinct("part_id")).first()
     return book, partition.eval_book(nodes.where("split = 'val'").select("node_id"), -(-windows // max(parts, 1)), meta.tile_rows)
 
@@ -93,7 +93,8 @@ def batches_for(bundle: GraphBundle, config: dict, layers: int) -> tuple[model.B
 def run(spark: SparkSession, config: dict) -> dict:
     """Load, build, train, test.  Returns the results and, if config["output"] is set, keeps them.
 
-    The run's folder is output/SOURCE_MODE_TIME, with the best weights (weights,
+    With config["state"], a folder, a run that stopped goes on from the last
+    epoch, and the last round of its book, that it committed there.  The run's folder is output/SOURCE_MODE_TIME, with the best weights (weights,
     meta), the epochs' rows (log), the stages' times (timers) and results.
     """
     timers, mode = Timers(), mode_of(config)
@@ -105,9 +106,10 @@ def run(spark: SparkSession, config: dict) -> dict:
         options = {"activation": config.get("activation", "relu"), "layer_norm": config.get("layer_norm", True), "residual": config.get("residual", False), "dropout": config.get("dropout", 0.0)}
         net = model.GraphModel.init([width, *hidden, config.get("num_classes") or bundle.num_classes], config.get("seed", 7), **options)
         batches, known = batches_for(bundle, config, len(net.layers))
+    state = StateLog(spark, f"{config['state']}/train") if config.get("state") else None
     with timers.stage("train"):
         adam = model.Adam(float(config.get("lr", 1e-3)), float(config.get("weight_decay", 0.0)))
-        log = model.train(bundle, net, timers.timed(batches, "batch"), epochs=config.get("epochs", 200), eval_interval=config.get("eval_interval", 1), patience=config.get("patience", 20), adam=adam, plateau=config.get("use_scheduler", True), **known)
+        log = model.train(bundle, net, timers.timed(batches, "batch"), epochs=config.get("epochs", 200), eval_interval=config.get("eval_interval", 1), patience=config.get("patience", 20), adam=adam, plateau=config.get("use_scheduler", True), state=state, **known)
     with timers.stage("test"):
         test = model.evaluate(model.infer(net, bundle.edges, bundle.nodes), model.targets(bundle).where("split = 'test'"))
     seen = [r for r in log if r["val_acc"] is not None]
