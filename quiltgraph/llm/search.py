@@ -272,11 +272,12 @@ def rank_documents(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id",
     weights = vocabulary.join(held, ["chunk", "term_no"]).select("chunk", "term", "term_no", weight.cast("bigint").alias("w"))
     index = chunked.join(weights, ["chunk", "term"]).select("chunk", "item_no", "term_no", (F.col("times") * F.col("w")).alias("gain"))
     index.repartition("chunk").write.partitionBy("chunk").parquet(index_folder)
-    best = _score(matched, index_folder, documents, words or 1, top)
+    # Written, as a range partition reads what it deals out twice.
+    best = materialize(_score(matched, index_folder, documents, words or 1, top), "search_best")
     rank = F.row_number().over(Window.partitionBy("item_no").orderBy(F.desc("score"), F.asc_nulls_last("doc_id")))
     merged = best.repartitionByRange("item_no").withColumn("rank", rank).where(F.col("rank") <= top)
     out = materialize(merged.join(numbered, "item_no").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"), "search_result")
-    remove(pairs, numbered, matched)
+    remove(pairs, numbered, matched, best)
     for folder in (vocabulary_folder, index_folder):
         remove_path(spark, folder)
     return out
