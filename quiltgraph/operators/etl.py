@@ -47,6 +47,15 @@ def sym_norm(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.select("src", "dst").join(left, "src").join(right, "dst").select("src", "dst", (F.col("ws") * F.col("wd")).cast("float").alias("weight"))
 
 
+def prepare(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The standard ETL: both directions, no repeats, a loop for each node, degree-normalised.
+
+    Loops of nodes differ from all edges that have lost theirs, so one distinct is enough.
+    """
+    loops = nodes.select("node_id").distinct().select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+    return sym_norm(symmetrize(drop_self_loops(pairs)).union(loops), nodes)
+
+
 def norm(features: str | Column) -> Column:
     column = F.col(features) if isinstance(features, str) else features
     return F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))

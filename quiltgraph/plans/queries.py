@@ -16,7 +16,7 @@ from quiltgraph.functions.formula import formula_weights
 from quiltgraph.operators import blocking, cut, epochs, etl, linalg, model, partition, sampling
 from quiltgraph.operators.ranking import hash_text
 from quiltgraph.schema import GraphBundle, HacsOptions
-from quiltgraph.sources import graphs
+from quiltgraph.sources import graphs, ogb
 from quiltgraph.storage import materialize, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +473,26 @@ def mtx_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.from_mtx(spark, path).select("src", "dst", "weight")
 
 
+@query(f"WITH {G2}, {TRAIN}, o AS (SELECT node_id, r, (SELECT count(*) FROM nodes) AS c FROM ranked) SELECT vec_id AS node_id, label::BIGINT AS label, CASE WHEN r < floor(0.6 * c) THEN 'train' WHEN r < floor(0.6 * c) + floor(0.2 * c) THEN 'val' ELSE 'test' END AS split, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 5) AS total FROM embeddings JOIN o ON node_id = vec_id")
+def ogb_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding graph written as headerless gzip CSV, where a node's id is its line number, and read again."""
+    edges, nodes = graphs.embedding_graph(spark, sf_dir)
+    path = shared_path(spark, "ogb")
+    ogb.write_ogb(edges.where("src < dst"), nodes.join(_split(nodes), "node_id"), path)
+    bundle = graphs.load(spark, {"source": "ogb", "path": path})
+    total = F.aggregate("features", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return bundle.nodes.select("node_id", "label", "split", F.size("features").alias("width"), (F.round(total, 5) + F.lit(0.0)).alias("total"))
+
+
+@query(f"WITH {G2} SELECT * FROM edges")
+def ogb_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the same, one direction written and both read."""
+    edges, nodes = graphs.embedding_graph(spark, sf_dir)
+    path = shared_path(spark, "ogb")
+    ogb.write_ogb(edges.where("src < dst"), nodes.withColumn("split", F.lit("train")), path)
+    return graphs.load(spark, {"source": "ogb", "path": path}).edges
+
+
 @query("SELECT l_suppkey AS src, l_partkey AS dst, 1.0::FLOAT AS weight FROM (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem)")
 def block_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same as a rectangular block whose rows are the targets."""

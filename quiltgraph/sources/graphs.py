@@ -8,24 +8,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.operators import etl
+from quiltgraph.operators.etl import prepare
 from quiltgraph.operators.blocking import tiles_to_edges
 from quiltgraph.operators.ranking import prefix_sum
 from quiltgraph.schema import GraphBundle, GraphMeta
+from quiltgraph.sources import ogb
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The standard ETL: both directions, no repeats, a loop for each node, degree-normalised.
-
-    Loops of nodes differ from all edges that have lost theirs, so one distinct is enough.
-    """
-    loops = nodes.select("node_id").distinct().select(F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
-    return etl.sym_norm(etl.symmetrize(etl.drop_self_loops(pairs)).union(loops), nodes)
-
-
 def customer_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """G1, (edges, nodes): customers and, from the customer count on, parts; joined by what was ordered."""
     customers, parts = read(spark, sf_dir, "customer"), read(spark, sf_dir, "part")
@@ -119,9 +112,13 @@ def _star(build: Callable) -> Callable[[SparkSession, dict], GraphBundle]:
 
 
 def _tables(spark: SparkSession, config: dict) -> GraphBundle:
-    """path/edges and path/nodes as Parquet, with masks or a split; directed graphs stay directed."""
-    nodes = spark.read.parquet(f"{config['path']}/nodes")
-    edges = spark.read.parquet(f"{config['path']}/edges")
+    """path/edges and path/nodes as Parquet, with masks or a split; directed graphs stay directed.
+
+    config["keys"] says what our columns are called there, such as {"features": "feat", "labels": "y", "src": "from"}.
+    """
+    names = {theirs: ours for ours, theirs in (config.get("keys") or {}).items()}
+    nodes = spark.read.parquet(f"{config['path']}/nodes").withColumnsRenamed(names)
+    edges = spark.read.parquet(f"{config['path']}/edges").withColumnsRenamed(names)
     n = nodes.count()
     nodes = etl.mask_split(nodes) if "train_mask" in nodes.columns else nodes if "split" in nodes.columns else etl.random_split(nodes, n, config.get("seed", 7))
     edges = etl.sym_norm(edges, nodes) if config.get("directed") else prepare(edges, nodes)
@@ -129,7 +126,11 @@ def _tables(spark: SparkSession, config: dict) -> GraphBundle:
     return GraphBundle(edges, nodes, GraphMeta(n, n), classes, multi)
 
 
-ADAPTERS: dict[str, Callable[[SparkSession, dict], GraphBundle]] = {"customer_part": _star(customer_part), "embedding": _star(embedding_graph), "tables": _tables}
+def _ogb(spark: SparkSession, config: dict) -> GraphBundle:
+    return ogb.from_ogb(spark, config["path"], **{k: config[k] for k in ("scheme", "files", "directed", "normalize") if k in config})
+
+
+ADAPTERS: dict[str, Callable[[SparkSession, dict], GraphBundle]] = {"customer_part": _star(customer_part), "embedding": _star(embedding_graph), "tables": _tables, "ogb": _ogb}
 
 
 def load(spark: SparkSession, config: dict) -> GraphBundle:

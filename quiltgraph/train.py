@@ -53,7 +53,7 @@ class Timers:
 
 def dataset(spark: SparkSession, config: dict) -> GraphBundle:
     """The config's graph, from the cache if it was built with the same parameters, else built and kept."""
-    own = {k: v for k, v in config.items() if k in ("source", "path", "seed", "normalize", "directed")}
+    own = {k: v for k, v in config.items() if k in ("source", "path", "seed", "normalize", "directed", "keys", "scheme", "files")}
     path = f"{config.get('cache') or shared_dir(spark)}/{io.dataset_key(own)}"
     done = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta/_SUCCESS")  # written last
     if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
