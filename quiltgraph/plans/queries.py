@@ -15,8 +15,8 @@ from quiltgraph.functions import metrics
 from quiltgraph.functions.formula import formula_weights
 from quiltgraph.operators import blocking, cut, epochs, etl, linalg, model, partition, sampling
 from quiltgraph.operators.ranking import hash_text
-from quiltgraph.schema import GraphBundle, HacsOptions
-from quiltgraph.sources import graphs, ogb
+from quiltgraph.schema import GraphBundle, GraphMeta, HacsOptions
+from quiltgraph.sources import graphs, ogb, raw
 from quiltgraph.storage import materialize, shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -435,6 +435,15 @@ def inner_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _halos(spark, sf_dir)[1].where("inner").drop("inner")
 
 
+@query(f"WITH {G1} SELECT * FROM edges")
+def bcsr_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocked customer-part matrix written as raw arrays and read by byte ranges."""
+    edges, nodes = graphs.customer_part(spark, sf_dir)
+    count, path = nodes.count(), shared_path(spark, "raw")
+    raw.save_graph(materialize(edges, "edges"), GraphMeta(count, count), path)
+    return blocking.tiles_to_edges(raw.load_blocked(spark, path)[1])
+
+
 @query(f"WITH {G1}, {TRAIN}, w AS (SELECT DISTINCT node_id // 16 AS window_id FROM held) SELECT (row_number() OVER (ORDER BY window_id) - 1) // 12 AS part_id, window_id FROM w")
 def eval_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows of all nodes that aren't for training."""
