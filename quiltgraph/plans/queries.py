@@ -11,6 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quiltgraph import train
 from quiltgraph.functions import metrics
 from quiltgraph.functions.formula import formula_weights
 from quiltgraph.operators import blocking, cut, epochs, etl, linalg, model, partition, sampling
@@ -630,3 +631,10 @@ def train_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return epochs.part_batches(b, partition.range_parts(order, b.meta.num_rows, 4), 2, seed=SHUFFLE_SEED), {}
 
     return _one_epoch(spark, sf_dir, make)
+
+
+@query()
+def train_halo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training windows packed by tiles, two packs and their halo in each batch; accuracy over cuts of the validation's windows."""
+    config = {"train_mode": "DPS", "seed": SHUFFLE_SEED, "batch_partition_size": 2, "DPS": {"max_partition_edges": BOOK_LIMIT, "probe_step_size": BOOK_STEP, "max_external_ratio": RATIO}}
+    return _one_epoch(spark, sf_dir, lambda b: train.batches_for(b, config, 2))
