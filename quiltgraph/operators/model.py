@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.functions import metrics
 from quiltgraph.operators import linalg
+from quiltgraph.phases import phase
 from quiltgraph.schema import GraphBundle
 from quiltgraph.storage import StateLog, materialize
 
@@ -254,7 +255,8 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
         out = _convolve(model, i, graph, xs[-1])
         if i == last:
             break
-        z = materialize(out, "layer")
+        with phase(out.sparkSession, "layer"):
+            z = materialize(out, "layer")
         zs.append(z)
         xs.append(materialize(_rows(z, lambda v, ids, i=i: _finish(model, i, v, ids, epoch)), "layer"))
     multi = "labels" in train.columns
@@ -278,7 +280,8 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
     for i in range(last, -1, -1):
         wn, ws = model.layers[i]
         projection = model.projections.get(i) if model.residual and i < last else None
-        atg = materialize(linalg.spmm_arrays(linalg.transpose(graphs[i]), g, wn.shape[1]), "atg")
+        with phase(g.sparkSession, "spmm"):
+            atg = materialize(linalg.spmm_arrays(linalg.transpose(graphs[i]), g, wn.shape[1]), "atg")
         by_self = _small_product(xs[i], g, ws.shape)
         grads.append((_small_product(xs[i], atg, wn.shape), by_self, *((by_self,) if projection is not None else ()), *norm_grads))
         if i:
@@ -396,7 +399,7 @@ def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: i
     state: every epoch is committed there, and epochs that it has are not
     trained again.
     """
-    adam, rates, best, log = adam or Adam(), Plateau(), (-1.0, 0, model.weights()), []
+    spark, adam, rates, best, log = bundle.edges.sparkSession, adam or Adam(), Plateau(), (-1.0, 0, model.weights()), []
     if state and state.values:
         kept = state.values
         model.set_weights(_unpack(kept["weights"], model))
@@ -410,14 +413,17 @@ def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: i
             break
         loss = right = total = share = 0
         for edges, nodes, own in batches(epoch):
-            part, ok, n, grads = loss_and_gradients(model, edges, nodes, own, epoch=epoch)
+            with phase(spark, "gradients"):
+                part, ok, n, grads = loss_and_gradients(model, edges, nodes, own, epoch=epoch)
             if n:
-                adam.step(model, grads)
+                with phase(spark, "step"):
+                    adam.step(model, grads)
                 weight = n if weighted else 1
                 loss, share, right, total = loss + part * weight, share + weight, right + ok, total + n
         row = {"epoch": epoch, "loss": loss / max(share, 1), "train_acc": right / max(total, 1), "val_acc": None}
         if epoch % eval_interval == 0:
-            row["val_acc"] = accuracy(model)
+            with phase(spark, "evaluate"):
+                row["val_acc"] = accuracy(model)
             if plateau:
                 rates.step(row["val_acc"], adam)
             if row["val_acc"] > best[0]:

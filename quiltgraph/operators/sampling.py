@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quiltgraph.operators import blocking
 from quiltgraph.operators.blocking import with_window
 from quiltgraph.operators.ranking import hash_text, number_by_id, number_within, prefix_sum
+from quiltgraph.phases import phase
 from quiltgraph.schema import TILE_COLS, TILE_ROWS, HacsOptions, Subgraph
 from quiltgraph.storage import materialize, remove
 
@@ -96,14 +97,16 @@ def sample_layers(edges: DataFrame, seeds: DataFrame, cols_per_window: Sequence[
             found = frontier.select(*by, "window_id").join(once, "window_id")
         else:
             found = topk(score_columns(edges, frontier, tile_rows=tile_rows, by=by, **scoring), k, by)
-        sampled = materialize(found, "sampled")
+        with phase(edges.sparkSession, "sample"):
+            sampled = materialize(found, "sampled")
         layers.append(Subgraph(recompress(edges, sampled, tile_rows, by), frontier, extra={"sampled": sampled}))
         if hop == len(cols_per_window):
             break
         after = next_frontier(sampled, num_nodes, tile_rows, by)
         if include_self:
             after = after.unionByName(frontier).groupBy(*by, "window_id").agg(F.bit_or("mask").alias("mask"))
-        frontier = materialize(after, "frontier")
+        with phase(edges.sparkSession, "frontier"):
+            frontier = materialize(after, "frontier")
     return layers[::-1]
 
 

@@ -5,50 +5,30 @@ from __future__ import annotations
 import time
 import zlib
 from collections.abc import Iterator
-from contextlib import contextmanager
-from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quiltgraph.operators import blocking, cut, epochs, model, partition
+from quiltgraph.phases import Phases, phase
 from quiltgraph.schema import GraphBundle
 from quiltgraph.sources import graphs, io
 from quiltgraph.storage import StateLog, shared_dir
 
 
-@dataclass
-class Timers:
-    """Seconds of named stages, each of which may run many times."""
+def timed(spark: SparkSession, batches: model.Batches, name: str) -> model.Batches:
+    """The same batches; a phase for making each of them."""
 
-    seconds: dict[str, list[float]] = field(default_factory=dict)
+    def epoch_batches(epoch: int) -> Iterator:
+        source = iter(batches(epoch))
+        while True:
+            with phase(spark, name):
+                batch = next(source, None)
+            if batch is None:
+                return
+            yield batch
 
-    @contextmanager
-    def stage(self, name: str) -> Iterator[None]:
-        start = time.perf_counter()
-        try:
-            yield
-        finally:
-            self.seconds.setdefault(name, []).append(time.perf_counter() - start)
-
-    def table(self, spark: SparkSession) -> DataFrame:
-        """(stage, runs, seconds, mean_seconds)."""
-        rows = [(k, len(v), sum(v), sum(v) / len(v)) for k, v in self.seconds.items()]
-        return spark.createDataFrame(rows, "stage string, runs int, seconds double, mean_seconds double")
-
-    def timed(self, batches: model.Batches, name: str) -> model.Batches:
-        """The same batches; a stage for making each of them."""
-
-        def epoch_batches(epoch: int) -> Iterator:
-            source = iter(batches(epoch))
-            while True:
-                with self.stage(name):
-                    batch = next(source, None)
-                if batch is None:
-                    return
-                yield batch
-
-        return epoch_batches
+    return epoch_batches
 
 
 def dataset(spark: SparkSession, config: dict) -> GraphBundle:
@@ -95,30 +75,35 @@ def run(spark: SparkSession, config: dict) -> dict:
 
     With config["state"], a folder, a run that stopped goes on from the last
     epoch, and the last round of its book, that it committed there.  The run's folder is output/SOURCE_MODE_TIME, with the best weights (weights,
-    meta), the epochs' rows (log), the stages' times (timers) and results.
+    meta), the epochs' rows (log), what each phase cost (timers, see quiltgraph.phases) and results.
     """
-    timers, mode = Timers(), mode_of(config)
-    with timers.stage("data"):
+    phases, mode = Phases(), mode_of(config)
+    with phases.active():
+        return _run(spark, config, phases, mode)
+
+
+def _run(spark: SparkSession, config: dict, phases: Phases, mode: str) -> dict:
+    with phase(spark, "data"):
         bundle = dataset(spark, config)
-    with timers.stage("model"):
+    with phase(spark, "model"):
         width = len(model.targets(bundle).first()["features"])
         hidden = [config.get("hidden_size", 128)] * (config.get("num_layers", len(config.get("fanouts", [0, 0]))) - 1)
         options = {"activation": config.get("activation", "relu"), "layer_norm": config.get("layer_norm", True), "residual": config.get("residual", False), "dropout": config.get("dropout", 0.0)}
         net = model.GraphModel.init([width, *hidden, config.get("num_classes") or bundle.num_classes], config.get("seed", 7), **options)
         batches, known = batches_for(bundle, config, len(net.layers))
     state = StateLog(spark, f"{config['state']}/train") if config.get("state") else None
-    with timers.stage("train"):
+    with phase(spark, "train"):
         adam = model.Adam(float(config.get("lr", 1e-3)), float(config.get("weight_decay", 0.0)))
-        log = model.train(bundle, net, timers.timed(batches, "batch"), epochs=config.get("epochs", 200), eval_interval=config.get("eval_interval", 1), patience=config.get("patience", 20), adam=adam, plateau=config.get("use_scheduler", True), state=state, **known)
-    with timers.stage("test"):
+        log = model.train(bundle, net, timed(spark, batches, "batch"), epochs=config.get("epochs", 200), eval_interval=config.get("eval_interval", 1), patience=config.get("patience", 20), adam=adam, plateau=config.get("use_scheduler", True), state=state, **known)
+    with phase(spark, "test"):
         test = model.evaluate(model.infer(net, bundle.edges, bundle.nodes), model.targets(bundle).where("split = 'test'"))
     seen = [r for r in log if r["val_acc"] is not None]
     best = max(seen, key=lambda r: r["val_acc"], default={"val_acc": None, "epoch": 0})
-    results = {"best_val_acc": best["val_acc"], "best_epoch": best["epoch"], "test_acc": test, "seconds": {k: sum(v) for k, v in timers.seconds.items()}}
+    results = {"best_val_acc": best["val_acc"], "best_epoch": best["epoch"], "test_acc": test, "seconds": {k: c.seconds for k, c in phases.costs.items()}}
     if config.get("output"):
         results["folder"] = f"{config['output']}/{config.get('source', 'graph')}_{mode}_{time.strftime('%Y%m%d-%H%M%S')}"
         model.save_weights(net, spark, results["folder"], epoch=best["epoch"])
         io.save_log(spark, log, f"{results['folder']}/log")
-        timers.table(spark).coalesce(1).write.parquet(f"{results['folder']}/timers")
+        phases.table(spark).coalesce(1).write.parquet(f"{results['folder']}/timers")
         io.save_results(spark, f"{results['folder']}/results", **results)
     return results

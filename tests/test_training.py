@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quiltgraph import train
+from quiltgraph import phases, train
 from quiltgraph.operators import epochs, model, partition
 from quiltgraph.schema import GraphBundle, GraphMeta
 from quiltgraph.sources import graphs, io
@@ -136,13 +136,35 @@ def test_run(spark, bundle, tmp_path, mode):
     assert spark.read.parquet(f"{found['folder']}/log").count() == 1
     net, meta = model.load_weights(spark, found["folder"])
     assert meta["epoch"] == 1 and [w[0].shape for w in net.layers] == [(3, 4), (4, 2)]
-    stages = {r["stage"] for r in spark.read.parquet(f"{found['folder']}/timers").collect()}
-    assert stages == {"data", "model", "train", "test", "batch"}
+    costs = {r["stage"]: r for r in spark.read.parquet(f"{found['folder']}/timers").collect()}
+    assert set(costs) >= {"data", "model", "train", "test", "batch", "gradients", "layer", "spmm", "step", "evaluate"}
+    assert ("sample" in costs) == (mode == "node")
+    assert costs["spmm"]["jobs"] >= costs["spmm"]["runs"] >= 2 and costs["spmm"]["task_seconds"] > 0 and costs["spmm"]["rows_written"] > 0
+    assert costs["step"]["jobs"] == 0
     again = train.dataset(spark, config)
     assert again.multi_label == (mode == "full")
     assert io.summary(again)["nodes"] == N
 
 
+def test_phases_count_their_own_jobs(spark):
+    found = phases.Phases()
+    with phases.phase(spark, "unseen"):
+        spark.range(10).count()
+    with found.active():
+        with phases.phase(spark, "outer"):
+            spark.range(0, 1000, 1, 4).repartition(3).count()
+            with phases.phase(spark, "inner"):
+                spark.range(5).collect()
+            spark.range(7).collect()
+        with phases.phase(spark, "inner"), pytest.raises(ZeroDivisionError):
+            1 / 0
+    costs = {r["stage"]: r for r in found.table(spark).collect()}
+    assert set(costs) == {"outer", "inner"}
+    assert (costs["inner"]["runs"], costs["inner"]["jobs"]) == (2, 1)
+    assert costs["outer"]["jobs"] >= 2 and costs["outer"]["shuffle_bytes"] > 0
+    assert spark.sparkContext.getLocalProperty(phases.GROUP) is None
+
+
 def test_unknown_mode(bundle):
     with pytest.raises(ValueError, match="unknown mode"):
         train.batches_for(bundle, {"train_mode": "other"}, 2)
