@@ -243,7 +243,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW_WORDS) -> DataFrame:
     """The documents, all columns as they are, in which no benchmark window occurs.
 
-    Null and empty texts stay.
+    Null and empty texts stay, and all documents if the benchmark is empty or
+    has no words.  Repeated rows stay or go together; ids are not read.  An
+    empty table gives none.
     """
     folder = _write_chunks(benchmark, item_col, item_text_col, window)
 

@@ -341,9 +341,14 @@ def sniff_media(rows: DataFrame, *, media_col: str = "media", declared_col: str
 
 
 def carve(sniffed: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each embedded medium (those that don't start at 0): its bytes, type and place."""
-    part = sniffed.select(F.col(id_col), F.col(media_col).alias("_m"), F.explode("carved").alias("c")).where("c.offset > 0")
-    return part.select(id_col, "c.offset", "c.length", "c.type", F.expr("substring(_m, cast(c.offset + 1 as int), cast(c.length as int))").alias("media"))
+    """A row for each embedded medium (those that don't start at 0): its id, place (offset, length), type and bytes (media).
+
+    Rows without embedded media, of null or empty media too, give none;
+    repeated rows give theirs each; null ids stay; an empty table gives no
+    rows.  Other columns are not read, whatever their names.
+    """
+    part = sniffed.select(F.col(id_col).alias("_id"), F.col(media_col).alias("_m"), F.explode("carved").alias("_c")).where("_c.offset > 0")
+    return part.select(F.col("_id").alias(id_col), "_c.offset", "_c.length", "_c.type", F.expr("substring(_m, cast(_c.offset + 1 as int), cast(_c.length as int))").alias("media"))
 
 
 def digest(sniffed: DataFrame) -> DataFrame:

@@ -193,6 +193,11 @@ def _scores(model: Model | None, texts: list[bytes]) -> list[float]:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns as they are, whose score is at least the threshold."""
+    """The documents, all columns as they are, whose score is at least the threshold.
+
+    Null and empty texts have the score of an empty text; whole texts are
+    scored, however long.  Repeated rows, which have equal scores, stay or go
+    together; null ids are scored like others.  An empty table gives none.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col))
     return filter_batches(docs, text_col, lambda texts: [s >= threshold for s in _scores(model.value, texts)])

@@ -222,6 +222,8 @@ def test_carving_and_nulls(spark):
     found = media.sniff_media(rows_)
     assert [(r["detected_type"], r["corrected"]) for r in found.orderBy("doc_id").collect()] == [(None, False), (None, False)]
     assert [bytes(r["media"]) for r in media.carve(found).collect()] == [png]
+    assert media.carve(found.withColumnRenamed("doc_id", "c"), id_col="c").columns[0] == "c"
+    assert media.carve(found.limit(0)).count() == 0
 
 
 def test_many_notices_and_notices_in_long_texts_full_of_cues(spark):

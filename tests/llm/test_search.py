@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -48,6 +49,10 @@ def test_small_tables_against_brute_force(spark, tiny):
     want = plain([(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in items.collect()])
     assert len(want) > 100
     assert ranked(docs, items) == want
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tiny}/{name}.parquet'")
+    assert sorted(con.execute(f"SELECT item_id, rank, doc_id, score FROM ({search.ORACLE_SQL})").fetchall(), key=str) == want
 
 
 @pytest.mark.parametrize("limits", [{}, {"CHUNK_PAIRS": 4, "SORTED": 3}, {"CHUNK_PAIRS": 7, "HELD_BYTES": 10}])
