@@ -2,6 +2,14 @@
 
 Quality classifier, near-dedup, suffix-array dedup, benchmark
 decontamination, packing.  Each stage works on all that its predecessor kept.
+
+Stages read text and, where they choose or name documents, doc_id; other
+columns pass through all but the last.  The quality model takes a null text for
+an empty one; near-dedup takes all texts without words, null ones too, for
+copies of each other; a null or empty text is not cut, holds no benchmark
+window and packs as an end token.  Texts of any length are worked on whole.
+Repeated rows are scored alike, and near-dedup leaves one row of each text,
+that with the smallest id.  An empty table of documents gives none.
 """
 
 from __future__ import annotations
