@@ -273,6 +273,17 @@ def inference_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(linalg.to_long(model.forward(_model(), *_embedding(spark, sf_dir))))
 
 
+@query(f"""WITH {G2}, c1 AS ({CONV1}),
+z1 AS (SELECT node_id, f, sum(value) AS value FROM (SELECT * FROM c1 UNION ALL SELECT node_id, j, sum(value * w) FROM x JOIN ({weights_sql(DIM, HIDDEN)}) ON i = f GROUP BY 1, 2) GROUP BY 1, 2),
+a AS (SELECT node_id, f, greatest(value, 0) AS value FROM z1),
+r AS (SELECT node_id, f, (value - avg(value) OVER own) / sqrt(var_pop(value) OVER own + 1e-5) AS value FROM a WINDOW own AS (PARTITION BY node_id)),
+z AS ({CONV2}) SELECT node_id, f, round(value, 6) + 0.0 AS value FROM z""")
+def norm_residual_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same layers with a projected residual and a layer norm between them."""
+    net = replace(_model(), layer_norm=True, residual=True, projections={0: formula_weights(DIM, HIDDEN)})
+    return _rounded(linalg.to_long(model.forward(net, *_embedding(spark, sf_dir))))
+
+
 @query(f"""WITH {G2}, {LOGITS},
 m AS (SELECT node_id, max(value) AS top, arg_max(f, struct_pack(v := round(value, 9), k := -f)) AS best FROM z GROUP BY 1),
 l AS (SELECT z.node_id, ln(sum(exp(value - top))) + any_value(top) AS lse FROM z JOIN m USING (node_id) GROUP BY 1)
@@ -320,6 +331,23 @@ def splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _split(graphs.embedding_graph(spark, sf_dir)[1])
 
 
+@query("WITH n AS (SELECT count(*) AS n FROM embeddings) SELECT vec_id AS node_id, label::BIGINT AS label, len(embedding)::INT AS width, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 5) AS total FROM embeddings UNION ALL SELECT unnest(range(n, (n + 15) // 16 * 16)), 0, 64, 0.0 FROM n")
+def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Node rows up to a whole number of windows, those that are added being zeros."""
+    nodes = graphs.embedding_graph(spark, sf_dir)[1]
+    padded = etl.pad_rows(nodes, nodes.count(), DIM)
+    total = F.aggregate("features", F.lit(0.0), lambda s, v: s + v.cast("double"))
+    return padded.select("node_id", "label", F.size("features").alias("width"), (F.round(total, 5) + F.lit(0.0)).alias("total"))
+
+
+@query("SELECT c_custkey AS node_id, CASE WHEN c_nationkey < 12 THEN 'train' WHEN c_nationkey < 18 THEN 'val' WHEN c_acctbal > 0 THEN 'test' END AS split FROM customer")
+def masked_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A split from masks, of which several may hold for a customer, or none."""
+    masks = {"train_mask": F.col("c_nationkey") < 12, "val_mask": F.col("c_nationkey") < 18, "test_mask": F.col("c_acctbal") > 0}
+    nodes = graphs.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), *[m.alias(name) for name, m in masks.items()])
+    return etl.mask_split(nodes).select("node_id", "split")
+
+
 HACS = """
 raw AS (SELECT node_id, sqrt(sum(value * value)) / greatest(ln(any_value(deg)::DOUBLE + 2), 1e-6) AS raw FROM x JOIN deg USING (node_id) GROUP BY 1),
 q AS (SELECT node_id, round(least(greatest(raw / ((SELECT avg(raw) FROM raw) + 1e-6), 0.5), 2.0), 5)::FLOAT AS q FROM raw)"""
