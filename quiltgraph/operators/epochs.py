@@ -137,9 +137,11 @@ def halo_accuracy(bundle: GraphBundle, book: DataFrame, batch_size: int, split:
         right = total = 0
         for i in range(n):
             own = nodes.where(F.col("batch_id") == i)
-            logits = model.forward(net, _halo_layers(edges.where(F.col("batch_id") == i), len(net.layers)), own)
+            made: list[DataFrame] = []
+            logits = model.forward(net, _halo_layers(edges.where(F.col("batch_id") == i), len(net.layers)), own, made=made)
             ok, count = model.hits(logits, own.where(F.col("internal") & (F.col("split") == split)))
             right, total = right + ok, total + count
+            remove(*made)
         return right / max(total, 1)
 
     return accuracy

@@ -19,7 +19,7 @@ from quiltgraph.functions import metrics
 from quiltgraph.operators import linalg
 from quiltgraph.phases import phase
 from quiltgraph.schema import GraphBundle
-from quiltgraph.storage import StateLog, materialize
+from quiltgraph.storage import StateLog, materialize, remove
 
 # The coefficients of Abramowitz and Stegun 7.1.26, which gives erf to 1.5e-7.
 ERF_SCALE = 0.3275911
@@ -165,26 +165,37 @@ def _graphs(model: GraphModel, edges: DataFrame | list[DataFrame]) -> list[DataF
     return graphs
 
 
-def forward(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, *, epoch: int | None = None) -> DataFrame:
+def forward(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, *, epoch: int | None = None, made: list[DataFrame] | None = None) -> DataFrame:
     """(node_id, features): logits.  One edge table for all layers, or one for each.
 
     Targets that a layer doesn't reach keep their self part; a residual whose
     row is missing counts as zero.  Dropout is on only if an epoch is given,
     and is seeded by it, the layer and the node's id.  Each hidden layer is
     read up to three times by the next, so it is written once to the shared
-    folder: the work grows with the number of layers, not as its power.
+    folder: the work grows with the number of layers, not as its power.  These
+    tables are added to made, to be removed when the logits have been read.
     """
     h = nodes.select("node_id", "features")
     for i, graph in enumerate(_graphs(model, edges)):
         h = _convolve(model, i, graph, h)
         if i < len(model.layers) - 1:
             h = materialize(_rows(h, lambda z, ids, i=i: _finish(model, i, z, ids, epoch)), "layer")
+            if made is not None:
+                made.append(h)
     return h
 
 
-def infer(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame) -> DataFrame:
+def infer(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     """Logits as evaluation takes them: without dropout and without residuals."""
-    return forward(replace(model, residual=False), edges, nodes)
+    return forward(replace(model, residual=False), edges, nodes, made=made)
+
+
+def accuracy_of(model: GraphModel, edges: DataFrame | list[DataFrame], nodes: DataFrame, labels: DataFrame) -> float:
+    """The accuracy of infer's logits over labels; what it has written is removed."""
+    made: list[DataFrame] = []
+    found = evaluate(infer(model, edges, nodes, made), labels)
+    remove(*made)
+    return found
 
 
 def hits(logits: DataFrame, labels: DataFrame) -> tuple[int, int]:
@@ -243,12 +254,18 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
 
     train (node_id, label): softmax cross-entropy, counted in nodes.  With an
     array column labels: binary cross-entropy, counted in elements.  Dropout
-    is on if an epoch is given.
+    is on if an epoch is given.  The tables that are written on the way are
+    removed.
 
     Backward of Y = A (X Wn) + X Ws + X P: dWn = Xᵀ(Aᵀ G), dWs = Xᵀ G, dP = Xᵀ G,
     dX = (Aᵀ G) Wnᵀ + G Wsᵀ + G Pᵀ.
     """
-    graphs, last = _graphs(model, edges), len(model.layers) - 1
+    graphs, last, made = _graphs(model, edges), len(model.layers) - 1, []
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        made.append(materialize(df, name))
+        return made[-1]
+
     h = nodes.select("node_id", F.transform("features", lambda v: v.cast("double")).alias("features"))
     xs, zs = [h], []
     for i, graph in enumerate(graphs):
@@ -256,9 +273,9 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
         if i == last:
             break
         with phase(out.sparkSession, "layer"):
-            z = materialize(out, "layer")
+            z = written(out, "layer")
         zs.append(z)
-        xs.append(materialize(_rows(z, lambda v, ids, i=i: _finish(model, i, v, ids, epoch)), "layer"))
+        xs.append(written(_rows(z, lambda v, ids, i=i: _finish(model, i, v, ids, epoch)), "layer"))
     multi = "labels" in train.columns
     label, each = ("labels", _sign_loss) if multi else ("label", _softmax_loss)
     own = out.join(train.select("node_id", label), "node_id")
@@ -270,9 +287,10 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
                 loss, g, ok = each(np.stack(pdf["features"].to_numpy()), y)
                 yield pd.DataFrame({"node_id": pdf["node_id"], "features": list(g), "loss": loss, "ok": ok, "n": g.shape[1] if multi else 1})
 
-    raw = materialize(own.mapInPandas(start, "node_id bigint, features array<double>, loss double, ok bigint, n bigint"), "grad")
+    raw = written(own.mapInPandas(start, "node_id bigint, features array<double>, loss double, ok bigint, n bigint"), "grad")
     loss, ok, n = raw.agg(F.sum("loss"), F.sum("ok"), F.sum("n")).first()
     if not n:
+        remove(*made)
         return 0.0, 0, 0, [tuple(np.zeros_like(w) for w in layer) for layer in model.weights()]
     g = raw.select("node_id", F.transform("features", lambda v: v / n).alias("features"))
     grads: Weights = []
@@ -281,7 +299,7 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
         wn, ws = model.layers[i]
         projection = model.projections.get(i) if model.residual and i < last else None
         with phase(g.sparkSession, "spmm"):
-            atg = materialize(linalg.spmm_arrays(linalg.transpose(graphs[i]), g, wn.shape[1]), "atg")
+            atg = written(linalg.spmm_arrays(linalg.transpose(graphs[i]), g, wn.shape[1]), "atg")
         by_self = _small_product(xs[i], g, ws.shape)
         grads.append((_small_product(xs[i], atg, wn.shape), by_self, *((by_self,) if projection is not None else ()), *norm_grads))
         if i:
@@ -296,13 +314,14 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
                         gz, own = _finish_back(model, i, np.stack(pdf["z"].to_numpy()), np.stack(pdf["features"].to_numpy()), pdf["node_id"].to_numpy(), epoch)
                         yield pd.DataFrame({"node_id": pdf["node_id"], "features": list(gz), "own": list(own)})
 
-            g = materialize(both.mapInPandas(through, "node_id bigint, features array<double>, own array<double>"), "grad")
+            g = written(both.mapInPandas(through, "node_id bigint, features array<double>, own array<double>"), "grad")
             norm_grads = ()
             if model.layer_norm and i - 1 in model.norms:
                 width = wn.shape[0]
                 total = linalg.sum_arrays(g.select(F.lit(0).alias("k"), "own"), "k", 2 * width, "own").first()
                 sums = np.array(total["own"]) if total else np.zeros(2 * width)
                 norm_grads = (sums[:width], sums[width:])
+    remove(*made)
     return float(loss) / n, int(ok), int(n), grads[::-1]
 
 
@@ -407,7 +426,7 @@ def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: i
         adam.rate, adam.t, rates = kept["rate"], kept["t"], Plateau(**kept["plateau"])
         if adam.t:
             adam.m, adam.v = ([w for layer in _unpack(kept[k], model) for w in layer] for k in "mv")
-    accuracy = accuracy or (lambda m: evaluate(infer(m, bundle.edges, bundle.nodes), targets(bundle).where("split = 'val'")))
+    accuracy = accuracy or (lambda m: accuracy_of(m, bundle.edges, bundle.nodes, targets(bundle).where("split = 'val'")))
     for epoch in range(len(log) + 1, epochs + 1):
         if log and log[-1]["epoch"] - best[1] > patience:
             break

@@ -96,7 +96,7 @@ def _run(spark: SparkSession, config: dict, phases: Phases, mode: str) -> dict:
         adam = model.Adam(float(config.get("lr", 1e-3)), float(config.get("weight_decay", 0.0)))
         log = model.train(bundle, net, timed(spark, batches, "batch"), epochs=config.get("epochs", 200), eval_interval=config.get("eval_interval", 1), patience=config.get("patience", 20), adam=adam, plateau=config.get("use_scheduler", True), state=state, **known)
     with phase(spark, "test"):
-        test = model.evaluate(model.infer(net, bundle.edges, bundle.nodes), model.targets(bundle).where("split = 'test'"))
+        test = model.accuracy_of(net, bundle.edges, bundle.nodes, model.targets(bundle).where("split = 'test'"))
     seen = [r for r in log if r["val_acc"] is not None]
     best = max(seen, key=lambda r: r["val_acc"], default={"val_acc": None, "epoch": 0})
     results = {"best_val_acc": best["val_acc"], "best_epoch": best["epoch"], "test_acc": test, "seconds": {k: c.seconds for k, c in phases.costs.items()}}

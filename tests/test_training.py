@@ -1,5 +1,7 @@
 """Gradients of every model option by differences, batches of each mode, and a run from a config."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +10,7 @@ from quiltgraph import phases, train
 from quiltgraph.operators import epochs, model, partition
 from quiltgraph.schema import GraphBundle, GraphMeta
 from quiltgraph.sources import graphs, io
+from quiltgraph.storage import shared_dir
 
 N = 24
 
@@ -146,6 +149,15 @@ def test_run(spark, bundle, tmp_path, mode):
     assert io.summary(again)["nodes"] == N
 
 
+def test_training_leaves_no_tables(spark, bundle):
+    folder = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    net = model.GraphModel.init([3, 4, 4, 2], seed=3, layer_norm=True, residual=True, dropout=0.3)
+    batches = epochs.full_batches(bundle)
+    before = {n for n in os.listdir(folder) if os.listdir(f"{folder}/{n}")}
+    assert len(model.train(bundle, net, batches, epochs=2)) == 2
+    assert {n for n in os.listdir(folder) if os.listdir(f"{folder}/{n}")} <= before
+
+
 def test_phases_count_their_own_jobs(spark):
     found = phases.Phases()
     with phases.phase(spark, "unseen"):
