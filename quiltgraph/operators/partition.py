@@ -7,7 +7,6 @@ reached from the first one (see reached_starts)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -266,10 +265,3 @@ def split_masks(nodes: DataFrame, ids: dict[str, DataFrame]) -> DataFrame:
     for name, own in ids.items():
         out = out.join(own.select("node_id").distinct().withColumn(f"{name}_mask", F.lit(True)), "node_id", "left").fillna(False, [f"{name}_mask"])
     return out
-
-
-def batches_of(book: DataFrame, column: str) -> Iterator[DataFrame]:
-    """A table for each batch number, in order; only the numbers come to the driver."""
-    last = book.agg(F.max(column)).first()[0]
-    for i in range(0 if last is None else last + 1):
-        yield book.where(F.col(column) == i)
