@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quiltgraph.operators import linalg
+from quiltgraph.operators import etl, linalg, ranking
 from quiltgraph.plans import queries
 
 
@@ -42,6 +42,18 @@ def test_wide_arrays_are_summed_in_slices(spark, monkeypatch):
         assert {r["node_id"]: r["features"] for r in linalg.sum_arrays(rows, "node_id", 7).collect()} == want
 
 
+def test_tasks_of_the_etl_grow_with_its_rows(spark, monkeypatch):
+    """However well ids compress, no task takes many more rows than its share; the edges are those of the plain definition."""
+    monkeypatch.setattr(ranking, "TASK_ROWS", 500)
+    nodes = spark.range(2000).withColumnRenamed("id", "node_id")
+    pairs = spark.range(10_000).selectExpr("id * 7 % 2003 as src", "(id * id) % 1999 as dst")  # some ends are not in the table
+    edges = etl.prepare(pairs, nodes, 10_000)
+    sizes = [r["count"] for r in edges.groupBy(queries.F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 1500 and len(sizes) > 20
+    plain = etl.sym_norm(etl.add_self_loops(etl.symmetrize(etl.drop_self_loops(pairs)), nodes), nodes)
+    assert sorted(edges.collect()) == sorted(plain.collect())
+
+
 def test_entry_points():
     import __spark_entry__
 
