@@ -65,6 +65,15 @@ def _split(nodes: DataFrame) -> DataFrame:
     return etl.random_split(own, own.count(), SPLIT_SEED)
 
 
+def _edge_bound(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> int:
+    """At most so many edges has a graph of order lines, by its tables' footers."""
+    return 2 * graphs.read(spark, sf_dir, "lineitem").count() + nodes.count()
+
+
+def _windows(spark: SparkSession, sf_dir: str, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    return blocking.windows(blocking.window_cols(edges, rows=_edge_bound(spark, sf_dir, nodes)), -(-nodes.count() // 16))
+
+
 def topk_sql(edges: str, k: int) -> str:
     return f"""SELECT window_id, col, score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY window_id ORDER BY score DESC, col) AS rank FROM (
@@ -105,20 +114,20 @@ def csr_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {G1}, {WINCOLS} SELECT window_id, col, pos, pos // 8 AS tile_in_window, pos % 8 AS col_in_tile FROM wc")
 def window_cols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocking.window_cols(graphs.customer_part(spark, sf_dir)[0])
+    edges, nodes = graphs.customer_part(spark, sf_dir)
+    return blocking.window_cols(edges, rows=_edge_bound(spark, sf_dir, nodes))
 
 
 @query(f"WITH {G1}, {WINCOLS} SELECT window_id, n_cols, n_tiles, tile_start FROM offs")
 def window_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.customer_part(spark, sf_dir)
-    return blocking.windows(blocking.window_cols(edges), -(-nodes.count() // 16))
+    return _windows(spark, sf_dir, edges, nodes)
 
 
 def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.customer_part(spark, sf_dir)
     edges = materialize(edges, "edges")
-    cols = materialize(blocking.window_cols(edges), "window_cols")
-    return blocking.tiles(edges, cols, blocking.windows(cols, -(-nodes.count() // 16)))
+    return blocking.block_tiles(edges, -(-nodes.count() // 16), edges.count())
 
 
 def _cells(tiles: DataFrame) -> DataFrame:
@@ -492,7 +501,7 @@ def partition_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {G1}, {TRAIN}, {WINCOLS} SELECT count(*) AS n_windows, sum(n_tiles)::BIGINT AS n_tiles, (sum(n_tiles) * 128)::BIGINT AS n_values, (sum(n_tiles) * 8)::BIGINT AS n_cols FROM offs WHERE window_id IN (SELECT node_id // 16 FROM train)")
 def window_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.customer_part(spark, sf_dir)
-    wins = blocking.windows(blocking.window_cols(edges), -(-nodes.count() // 16))
+    wins = _windows(spark, sf_dir, edges, nodes)
     return partition.window_loads(wins, _train(nodes).select(F.expr("node_id div 16").alias("window_id")))
 
 
@@ -570,7 +579,7 @@ fold AS (
 def dps_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows packed by tiles: an ordered fold."""
     edges, nodes = graphs.customer_part(spark, sf_dir)
-    wins = blocking.windows(blocking.window_cols(edges), -(-nodes.count() // 16))
+    wins = _windows(spark, sf_dir, edges, nodes)
     return partition.dps_book(wins, wins, limit=BOOK_LIMIT, base_step=BOOK_STEP, seed=SHUFFLE_SEED)
 
 

@@ -48,7 +48,7 @@ def mode_of(config: dict) -> str:
 def _books(bundle: GraphBundle, config: dict) -> tuple[DataFrame, DataFrame]:
     """(part_id, window_id): training windows packed by their tiles, and the validation's in chunks as large on average."""
     meta, nodes, own = bundle.meta, model.targets(bundle), config.get("DPS") or {}
-    wins = blocking.windows(blocking.window_cols(bundle.edges, meta.tile_rows, meta.tile_cols), meta.num_windows, meta.tile_cols)
+    wins = blocking.windows(blocking.window_cols(bundle.edges, meta.tile_rows, meta.tile_cols, bundle.edges.count()), meta.num_windows, meta.tile_cols)
     seeds = nodes.where("split = 'train'").select(F.expr(f"node_id div {meta.tile_rows}").alias("window_id"))
     book = partition.dps_book(wins, seeds, limit=int(own.get("max_partition_edges", 2_000_000)), base_step=int(own.get("probe_step_size", 50)), cells=meta.tile_rows * meta.tile_cols, seed=config.get("seed", 7), log=StateLog(wins.sparkSession, f"{config['state']}/book") if config.get("state") else None)
     windows, parts = book.agg(F.count(F.lit(1)), F.countDistinct("part_id")).first()

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quiltgraph.operators import etl, linalg, ranking
+from quiltgraph.operators import blocking, etl, linalg, ranking
 from quiltgraph.plans import queries
 
 
@@ -54,6 +54,21 @@ def test_tasks_of_the_etl_grow_with_its_rows(spark, monkeypatch):
     assert sorted(edges.collect()) == sorted(plain.collect())
 
 
+def test_blocking_shuffles_by_window_for_tasks_of_its_rows(spark, monkeypatch):
+    edges = spark.range(20_000).selectExpr("id % 1600 as src", "id * 7 % 1601 as dst", "cast(id % 9 + 1 as float) as weight").cache()
+    cols = blocking.window_cols(edges)
+    plain = blocking.tiles(edges, cols, blocking.windows(cols, 100)).collect()
+    monkeypatch.setattr(ranking, "TASK_ROWS", 500)
+    cols = blocking.window_cols(edges, rows=20_000)
+    sizes = [r["count"] for r in cols.groupBy(queries.F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 2000 and len(sizes) > 20
+    tiles = blocking.block_tiles(edges, 100, 20_000)
+    assert "collect_" not in tiles._jdf.queryExecution().toString()  # no maps of cells
+    assert sorted(map(str, tiles.collect())) == sorted(map(str, plain))
+    with pytest.raises(Exception, match="repeated edge"):
+        blocking.block_tiles(edges.union(edges.limit(1)), 100, 20_001).collect()
+
+
 def test_entry_points():
     import __spark_entry__
 
