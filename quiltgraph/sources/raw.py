@@ -170,7 +170,9 @@ def write_arrays(rows: DataFrame, path: str, fields: str) -> None:
     """rows (id, a column of arrays for each field): ids are 0, 1, ... without gaps; fields as name:kind:width, comma-separated."""
     rows.sparkSession.dataSource.register(RawArrays)
     names = [f.name for f in _fields(fields)]
-    dealt = rows.select("id", *names).repartitionByRange("id").sortWithinPartitions("id")
+    # Runs of RANGE_BYTES go to a task each.  Ranges by samples would make the rows twice.
+    run = max(1, RANGE_BYTES // sum(f.bytes for f in _fields(fields)))
+    dealt = rows.select("id", *names).repartition(F.expr(f"id div {run}")).sortWithinPartitions("id")
     dealt.write.format("raw_arrays").option("fields", fields).mode("append").save(path)
 
 
@@ -194,6 +196,6 @@ def load_blocked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def save_graph(edges: DataFrame, meta: GraphMeta, path: str) -> None:
-    cols = blocking.window_cols(edges, meta.tile_rows, meta.tile_cols)
-    windows = blocking.windows(cols, meta.num_windows, meta.tile_cols)
-    save_blocked(windows, blocking.tiles(edges, cols, windows, meta.tile_rows, meta.tile_cols), meta, path)
+    rows = edges.count()
+    windows = blocking.windows(blocking.window_cols(edges, meta.tile_rows, meta.tile_cols, rows), meta.num_windows, meta.tile_cols)
+    save_blocked(windows, blocking.block_tiles(edges, meta.num_windows, rows, meta.tile_rows, meta.tile_cols), meta, path)

@@ -49,3 +49,18 @@ def test_a_blocked_matrix_is_plain_numbers(spark, tmp_path):
     windows, tiles = raw.load_blocked(spark, f"file://{tmp_path}/g")
     assert sorted((r["window_id"], r["tile_id"]) for r in tiles.collect()) == [(0, 0), (0, 1), (2, 2)]
     assert windows.count() == 3
+
+
+def test_rows_are_made_once(spark, tmp_path):
+    """Writing deals rows by their numbers, not by ranges of a sample, for which the plan would run before the write as well."""
+    made = spark.sparkContext.accumulator(0)
+
+    def arrays(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf.assign(v=[[i] for i in pdf["id"]])
+
+    rows = spark.range(0, 5000, 1, 4).mapInPandas(arrays, "id bigint, v array<bigint>")
+    raw.write_arrays(rows, f"file://{tmp_path}/once", "v:i8:1")
+    assert made.value == 5000
+    assert sorted((r["id"], r["v"]) for r in raw.read_arrays(spark, f"file://{tmp_path}/once").collect()) == [(i, [i]) for i in range(5000)]
