@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.operators import blocking
 from quiltgraph.operators.blocking import with_window
-from quiltgraph.operators.ranking import hash_text, number_by_id, number_within, prefix_sum
+from quiltgraph.operators.ranking import dealt, hash_text, number_by_id, number_within, prefix_sum
 from quiltgraph.phases import phase
 from quiltgraph.schema import TILE_COLS, TILE_ROWS, HacsOptions, Subgraph
 from quiltgraph.storage import materialize, remove
@@ -26,7 +26,7 @@ def active_windows(ids: DataFrame, column: str = "node_id", tile_rows: int = TIL
     return own.groupBy(*by, "window_id").agg(F.bit_or("bit").alias("mask"))
 
 
-def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_rows: int = TILE_ROWS, hacs: HacsOptions | None = None, q: DataFrame | None = None, window_parts: DataFrame | None = None, node_parts: DataFrame | None = None, mask_rows: bool = False, by: Sequence[str] = ()) -> DataFrame:
+def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_rows: int = TILE_ROWS, hacs: HacsOptions | None = None, q: DataFrame | None = None, window_parts: DataFrame | None = None, node_parts: DataFrame | None = None, mask_rows: bool = False, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
     """(window_id, col, score): the columns of the windows in frontier (all, if none).
 
     A row earns int((1 + 10 |w|) * 1000) in single precision, rows without
@@ -35,29 +35,34 @@ def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_r
     lies in the window's part, and the column int(gamma * scale) once; scores
     of zero or less drop out.  mask_rows: only rows in the frontier's mask
     count.  by: columns of the frontier by which windows are scored apart.
+    rows: the edges' number; with it, joins and sums are dealt by it, see
+    ranking.dealt, and a window's columns lie in one task, so that topk needs
+    no shuffle of its own.
     """
+    at = (lambda df, key: df) if rows is None else (lambda df, key: dealt(df, rows, key))
     own = with_window(edges, tile_rows)
-    rows = F.lit(tile_rows)
+    height = F.lit(tile_rows)
     if frontier is not None:
-        own = own.join(frontier, "window_id")
+        own = at(own, "window_id").join(at(frontier, "window_id"), "window_id")
         if mask_rows:
             own = own.where(F.expr(f"mask & shiftleft(1, cast(src % {tile_rows} as int))") != 0)
-            rows = F.max(F.bit_count("mask"))
+            height = F.max(F.bit_count("mask"))
     own = own.withColumnRenamed("dst", "col")
     single = lambda x: F.lit(x).cast("float")
     if hacs is None or q is None:
         earned = ((single(1.0) + single(10.0) * F.abs("weight")) * single(1000.0)).cast("int")
-        scores = own.groupBy(*by, "window_id", "col").agg((F.sum(earned) + (rows - F.count(F.lit(1))) * 1000).cast("bigint").alias("score"))
+        scores = at(own, "window_id").groupBy(*by, "window_id", "col").agg((F.sum(earned) + (height - F.count(F.lit(1))) * 1000).cast("bigint").alias("score"))
         return scores
-    own = own.join(q.select(F.col("node_id").alias("col"), "q"), "col")
+    own = at(own, "col").join(at(q.select(F.col("node_id").alias("col"), "q"), "col"), "col")
     delta = single(0.0)
     if window_parts is not None and node_parts is not None:
-        own = own.join(window_parts.select("window_id", F.col("part_id").alias("wp")), "window_id", "left").join(node_parts.select(F.col("node_id").alias("col"), F.col("part_id").alias("cp")), "col", "left")
+        own = own.join(at(node_parts.select(F.col("node_id").alias("col"), F.col("part_id").alias("cp")), "col"), "col", "left")
+        own = at(own, "window_id").join(at(window_parts.select("window_id", F.col("part_id").alias("wp")), "window_id"), "window_id", "left")
         delta = F.when(F.col("wp") == F.col("cp"), single(hacs.delta)).otherwise(single(0.0))
     value = lambda base: ((base * F.col("q") + delta) * single(hacs.score_scale)).cast("int")
     full = own.select(*by, "window_id", "col", value(single(hacs.alpha) + single(hacs.beta) * F.abs("weight")).alias("hit"), value(single(hacs.alpha)).alias("miss"), *([F.col("mask")] if mask_rows else []))
-    score = F.sum("hit") + (rows - F.count(F.lit(1))) * F.max("miss") + int(hacs.gamma_bonus * hacs.score_scale)
-    return full.groupBy(*by, "window_id", "col").agg(score.cast("bigint").alias("score")).where("score > 0")
+    score = F.sum("hit") + (height - F.count(F.lit(1))) * F.max("miss") + int(hacs.gamma_bonus * hacs.score_scale)
+    return at(full, "window_id").groupBy(*by, "window_id", "col").agg(score.cast("bigint").alias("score")).where("score > 0")
 
 
 def topk(scores: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:

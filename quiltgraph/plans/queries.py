@@ -378,7 +378,7 @@ def hacs_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY window_id ORDER BY score DESC, col))::INT AS rank FROM s) WHERE rank <= {K}""")
 def hacs_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, _, q = _hacs(spark, sf_dir)
-    return sampling.topk(sampling.score_columns(edges, hacs=HacsOptions(), q=q), K)
+    return sampling.topk(sampling.score_columns(edges, hacs=HacsOptions(), q=q, rows=edges.count()), K)
 
 
 LOCAL = HacsOptions(delta=0.5, gamma_bonus=0.25)
@@ -394,7 +394,7 @@ def hacs_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = nodes.select("node_id", F.expr("cast(node_id div 16 % 3 as int)").alias("part_id"))
     windows = nodes.select(F.expr("node_id div 16").alias("window_id")).distinct().withColumn("part_id", F.expr("cast(window_id % 3 as int)"))
     frontier = sampling.active_windows(_train(nodes))
-    return sampling.topk(sampling.score_columns(edges, frontier, hacs=LOCAL, q=q, window_parts=windows, node_parts=parts, mask_rows=True), K)
+    return sampling.topk(sampling.score_columns(edges, frontier, hacs=LOCAL, q=q, window_parts=windows, node_parts=parts, mask_rows=True, rows=edges.count()), K)
 
 
 PARTS = f"""parts AS (SELECT node_id, (node_id * 7 % 3)::INT AS part_id FROM nodes),
@@ -639,6 +639,8 @@ def kway_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def train_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two full-graph epochs from formula weights: (epoch, loss, train_acc, val_acc)."""
     bundle = graphs.load(spark, {"source": "embedding", "path": sf_dir})
+    # Every product of every step reads the edges.
+    bundle = replace(bundle, edges=materialize(bundle.edges, "edges"), nodes=materialize(bundle.nodes, "nodes"))
     own = bundle.nodes.where("split = 'train'")
     log = model.train(bundle, _model(), lambda epoch: iter([(bundle.edges, bundle.nodes, own)]), epochs=2, adam=model.Adam(0.01))
     return spark.createDataFrame([(r["epoch"], round(r["loss"], 6), r["train_acc"], r["val_acc"]) for r in log], "epoch int, loss double, train_acc double, val_acc double")

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from quiltgraph.operators import blocking, etl, linalg, ranking
+from quiltgraph.operators import blocking, etl, linalg, ranking, sampling
 from quiltgraph.plans import queries
 
 
@@ -69,6 +69,28 @@ def test_blocking_shuffles_by_window_for_tasks_of_its_rows(spark, monkeypatch):
         blocking.block_tiles(edges.union(edges.limit(1)), 100, 20_001).collect()
 
 
+def test_columns_are_scored_in_tasks_of_the_rows(spark, monkeypatch):
+    edges = spark.range(20_000).selectExpr("id % 1600 as src", "id * 7 % 1601 as dst", "cast(id % 9 / 10 as float) as weight").cache()
+    q = spark.range(1601).selectExpr("id as node_id", "cast(0.5 + id % 7 / 10 as float) as q")
+    parts = q.selectExpr("node_id", "cast(node_id % 3 as int) as part_id")
+    windows = spark.range(101).selectExpr("id as window_id", "cast(id % 3 as int) as part_id")
+    seen = sampling.active_windows(q.where("node_id % 2 = 0"))
+    local = {"hacs": queries.LOCAL, "q": q, "window_parts": windows, "node_parts": parts, "mask_rows": True}
+    plain = [sampling.score_columns(edges, hacs=queries.HacsOptions(), q=q).collect(), sampling.score_columns(edges, seen, **local).collect()]
+    monkeypatch.setattr(ranking, "TASK_ROWS", 500)
+    for want, found in zip(plain, (sampling.score_columns(edges, hacs=queries.HacsOptions(), q=q, rows=20_000), sampling.score_columns(edges, seen, rows=20_000, **local)), strict=True):
+        assert sorted(found.collect()) == sorted(want)
+        sizes = [r["count"] for r in found.groupBy(queries.F.spark_partition_id()).count().collect()]
+        assert max(sizes) < 2000 and len(sizes) > 20
+
+
+def test_full_training_builds_its_edges_once(spark, tiny, monkeypatch):
+    read = []
+    monkeypatch.setattr(queries.model, "train", lambda bundle, *_, **__: read.extend([bundle.edges.inputFiles(), bundle.nodes.inputFiles()]) or [])
+    queries.train_full(spark, tiny)
+    assert all("/edges-" in f for f in read[0]) and all("/nodes-" in f for f in read[1])
+
+
 def test_entry_points():
     import __spark_entry__
 
