@@ -3,23 +3,35 @@
 Each builder returns a function of the epoch that yields (edges, nodes, train
 nodes), as ``model.train`` takes them.  Only batch numbers come to the driver.
 What a batch reads of the graph is written once, in a folder for each batch,
-so that an epoch reads the graph once and not once for each batch."""
+so that an epoch reads the graph once and not once for each batch.
+
+Batches whose size their parameters bound, sampled ones and parts with a halo,
+can be trained in tasks (in_tasks): Spark samples, cuts and deals them as
+before, and writes them by runs of batches in a row.  One task takes a run's
+steps, and the next task goes on from its weights; so the jobs are as many as
+the runs and not some for each step."""
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quiltgraph.operators import model, partition, sampling
+from quiltgraph.operators.ranking import dealt
 from quiltgraph.schema import GraphBundle
-from quiltgraph.storage import materialize, remove, shared_path
+from quiltgraph.storage import materialize, remove, remove_path, shared_path
 
 #: Files of each batch's folder.
 FILES = 8
+#: Nodes and edges, on average, of a run: the batches that one task trains on.
+RUN_ROWS = 1 << 18
 
 
 def _by_batch(df: DataFrame, name: str, key: str) -> DataFrame:
@@ -39,13 +51,90 @@ def _order(n: int, seed: object, epoch: int) -> list[int]:
     return np.random.default_rng([zlib.crc32(str(seed).encode()), epoch]).permutation(n).tolist()
 
 
+def _rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes (batch_id, node_id, features, label or labels, target) and edges (batch_id, src, dst, weight, layers) as one table, in which layers is 0 for nodes.
+
+    layers: a bit for each layer that has the edge.
+    """
+    label = "labels" if "labels" in nodes.columns else "label"
+    own = nodes.select("batch_id", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("layers"), "features", F.col(label).alias("label"), F.coalesce("target", F.lit(False)).alias("target"))
+    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("features", "label", "target")]
+    return own.union(edges.select("batch_id", "src", "dst", F.col("weight").cast("double").alias("weight"), "layers", *none))
+
+
+def _numbers_of(lists: pa.ChunkedArray) -> np.ndarray:
+    """A column of arrays of one length as a matrix."""
+    flat = pa.concat_arrays([c.flatten() for c in lists.chunks]).to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0)
+    return flat.reshape(len(lists), -1)
+
+
+def _task_batches(table: pa.Table, layers: int, key: str) -> Iterator[model.TaskBatch]:
+    """The batches of a task's rows, see _rows, in the order of key."""
+    place, bits = table.column(key).to_numpy(), table.column("layers").to_numpy()
+    src, dst = table.column("src").to_numpy(), table.column("dst").fill_null(-1).to_numpy()
+    order = np.lexsort((dst, src, bits > 0, place))
+    table, place, bits, src, dst = table.take(pa.array(order)), place[order], bits[order], src[order], dst[order]
+    weight = table.column("weight").fill_null(0.0).to_numpy()
+    ends = [*np.flatnonzero(np.diff(place)) + 1, len(place)]
+    for start, end in zip([0, *ends], ends, strict=False):
+        middle = start + int((bits[start:end] == 0).sum())
+        nodes, ids = table.slice(start, middle - start), src[start:middle]
+        targets = np.flatnonzero(nodes.column("target").to_numpy(zero_copy_only=False).astype(bool))
+        label = nodes.column("label").take(pa.array(targets))
+        labels = _numbers_of(label).astype(float) if pa.types.is_list(label.type) else label.to_numpy().astype(int)
+        graphs = []
+        for layer in range(layers):
+            at = middle + np.flatnonzero(bits[middle:end] >> layer & 1)
+            u, v = np.searchsorted(ids, src[at]), np.searchsorted(ids, dst[at])
+            known = (u < len(ids)) & (v < len(ids))
+            known[known] = (ids[u[known]] == src[at][known]) & (ids[v[known]] == dst[at][known])
+            graphs.append((u[known], v[known], weight[at][known]))
+        yield model.TaskBatch(ids, _numbers_of(nodes.column("features")), graphs, targets, labels)
+
+
+def _steps(rows: DataFrame) -> model.Run:
+    """The steps of a run's rows, in the order of place, taken by one task."""
+
+    def run(net: model.GraphModel, adam: model.Adam, epoch: int) -> list[tuple[float, int, int]]:
+        def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            told = []
+            for batch in _task_batches(pa.Table.from_batches(batches), len(net.layers), "place"):
+                *found, grads = model.task_gradients(net, batch, epoch=epoch)
+                if found[2]:
+                    adam.step(net, grads)
+                told.append(tuple(found))
+            yield pa.RecordBatch.from_pydict({"state": [pickle.dumps((net.weights(), adam, told))]})
+
+        state = rows.coalesce(1).mapInArrow(trained, "state binary").collect()  # one small row
+        weights, after, told = pickle.loads(state[0]["state"])
+        net.set_weights(weights)
+        adam.m, adam.v, adam.t = after.m, after.v, after.t
+        return told
+
+    return run
+
+
+def _runs(rows: DataFrame, order: list[int]) -> Iterator[model.Run]:
+    """Runs of the batches of a written table, see _rows, in that order of their numbers; an epoch's copy is written by runs."""
+    if not order:
+        return
+    spark, count = rows.sparkSession, rows.count()
+    each = max(1, RUN_ROWS * len(order) // max(count, 1))
+    places = spark.createDataFrame([(b, i, i // each) for i, b in enumerate(order)], "batch_id bigint, place bigint, run bigint")
+    placed, path = rows.join(F.broadcast(places), "batch_id").drop("batch_id"), shared_path(spark, "runs")  # three numbers for each batch
+    dealt(placed, count, "run").write.partitionBy("run").parquet(path)
+    for i in range(-(-len(order) // each)):
+        yield _steps(spark.read.schema(placed.drop("run").schema).parquet(f"{path}/run={i}"))
+    remove_path(spark, path)
+
+
 def full_batches(bundle: GraphBundle) -> model.Batches:
     """One batch: the whole graph."""
     nodes = model.targets(bundle)
     return lambda epoch: iter([(bundle.edges, nodes, nodes.where("split = 'train'"))])
 
 
-def node_batches(bundle: GraphBundle, cols_per_window: Sequence[int], batch_size: int, *, seed: object = 7, include_self: bool = True, drop_last: bool = False, **scoring) -> model.Batches:
+def node_batches(bundle: GraphBundle, cols_per_window: Sequence[int], batch_size: int, *, seed: object = 7, include_self: bool = True, drop_last: bool = False, in_tasks: bool = False, **scoring) -> model.Batches:
     """Batches of shuffled windows of training nodes; each layer has the edges that its hop sampled.
 
     Every epoch shuffles anew; all its batches are sampled at once, by as many
@@ -59,8 +148,19 @@ def node_batches(bundle: GraphBundle, cols_per_window: Sequence[int], batch_size
 
     def epoch_batches(epoch: int) -> Iterator[tuple[list[DataFrame], DataFrame, DataFrame]]:
         book = materialize(partition.window_batches(train, batch_size, tile_rows=meta.tile_rows, seed=f"{seed}-{epoch}", drop_last=drop_last), "book")
-        seeds = _by_batch(train.withColumn("window_id", F.expr(f"node_id div {meta.tile_rows}")).join(book, "window_id").drop("window_id"), "seeds", "node_id")
+        seeds = train.withColumn("window_id", F.expr(f"node_id div {meta.tile_rows}")).join(book, "window_id").drop("window_id")
+        seeds = materialize(seeds, "seeds") if in_tasks else _by_batch(seeds, "seeds", "node_id")
         layers = sampling.sample_layers(bundle.edges, seeds, cols_per_window, num_nodes=meta.num_rows, tile_rows=meta.tile_rows, include_self=include_self, by=("batch_id",), **scoring)
+        if in_tasks:
+            of_layers = [materialize(layer.edges.select("batch_id", "src", "dst", "weight", F.lit(1 << i).alias("layers")), "sampled_edges") for i, layer in enumerate(layers)]
+            ids = [seeds.select("batch_id", "node_id", F.lit(True).alias("target")), *[e.select("batch_id", F.col(c).alias("node_id"), F.lit(False).alias("target")) for e in of_layers for c in ("src", "dst")]]
+            ids = reduce(DataFrame.union, ids).groupBy("batch_id", "node_id").agg(F.max("target").alias("target"))
+            rows = materialize(_rows(nodes.join(ids, "node_id"), reduce(DataFrame.union, of_layers)), "batch_rows")
+            n = _numbers(book)
+            remove(book, seeds, *of_layers, *[t for layer in layers for t in (layer.nodes, layer.extra["sampled"])])
+            yield from _runs(rows, list(range(n)))
+            remove(rows)
+            return
         edges = [_by_batch(layer.edges.drop("window_id"), "sampled_edges", "src") for layer in layers]
         for layer in layers:
             remove(layer.nodes, layer.extra["sampled"])
@@ -95,10 +195,10 @@ def part_batches(bundle: GraphBundle, parts: DataFrame, batch_size: int, *, seed
     return epoch_batches
 
 
-def halo_cuts(bundle: GraphBundle, book: DataFrame, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0) -> tuple[int, DataFrame, DataFrame]:
+def halo_cuts(bundle: GraphBundle, book: DataFrame, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0, in_tasks: bool = False) -> tuple[int, DataFrame, DataFrame]:
     """The number of batches of book (part_id, window_id), and their cuts, all made at once: nodes and edges in local ids, with batch_id.
 
-    See sampling.halos: nodes have internal, edges inner.
+    See sampling.halos: nodes have internal, edges inner.  In a folder for each batch, unless in_tasks.
     """
     nodes, meta = model.targets(bundle), bundle.meta
     batches = partition.partition_batches(book.select("part_id").distinct(), batch_size, seed)
@@ -107,7 +207,8 @@ def halo_cuts(bundle: GraphBundle, book: DataFrame, batch_size: int, *, seed: ob
     cut = sampling.halos(own, where, meta.num_rows, max_external_ratio=max_external_ratio, seed=seed, tile_rows=meta.tile_rows)
     placed = nodes.join(cut[0], "node_id").drop("node_id").withColumnsRenamed({"local_id": "node_id", "part": "batch_id"})
     count = _numbers(where.withColumnRenamed("part", "batch_id"))
-    made = count, _by_batch(placed, "halo_nodes", "node_id"), _by_batch(cut[1].withColumnRenamed("part", "batch_id"), "halo_edges", "src")
+    write = (lambda df, name, key: materialize(df, name)) if in_tasks else _by_batch
+    made = count, write(placed, "halo_nodes", "node_id"), write(cut[1].withColumnRenamed("part", "batch_id"), "halo_edges", "src")
     remove(where, own)
     return made
 
@@ -117,9 +218,19 @@ def _halo_layers(edges: DataFrame, layers: int) -> list[DataFrame]:
     return [edges] + [edges.where("inner")] * (layers - 1)
 
 
-def halo_batches(bundle: GraphBundle, book: DataFrame, layers: int, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0) -> model.Batches:
+def _halo_rows(nodes: DataFrame, edges: DataFrame, layers: int, split: str) -> DataFrame:
+    """_rows of cuts; their targets are a split's internal nodes."""
+    bits = F.when(F.col("inner"), F.lit((1 << layers) - 1)).otherwise(F.lit(1))
+    return _rows(nodes.withColumn("target", F.col("internal") & (F.col("split") == split)), edges.withColumn("layers", bits))
+
+
+def halo_batches(bundle: GraphBundle, book: DataFrame, layers: int, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0, in_tasks: bool = False) -> model.Batches:
     """Batches of batch_size parts of book (part_id, window_id) with their halo; the loss is on inner training nodes."""
-    n, nodes, edges = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio)
+    n, nodes, edges = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio, in_tasks=in_tasks)
+    if in_tasks:
+        rows = materialize(_halo_rows(nodes, edges, layers, "train"), "batch_rows")
+        remove(nodes, edges)
+        return lambda epoch: _runs(rows, _order(n, seed, epoch))
 
     def epoch_batches(epoch: int) -> Iterator[tuple[list[DataFrame], DataFrame, DataFrame]]:
         for i in _order(n, seed, epoch):
@@ -129,9 +240,20 @@ def halo_batches(bundle: GraphBundle, book: DataFrame, layers: int, batch_size:
     return epoch_batches
 
 
-def halo_accuracy(bundle: GraphBundle, book: DataFrame, batch_size: int, split: str = "val", *, seed: object = 7, max_external_ratio: float = 5.0) -> Callable[[model.GraphModel], float]:
+def halo_accuracy(bundle: GraphBundle, book: DataFrame, batch_size: int, split: str = "val", *, seed: object = 7, max_external_ratio: float = 5.0, in_tasks: bool = False) -> Callable[[model.GraphModel], float]:
     """A function of the model: its accuracy over a split's nodes, each in the cut whose book holds its window."""
-    n, nodes, edges = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio)
+    n, nodes, edges = halo_cuts(bundle, book, batch_size, seed=seed, max_external_ratio=max_external_ratio, in_tasks=in_tasks)
+    size = nodes.count() + edges.count() if in_tasks else 0
+
+    def of_tasks(net: model.GraphModel) -> float:
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(batches) if (batches := list(batches)) else None
+            found = [model.task_hits(net, b) for b in _task_batches(table, len(net.layers), "batch_id")] if table else []
+            yield pa.RecordBatch.from_pydict({"ok": [sum(f[0] for f in found)], "n": [sum(f[1] for f in found)]})
+
+        rows = dealt(_halo_rows(nodes, edges, len(net.layers), split), size, "batch_id")
+        right, total = rows.mapInArrow(counted, "ok bigint, n bigint").agg(F.sum("ok"), F.sum("n")).first()
+        return (right or 0) / max(total or 0, 1)
 
     def accuracy(net: model.GraphModel) -> float:
         right = total = 0
@@ -144,4 +266,4 @@ def halo_accuracy(bundle: GraphBundle, book: DataFrame, batch_size: int, split:
             remove(*made)
         return right / max(total, 1)
 
-    return accuracy
+    return of_tasks if in_tasks else accuracy

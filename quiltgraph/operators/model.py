@@ -325,6 +325,77 @@ def loss_and_gradients(model: GraphModel, edges: DataFrame | list[DataFrame], no
     return float(loss) / n, int(ok), int(n), grads[::-1]
 
 
+def _product(graph: tuple[np.ndarray, np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """A h of edges (src, dst, weight) by place."""
+    src, dst, weight = graph
+    out = np.zeros(h.shape)
+    if len(src):
+        order = np.argsort(src, kind="stable")
+        first = np.flatnonzero(np.diff(src[order], prepend=-1))
+        out[src[order][first]] = np.add.reduceat(weight[order, None] * h[dst[order]], first)
+    return out
+
+
+@dataclass
+class TaskBatch:
+    """A batch that one task holds: nodes in the order of their ids, edges (src, dst, weight) of each layer by place, places and labels of its targets."""
+
+    ids: np.ndarray
+    features: np.ndarray
+    graphs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    targets: np.ndarray
+    labels: np.ndarray
+
+
+def _task_forward(model: GraphModel, batch: TaskBatch, epoch: int | None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """Of each layer, what goes in, its sum over neighbours and what comes out before the activation; see forward."""
+    xs, sums, zs = [batch.features.astype(float)], [], []
+    for i, (wn, ws) in enumerate(model.layers):
+        x = xs[-1]
+        sums.append(_product(batch.graphs[i], x))
+        z = sums[-1] @ wn + x @ ws
+        if i < len(model.layers) - 1:
+            if model.residual:
+                z = z + (x @ model.projections[i] if i in model.projections else x)
+            xs.append(_finish(model, i, z, batch.ids, epoch))
+        zs.append(z)
+    return xs, sums, zs
+
+
+def task_hits(model: GraphModel, batch: TaskBatch) -> tuple[int, int]:
+    """hits of one batch over its targets."""
+    logits = _task_forward(model, batch, None)[2][-1][batch.targets]
+    right = (logits > 0) == (batch.labels > 0.5) if batch.labels.ndim == 2 else logits.argmax(1) == batch.labels
+    return int(right.sum()), right.size
+
+
+def task_gradients(model: GraphModel, batch: TaskBatch, *, epoch: int | None = None) -> tuple[float, int, int, Weights]:
+    """loss_and_gradients of one batch, within a task."""
+    last, (xs, sums, zs) = len(model.layers) - 1, _task_forward(model, batch, epoch)
+    multi, n = batch.labels.ndim == 2, batch.labels.size
+    if not n:
+        return 0.0, 0, 0, [tuple(np.zeros_like(w) for w in layer) for layer in model.weights()]
+    loss, own, ok = (_sign_loss if multi else _softmax_loss)(zs[-1][batch.targets], batch.labels)
+    g = np.zeros(zs[-1].shape)
+    g[batch.targets] = own / n
+    grads: Weights = []
+    norm_grads: tuple[np.ndarray, ...] = ()
+    for i in range(last, -1, -1):
+        wn, ws = model.layers[i]
+        projection = model.projections.get(i) if model.residual and i < last else None
+        by_self = xs[i].T @ g
+        grads.append((sums[i].T @ g, by_self, *((by_self,) if projection is not None else ()), *norm_grads))
+        if i:
+            src, dst, weight = batch.graphs[i]
+            back = _product((dst, src, weight), g) @ wn.T + g @ (ws if projection is None else ws + projection).T
+            if model.residual and i < last and projection is None:
+                back = back + g
+            g, own = _finish_back(model, i - 1, zs[i - 1], back, batch.ids, epoch)
+            width = wn.shape[0]
+            norm_grads = (own.sum(0)[:width], own.sum(0)[width:]) if model.layer_norm and i - 1 in model.norms else ()
+    return float(loss.sum()) / n, int(ok.sum()), n, grads[::-1]
+
+
 class Adam:
     """Adam with weight decay, and clipping of the gradients' common length to 1."""
 
@@ -405,11 +476,13 @@ def _unpack(packed: list[dict], like: GraphModel) -> Weights:
     return [tuple(next(flat) for _ in layer) for layer in like.weights()]
 
 
-Batches = Callable[[int], Iterator[tuple[DataFrame | list[DataFrame], DataFrame, DataFrame]]]
+#: Steps of several batches in a row: changes the model and Adam's state, and returns (loss, hits, count) of each.
+Run = Callable[[GraphModel, Adam, int], list[tuple[float, int, int]]]
+Batches = Callable[[int], Iterator[tuple[DataFrame | list[DataFrame], DataFrame, DataFrame] | Run]]
 
 
 def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: int, eval_interval: int = 1, patience: int = 20, adam: Adam | None = None, weighted: bool = True, accuracy: Callable[[GraphModel], float] | None = None, plateau: bool = True, state: StateLog | None = None) -> list[dict]:
-    """Epochs over batches (edges, nodes, train nodes), see operators/epochs.py.
+    """Epochs over batches (edges, nodes, train nodes), or runs of batches, see operators/epochs.py.
 
     The loss of an epoch is the mean over its batches, weighted by what they
     trained on, or plain if not weighted; batches without a train node are
@@ -431,14 +504,21 @@ def train(bundle: GraphBundle, model: GraphModel, batches: Batches, *, epochs: i
         if log and log[-1]["epoch"] - best[1] > patience:
             break
         loss = right = total = share = 0
-        for edges, nodes, own in batches(epoch):
-            with phase(spark, "gradients"):
-                part, ok, n, grads = loss_and_gradients(model, edges, nodes, own, epoch=epoch)
-            if n:
-                with phase(spark, "step"):
-                    adam.step(model, grads)
-                weight = n if weighted else 1
-                loss, share, right, total = loss + part * weight, share + weight, right + ok, total + n
+        for batch in batches(epoch):
+            if callable(batch):
+                with phase(spark, "gradients"):
+                    steps = batch(model, adam, epoch)
+            else:
+                with phase(spark, "gradients"):
+                    *step, grads = loss_and_gradients(model, *batch, epoch=epoch)
+                if step[2]:
+                    with phase(spark, "step"):
+                        adam.step(model, grads)
+                steps = [step]
+            for part, ok, n in steps:
+                if n:
+                    weight = n if weighted else 1
+                    loss, share, right, total = loss + part * weight, share + weight, right + ok, total + n
         row = {"epoch": epoch, "loss": loss / max(share, 1), "train_acc": right / max(total, 1), "val_acc": None}
         if epoch % eval_interval == 0:
             with phase(spark, "evaluate"):

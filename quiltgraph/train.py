@@ -56,17 +56,20 @@ def _books(bundle: GraphBundle, config: dict) -> tuple[DataFrame, DataFrame]:
 
 
 def batches_for(bundle: GraphBundle, config: dict, layers: int) -> tuple[model.Batches, dict]:
-    """The batches that config["train_mode"] (or mode) asks for (full, node, BAPS or DPS), and what training must know of them."""
-    mode, seed = mode_of(config).upper(), config.get("seed", 7)
+    """The batches that config["train_mode"] (or mode) asks for (full, node, BAPS or DPS), and what training must know of them.
+
+    config["in_tasks"]: node and DPS batches are trained in tasks, by runs of them.
+    """
+    mode, seed, in_tasks = mode_of(config).upper(), config.get("seed", 7), bool(config.get("in_tasks"))
     partition.resolve_mode(mode)
     if mode == "NODE":
-        return epochs.node_batches(bundle, config.get("fanouts", [10] * layers), config.get("batch_size", 1024), seed=seed), {"weighted": False}
+        return epochs.node_batches(bundle, config.get("fanouts", [10] * layers), config.get("batch_size", 1024), seed=seed, in_tasks=in_tasks), {"weighted": False}
     if mode == "BAPS":
         parts = cut.kway_parts(bundle.edges, bundle.nodes.select("node_id"), config.get("num_partitions", 10), seed=zlib.crc32(str(seed).encode()))
         return epochs.part_batches(bundle, parts, config.get("batch_partition_size", 2), seed=seed), {}
     if mode == "DPS":
         own, size, ratio = _books(bundle, config), config.get("batch_partition_size", 2), float((config.get("DPS") or {}).get("max_external_ratio", 5.0))
-        return epochs.halo_batches(bundle, own[0], layers, size, seed=seed, max_external_ratio=ratio), {"accuracy": epochs.halo_accuracy(bundle, own[1], size, seed=seed, max_external_ratio=ratio)}
+        return epochs.halo_batches(bundle, own[0], layers, size, seed=seed, max_external_ratio=ratio, in_tasks=in_tasks), {"accuracy": epochs.halo_accuracy(bundle, own[1], size, seed=seed, max_external_ratio=ratio, in_tasks=in_tasks)}
     return epochs.full_batches(bundle), {}
 
 

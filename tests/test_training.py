@@ -128,6 +128,28 @@ def test_halo_batches_and_accuracy(spark, bundle):
     assert epochs.halo_accuracy(bundle, book, 2)(net) == pytest.approx(np.mean(right))
 
 
+@pytest.mark.parametrize("kind,multi", [("halo", False), ("halo", True), ("node", False)])
+def test_runs_in_tasks_equal_steps_of_jobs(spark, bundle, monkeypatch, kind, multi):
+    monkeypatch.setattr(epochs, "RUN_ROWS", 60)  # more than one run
+    graph = GraphBundle(bundle.edges, bundle.nodes.drop("label" if multi else "labels"), bundle.meta, 2, multi)
+    book = spark.createDataFrame([(w, w) for w in range(N // 4)], "part_id int, window_id bigint")
+    got = {}
+    for in_tasks in (False, True):
+        net = model.GraphModel.init([3, 4, 4, 2], seed=3, activation="gelu", layer_norm=True, residual=True, dropout=0.3)
+        net.norms = {i: (np.linspace(0.5, 1.5, 4), np.linspace(-0.2, 0.2, 4)) for i in range(2)}
+        if kind == "halo":
+            batches, known = epochs.halo_batches(graph, book, 3, 2, max_external_ratio=1.0, in_tasks=in_tasks), {"accuracy": epochs.halo_accuracy(graph, book, 2, max_external_ratio=1.0, in_tasks=in_tasks)}
+        else:
+            batches, known = epochs.node_batches(graph, [3, 3, 3], 5, in_tasks=in_tasks), {"weighted": False}
+        if in_tasks:
+            assert len(list(batches(9))) > 1
+        got[in_tasks] = model.train(graph, net, batches, epochs=1, adam=model.Adam(0.05), **known), net.weights()
+    (was, before), (now, after) = got[False], got[True]
+    assert [(r["train_acc"], r["val_acc"]) for r in now] == [(r["train_acc"], r["val_acc"]) for r in was]
+    assert [r["loss"] for r in now] == pytest.approx([r["loss"] for r in was])
+    assert all(np.allclose(a, b) for x, y in zip(before, after, strict=True) for a, b in zip(x, y, strict=True))
+
+
 @pytest.mark.parametrize("mode", ["full", "node", "BAPS", "DPS"])
 def test_run(spark, bundle, tmp_path, mode):
     path = str(tmp_path / "data")
