@@ -37,8 +37,14 @@ def sum_arrays(rows: DataFrame, key: str, width: int, column: str = "features")
 
 
 def spmm_arrays(edges: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node_id, features) = A X for arrays of ``width`` numbers: one row for each edge, not for each edge and entry."""
+    """(node_id, features) = A X for arrays of ``width`` numbers: one row for each edge, not for each edge and entry.
+
+    Entries are weighted as they are summed, so that no array is made for an edge.
+    """
     own = edges.select("src", F.col("dst").alias("node_id"), F.col("weight").cast("double").alias("w")).join(nodes.select("node_id", "features"), "node_id")
+    if width <= SLICE:
+        entries = [F.sum(F.get("features", F.lit(i)) * F.col("w")).alias(f"s{i}") for i in range(width)]
+        return own.groupBy(F.col("src").alias("node_id")).agg(*entries).select("node_id", F.array(*[F.col(f"s{i}") for i in range(width)]).alias("features"))
     weighted = own.select(F.col("src").alias("node_id"), F.transform("features", lambda v: v * F.col("w")).alias("features"))
     return sum_arrays(weighted, "node_id", width)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quiltgraph import phases, train
-from quiltgraph.operators import epochs, model, partition
+from quiltgraph.operators import epochs, linalg, model, partition
 from quiltgraph.schema import GraphBundle, GraphMeta
 from quiltgraph.sources import graphs, io
 from quiltgraph.storage import shared_dir
@@ -203,3 +203,11 @@ def test_unknown_mode(bundle):
     with pytest.raises(ValueError, match="unknown mode"):
         train.batches_for(bundle, {"train_mode": "other"}, 2)
     assert partition.resolve_mode("full") == "rcm"
+
+
+def test_sparse_products_make_no_array_for_an_edge(spark, bundle):
+    plan = linalg.spmm_arrays(bundle.edges, bundle.nodes, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan
+    a, x, _ = dense(bundle)
+    found = {r["node_id"]: r["features"] for r in linalg.spmm_arrays(bundle.edges, bundle.nodes, 3).collect()}
+    assert np.allclose([found[i] for i in range(N)], a @ x)
