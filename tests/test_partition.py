@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.operators import cut, partition
 from quiltgraph.operators.ranking import shuffled
+from quiltgraph.phases import Phases, phase
 from quiltgraph.plans import queries
 
 
@@ -132,6 +133,27 @@ def test_sizes_without_edges_and_with_a_star(spark):
     assert cut.kway_parts(spark.createDataFrame([], "src bigint, dst bigint"), spark.createDataFrame([], "node_id bigint"), 2).count() == 0
 
 
+def test_parts_by_chunks_are_those_by_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 70, (260, 2))]
+    found, jobs = [], []
+    for small, chunk, slab, cells in ((cut.SMALL, cut.CHUNK, cut.SLAB, cut.CELLS), (0, 50, 16, 3)):
+        for name, value in {"SMALL": small, "CHUNK": chunk, "SLAB": slab, "CELLS": cells}.items():
+            monkeypatch.setattr(cut, name, value)
+        with Phases().active() as costs, phase(spark, "cut"):
+            found.append(parts_of(spark, pairs, 70, 2, turns=3))
+        jobs.append(costs.costs["cut"].jobs)
+    assert found[0] == found[1] and len(found[0]) == 70
+    assert jobs[0] < jobs[1]  # a turn of a small level is no job
+
+
+def test_hashes_are_those_of_spark(spark):
+    u, v = np.array([0, 5, 1 << 40, -3]), np.array([7, 2, 9, 1 << 62])
+    rows = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "u bigint, v bigint")
+    for seed in (7, -2, (1 << 31) + 5):
+        assert cut.spark_hash([u, v], seed).tolist() == [r[0] for r in rows.select(F.xxhash64("u", "v", F.lit(seed))).collect()]
+
+
 def test_parts_of_the_customer_graph_cut_less_than_ranges_of_an_order(spark, tiny):
     edges, nodes = queries.graphs.customer_part(spark, tiny)
     pairs = [(r["src"], r["dst"]) for r in edges.where("src < dst").collect()]
