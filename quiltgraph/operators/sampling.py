@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quiltgraph.operators import blocking
 from quiltgraph.operators.blocking import with_window
-from quiltgraph.operators.ranking import dealt, hash_text, number_by_id, number_within, prefix_sum
+from quiltgraph.operators.ranking import dealer, hash_text, number_by_id, number_within, prefix_sum
 from quiltgraph.phases import phase
 from quiltgraph.schema import TILE_COLS, TILE_ROWS, HacsOptions, Subgraph
 from quiltgraph.storage import materialize, remove
@@ -39,7 +39,7 @@ def score_columns(edges: DataFrame, frontier: DataFrame | None = None, *, tile_r
     ranking.dealt, and a window's columns lie in one task, so that topk needs
     no shuffle of its own.
     """
-    at = (lambda df, key: df) if rows is None else (lambda df, key: dealt(df, rows, key))
+    at = dealer(rows)
     own = with_window(edges, tile_rows)
     height = F.lit(tile_rows)
     if frontier is not None:
@@ -171,9 +171,10 @@ def partition_slice(edges: DataFrame, partitions: DataFrame, part_ids: Sequence[
     return edges.join(rows, "src").join(cols, "dst").select(F.col("ls").alias("src"), F.col("ld").alias("dst"), "weight")
 
 
-def edges_by_part(edges: DataFrame, windows: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(part, src, dst, weight): the rows of each part's windows (part, window_id), by one reading of the edges."""
-    return with_window(edges, tile_rows).join(windows.select("part", "window_id").distinct(), "window_id").select("part", "src", "dst", "weight")
+def edges_by_part(edges: DataFrame, windows: DataFrame, tile_rows: int = TILE_ROWS, rows: int | None = None) -> DataFrame:
+    """(part, src, dst, weight): the rows of each part's windows (part, window_id), by one reading of the edges; rows: their number, see ranking.dealt."""
+    at = dealer(rows)
+    return at(with_window(edges, tile_rows), "window_id").join(at(windows.select("part", "window_id").distinct(), "window_id"), "window_id").select("part", "src", "dst", "weight")
 
 
 def window_nodes(windows: DataFrame, num_nodes: int, tile_rows: int = TILE_ROWS, by: Sequence[str] = ("part",)) -> DataFrame:
@@ -182,7 +183,7 @@ def window_nodes(windows: DataFrame, num_nodes: int, tile_rows: int = TILE_ROWS,
     return windows.select(*by, "window_id").distinct().select(*by, rows.alias("node_id")).where(F.col("node_id") < num_nodes)
 
 
-def halos(own: DataFrame, windows: DataFrame, num_nodes: int, *, max_external_ratio: float = 5.0, seed: object = 7, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+def halos(own: DataFrame, windows: DataFrame, num_nodes: int, *, max_external_ratio: float = 5.0, seed: object = 7, tile_rows: int = TILE_ROWS, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Each part's windows (part, window_id) with their neighbours, repacked: nodes and edges of all parts in one plan.
 
     own: the parts' rows, see edges_by_part.  nodes: (part, node_id, local_id,
@@ -190,20 +191,23 @@ def halos(own: DataFrame, windows: DataFrame, num_nodes: int, *, max_external_ra
     by id.  At most int(ratio * internal) external nodes stay, those first in
     the seeded shuffle; edges to the others drop out.  edges: (part, src, dst,
     weight, inner) in local ids; inner ones end at internal nodes.  Weights
-    that are NaN become 0.
+    that are NaN become 0.  rows: a bound on the number of own's, by which
+    its tasks are dealt, see ranking.dealt.
     """
+    at = dealer(rows)
     inside = window_nodes(windows, num_nodes, tile_rows)
     sizes = inside.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    outside = own.select("part", F.col("dst").alias("node_id")).distinct().join(inside, ["part", "node_id"], "left_anti")
+    outside = at(own.select("part", F.col("dst").alias("node_id")), "part", "node_id").distinct().join(at(inside, "part", "node_id"), ["part", "node_id"], "left_anti")
     ranked = number_within(outside.withColumn("_h", hash_text("node_id", seed)), "part", F.conv(F.substring("_h", 1, 4), 16, 10), ["_h", "node_id"], "_r")
     kept = ranked.join(sizes, "part").where(F.col("_r") < F.floor(max_external_ratio * F.col("n"))).select("part", "node_id", "n")
     numbered = lambda df: number_within(df, "part", F.expr("node_id div 65536"), ["node_id"], "local_id")
     first = numbered(inside).select("part", "node_id", "local_id", F.lit(True).alias("internal"))
     then = numbered(kept).select("part", "node_id", (F.col("local_id") + F.col("n")).alias("local_id"), F.lit(False).alias("internal"))
     nodes = first.union(then)
-    rows = first.select("part", F.col("node_id").alias("src"), F.col("local_id").alias("ls"))
+    sources = first.select("part", F.col("node_id").alias("src"), F.col("local_id").alias("ls"))
     cols = nodes.select("part", F.col("node_id").alias("dst"), F.col("local_id").alias("ld"), "internal")
-    local = own.join(rows, ["part", "src"]).join(cols, ["part", "dst"])
+    local = at(own, "part", "src").join(at(sources, "part", "src"), ["part", "src"])
+    local = at(local, "part", "dst").join(at(cols, "part", "dst"), ["part", "dst"])
     return nodes, local.select("part", F.col("ls").alias("src"), F.col("ld").alias("dst"), F.nanvl(F.col("weight"), F.lit(0.0).cast("float")).alias("weight"), F.col("internal").alias("inner"))
 
 
@@ -219,17 +223,22 @@ def inner(sub: Subgraph) -> DataFrame:
     return sub.edges.where(F.col("dst") < sub.n_internal)
 
 
-def reached_windows(edges: DataFrame, seed_windows: DataFrame, num_nodes: int, cols_per_window: Sequence[int] = (5, 5), tile_rows: int = TILE_ROWS) -> DataFrame:
+def reached_windows(edges: DataFrame, seed_windows: DataFrame, num_nodes: int, cols_per_window: Sequence[int] = (5, 5), tile_rows: int = TILE_ROWS, rows: int | None = None) -> DataFrame:
     """(part, window_id): what a probe from all rows of each part's seed windows (part, window_id) samples from, all parts at once."""
     seeds = window_nodes(seed_windows, num_nodes, tile_rows)
-    layers = sample_layers(edges, seeds, cols_per_window, num_nodes=num_nodes, tile_rows=tile_rows, by=("part",))
+    layers = sample_layers(edges, seeds, cols_per_window, num_nodes=num_nodes, tile_rows=tile_rows, by=("part",), rows=rows)
     reached = materialize(reduce(DataFrame.union, [layer.nodes.select("part", "window_id") for layer in layers]).distinct(), "reached")
     for layer in layers:
         remove(layer.nodes, layer.extra["sampled"])
     return reached
 
 
-def dps_online(edges: DataFrame, seed_windows: DataFrame, num_nodes: int, cols_per_window: Sequence[int] = (5, 5), *, tile_rows: int = TILE_ROWS, **options) -> tuple[DataFrame, DataFrame]:
-    """Probe from all rows of each part's seed windows (part, window_id) and repack all windows that it reached, see halos."""
-    reached = reached_windows(edges, seed_windows, num_nodes, cols_per_window, tile_rows)
-    return halos(edges_by_part(edges, reached, tile_rows), reached, num_nodes, tile_rows=tile_rows, **options)
+def dps_online(edges: DataFrame, seed_windows: DataFrame, num_nodes: int, cols_per_window: Sequence[int] = (5, 5), *, tile_rows: int = TILE_ROWS, rows: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """Probe from all rows of each part's seed windows (part, window_id) and repack all windows that it reached, see halos.
+
+    rows: the edges' number, by which tasks are dealt, see ranking.dealt.
+    """
+    reached = reached_windows(edges, seed_windows, num_nodes, cols_per_window, tile_rows, rows)
+    # A window's edges are repeated for each part that has reached it.
+    most = None if rows is None else rows * (reached.groupBy("window_id").count().agg(F.max("count")).first()[0] or 1)
+    return halos(edges_by_part(edges, reached, tile_rows, rows), reached, num_nodes, tile_rows=tile_rows, rows=most, **options)

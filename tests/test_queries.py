@@ -95,3 +95,14 @@ def test_entry_points():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_a_probe_dealt_by_rows_is_the_same(spark, tiny, monkeypatch):
+    monkeypatch.setattr(ranking, "TASK_ROWS", 300)
+    edges, windows, count = queries._by_part(spark, tiny)
+    edges = edges.localCheckpoint()
+    rows = edges.count()
+    dealt, plain = (sampling.dps_online(edges, windows, count, rows=n) for n in (rows, None))
+    for own, other in zip(dealt, plain, strict=True):
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, other.collect()))
+    assert any(f", {-(-rows * most // 300)}), REPARTITION_BY_NUM" in dealt[0]._jdf.queryExecution().toString() for most in range(1, 5))
