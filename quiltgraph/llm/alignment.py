@@ -31,13 +31,15 @@ BLOCK = 1 << 14
 #: Bytes of events, or of links, that a task puts into one batch.
 BATCH_BYTES = 16 << 20
 #: Different pairs of ids whose counts a task holds at a time; more are looked up one file after the other.
-FILE_PAIRS = 1 << 22
+FILE_PAIRS = 1 << 20
 #: Links that a task holds while it looks them up in several files.
 HELD_LINKS = 1 << 22
+#: Links that are counted or looked up at a time.
+PART_LINKS = 1 << 18
 #: Links of a document that are put together before equal ones are counted.
 OPEN_LINKS = 1 << 20
 
-TOKENS = "doc_id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, link_a array<int>, link_b array<int>, times array<int>"
+TOKENS = "doc_id {id}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string"
 
 
 # --- tokenizers ----------------------------------------------------------------------------------------------------
@@ -109,7 +111,7 @@ def tokens_of(text: str | None, a: Tokens, b: Tokens) -> tuple[np.ndarray, np.nd
     return np.zeros(0, np.int64), np.zeros(0, np.int64)
 
 
-# --- events --------------------------------------------------------------------------------------------------------
+# --- blocks --------------------------------------------------------------------------------------------------------
 
 
 def pack_ids(ids: np.ndarray, dtype: str) -> bytes:
@@ -122,6 +124,19 @@ def unpack_ids(block: bytes, dtype: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(dtype).ravel().astype(np.int64)
 
 
+def pack_links(keys: np.ndarray, times: np.ndarray) -> bytes:
+    """A document's different links, as A's id * 2**32 + B's id, and how often each occurs."""
+    return pack_ids(np.concatenate([keys >> 32, keys & 0xFFFFFFFF, times]), "<u4") if len(keys) else b""
+
+
+def unpack_links(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    a, b, times = (unpack_ids(block, "<u4") if block else np.zeros(0, np.int64)).reshape(3, -1)
+    return a << 32 | b, times
+
+
+# --- events --------------------------------------------------------------------------------------------------------
+
+
 def _events(docs: DataFrame, tokenizers: tuple[str, str], id_col: str, text_col: str) -> DataFrame:
     """(key, row, doc_id, offset, side, ids): blocks of end events, A as side 0, B as 1; offset is where the block's first token starts.
 
@@ -142,8 +157,8 @@ def _events(docs: DataFrame, tokenizers: tuple[str, str], id_col: str, text_col:
                 return pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(offsets, pa.int64()), pa.array(sides, pa.int32()), pa.array(blocks, pa.binary())], names=["key", "row", "doc_id", "offset", "side", "ids"])
 
             narrow = batch.select([0, 1, 2])
-            for k, text in enumerate(batch.column(3).to_pylist()):
-                for side, tokens, ids in zip((0, 1), (a, b), tokens_of(text, a, b), strict=True):
+            for k, text in enumerate(batch.column(3)):
+                for side, tokens, ids in zip((0, 1), (a, b), tokens_of(text.as_py(), a, b), strict=True):
                     starts = np.concatenate([[0], np.cumsum(tokens.widths[ids])])
                     for i in range(0, max(len(ids), 1 - side), BLOCK):
                         at.append(k)
@@ -300,25 +315,36 @@ def align_tokens(docs: DataFrame, tokenizers: tuple[str, str], *, id_col: str =
     of the same id and text go to the same task.  Null ids stay null.  An empty
     table gives no rows.  The files are read by each task at the given paths.
     """
+    return _align(docs, tokenizers, id_col, text_col, groups, packed=False)
+
+
+def _align(docs: DataFrame, tokenizers: tuple[str, str], id_col: str, text_col: str, groups: bool, packed: bool) -> DataFrame:
+    """align_tokens; packed: with a document's links as one block of pack_links, links, in place of the three arrays."""
     own = docs.schema[id_col].dataType.simpleString()
-    schema = TOKENS.format(id=own) + (", groups string" if groups else "")
+    schema = f"{TOKENS.format(id=own)}, {'links binary' if packed else 'link_a array<int>, link_b array<int>, times array<int>'}{', groups string' if groups else ''}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sides = byte_level(tokenizers[0]), by_pieces(tokenizers[1])
         widths = sides[0].widths, sides[1].widths
-        done: list[tuple[pa.Scalar, Sweep, tuple[np.ndarray, np.ndarray]]] = []
+        done: list[tuple] = []
         key, ident, state, size = None, None, None, 0
 
+        def close() -> None:
+            """The document that has been swept becomes a row; what else it took is let go."""
+            nonlocal size
+            keys, times = state.counted()
+            links = [pack_links(keys, times)] if packed else [keys, times]
+            size += (len(links[0]) if packed else 12 * len(keys)) + 100
+            done.append((ident.as_py(), *state.n, state.groups, state.links, state.groups_sha256(), ";".join(state.kept), *links))
+
         def out() -> pa.RecordBatch:
-            pairs = [p for _, _, p in done]
+            ids, n_a, n_b, n_groups, n_links, hashes, texts, *links = zip(*done, strict=True)
             columns = [
-                pa.array([i.as_py() for i, _, _ in done], kind),
-                *(pa.array(v, pa.int64()) for v in zip(*[(s.n[0], s.n[1], s.groups, s.links) for _, s, _ in done], strict=True)),
-                pa.array([s.groups_sha256() for _, s, _ in done]),
-                _lists([k >> 32 for k, _ in pairs]),
-                _lists([k & 0xFFFFFFFF for k, _ in pairs]),
-                _lists([t for _, t in pairs]),
-                *([pa.array([";".join(s.kept) for _, s, _ in done])] if groups else []),
+                pa.array(ids, kind),
+                *(pa.array(v, pa.int64()) for v in (n_a, n_b, n_groups, n_links)),
+                pa.array(hashes),
+                *([pa.array(links[0], pa.binary())] if packed else [_lists([k >> 32 for k in links[0]]), _lists([k & 0xFFFFFFFF for k in links[0]]), _lists(links[1])]),
+                *([pa.array(texts)] if groups else []),
             ]
             return pa.RecordBatch.from_arrays(columns, names=[f.split()[0] for f in schema.split(", ")])
 
@@ -328,9 +354,7 @@ def align_tokens(docs: DataFrame, tokenizers: tuple[str, str], *, id_col: str =
             for i, block in enumerate(batch.column(5)):
                 if (keys[i], rows[i]) != key:
                     if state is not None:
-                        done.append((ident, state, state.counted()))
-                        state.pairs = []
-                        size += 12 * len(done[-1][2][0]) + 100
+                        close()
                         if size > BATCH_BYTES:
                             yield out()
                             done, size = [], 0
@@ -338,7 +362,7 @@ def align_tokens(docs: DataFrame, tokenizers: tuple[str, str], *, id_col: str =
                 if ids := block.as_py():
                     state.add(which[i], offsets[i], unpack_ids(ids, sides[which[i]].dtype))
         if state is not None:
-            done.append((ident, state, state.counted()))
+            close()
             yield out()
 
     events = _events(docs, tokenizers, id_col, text_col)
@@ -349,16 +373,38 @@ def align_tokens(docs: DataFrame, tokenizers: tuple[str, str], *, id_col: str =
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
-    """(a, b, documents): in how many documents each pair of ids is linked."""
-    links = aligned.select(F.inline(F.arrays_zip(F.col("link_a").alias("a"), F.col("link_b").alias("b"))))
-    return links.groupBy("a", "b").agg(F.count(F.lit(1)).alias("documents"))
+    """(a, b, documents): in how many documents each pair of ids is linked, by packed links.  Tasks count parts of them first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            keys, documents = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array((keys >> 32).astype(np.int32)), pa.array((keys & 0xFFFFFFFF).astype(np.int32)), pa.array(documents.astype(np.int64))], names=["a", "b", "documents"])
+
+        for batch in batches:
+            for block in batch.column(0):
+                held.append(unpack_links(block.as_py())[0])
+                size += len(held[-1])
+                if size > PART_LINKS:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    return aligned.select("links").mapInArrow(run, "a int, b int, documents bigint").groupBy("a", "b").agg(F.sum("documents").alias("documents"))
 
 
 def _write_counts(counts: DataFrame, folder: str) -> None:
-    """The pairs with ``most``, the highest count of their A id, in files by ranges of A's ids, FILE_PAIRS on average."""
+    """(pair, documents, best): the pairs as A's id * 2**32 + B's id, their counts and whether these are their A id's highest.
+
+    The files are ranges of A's ids, FILE_PAIRS pairs on average.
+    """
     files = max(1, -(-counts.count() // FILE_PAIRS))
     most = counts.groupBy("a").agg(F.max("documents").alias("most"))
-    counts.join(most, "a").select("a", "b", "documents", "most").repartitionByRange(files, "a").sortWithinPartitions("a", "b").write.parquet(folder)
+    pair = F.shiftleft(F.col("a").cast("bigint"), 32) + F.col("b")
+    table = counts.join(most, "a").select("a", pair.alias("pair"), "documents", (F.col("documents") == F.col("most")).alias("best"))
+    table.repartitionByRange(files, "a").sortWithinPartitions("pair").drop("a").write.parquet(folder)
 
 
 def _files(folder: str) -> list[str]:
@@ -368,49 +414,70 @@ def _files(folder: str) -> list[str]:
 
 @functools.lru_cache(maxsize=1)
 def _read_counts(folder: str, path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs of one file as A's id * 2**32 + B's id, ascending; their counts; whether these are their A id's highest."""
-    table = pq.read_table(path, filesystem=open_store(folder)[0], partitioning=None)
-    a, b, documents, most = (table.column(c).to_numpy().astype(np.int64) for c in ("a", "b", "documents", "most"))
-    return a << 32 | b, documents, documents == most
+    """The pairs of one file, ascending; their counts; whether these are their A id's highest."""
+    table = pq.read_table(path, filesystem=open_store(folder)[0], partitioning=None, use_threads=False)
+    return tuple(table.column(c).to_numpy() for c in ("pair", "documents", "best"))
+
+
+@dataclass(frozen=True)
+class Held:
+    """Some rows without their links, these links' keys, how often each occurs, where each row's links end, and n_best and count_sum so far."""
+
+    rows: pa.RecordBatch
+    keys: np.ndarray
+    times: np.ndarray
+    ends: np.ndarray
+    sums: np.ndarray
+
+    @classmethod
+    def of(cls, rows: pa.RecordBatch, links: list[tuple[np.ndarray, np.ndarray]]) -> Held:
+        keys, times = (np.concatenate(x) for x in zip(*links, strict=True))
+        return cls(rows.select(range(6)), keys, times, np.cumsum([0, *(len(k) for k, _ in links)]), np.zeros((2, len(links)), np.int64))
+
+    def add(self, known: np.ndarray, documents: np.ndarray, best: np.ndarray, part: int) -> None:
+        """Add up what the known pairs give, for part links at a time, so that little is held beside the links."""
+        for low in range(0, len(self.keys) if len(known) else 0, part):
+            keys = self.keys[low : low + part]
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            here = np.where(known[at] == keys, self.times[low : low + part], 0)
+            cut = np.clip(self.ends, low, low + len(keys)) - low
+            for k, value in enumerate((best[at] * here, documents[at] * here)):
+                total = np.concatenate([[0], np.cumsum(value, dtype=np.int64)])
+                self.sums[k] += total[cut[1:]] - total[cut[:-1]]
 
 
 def score_links(aligned: DataFrame, counts_folder: str) -> DataFrame:
-    """aligned's rows with n_best (links whose pair's count is the highest of its A id) and count_sum (over links)."""
+    """aligned's rows with n_best (links whose pair's count is the highest of its A id) and count_sum (over links).
+
+    A task unpacks PART_LINKS links at a time, or HELD_LINKS where they are looked up in several files, and a document's more.
+    """
     kept = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
     own = aligned.schema["doc_id"].dataType.simpleString()
 
-    def opened(batch: pa.RecordBatch) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """A batch, its links' keys, how often each occurs, where each row's links end, and zeros for the sums."""
-        a, b, times = (batch.column(i) for i in (6, 7, 8))
-        keys = a.flatten().to_numpy().astype(np.int64) << 32 | b.flatten().to_numpy().astype(np.int64)
-        ends = np.concatenate([[0], np.cumsum(np.diff(a.offsets.to_numpy()))])
-        return batch, keys, times.flatten().to_numpy().astype(np.int64), ends, np.zeros((2, batch.num_rows), np.int64)
-
-    def summed(held: list[tuple], files: list[str]) -> Iterator[pa.RecordBatch]:
+    def summed(held: list[Held], files: list[str]) -> Iterator[pa.RecordBatch]:
         for path in files:
-            known, documents, best = _read_counts(counts_folder, path)
-            if len(known):
-                for _, keys, times, ends, sums in held:
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    here = np.where(known[at] == keys, times, 0)
-                    for k, value in enumerate((best[at] * here, documents[at] * here)):
-                        total = np.concatenate([[0], np.cumsum(value)])
-                        sums[k] += total[ends[1:]] - total[ends[:-1]]
-        for batch, _, _, _, sums in held:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array(sums[0]), pa.array(sums[1])], names=[*kept, "n_best", "count_sum"])
+            known = _read_counts(counts_folder, path)
+            for part in held:
+                part.add(*known, PART_LINKS)
+        for part in held:
+            yield pa.RecordBatch.from_arrays([*part.rows.columns, pa.array(part.sums[0]), pa.array(part.sums[1])], names=[*kept, "n_best", "count_sum"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, held, size = _files(counts_folder), [], 0
+        most = PART_LINKS if len(files) < 2 else HELD_LINKS
         for batch in batches:
-            held.append(opened(batch))
-            size += len(held[-1][1])
-            if len(files) < 2 or size > HELD_LINKS:
-                yield from summed(held, files)
-                held, size = [], 0
+            start, links = 0, []
+            for i, block in enumerate(batch.column(6)):
+                links.append(unpack_links(block.as_py()))
+                size += len(links[-1][0]) + 1
+                if size > most:
+                    yield from summed([*held, Held.of(batch.slice(start, i + 1 - start), links)], files)
+                    held, size, start, links = [], 0, i + 1, []
+            if links:
+                held.append(Held.of(batch.slice(start), links))
         yield from summed(held, files)
 
-    schema = f"doc_id {own}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, n_best bigint, count_sum bigint"
-    return aligned.select(*kept, "link_a", "link_b", "times").mapInArrow(run, schema)
+    return aligned.select(*kept, "links").mapInArrow(run, f"{TOKENS.format(id=own)}, n_best bigint, count_sum bigint")
 
 
 def alignment_report(docs: DataFrame, tokenizers: tuple[str, str], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -422,7 +489,7 @@ def alignment_report(docs: DataFrame, tokenizers: tuple[str, str], *, id_col: st
     broadcast); both are deleted when the report, which is written too, is done.
     """
     spark = docs.sparkSession
-    aligned = materialize(align_tokens(docs, tokenizers, id_col=id_col, text_col=text_col), "aligned")
+    aligned = materialize(_align(docs, tokenizers, id_col, text_col, groups=False, packed=True), "aligned")
     counts, folder = materialize(pair_counts(aligned), "pair_counts"), shared_path(spark, "pair_table")
     _write_counts(counts, folder)
     out = materialize(score_links(aligned, folder), "alignment")

@@ -2,10 +2,12 @@
 
 import bisect
 import hashlib
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -122,3 +124,37 @@ def test_blocks_round_trip():
     for dtype, top in (("<u2", 1 << 16), ("<u4", 1 << 32)):
         ids = np.random.default_rng(1).integers(0, top, 1000)
         assert (alignment.unpack_ids(alignment.pack_ids(ids, dtype), dtype) == ids).all()
+
+
+def test_counting_and_scoring_hold_little_of_a_batch(spark, tmp_path, monkeypatch):
+    """4 million links come to a task as one batch; its arrays stay far below their 64 MB."""
+    n, rng = 10_000, np.random.default_rng(2)
+    pairs = np.arange(50).repeat(40) << 32 | np.tile(np.arange(40), 50)
+    links = [(np.sort(rng.choice(pairs, 400, replace=False)), rng.integers(1, 9, 400)) for _ in range(n)]
+    keys, times = (np.concatenate(x) for x in zip(*links, strict=True))
+    count = np.unique(keys, return_counts=True)[1]
+    best = count == count.reshape(50, 40).max(axis=1).repeat(40)
+    alignment._write_counts(spark.createDataFrame([(int(k >> 32), int(k & 0xFFFFFFFF), int(c)) for k, c in zip(pairs, count, strict=True)], "a int, b int, documents bigint"), f"file://{tmp_path}/counts")
+
+    tasks = []
+    aligned = spark.createDataFrame([], f"{alignment.TOKENS.format(id='bigint')}, links binary")
+    monkeypatch.setattr(type(aligned), "mapInArrow", lambda self, run, schema: tasks.append(run) or spark.createDataFrame([], schema))
+    alignment.pair_counts(aligned)
+    alignment.score_links(aligned, f"file://{tmp_path}/counts")
+    blocks = pa.array([alignment.pack_links(*x) for x in links], pa.binary())
+    whole = pa.RecordBatch.from_arrays([*[pa.array(np.arange(n))] * 5, pa.array([""] * n), blocks], names=[*aligned.columns])
+    found = []
+    for task, batch in zip(tasks, (pa.RecordBatch.from_arrays([blocks], names=["links"]), whole), strict=True):
+        tracemalloc.start()
+        found.append(pa.Table.from_batches(task(iter([batch]))))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40 << 20
+
+    counted = Counter()
+    for r in found[0].to_pylist():
+        counted[r["a"] << 32 | r["b"]] += r["documents"]
+    assert counted == dict(zip(pairs.tolist(), count.tolist(), strict=True))
+    at = np.searchsorted(pairs, keys)
+    for name, value in (("n_best", best[at] * times), ("count_sum", count[at] * times)):
+        assert found[1].column(name).to_pylist() == value.reshape(n, 400).sum(axis=1).tolist()
