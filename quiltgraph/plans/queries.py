@@ -224,13 +224,13 @@ def seed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {G2} SELECT src AS node_id, f, round(sum(weight * value), 6) AS value FROM edges JOIN x ON node_id = dst GROUP BY 1, 2")
 def spmm(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    return _rounded(linalg.to_long(linalg.spmm_arrays(edges, nodes, DIM)))
+    return _rounded(linalg.to_long(linalg.spmm_arrays(edges, nodes, DIM, _edge_bound(spark, sf_dir, nodes))))
 
 
 @query(f"WITH {G2} SELECT dst AS node_id, f, round(sum(weight * value), 6) AS value FROM edges JOIN x ON node_id = src GROUP BY 1, 2")
 def spmm_transpose(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = graphs.embedding_graph(spark, sf_dir)
-    return _rounded(linalg.to_long(linalg.spmm_arrays(linalg.transpose(edges), nodes, DIM)))
+    return _rounded(linalg.to_long(linalg.spmm_arrays(linalg.transpose(edges), nodes, DIM, _edge_bound(spark, sf_dir, nodes))))
 
 
 def _rounded(long: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quiltgraph.operators import blocking, etl, linalg, ranking, sampling
+from quiltgraph.phases import Phases, phase
 from quiltgraph.plans import queries
 
 
@@ -106,3 +107,28 @@ def test_a_probe_dealt_by_rows_is_the_same(spark, tiny, monkeypatch):
     for own, other in zip(dealt, plain, strict=True):
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, other.collect()))
     assert any(f", {-(-rows * most // 300)}), REPARTITION_BY_NUM" in dealt[0]._jdf.queryExecution().toString() for most in range(1, 5))
+
+
+def test_sums_of_products_dealt_by_rows(spark, monkeypatch):
+    """A node's sum is shuffled about once, not once for each task that has some of its edges; odd rows count as in the plain join."""
+    pairs = spark.range(20_000).selectExpr("id div 100 as src", "id % 100 as dst", "cast(pmod(hash(id), 997) / 7 as float) as weight")
+    nodes = spark.range(100).selectExpr("id as node_id", "transform(sequence(0, 63), i -> cast(pmod(hash(id, i), 991) / 7 as float)) as features")
+    many, sums, costs = pairs.repartition(40, "dst"), [], []
+    for rows in (None, 20_000):
+        with Phases().active() as collected, phase(spark, "sums"):
+            found = linalg.spmm_arrays(many, nodes.repartition(40, "node_id"), 64, rows).collect()
+        sums.append({r["node_id"]: r["features"] for r in found})
+        costs.append(collected.costs["sums"].shuffle_bytes)
+    assert len(sums[1]) == 200 and all(v == pytest.approx(sums[0][k], rel=1e-12) for k, v in sums[1].items())
+    assert costs[1] < costs[0] / 3
+
+    x = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [None, 4.0, 0.5]), (2, [5.0, 6.0, 7.0]), (3, None), (4, [8.0]), (5, [float("nan"), 1.0, 9.0]), (7, [1.0, 1.0, 1.0])], "node_id bigint, features array<float>")
+    odd = spark.createDataFrame([(9, 1, 2.0), (9, 2, 3.0), (8, 4, 1.0), (8, 99, 5.0), (7, 99, 1.0), (6, 5, 0.5), (1 << 40, 1, -1.0), (9, 4, 1.0), (-3, 7, 1.0), (None, 1, 1.0)], "src bigint, dst bigint, weight double")
+    for held, width in ((1 << 20, 3), (2, 3), (1 << 20, 2)):
+        monkeypatch.setattr(linalg, "HELD", held)
+        monkeypatch.setattr(linalg, "CELLS", held)
+        monkeypatch.setattr(linalg, "SUMS", held)
+        plain, ours = ({r["node_id"]: str(r["features"]) for r in linalg.spmm_arrays(odd.where("src is not null"), x, width, n).collect()} for n in (None, 10))
+        assert plain == ours
+    assert {r["node_id"] for r in linalg.spmm_arrays(odd, x, 3, 10).collect()} == {9, 8, 6, 1 << 40, -3}
+    assert linalg.spmm_arrays(odd.limit(0), x, 3, 10).count() == 0 == linalg.spmm_arrays(odd, x.limit(0), 3, 10).count()
