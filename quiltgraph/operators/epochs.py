@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from quiltgraph.operators import model, partition, sampling
 from quiltgraph.operators.ranking import dealt
@@ -54,11 +55,11 @@ def _order(n: int, seed: object, epoch: int) -> list[int]:
 def _rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes (batch_id, node_id, features, label or labels, target) and edges (batch_id, src, dst, weight, layers) as one table, in which layers is 0 for nodes.
 
-    layers: a bit for each layer that has the edge.
+    layers: a bit for each layer that has the edge.  Edges have empty arrays, as a null one takes Spark far longer to hand to a task.
     """
     label = "labels" if "labels" in nodes.columns else "label"
     own = nodes.select("batch_id", F.col("node_id").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(None).cast("double").alias("weight"), F.lit(0).alias("layers"), "features", F.col(label).alias("label"), F.coalesce("target", F.lit(False)).alias("target"))
-    none = [F.lit(None).cast(own.schema[c].dataType).alias(c) for c in ("features", "label", "target")]
+    none = [(F.array() if isinstance(own.schema[c].dataType, ArrayType) else F.lit(None)).cast(own.schema[c].dataType).alias(c) for c in ("features", "label", "target")]
     return own.union(edges.select("batch_id", "src", "dst", F.col("weight").cast("double").alias("weight"), "layers", *none))
 
 
@@ -198,12 +199,15 @@ def part_batches(bundle: GraphBundle, parts: DataFrame, batch_size: int, *, seed
 def halo_cuts(bundle: GraphBundle, book: DataFrame, batch_size: int, *, seed: object = 7, max_external_ratio: float = 5.0, in_tasks: bool = False) -> tuple[int, DataFrame, DataFrame]:
     """The number of batches of book (part_id, window_id), and their cuts, all made at once: nodes and edges in local ids, with batch_id.
 
-    See sampling.halos: nodes have internal, edges inner.  In a folder for each batch, unless in_tasks.
+    See sampling.halos: nodes have internal, edges inner.  In a folder for each batch, unless in_tasks; then a batch's edges fit a task.
     """
     nodes, meta = model.targets(bundle), bundle.meta
     batches = partition.partition_batches(book.select("part_id").distinct(), batch_size, seed)
     where = materialize(book.join(batches, "part_id").select(F.col("batch_id").alias("part"), "window_id").distinct(), "batch_of_window")
-    own = materialize(sampling.edges_by_part(bundle.edges, where, meta.tile_rows), "batch_rows")
+    own = sampling.edges_by_part(bundle.edges, where, meta.tile_rows)
+    if in_tasks:
+        own = sampling.first_edges(own, where, meta.num_rows, bundle.edges.count(), max_external_ratio=max_external_ratio, seed=seed, tile_rows=meta.tile_rows)
+    own = materialize(own, "batch_rows")
     cut = sampling.halos(own, where, meta.num_rows, max_external_ratio=max_external_ratio, seed=seed, tile_rows=meta.tile_rows)
     placed = nodes.join(cut[0], "node_id").drop("node_id").withColumnsRenamed({"local_id": "node_id", "part": "batch_id"})
     count = _numbers(where.withColumnRenamed("part", "batch_id"))

@@ -79,8 +79,8 @@ def norm(features: str | Column) -> Column:
 
 def l2_normalize(nodes: DataFrame) -> DataFrame:
     """features divided by their length, which counts as 1e-12 at least."""
-    scale = F.greatest(norm("features"), F.lit(1e-12))
-    return nodes.withColumn("_s", scale).withColumn("features", F.transform("features", lambda x: (x.cast("double") / F.col("_s")).cast("float"))).drop("_s")
+    scale = F.array(F.greatest(norm("features"), F.lit(1e-12)))  # as a variable of transform it is computed once, and not for each entry
+    return nodes.withColumn("features", F.transform(scale, lambda s: F.transform("features", lambda x: (x.cast("double") / s).cast("float")))[0])
 
 
 def pad_rows(nodes: DataFrame, n: int, width: int, tile_rows: int = TILE_ROWS) -> DataFrame:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quiltgraph.operators import blocking
 from quiltgraph.operators.blocking import with_window
-from quiltgraph.operators.ranking import dealer, hash_text, number_by_id, number_within, prefix_sum
+from quiltgraph.operators.ranking import dealer, dealt, hash_text, number_by_id, number_within, prefix_sum
 from quiltgraph.phases import phase
 from quiltgraph.schema import TILE_COLS, TILE_ROWS, HacsOptions, Subgraph
 from quiltgraph.storage import materialize, remove
@@ -183,6 +186,61 @@ def window_nodes(windows: DataFrame, num_nodes: int, tile_rows: int = TILE_ROWS,
     return windows.select(*by, "window_id").distinct().select(*by, rows.alias("node_id")).where(F.col("node_id") < num_nodes)
 
 
+#: Edges among which a task looks for the first neighbours at a time.
+HELD = 1 << 20
+
+
+def _first(part: np.ndarray, node: np.ndarray, cap: np.ndarray, seed: object) -> np.ndarray:
+    """Which rows name one of the first cap nodes of their part, in the order of hash_text; at least these."""
+    nodes, place = np.unique(node, return_inverse=True)
+    hashes = np.frombuffer(b"".join(hashlib.md5(f"{i}_{seed}".encode()).digest()[:8] for i in nodes.tolist()), ">u8").astype(np.uint64)[place]
+    order = np.lexsort((node, hashes, part))
+    part_, node_, hash_ = part[order], node[order], hashes[order]
+    begins = np.diff(part_, prepend=part_[:1] - 1) != 0
+    number = np.cumsum(begins | (np.diff(node_, prepend=node_[:1] - 1) != 0))  # of different nodes
+    start = number[begins]
+    last = number - np.repeat(start, np.diff(np.flatnonzero(begins), append=len(part_))) < cap[order]
+    kept = np.empty(len(order), bool)
+    kept[order] = last
+    return kept
+
+
+def first_edges(own: DataFrame, windows: DataFrame, num_nodes: int, rows: int, *, max_external_ratio: float = 5.0, seed: object = 7, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """own (part, src, dst, weight), at most so many rows, without edges that halos would drop, mostly: a cut of them is that of own.
+
+    They are dealt by part, and a task keeps, of what it holds of a part, the
+    edges to internal nodes and to as many external ones as may stay, those
+    first in the seeded shuffle: what is among the first of all is among the
+    first of any rows that name it.  So it pays for parts that fit a task and
+    have many more neighbours than may stay.
+    """
+    sizes = window_nodes(windows, num_nodes, tile_rows).groupBy("part").agg(F.floor(F.count(F.lit(1)) * F.lit(float(max_external_ratio))).cast("bigint").alias("cap"))
+    inside = windows.select("part", "window_id").distinct().withColumn("inside", F.lit(True))
+    marked = own.withColumn("window_id", F.expr(f"dst div {tile_rows}")).join(inside, ["part", "window_id"], "left").join(F.broadcast(sizes), "part")  # a number for each part
+    marked = marked.select("part", "src", "dst", "weight", (F.coalesce("inside", F.lit(False)) & (F.col("dst") < num_nodes)).alias("inside"), "cap")
+
+    def kept(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        inside = table.column("inside").to_numpy()
+        out = np.flatnonzero(~inside)
+        keep = inside.copy()
+        if len(out):
+            keep[out] = _first(*(table.column(name).to_numpy()[out] for name in ("part", "dst", "cap")), seed)
+        yield from table.drop_columns(["inside", "cap"]).filter(pa.array(keep)).to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held, size = [*held, batch], size + batch.num_rows
+            if size >= HELD:
+                yield from kept(held)
+                held, size = [], 0
+        if size:
+            yield from kept(held)
+
+    return dealt(marked, rows, "part").mapInArrow(run, own.schema)
+
+
 def halos(own: DataFrame, windows: DataFrame, num_nodes: int, *, max_external_ratio: float = 5.0, seed: object = 7, tile_rows: int = TILE_ROWS, rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Each part's windows (part, window_id) with their neighbours, repacked: nodes and edges of all parts in one plan.
 

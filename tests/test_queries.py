@@ -1,6 +1,7 @@
 """Every registered query with SQL beside it, against DuckDB on the smallest tables."""
 
 import os
+import time
 
 import duckdb
 import pytest
@@ -132,3 +133,27 @@ def test_sums_of_products_dealt_by_rows(spark, monkeypatch):
         assert plain == ours
     assert {r["node_id"] for r in linalg.spmm_arrays(odd, x, 3, 10).collect()} == {9, 8, 6, 1 << 40, -3}
     assert linalg.spmm_arrays(odd.limit(0), x, 3, 10).count() == 0 == linalg.spmm_arrays(odd, x.limit(0), 3, 10).count()
+
+
+def test_first_edges_leave_a_cut_as_it_is(spark, monkeypatch):
+    rng = queries.np.random.default_rng(6)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 640, (30_000, 2))} | {(i, i) for i in range(630)} | {(5, 700), (40, 641)}
+    edges = spark.createDataFrame([(a, b, float((a + b) % 9)) for a, b in pairs if a < 630], "src bigint, dst bigint, weight float").repartition(6)
+    windows = spark.createDataFrame([(w % 7, w) for w in range(40)] + [(8, 3), (8, 39), (8, 3)], "part int, window_id bigint")  # a window in two parts, one row twice
+    own = sampling.edges_by_part(edges, windows).cache()
+    for held, ratio in ((1 << 20, 2.0), (50, 0.31), (1 << 20, 0.0)):
+        monkeypatch.setattr(sampling, "HELD", held)
+        fewer = sampling.first_edges(own, windows, 630, 40_000, max_external_ratio=ratio, seed=3).cache()
+        found = [sampling.halos(rows, windows, 630, max_external_ratio=ratio, seed=3) for rows in (own, fewer)]
+        for plain, ours in zip(*found, strict=True):
+            assert sorted(plain.collect()) == sorted(ours.collect())
+        assert fewer.count() < own.count() * (0.6 if held > 50 else 1)
+
+
+def test_a_norm_is_computed_once_for_an_array(spark):
+    wide = spark.range(40).selectExpr("id as node_id", "transform(sequence(1, 6000), i -> cast(i + id as float)) as features").cache()
+    wide.count()
+    began = time.perf_counter()
+    found = etl.l2_normalize(wide).select(queries.F.aggregate("features", queries.F.lit(0.0), lambda s, x: s + x * x).alias("n")).collect()
+    assert time.perf_counter() - began < 12  # minutes, if computed for each of the 240,000 entries
+    assert [r["n"] for r in found] == pytest.approx([1.0] * 40, rel=1e-4)

@@ -211,3 +211,9 @@ def test_sparse_products_make_no_array_for_an_edge(spark, bundle):
     a, x, _ = dense(bundle)
     found = {r["node_id"]: r["features"] for r in linalg.spmm_arrays(bundle.edges, bundle.nodes, 3).collect()}
     assert np.allclose([found[i] for i in range(N)], a @ x)
+
+
+def test_edges_of_task_batches_have_empty_arrays(spark, bundle):
+    nodes = model.targets(bundle).select(F.lit(0).alias("batch_id"), "node_id", "features", "label", F.lit(True).alias("target"))
+    rows = epochs._rows(nodes, bundle.edges.select(F.lit(0).alias("batch_id"), "src", "dst", "weight", F.lit(1).alias("layers")))
+    assert rows.where("features is null").count() == 0 < rows.where("layers = 1 and size(features) = 0").count()
