@@ -147,6 +147,21 @@ def test_parts_by_chunks_are_those_by_one_task(spark, monkeypatch):
     assert jobs[0] < jobs[1]  # a turn of a small level is no job
 
 
+def test_exchanges_by_one_task_are_those_of_joins(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 40, (130, 2))]
+    for name, value in {"SMALL": 0, "CHUNK": 60, "SLAB": 16}.items():
+        monkeypatch.setattr(cut, name, value)
+    found, shuffled_bytes = [], []
+    for most in (cut.EXCHANGED, 0):
+        monkeypatch.setattr(cut, "EXCHANGED", most)
+        with Phases().active() as costs, phase(spark, "cut"):
+            found.append(parts_of(spark, pairs, 40, 2, turns=3))
+        shuffled_bytes.append(costs.costs["cut"].shuffle_bytes)
+    assert found[0] == found[1] and len(found[0]) == 40
+    assert shuffled_bytes[0] < shuffled_bytes[1]
+
+
 def test_hashes_are_those_of_spark(spark):
     u, v = np.array([0, 5, 1 << 40, -3]), np.array([7, 2, 9, 1 << 62])
     rows = spark.createDataFrame(list(zip(u.tolist(), v.tolist(), strict=True)), "u bigint, v bigint")
